@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 from .common import cut, ranked
 
 CAPACITY = 2048
-#: Chunks of text whose ids a Python worker keeps; it starts anew beyond that.
-CACHED = 400_000
+#: Chunks of text whose ids a Python worker keeps; later ones are encoded each time.
+CACHED = 600_000
 #: Unicode white space, as the tokenizer's pattern has it.
 _SPACES = tuple("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
+#: Fixed value: the pattern that cuts texts for byte-level BPE of this kind.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -26,53 +30,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Unsplit(Exception):
+    """A part of a text that can't be encoded alone."""
+
+
+class _Parts(dict):
+    """Ids of the parts of texts between single spaces, each with the space before it."""
+
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part.startswith(_SPACES) or part.endswith(_SPACES):
+            raise _Unsplit
+        ids = self.encode(self.lead + part)
+        if len(self) < CACHED:
+            self[part] = ids
+        return ids
+
+
+def _byte_level_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks of a byte-level BPE whose merges stand in the order of their ids; None for any other model."""
+    spec = json.loads(open(path, encoding="utf8").read())
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or spec.get("normalizer"):
+        return None
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    of = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(others)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ids = [model["vocab"].get(m.replace(" ", "") if isinstance(m, str) else "".join(m)) for m in model["merges"]]
+    if any(a is None for a in ids) or any(a >= b for a, b in zip(ids, ids[1:])):
+        return None
+    return {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+
+
 class _Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     A single space between two other characters always starts a new piece of the tokenizer's
     pattern, so a text is cut there and the ids of each part, with its space, are kept for later texts.
+    Byte-level BPE files run on their merge ranks, all others by the tokenizers library.
     """
 
     _kept: dict[str, _Encoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        ranks = _byte_level_ranks(path)
+        if ranks:
+            import tiktoken
+
+            model = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.plain = lambda text: array("I", model.encode_ordinary(text)).tobytes()
+        else:
+            from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {}
+            model = Tokenizer.from_file(path)
+            model.encode_special_tokens = True
+            self.plain = lambda text: array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
+        self.cuttable = bool(ranks)
+        self.first, self.parts = _Parts(self.plain, ""), _Parts(self.plain, " ")
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
         if path not in cls._kept:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > CACHED:
-            self.parts.clear()
-        cut_up: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            parts = text.split(" ")
-            if len(parts) > 1 and any(not p or p.startswith(_SPACES) or p.endswith(_SPACES) for p in parts):
-                cut_up.append(None)
-                continue
-            parts = [parts[0], *[" " + p for p in parts[1:]]] if text else []
-            cut_up.append(parts)
-            new.update(p for p in parts if p not in self.parts)
-        if new:
-            fresh = list(new)
-            for i in range(0, len(fresh), 20_000):
-                some = fresh[i : i + 20_000]
-                self.parts.update(zip(some, self._plain(some)))
-        return [self._plain([t])[0] if c is None else b"".join(map(self.parts.__getitem__, c)) for t, c in zip(texts, cut_up)]
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.cuttable:
+            return self.plain(text)
+        first, *parts = text.split(" ")
+        try:
+            return self.first[first] + b"".join(map(self.parts.__getitem__, parts))
+        except _Unsplit:
+            return self.plain(text)
 
 
 def _pieces(path: str, capacity: int):
@@ -82,8 +117,8 @@ def _pieces(path: str, capacity: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
                 out = [], [], [], [], []
-                for doc, data in zip(ids[at : at + 256], encoder.encode(["" if t is None else t for t in texts.slice(at, 256).to_pylist()])):
-                    data += b"\0\0\0\0"
+                for doc, text in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist()):
+                    data = encoder.encode(text) + b"\0\0\0\0"
                     n = len(data) // 4
                     start = 0
                     for k in range(-(-n // capacity)):
