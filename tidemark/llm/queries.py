@@ -3,10 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
 
+def _fold(n: int):
+    """Remainder of the checksum of doc_id as text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import class_scores
+
+    return class_scores(table(spark, sf_dir, "documents"), _fold(7) == 2)
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_fold(3) != 1)
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op5_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_pairs import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parsing import parse_documents
+
+    return parse_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import extract_pii
+
+    return extract_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -19,5 +75,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_mix_sources, op10_pack)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_brown_scores, op2_jaccard_join, op3_toxicity, op4_line_dedup, op5_vector_pairs,
+        op6_fingerprints, op7_licenses, op8_pii, op9_mix_sources, op10_pack,
+    )
+}
 ORACLES: dict[str, str] = {}
