@@ -17,10 +17,16 @@ WIDTH, PERCENT = 5, 75
 MOST_FREQUENT = 1 << 20
 #: A shingle of fewer documents is never taken as frequent.
 LEAST_FREQUENT = 8
+#: Posting lists of at most so many groups give all their pairs with counts.
+SHORT = 12
 #: Bits of the filter for sets that are compared; 4 MB at most.
 FILTER_BITS = 1 << 25
 
 
+def _sizes_fit(n: str, m: str, percent: int) -> str:
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """Of two sets that reach the threshold, the first so many elements of each, in one order, have one in common."""
     return n - (-(-percent * n // 100)) + 1
@@ -47,6 +53,15 @@ def _sets(batches, width: int):
             yield batch.slice(at, len(texts)), shingle_sets(texts, width)
 
 
+def _planes(sorted_low: np.ndarray) -> bytes:
+    """The highest bytes first: of sorted numbers they repeat, and shuffle files shrink."""
+    return sorted_low.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(">u4").ravel().astype(np.uint32)
+
+
 def _census(bits: int, width: int):
     """Each bucket of hashes, packed: 32 bits of each that follow the bucket's ``bits``."""
 
@@ -57,7 +72,7 @@ def _census(bits: int, width: int):
             a = np.concatenate(held)
             b = (a >> np.uint64(64 - bits)).astype(np.uint16)
             low = ((a >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            rows = list(_by_bucket(b, low))
+            rows = [(bucket, [_planes(np.sort(np.frombuffer(data, np.uint32)))]) for bucket, (data,) in _by_bucket(b, low)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][0] for r in rows], pa.binary())], names=["bucket", "packed"])
 
         for _, sets in _sets(batches, width):
@@ -73,7 +88,7 @@ def _census(bits: int, width: int):
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    low = np.frombuffer(b"".join(t["packed"].to_pylist()), np.uint32)
+    low = np.concatenate([_from_planes(x) for x in t["packed"].to_pylist()])
     low, n = np.unique(low, return_counts=True)
     keep = n >= LEAST_FREQUENT
     key = (np.int64(t["bucket"][0].as_py()) << 32) + low[keep].astype(np.int64)
@@ -165,43 +180,56 @@ def _postings(keys):
 
 
 def _lists(percent: int):
-    """Of each bucket: pairs to verify first (kind 0) and the lists they come from (kind 1: list, group)."""
+    """Of each bucket, rows (kind, a, b, c).
+
+    Kind 0: pairs of the short lists with the number of keys they share there. Of long lists, kind 1: (list, group), kind 2: (group,
+    0, its number of keys in long lists), kind 3: pairs with the list's least group and of neighbours by size.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         low, ids, ns = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("low", np.uint32), ("ids", np.int64), ("ns", np.int32)))
         order = np.lexsort((ids, ns, low))
-        low, ids, ns = low[order], ids[order], ns[order]
+        low, ids, ns = low[order], ids[order], ns[order].astype(np.int64)
         cuts = np.flatnonzero(np.diff(low)) + 1
-        starts, stops = np.concatenate([[0], cuts]).astype(np.int64), np.concatenate([cuts, [len(low)]]).astype(np.int64)
-        many = stops - starts >= 2
+        starts, sizes = np.concatenate([[0], cuts]).astype(np.int64), np.diff(np.concatenate([[0], cuts, [len(low)]]))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(2, SHORT + 1):
+            at = starts[sizes == k][:, None] + np.arange(k)
+            i, j = np.triu_indices(k, 1)
+            near = 100 * ns[at[:, i]] >= percent * ns[at[:, j]]  # sizes ascend
+            left.append(ids[at[:, i]][near])
+            right.append(ids[at[:, j]][near])
+        left, right = np.concatenate(left), np.concatenate(right)
+        both, c = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1, return_counts=True)
+        out = [(np.zeros(len(c), np.int32), both[0], both[1], c)]
         seen: set[int] = set()
-        kind, a, b = [], [], []
-        for lo, hi in zip(starts[many], stops[many]):
-            g, n = ids[lo:hi], ns[lo:hi].astype(np.int64)
-            if len(g) == 2:
-                name = int(g[0]) ^ (int(g[1]) << 1)
-            else:
-                name = _signature(g)
+        places = []
+        for lo, k in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+            g, n = ids[lo : lo + k], ns[lo : lo + k]
+            places.append(g)
+            name = _signature(g)
             if name in seen:
                 continue
             seen.add(name)
-            near = 100 * n[:-1] >= percent * n[1:]  # neighbours by size
-            p = int(np.argmin(g))
-            star = (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])) & (g != g[p])
-            x, y = np.concatenate([g[:-1][near], np.full(star.sum(), g[p])]), np.concatenate([g[1:][near], g[star]])
-            kind.append(np.zeros(len(x), np.int32))
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-            if len(g) > 2:
-                kind.append(np.ones(len(g), np.int32))
-                a.append(np.full(len(g), name, np.int64))
-                b.append(g)
-        join = lambda parts, k: np.concatenate(parts) if parts else np.zeros(0, k)
-        return pa.table({"kind": join(kind, np.int32), "a": join(a, np.int64), "b": join(b, np.int64)})
+            x, y = _star(g, n, percent)
+            out.append((np.ones(k, np.int32), np.full(k, name), g, np.ones(k, np.int64)))
+            out.append((np.full(len(x), 3, np.int32), np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)))
+        if places:
+            g, c = np.unique(np.concatenate(places), return_counts=True)
+            out.append((np.full(len(g), 2, np.int32), g, np.zeros(len(g), np.int64), c))
+        return pa.table({name: np.concatenate([np.asarray(x[k], np.int32 if k == 0 else np.int64) for x in out]) for k, name in enumerate(("kind", "a", "b", "c"))})
 
     return run
 
 
+def _star(g: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list sorted by size: each with the least group, and neighbours, where sizes allow a link."""
+    near = 100 * n[:-1] >= percent * n[1:]
+    p = int(np.argmin(g))
+    star = (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])) & (g != g[p])
+    return np.concatenate([g[:-1][near], np.full(star.sum(), g[p])]), np.concatenate([g[1:][near], g[star]])
+
+
 def _frequent_postings(keys):
     frequent = keys.value
 
@@ -290,9 +318,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     no shingles and link with nothing: set_id is null, component_id their doc_id. Equal sets are one class, so copies are never paired, and
     repeated rows belong to their class. Ties do not matter: components depend on the links alone.
 
-    Sets of one size whose prefixes are equal form a group, and only groups are posted. The posting lists first
-    give pairs with the list's least group and between neighbours by size; what these links join needs no more pairs. Then all
-    other pairs of a list, of group pairs and in groups that are in different components are expanded and verified, so no link between
+    Sets of one size whose prefixes are equal form a group, and only groups are posted. Short posting lists give all pairs with
+    the number of keys shared; long ones first give pairs with the list's least group and between neighbours by size. Group pairs that
+    can still reach the threshold are verified. What these links join needs no more pairs: then all
+    other pairs of long lists, of group pairs and in groups that are in different components are expanded and verified, so no link between
     components is lost.
     """
     spark = docs.sparkSession
@@ -309,50 +338,75 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     g = groups.select("lead", "n", "prefix")
     rare = (
         g.mapInArrow(_postings(keys), "bucket int, low binary, ids binary, ns binary")
-        .groupBy("bucket").applyInArrow(_lists(percent), "kind int, a long, b long")
+        .groupBy("bucket").applyInArrow(_lists(percent), "kind int, a long, b long, c long")
+        .groupBy("kind", "a", "b").agg(F.sum("c").alias("c"))
     )
+    rare = cut(rare, "rare")
     often = cut(g.mapInArrow(_frequent_postings(keys), "list long, id long, n long"), "often")
     first = cut(often.groupBy("list").agg(F.min(F.struct("id", "n")).alias("p")).select("list", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "first")
-    stars = often.join(first, "list").where(f"id <> p and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-    found = cut(
-        rare.union(stars.select(F.lit(0).alias("kind"), F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
-        .union(often.select(F.lit(1).alias("kind"), F.col("list").alias("a"), F.col("id").alias("b"))).distinct(), "found",
-    )
-    pairs = found.where("kind = 0").select("a", "b")
-    lists = found.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("lead"))
+    stars = often.join(first, "list").where(f"id <> p and {_sizes_fit('n', 'pn', percent)}")
+    shared = rare.where("kind = 0").select("a", "b", "c")
+    lists = rare.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("lead")).union(often.select("list", F.col("id").alias("lead")))
+    stars = rare.where("kind = 3").select("a", "b").union(stars.select(F.least("id", "p"), F.greatest("id", "p"))).distinct()
+    # keys of each group's prefix in long lists: what the counts of short lists may miss
+    long = rare.where("kind = 2").select(F.col("a").alias("lead"), "c").union(often.groupBy("id").agg(F.count(F.lit(1)).alias("c")))
+    long = cut(groups.select("lead", "n").join(long.groupBy("lead").agg(F.sum("c").alias("long")), "lead", "left").select("lead", "n", F.coalesce("long", F.lit(0)).alias("long")), "long")
+
+    def hopeful(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, c: keys shared in short lists) of groups that can still reach the threshold.
+
+        Of two sets, what the one whose prefix ends first has in common with the other is in both prefixes or beyond its own.
+        """
+        x, y = (long.select(F.col("lead").alias(k), F.col("n").alias(f"n{k}"), F.col("long").alias(f"long{k}")) for k in "ab")
+        beyond = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"
+        need = f"ceil({percent} * (na + nb) / {100 + percent})"
+        return pairs.join(x, "a").join(y, "b").where(f"{_sizes_fit('na', 'nb', percent)} and c + least(longa, longb) + {beyond} >= {need}").select("a", "b")
+
+    counted = stars.join(shared, ["a", "b"], "left_anti").select("a", "b", F.lit(0).cast("long").alias("c"))
+    pairs = cut(hopeful(shared.union(counted)), "pairs")
     within = classes.where("set_id <> lead").select(F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b"))
 
-    # the sets of all classes whose group is posted with another, or holds another
-    crowded = classes.where("set_id <> lead").select("lead").union(pairs.select("a")).union(pairs.select("b")).union(lists.select("lead")).distinct()
-    needed = cut(classes.join(crowded, "lead").select("set_id"), "needed")
-    wanted = spark.sparkContext.broadcast(_filter(needed, needed.count()))
-    sets = cut(
-        docs.select("text").mapInArrow(_wanted_sets(width, wanted), "set_id long, shingles binary")
-        .groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets",
-    )
+    def sets_of(needed: DataFrame, have: DataFrame | None = None) -> DataFrame:
+        """(set_id, shingles) of the classes, from their texts."""
+        needed = needed.distinct() if have is None else needed.distinct().join(have, "set_id", "left_anti")
+        needed = cut(needed, "needed")
+        wanted = spark.sparkContext.broadcast(_filter(needed, needed.count()))
+        found = docs.select("text").mapInArrow(_wanted_sets(width, wanted), "set_id long, shingles binary")
+        return cut(found.groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets")
 
-    def verify(p: DataFrame) -> DataFrame:
+    def verify(p: DataFrame, sets: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("set_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         return p.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
-    links = cut(verify(pairs.union(within)), "links")
+    one = lambda df: df.select(F.explode(F.array("a", "b")).alias("set_id"))
+    sets = sets_of(one(pairs.union(within)))
+    links = cut(verify(pairs.union(within), sets), "links")
     reached = connected_components(links, "a", "b")
     c = cut(
         classes.join(reached.withColumnRenamed("id", "set_id"), "set_id", "left")
         .select("set_id", "n", "lead", F.coalesce("component", "set_id").alias("component")), "classes",
     )
     left, right = (c.select(*[F.col(k).alias(f"{k}{i}") for k in c.columns]) for i in (1, 2))
-    apart = f"component1 <> component2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
-    of_pairs = pairs.join(left, F.col("a") == F.col("lead1")).join(right, F.col("b") == F.col("lead2")).where(f"{apart} and (set_id1 <> a or set_id2 <> b)")
-    of_groups = left.join(right, F.col("lead1") == F.col("lead2")).where(f"{apart} and set_id1 < set_id2")
+    apart = f"component1 <> component2 and {_sizes_fit('n1', 'n2', percent)}"
+    crowded = cut(classes.where("set_id <> lead").select("lead").distinct(), "crowded")
+    some_pairs = pairs.join(crowded.withColumnRenamed("lead", "a"), "a", "left_semi").union(pairs.join(crowded.withColumnRenamed("lead", "b"), "b", "left_semi").select("a", "b")).distinct()
+    of_pairs = some_pairs.join(left, F.col("a") == F.col("lead1")).join(right, F.col("b") == F.col("lead2")).where(f"{apart} and (set_id1 <> a or set_id2 <> b)")
+    of_groups = left.join(crowded.withColumnRenamed("lead", "lead1"), "lead1").join(right, F.col("lead1") == F.col("lead2")).where(f"{apart} and set_id1 < set_id2")
     members = lists.join(c, "lead")
     mixed = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    members = cut(members.join(cut(mixed, "mixed"), "list"), "members")
+    members = cut(members.join(cut(mixed, "mixed"), "list").select("list", "set_id", "lead", "n", "component"), "members")
     left, right = (members.select("list", *[F.col(k).alias(f"{k}{i}") for k in c.columns]) for i in (1, 2))
-    of_lists = left.join(right, "list").where(f"{apart} and set_id1 < set_id2")
+    of_lists = left.join(right, "list").where(f"{apart} and set_id1 < set_id2").select("set_id1", "set_id2", "lead1", "lead2").distinct()
+    of_lists = cut(of_lists, "of_lists")
+    led = of_lists.select(F.least("lead1", "lead2").alias("a"), F.greatest("lead1", "lead2").alias("b")).distinct().join(shared, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
+    led = hopeful(led.where("a <> b"))
+    of_lists = of_lists.join(led, (F.least("lead1", "lead2") == F.col("a")) & (F.greatest("lead1", "lead2") == F.col("b")))
     ends = [F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b")]
-    more = of_pairs.select(*ends).union(of_groups.select(*ends)).union(of_lists.select(*ends)).distinct()
-    links = links.union(cut(verify(more), "links"))
+    more = cut(of_pairs.select(*ends).union(of_groups.select(*ends)).union(of_lists.select(*ends)).distinct(), "more")
+    if more.limit(1).count():
+        have = sets
+        other = sets_of(one(more), have.select("set_id"))
+        links = links.union(cut(verify(more, have.union(other)), "links"))
 
     reached = cut(connected_components(links, "a", "b"), "reached")
     named = some.groupBy("set_id").agg(F.min("doc_id").alias("doc")).join(reached.withColumnRenamed("id", "set_id"), "set_id", "left")
