@@ -231,8 +231,8 @@ def sequence_weight_vectorized(spark, sf):
 
 # deduplication
 
-TTL = F.lit(EVENTS_DEDUP.ttl_ms * 1000).cast("long")
-TTL_SQL = f"{EVENTS_DEDUP.ttl_ms * 1000}::BIGINT"
+TTL_US = EVENTS_DEDUP.ttl_ms * 1000
+TTL_SQL = f"{TTL_US}::BIGINT"
 
 
 @query("""SELECT event_id, printf('%x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(split(event_type || '|' || user_id, ''), x -> ord(x)::UHUGEINT)),
@@ -243,7 +243,7 @@ def dedup_key(spark, sf):
 
 @query(f"WITH RECURSIVE {Q.EV}, {Q.dedup_cte('e0', chr(34) + 'user_id' + chr(34) + ' || ' + chr(39) + '|' + chr(39) + ' || token', TTL_SQL)} SELECT event_id, is_novel, expires_us FROM seen")
 def dedup_ttl(spark, sf):
-    return dedup(V.events(spark, sf), ["user_id", "token"], ["event_id"], F.col("t_us"), TTL).select("event_id", "is_novel", "expires_us")
+    return dedup(V.events(spark, sf), ["user_id", "token"], ["event_id"], F.col("t_us"), F.lit(TTL_US).cast("long")).select("event_id", "is_novel", "expires_us")
 
 
 @query(f"WITH RECURSIVE {Q.EV}, {Q.dedup_cte('e0', 'token', '3600000000::BIGINT')} SELECT event_id, is_novel FROM seen")
@@ -276,7 +276,7 @@ def dedup_live_size(spark, sf):
 @query(f"""WITH RECURSIVE {Q.EV}, {Q.dedup_cte('e0', "user_id || '|' || token", TTL_SQL)}
     SELECT user_id, count(*) FILTER (is_novel) AS novel, count(*) FILTER (NOT is_novel) AS duplicates FROM seen GROUP BY user_id""")
 def dedup_counts(spark, sf):
-    seen = dedup(V.events(spark, sf), ["user_id", "token"], ["event_id"], F.col("t_us"), TTL)
+    seen = dedup(V.events(spark, sf), ["user_id", "token"], ["event_id"], F.col("t_us"), F.lit(TTL_US).cast("long"))
     return seen.groupBy("user_id").agg(F.count_if("is_novel").alias("novel"), F.count_if(~F.col("is_novel")).alias("duplicates"))
 
 
