@@ -28,7 +28,7 @@ def last_samples(df: DataFrame, order: str, keys: list[str], n: int) -> DataFram
 def latency_percentiles(df: DataFrame, latency: str, order: str, p: LatencyParams, keys: list[str] = []) -> DataFrame:
     """p95 and p99 of the last samples: the sorted sample at floor(n * q), counted from 0."""
     s, n = F.sort_array(F.collect_list(latency)), F.count(F.lit(1))
-    at = lambda q: F.coalesce(F.try_element_at(s, F.least(F.floor(n * F.lit(q)).cast("int") + 1, n.cast("int"))), F.lit(0))
+    at = lambda q: F.coalesce(F.try_element_at(s, F.greatest(F.least(F.floor(n * F.lit(q)).cast("int") + 1, n.cast("int")), F.lit(1))), F.lit(0))
     if not p.profiling:
         at = lambda q: F.lit(0).cast("long")
     return last_samples(df, order, keys, p.sample_window).groupBy(*keys).agg(at(0.95).alias("p95_us"), at(0.99).alias("p99_us"))

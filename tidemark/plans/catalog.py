@@ -110,7 +110,7 @@ MESSAGE = """m0 AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE o_orderstatu
       ELSE '35=8' || chr(1) || '54=' || CASE o_orderstatus WHEN 'F' THEN '1' ELSE '2' END || chr(1) || '32=' || amount || chr(1) END AS body
     FROM (SELECT *, format('{:.2f}', o_totalprice) AS amount FROM orders)),
     m AS (SELECT *, '8=FIX.4.2' || chr(1) || '9=' || strlen(body) || chr(1) || body AS head FROM m0),
-    f AS (SELECT *, lpad((list_sum(list_transform(split(head, ''), x -> ord(x))) % 256)::BIGINT::VARCHAR, 3, '0') AS checksum FROM m)"""
+    f AS (SELECT *, lpad((list_sum(list_transform(split(head, ''), lambda x: ord(x))) % 256)::BIGINT::VARCHAR, 3, '0') AS checksum FROM m)"""
 
 
 def _messages(spark, sf):
@@ -235,8 +235,8 @@ TTL_US = EVENTS_DEDUP.ttl_ms * 1000
 TTL_SQL = f"{TTL_US}::BIGINT"
 
 
-@query("""SELECT event_id, printf('%x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(split(event_type || '|' || user_id, ''), x -> ord(x)::UHUGEINT)),
-    (h, b) -> (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS dedup_key FROM events""")
+@query("""SELECT event_id, printf('%x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(split(event_type || '|' || user_id, ''), lambda x: ord(x)::UHUGEINT)),
+    lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS dedup_key FROM events""")
 def dedup_key(spark, sf):
     return V.events(spark, sf).select("event_id", T.dedup_key(F.col("token"), F.col("user_id").cast("string")).alias("dedup_key"))
 

@@ -11,7 +11,7 @@ WEIGHTS = ", ".join(f"('{t}', {s}{D}, {c}{D}, {v}{D}, {b}{D})" for t, s, c, v, b
 LEXICON = ", ".join("('{}', {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE)".format(*x.split()) for x in DEFAULT.strip().splitlines())
 NAMES = "(token, sentiment, confidence, volatility, bias)"
 MISSES = f"coalesce(l.sentiment, 0.0{D}) AS sentiment, coalesce(l.confidence, 0.5{D}) AS confidence, coalesce(l.volatility, 0.1{D}) AS volatility, coalesce(l.bias, 0.0{D}) AS bias"
-WORDS = r"list_filter(regexp_split_to_array({}, '[ \t\n\x0B\f\r]+'), x -> x <> '')"
+WORDS = r"list_filter(regexp_split_to_array({}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
 EV = "e0 AS (SELECT event_id, user_id, event_type AS token, epoch_us(ts) AS t_us, value FROM events)"
 EW = f"lex AS (SELECT * FROM (VALUES {WEIGHTS}) AS t{NAMES}), ew AS (SELECT e0.*, {MISSES}, l.token IS NOT NULL AS hit FROM e0 LEFT JOIN lex l ON e0.token = l.token)"

@@ -61,7 +61,7 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tag=value messages: reports for P, buys for F, else sells; seq is their order in time per customer."""
     soh = F.lit("\x01")
     o = table(spark, sf_dir, "orders")
-    amount = F.format_number(F.col("o_totalprice"), "0.00")
+    amount = F.format_string("%.2f", F.col("o_totalprice"))
     body = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("35=AP"), soh, F.lit("702="), amount, soh, F.lit("703=0"), soh)).otherwise(
         F.concat(F.lit("35=8"), soh, F.lit("54="), F.when(F.col("o_orderstatus") == "F", "1").otherwise("2"), soh, F.lit("32="), amount, soh)
     )
