@@ -105,7 +105,7 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
             table[c] -= right
             table[:, c] -= left
             table[c, c] -= self_count
-            rows, cols = table.sum(1), table.sum(0)
+            rows, cols = table.sum(1) + left, table.sum(0) + right  # what leads to w and follows it counts in any class
             gain = (_f(table + right[None]) - _f(table)).sum(1) + (_f(table + left[:, None]) - _f(table)).sum(0)
             d = np.diag(table)
             gain += _f(d + right + left + self_count) - _f(d + right) - _f(d + left) + _f(d)
