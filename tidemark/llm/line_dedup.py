@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .filters import mark_partners
 from .hashing import mix
 
 #: Runs of at least so many words are found and removed.
@@ -100,7 +101,8 @@ def _extended(batches):
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """(uid, lo, hi): bounds of line runs that occur earlier. ``docs`` has uid, doc_id and text without nulls."""
-    lines = cut(docs.dropDuplicates(["uid"]).select("uid", "doc_id", "text").mapInArrow(_lines, "uid long, doc_id long, hashes binary, words binary"), "lines")
+    lines = docs.select("uid", "doc_id", "text").mapInArrow(_lines, "uid long, doc_id long, hashes binary, words binary")
+    lines = cut(lines.dropDuplicates(["uid"]), "lines")
     windows = lines.mapInArrow(_windows(run_words), "name long, doc_id long, uid long, start long, low long")
     windows = cut(windows, "windows")
     first = windows.groupBy("name").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -132,7 +134,11 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("_cuts", lambda c: (i >= c["lo"]) & (i < c["hi"])))
     text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    x = docs.withColumn("_uid", uid).join(runs, "_uid", "left").withColumn("_kept", text)
+    # only texts that can have something to lose are shuffled
+    marked = mark_partners(docs.withColumn("_uid", uid), "_uid", runs.select("_uid"), runs.count())
+    some = marked.where("_maybe").join(runs, "_uid", "left")
+    rest = marked.where("not _maybe").withColumn("_cuts", F.lit(None).cast(runs.schema["_cuts"].dataType))
+    x = some.unionByName(rest).withColumn("_kept", text)
     count = lambda c: F.coalesce(F.size(F.split(F.col(c), "\n", -1)), F.lit(0))
     gone = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(count("text"))
