@@ -14,13 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is configured (local runs)."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+        base = _own_dirs.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        _own_dirs[app] = base
+    return f"{base.rstrip('/')}/tidemark-{app}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
