@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import corpus_size, cut, power_of_two
 from .components import connected_components
-from .hashing import pieces, shingle_sets
+from .hashing import mix, pieces, shingle_sets
 
 WIDTH, PERCENT = 5, 75
 #: The broadcast table of frequent shingles has at most so many rows of 8 bytes, see ``_frequent``.
@@ -19,6 +19,10 @@ MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 8
 #: Posting lists of at most so many groups give all their pairs with counts.
 SHORT = 12
+#: Groups of a long list, least by as many hashes, that all others of it are first compared with.
+PIVOTS = 4
+#: Sets of a long list that are compared with each other before those still apart are.
+CHUNK = 64
 #: Bits of the filter for sets that are compared; 4 MB at most.
 FILTER_BITS = 1 << 25
 
@@ -27,6 +31,11 @@ def _sizes_fit(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
+def _overlap_needed(n: str, m: str, percent: int) -> str:
+    """Elements that two sets of these sizes have in common at least, if they reach the threshold."""
+    return f"ceil({percent} * ({n} + {m}) / {100 + percent})"
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """Of two sets that reach the threshold, the first so many elements of each, in one order, have one in common."""
     return n - (-(-percent * n // 100)) + 1
@@ -155,25 +164,27 @@ def _is_frequent(key: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)] == key
 
 
+def _placed(batch, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, group, size, place in the prefix) of the wanted keys of a batch of (group, size, prefix)."""
+    out = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for g, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        key = _unpacked(packed)
+        at = np.flatnonzero(wanted(key))
+        for col, v in zip(out, (key[at], np.full(len(at), g, np.int64), np.full(len(at), n, np.int64), at)):
+            col.append(v)
+    return tuple(map(np.concatenate, out))
+
+
 def _postings(keys):
-    """The rare keys of the groups' prefixes by bucket: packed low bits, groups and sizes."""
+    """The rare keys of the groups' prefixes by bucket: packed low bits, groups, sizes and places in the prefix."""
     frequent = keys.value
 
     def run(batches):
         for batch in batches:
-            held, ids, ns = [], [], []
-            for g, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                key = _unpacked(packed)
-                key = key[~_is_frequent(key, frequent)]
-                held.append(key)
-                ids.append(np.full(len(key), g, np.int64))
-                ns.append(np.full(len(key), n, np.int32))
-            if not held:
-                continue
-            key = np.concatenate(held)
-            rows = list(_by_bucket((key >> 32).astype(np.uint16), (key & 0xFFFFFFFF).astype(np.uint32), np.concatenate(ids), np.concatenate(ns)))
+            key, ids, ns, at = _placed(batch, lambda k: ~_is_frequent(k, frequent))
+            rows = list(_by_bucket((key >> 32).astype(np.uint16), (key & 0xFFFFFFFF).astype(np.uint32), ids, ns.astype(np.int32), at.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[1][k] for r in rows], pa.binary()) for k in range(3)]], names=["bucket", "low", "ids", "ns"],
+                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[1][k] for r in rows], pa.binary()) for k in range(4)]], names=["bucket", "low", "ids", "ns", "ats"],
             )
 
     return run
@@ -182,14 +193,15 @@ def _postings(keys):
 def _lists(percent: int):
     """Of each bucket, rows (kind, a, b, c).
 
-    Kind 0: pairs of the short lists with the number of keys they share there. Of long lists, kind 1: (list, group), kind 2: (group,
-    0, its number of keys in long lists), kind 3: pairs with the list's least group and of neighbours by size.
+    Kind 0: pairs of the short lists with the number of keys they share there. Of long lists, kind 1: (list, group, place), kind 2: (group,
+    0, its number of keys in long lists), kind 3: pairs with the list's pivots and of neighbours by size. Lists of the same groups are
+    one, with the place of its first key.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        low, ids, ns = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("low", np.uint32), ("ids", np.int64), ("ns", np.int32)))
+        low, ids, ns, ats = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("low", np.uint32), ("ids", np.int64), ("ns", np.int32), ("ats", np.int32)))
         order = np.lexsort((ids, ns, low))
-        low, ids, ns = low[order], ids[order], ns[order].astype(np.int64)
+        low, ids, ns, ats = low[order], ids[order], ns[order].astype(np.int64), ats[order].astype(np.int64)
         cuts = np.flatnonzero(np.diff(low)) + 1
         starts, sizes = np.concatenate([[0], cuts]).astype(np.int64), np.diff(np.concatenate([[0], cuts, [len(low)]]))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -202,20 +214,22 @@ def _lists(percent: int):
         left, right = np.concatenate(left), np.concatenate(right)
         both, c = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)]), axis=1, return_counts=True)
         out = [(np.zeros(len(c), np.int32), both[0], both[1], c)]
-        seen: set[int] = set()
-        places = []
+        named: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = []
         for lo, k in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-            g, n = ids[lo : lo + k], ns[lo : lo + k]
-            places.append(g)
+            g, n, at = ids[lo : lo + k], ns[lo : lo + k], ats[lo : lo + k]
+            held.append(g)
             name = _signature(g)
-            if name in seen:
+            if name in named:
+                named[name] = g, np.minimum(named[name][1], at)
                 continue
-            seen.add(name)
+            named[name] = g, at
             x, y = _star(g, n, percent)
-            out.append((np.ones(k, np.int32), np.full(k, name), g, np.ones(k, np.int64)))
             out.append((np.full(len(x), 3, np.int32), np.minimum(x, y), np.maximum(x, y), np.ones(len(x), np.int64)))
-        if places:
-            g, c = np.unique(np.concatenate(places), return_counts=True)
+        for name, (g, at) in named.items():
+            out.append((np.ones(len(g), np.int32), np.full(len(g), name), g, at))
+        if held:
+            g, c = np.unique(np.concatenate(held), return_counts=True)
             out.append((np.full(len(g), 2, np.int32), g, np.zeros(len(g), np.int64), c))
         return pa.table({name: np.concatenate([np.asarray(x[k], np.int32 if k == 0 else np.int64) for x in out]) for k, name in enumerate(("kind", "a", "b", "c"))})
 
@@ -223,11 +237,15 @@ def _lists(percent: int):
 
 
 def _star(g: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list sorted by size: each with the least group, and neighbours, where sizes allow a link."""
+    """Pairs of a list sorted by size: each with the list's pivots, and neighbours, where sizes allow a link."""
     near = 100 * n[:-1] >= percent * n[1:]
-    p = int(np.argmin(g))
-    star = (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])) & (g != g[p])
-    return np.concatenate([g[:-1][near], np.full(star.sum(), g[p])]), np.concatenate([g[1:][near], g[star]])
+    left, right = [g[:-1][near]], [g[1:][near]]
+    for salt in range(PIVOTS):
+        p = int(np.argmin(mix(g.view(np.uint64) + np.uint64(salt))))
+        star = (100 * np.minimum(n, n[p]) >= percent * np.maximum(n, n[p])) & (g != g[p])
+        left.append(np.full(star.sum(), g[p]))
+        right.append(g[star])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _frequent_postings(keys):
@@ -235,14 +253,7 @@ def _frequent_postings(keys):
 
     def run(batches):
         for batch in batches:
-            held, ids, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for g, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                key = _unpacked(packed)
-                key = key[_is_frequent(key, frequent)]
-                held.append(key)
-                ids.append(np.full(len(key), g, np.int64))
-                ns.append(np.full(len(key), n, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (held, ids, ns)], names=["list", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _placed(batch, lambda k: _is_frequent(k, frequent))], names=["list", "id", "n", "at"])
 
     return run
 
@@ -319,7 +330,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     repeated rows belong to their class. Ties do not matter: components depend on the links alone.
 
     Sets of one size whose prefixes are equal form a group, and only groups are posted. Short posting lists give all pairs with
-    the number of keys shared; long ones first give pairs with the list's least group and between neighbours by size. Group pairs that
+    the number of keys shared; long ones first give pairs with a few pivots and between neighbours by size. Group pairs that
     can still reach the threshold are verified. What these links join needs no more pairs: then all
     other pairs of long lists, of group pairs and in groups that are in different components are expanded and verified, so no link between
     components is lost.
@@ -337,16 +348,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     g = groups.select("lead", "n", "prefix")
     rare = (
-        g.mapInArrow(_postings(keys), "bucket int, low binary, ids binary, ns binary")
+        g.mapInArrow(_postings(keys), "bucket int, low binary, ids binary, ns binary, ats binary")
         .groupBy("bucket").applyInArrow(_lists(percent), "kind int, a long, b long, c long")
-        .groupBy("kind", "a", "b").agg(F.sum("c").alias("c"))
+        .groupBy("kind", "a", "b").agg(F.when(F.col("kind") == 1, F.min("c")).otherwise(F.sum("c")).alias("c"))
     )
     rare = cut(rare, "rare")
-    often = cut(g.mapInArrow(_frequent_postings(keys), "list long, id long, n long"), "often")
-    first = cut(often.groupBy("list").agg(F.min(F.struct("id", "n")).alias("p")).select("list", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "first")
+    often = cut(g.mapInArrow(_frequent_postings(keys), "list long, id long, n long, at long"), "often")
+    pivots = F.array(*[F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.lit(k)), "id")) for k in range(PIVOTS)])
+    first = often.groupBy("list").agg(F.array_distinct(pivots).alias("p"))
+    first = cut(first.select("list", F.explode("p").alias("p")).select("list", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "first")
     stars = often.join(first, "list").where(f"id <> p and {_sizes_fit('n', 'pn', percent)}")
     shared = rare.where("kind = 0").select("a", "b", "c")
-    lists = rare.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("lead")).union(often.select("list", F.col("id").alias("lead")))
+    # frequent keys of the same groups are one list, with the place of the first of them
+    alike = often.groupBy("list").agg(F.xxhash64(F.count(F.lit(1)), F.sum(F.col("id").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("id"))).alias("alike"))
+    merged = often.join(alike, "list").groupBy(F.col("alike").alias("list"), F.col("id").alias("lead")).agg(F.min("at").alias("at"))
+    lists = rare.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("lead"), F.col("c").alias("at")).union(merged)
     stars = rare.where("kind = 3").select("a", "b").union(stars.select(F.least("id", "p"), F.greatest("id", "p"))).distinct()
     # keys of each group's prefix in long lists: what the counts of short lists may miss
     long = rare.where("kind = 2").select(F.col("a").alias("lead"), "c").union(often.groupBy("id").agg(F.count(F.lit(1)).alias("c")))
@@ -359,7 +375,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         """
         x, y = (long.select(F.col("lead").alias(k), F.col("n").alias(f"n{k}"), F.col("long").alias(f"long{k}")) for k in "ab")
         beyond = f"greatest(ceil({percent} * na / 100), ceil({percent} * nb / 100)) - 1"
-        need = f"ceil({percent} * (na + nb) / {100 + percent})"
+        need = _overlap_needed("na", "nb", percent)
         return pairs.join(x, "a").join(y, "b").where(f"{_sizes_fit('na', 'nb', percent)} and c + least(longa, longb) + {beyond} >= {need}").select("a", "b")
 
     counted = stars.join(shared, ["a", "b"], "left_anti").select("a", "b", F.lit(0).cast("long").alias("c"))
@@ -381,28 +397,46 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     one = lambda df: df.select(F.explode(F.array("a", "b")).alias("set_id"))
     sets = sets_of(one(pairs.union(within)))
     links = cut(verify(pairs.union(within), sets), "links")
-    reached = connected_components(links, "a", "b")
-    c = cut(
-        classes.join(reached.withColumnRenamed("id", "set_id"), "set_id", "left")
-        .select("set_id", "n", "lead", F.coalesce("component", "set_id").alias("component")), "classes",
-    )
-    left, right = (c.select(*[F.col(k).alias(f"{k}{i}") for k in c.columns]) for i in (1, 2))
-    apart = f"component1 <> component2 and {_sizes_fit('n1', 'n2', percent)}"
+    def classed(links: DataFrame) -> DataFrame:
+        """(set_id, n, lead, component) of all classes."""
+        reached = connected_components(links, "a", "b").withColumnRenamed("id", "set_id")
+        return cut(classes.join(reached, "set_id", "left").select("set_id", "n", "lead", F.coalesce("component", "set_id").alias("component")), "classes")
+
+    sizes = _sizes_fit("n1", "n2", percent)
+    apart = f"component1 <> component2 and {sizes}"
+    ends = [F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b")]
+    sides = lambda df, *more: [df.select(*more, *[F.col(k).alias(f"{k}{i}") for k in df.columns if k not in more]) for i in (1, 2)]
+
+    def in_lists(c: DataFrame, some: DataFrame | None = None) -> DataFrame:
+        """Pairs (a, b) of long lists in different components; of those of ``some``, only pairs that fall in one of the list's chunks."""
+        # no set whose part from the key on is less than what a set of the least size that fits must share
+        members = lists.join(c, "lead").where(f"n - at >= {_overlap_needed('n', f'ceil({percent} * n / 100)', percent)}")
+        mixed = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("lo <> hi")
+        members = members.join(cut(mixed.select("list", "chunks"), "mixed"), "list")
+        keys = ["list"]
+        if some is not None:
+            members = members.join(some, "set_id", "left_semi").withColumn("chunk", F.pmod(F.xxhash64("set_id", "list"), F.col("chunks")))
+            keys.append("chunk")
+        left, right = sides(cut(members.drop("chunks"), "members"), *keys)
+        # the first key that two linked sets share is in a list of both, and what they share follows it in both
+        placed = f"least(n1 - at1, n2 - at2) >= {_overlap_needed('n1', 'n2', percent)}"
+        found = left.join(right, keys).where(f"{apart} and set_id1 < set_id2 and {placed}").select("set_id1", "set_id2", "lead1", "lead2").distinct()
+        found = cut(found, "of_lists")
+        led = found.select(F.least("lead1", "lead2").alias("a"), F.greatest("lead1", "lead2").alias("b")).distinct().join(shared, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
+        led = hopeful(led.where("a <> b"))
+        return found.join(led, (F.least("lead1", "lead2") == F.col("a")) & (F.greatest("lead1", "lead2") == F.col("b"))).select(*ends)
+
+    # families whose links are few: random pairs of their lists join most of them before all that are still apart are compared
+    more = cut(in_lists(classed(links), sets.select("set_id")), "chunked")
+    if more.limit(1).count():
+        links = links.union(cut(verify(more, sets), "links"))
+    c = classed(links)
+    left, right = sides(c)
     crowded = cut(classes.where("set_id <> lead").select("lead").distinct(), "crowded")
     some_pairs = pairs.join(crowded.withColumnRenamed("lead", "a"), "a", "left_semi").union(pairs.join(crowded.withColumnRenamed("lead", "b"), "b", "left_semi").select("a", "b")).distinct()
     of_pairs = some_pairs.join(left, F.col("a") == F.col("lead1")).join(right, F.col("b") == F.col("lead2")).where(f"{apart} and (set_id1 <> a or set_id2 <> b)")
     of_groups = left.join(crowded.withColumnRenamed("lead", "lead1"), "lead1").join(right, F.col("lead1") == F.col("lead2")).where(f"{apart} and set_id1 < set_id2")
-    members = lists.join(c, "lead")
-    mixed = members.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    members = cut(members.join(cut(mixed, "mixed"), "list").select("list", "set_id", "lead", "n", "component"), "members")
-    left, right = (members.select("list", *[F.col(k).alias(f"{k}{i}") for k in c.columns]) for i in (1, 2))
-    of_lists = left.join(right, "list").where(f"{apart} and set_id1 < set_id2").select("set_id1", "set_id2", "lead1", "lead2").distinct()
-    of_lists = cut(of_lists, "of_lists")
-    led = of_lists.select(F.least("lead1", "lead2").alias("a"), F.greatest("lead1", "lead2").alias("b")).distinct().join(shared, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
-    led = hopeful(led.where("a <> b"))
-    of_lists = of_lists.join(led, (F.least("lead1", "lead2") == F.col("a")) & (F.greatest("lead1", "lead2") == F.col("b")))
-    ends = [F.least("set_id1", "set_id2").alias("a"), F.greatest("set_id1", "set_id2").alias("b")]
-    more = cut(of_pairs.select(*ends).union(of_groups.select(*ends)).union(of_lists.select(*ends)).distinct(), "more")
+    more = cut(of_pairs.select(*ends).union(of_groups.select(*ends)).union(in_lists(c)).distinct(), "more")
     if more.limit(1).count():
         have = sets
         other = sets_of(one(more), have.select("set_id"))
