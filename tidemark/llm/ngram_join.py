@@ -87,7 +87,7 @@ def _census(bits: int, width: int):
         for _, sets in _sets(batches, width):
             held += sets
             size += sum(map(len, sets))
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if size:

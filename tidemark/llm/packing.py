@@ -14,7 +14,7 @@ from .common import cut, ranked
 
 CAPACITY = 2048
 #: Chunks of text whose ids a Python worker keeps; later ones are encoded each time.
-CACHED = 600_000
+CACHED = 200_000
 #: Unicode white space, as the tokenizer's pattern has it.
 _SPACES = tuple("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 

@@ -18,7 +18,7 @@ MOST_STEMS = 4096
 #: Common English words of abuse, the seed lexicon.
 SEEDS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting")
 STEM_LENGTHS = (4, 5, 6)
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 150_000
 _NO_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 VOTERS = ("seed word", "word", *[f"stem {n}" for n in STEM_LENGTHS], "two words", "share", "spelled out")
 
