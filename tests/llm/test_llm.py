@@ -188,6 +188,19 @@ def test_toxicity_odd(spark, odd):
     assert rows(score_toxicity(odd.limit(0), none)) == []
 
 
+def test_toxicity_voters_from_all_labels(spark):
+    """A word of too few toxic rows among those the classifier is fitted to still votes."""
+    from tidemark.llm.toxicity import score_toxicity, train_toxicity
+
+    data = [(i, f"plain words of row{i} here and there" + (" zorgblat" if i % 10 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame([*data, (1000, "one zorgblat more"), (1001, "nothing at all")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")
+    voters, _ = train_toxicity(docs, labels, sample=12)
+    assert "0zorgblat" in voters.numbers
+    by = {r["doc_id"]: r["score"] for r in rows(score_toxicity(docs, labels, sample=12))}
+    assert by[1000] > by[1001]
+
+
 def brute_lines(texts, least=50):
     """Lines in a window of the fewest lines with enough words that occurs earlier, extended against that first place."""
     lines = {i: [x.strip() for x in t.split("\n")] for i, t in texts.items()}

@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 
-#: Labelled rows that voters and classifier learn from at most.
+#: Labelled rows that the classifier is fitted to at most; voters, class sizes and anchors take all of them.
 SAMPLE = 24_000
-#: Word starts that the induced voters hold at most.
-MOST_STEMS = 4096
 #: Common English words of abuse, the seed lexicon.
 SEEDS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "pathetic", "worthless", "disgusting")
 STEM_LENGTHS = (4, 5, 6)
 _KEPT_WORDS = 150_000
+_KEPT_STEMS = 200_000
 _NO_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 VOTERS = ("seed word", "word", *[f"stem {n}" for n in STEM_LENGTHS], "two words", "share", "spelled out")
 
@@ -34,19 +34,31 @@ def stems(word: bytes) -> list[str]:
 
 
 def _stem_counts(batches):
-    """Documents of each label that hold each stem, summed over a task."""
+    """Documents of each label that hold each stem, and of each label at all under the empty stem; in parts of a bounded size."""
     counts: dict[str, list[int]] = {}
+    kept: dict[bytes, list[str]] = {}
+
+    def part():
+        keys = list(counts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), pa.array([counts[k][1] for k in keys], pa.int64()), pa.array([counts[k][0] for k in keys], pa.int64())], names=["stem", "toxic", "clean"],
+        )
+
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = set()
+            found = {""}
             for w in distinct_words(text or ""):
-                found.update(stems(w))
+                if (of := kept.get(w)) is None:
+                    of = kept[w] = stems(w)
+                found.update(of)
             for s in found:
                 counts.setdefault(s, [0, 0])[toxic] += 1
-    keys = list(counts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.string()), pa.array([counts[k][1] for k in keys], pa.int64()), pa.array([counts[k][0] for k in keys], pa.int64())], names=["stem", "toxic", "clean"],
-    )
+            if len(kept) > _KEPT_STEMS // 4:
+                kept.clear()
+            if len(counts) > _KEPT_STEMS:
+                yield part()
+                counts = {}
+    yield part()
 
 
 @dataclass
@@ -91,22 +103,25 @@ class Voters:
         return votes, sorted(found)
 
 
-def chosen_stems(counts: list[tuple[str, int, int]], toxic_rows: int, clean_rows: int) -> list[str]:
-    """Stems whose share of toxic documents can't be chance.
+def _chosen(toxic_rows: int, clean_rows: int, tried: int):
+    """Stems whose share of toxic documents can't be chance, with the chance's logarithm.
 
     The chance that as many of a stem's documents are toxic at the base rate, with smoothing for the clean ones, is
     held against the number of stems that were tried.
     """
     rate = (toxic_rows + 1) / (toxic_rows + clean_rows + 2)
-    tried = max(1, sum(1 for _, a, b in counts if a + b >= 3))
-    found = []
-    for stem, a, b in counts:
-        if a < 3 or a <= 4 * b:
-            continue
-        chance = math.lgamma(a + b + 1) - math.lgamma(a + 1) - math.lgamma(b + 1) + a * math.log(rate) + b * math.log(1 - rate)
-        if chance < math.log(0.1 / tried):
-            found.append((chance, stem))
-    return [s for _, s in sorted(found)[:MOST_STEMS]]
+    most = math.log(0.1 / max(1, tried))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for stem, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                chance = math.lgamma(a + b + 1) - math.lgamma(a + 1) - math.lgamma(b + 1) + a * math.log(rate) + b * math.log(1 - rate)
+                if chance < most:
+                    found.append((stem, chance))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["stem", "chance"])
+
+    return run
 
 
 class LabelModel:
@@ -172,16 +187,12 @@ def _votes(voters):
     return run
 
 
-def _pattern_counts(voters):
+def _patterns(voters):
     voters = voters.value
 
     def run(batches):
-        counts = np.zeros(1 << len(VOTERS), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts[voters.read(t)[0]] += 1
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["votes", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([voters.read(t)[0] for t in batch.column(0).to_pylist()], pa.int32())], names=["doc_id", "votes"])
 
     return run
 
@@ -206,32 +217,36 @@ def _scores(model, names: list[str]):
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """(voters, weights) of the classifier. ``labels``: doc_id, toxic; rows with a null in either are left out, the highest of several labels counts.
 
-    Voters are induced from at most ``sample`` labelled rows, drawn by a hash of doc_id; the label model takes the vote
-    patterns of all documents; the classifier is fitted to the posterior labels of the drawn rows.
+    Voters and the anchors of the label model are counted over all labelled rows, vote patterns over all documents; only the
+    classifier is fitted to a sample, the posterior labels of at most ``sample`` labelled rows, drawn by a hash of doc_id.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int")).dropna().where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    # at most about ``sample`` rows of two numbers
-    learn = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
-    sizes = dict(drawn.groupBy("toxic").count().collect())
+    # labels grow with the documents: Spark picks the join
+    learn = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
     counts = learn.mapInArrow(_stem_counts, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    tried = counts.where("toxic + clean >= 3").count()
-    held = [(r[0], int(r[1]), int(r[2])) for r in counts.where("toxic >= 3 and toxic > 4 * clean").collect()]
-    held += [("", 0, 3)] * max(0, tried - len(held))
-    chosen = chosen_stems(held, sizes.get(1, 0), sizes.get(0, 0))
+    counts = cut(counts.where("toxic + clean >= 3 or stem = ''"), "stems")
+    sizes = counts.where("stem = ''").first() or ("", 0, 0)
+    tried = counts.where("toxic + clean >= 3 and stem <> ''").count()
+    # only what passes comes to the driver
+    passed = counts.where("stem <> '' and toxic >= 3 and toxic > 4 * clean").mapInArrow(_chosen(int(sizes[1]), int(sizes[2]), tried), "stem string, chance double")
+    chosen = [s for _, s in sorted((float(r[1]), r[0]) for r in passed.collect())]
     voters = Voters({s: k for k, s in enumerate(chosen)})
     shared = spark.sparkContext.broadcast(voters)
-    rows = [(list(r[2]), int(r[0]), int(r[1])) for r in learn.mapInArrow(_votes(shared), "votes int, toxic int, stems array<int>").collect()]
-    patterns = docs.select("text").mapInArrow(_pattern_counts(shared), "votes int, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
-    found = sorted({int(r[0]) for r in patterns} | {r[1] for r in rows} | {0})
+    # at most about ``sample`` rows of two numbers
+    fitted = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    rows = [(list(r[2]), int(r[0]), int(r[1])) for r in fitted.mapInArrow(_votes(shared), "votes int, toxic int, stems array<int>").collect()]
+    votes = docs.select("text", "doc_id").mapInArrow(_patterns(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes int")
+    patterns = votes.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows of a pattern
+    found = sorted({int(r[0]) for r in patterns} | {0})
     at = {p: k for k, p in enumerate(found)}
     n, anchors = np.zeros(len(found)), np.zeros((len(found), 2))
-    for votes, many in patterns:
-        n[at[int(votes)]] = many
-    for _, votes, toxic in rows:
-        anchors[at[votes], toxic] += 1
+    for votes, toxic, many in patterns:
+        n[at[int(votes)]] += many
+        if toxic is not None:
+            anchors[at[int(votes)], toxic] += many
     model = LabelModel(np.array(found), n, anchors)
     if not rows:
         rows = [([], 0, 0)]
