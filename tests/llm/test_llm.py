@@ -343,6 +343,26 @@ def test_license_templates(spark, odd):
     assert len(rows(scan_licenses(odd))) == len(ODD) and rows(scan_licenses(odd.limit(0))) == []
 
 
+def license_labels(spark, data):
+    from tidemark.llm.licenses import scan_licenses
+
+    return {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in rows(scan_licenses(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")))}
+
+
+def test_licenses_apart(spark):
+    """Notices of one license don't get another's label, nor does long prose with a template's words."""
+    from tidemark.llm.licenses import MARKS, TEMPLATES
+
+    assert all(f" {m} " in f" {t} " for t in TEMPLATES for m in MARKS[t])
+    prose = " ".join(f"{w} {'filler ' * 30}" for w in "permission is hereby granted free of charge to any person obtaining a copy this software and associated documentation files".split())
+    got = license_labels(spark, [
+        "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "released under the license", prose,
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the Apache License, Version 1.0",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ])
+    assert got == {0: {"gpl", "gpl-3.0"}, 1: {"cc-by", "cc-by-nc-4.0"}, 2: set(), 3: set(), 4: {"lgpl"}, 5: {"apache"}, 6: {"cc-by"}}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -32,9 +32,32 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved no part of this publication may be reproduced": "all-rights-reserved",
 }
+#: Word runs that tell a template from notices of other licenses; a match must hold them word by word.
+MARKS = {
+    "licensed under the apache license version 2 0": ("apache license", "version 2"),
+    "this work is licensed under the gnu general public license version 3": ("gnu general public license", "version 3"),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": ("gnu general public license",),
+    "licensed under the gnu lesser general public license": ("lesser general public license",),
+    "licensed under cc by nc 4 0": ("cc by nc 4",),
+    "licensed under cc by sa 4 0": ("cc by sa 4",),
+    "this work is licensed under a creative commons attribution 4 0 international license": ("creative commons attribution 4 0",),
+    "released under the mit license": ("mit license",),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": ("associated documentation files",),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("source and binary forms",),
+    "subject to the terms of the mozilla public license v 2 0": ("mozilla public license", "2 0"),
+    "this is free and unencumbered software released into the public domain": ("unencumbered software", "public domain"),
+    "all rights reserved no part of this publication may be reproduced": ("all rights reserved", "publication"),
+}
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
 
+
+def span_of(template: str) -> int:
+    """Consecutive words that a match may take: the template's own, a quarter more and two."""
+    n = len(template.split())
+    return n + n // 4 + 2
+
+
 _TABLE = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else 32 for b in (x + 32 if 65 <= x <= 90 else x for x in range(256)))
 
 
@@ -95,34 +118,65 @@ def _base(batches):
 
 
 def _blocks(rank: dict[str, int], prefix: set[str], least: int):
-    """Lines that hold a word of some template's prefix: their distinct template words in global order, the rarest first."""
+    """Lines that hold a word of some template's prefix: their distinct template words in global order, the rarest first; and all words in place, others empty."""
     ranks = {k.encode(): v for k, v in rank.items()}
     wanted = {k.encode() for k in prefix}
 
     def run(batches):
         for batch in batches:
-            uids, lines, tokens = [], [], []
+            uids, lines, tokens, whole = [], [], [], []
             for text, uid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or wanted.isdisjoint(words_of(text)):
                     continue
                 for k, line in enumerate(text.split("\n")):
-                    found = {w for w in words_of(line) if w in ranks}
+                    words = words_of(line)
+                    found = {w for w in words if w in ranks}
                     if len(found) >= least and not wanted.isdisjoint(found):
                         uids.append(uid)
                         lines.append(k)
                         tokens.append([w.decode() for w in sorted(found, key=ranks.__getitem__)])
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lines, pa.int32()), pa.array(tokens, pa.list_(pa.string()))], names=["uid", "line", "tokens"])
+                        whole.append([w.decode() if w in ranks else "" for w in words])
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lines, pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(whole, pa.list_(pa.string()))], names=["uid", "line", "tokens", "whole"])
+
+    return run
+
+
+def best_share(words: list[str], template: str, marks: tuple[str, ...], threshold: float) -> float:
+    """Greatest share of the template's distinct words in a run of ``span_of`` words that holds all marks; 0 if under the threshold."""
+    wanted = set(template.split())
+    span, need, best = span_of(template), math.ceil(threshold * len(wanted) - 1e-9), 0
+    runs = [m.split() for m in marks]
+    for lo, w in enumerate(words):
+        if w in wanted:
+            part = words[lo : lo + span]
+            n = len(wanted.intersection(part))
+            if n >= need and n > best and all(any(part[k : k + len(m)] == m for k in range(len(part))) for m in runs):
+                best = n
+    return best / len(wanted)
+
+
+def _verified(threshold: float):
+    names = list(TEMPLATES)
+
+    def run(batches):
+        for batch in batches:
+            found = [best_share(w, names[k], MARKS[names[k]], threshold) for k, w in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([TEMPLATES[names[k]] for k in batch.column(3).to_pylist()], pa.string()), pa.array(found, pa.float64())], names=["uid", "line", "label", "score"],
+            )
 
     return run
 
 
 def template_blocks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(uid, line, label, score): every line that holds at least ``threshold`` of a template's distinct words, once per label.
+    """(uid, line, label, score): every line that holds a template, once per label.
+
+    It does if a run of at most ``span_of`` the template's words holds at least ``threshold`` of its distinct words, and all of its marks word by word.
 
     Words are ordered by their number in all documents, the rarest first. Of a template with m words a block has at least
     ceil(threshold * m), so it has one among the first m minus that plus one, its prefix. Blocks and templates are
     joined on the template's prefix words. A pair goes on only if the block has enough template words in all (length), and
-    if those from its first common word on, in both, can still make up enough (position); then the common words are counted.
+    if those from its first common word on, in both, can still make up enough (position) and the common words are; then the pair is verified on the block's words in place.
     """
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_token_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # the templates' words
@@ -137,13 +191,13 @@ def template_blocks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             prefixes.add(w)
             rows.append((name, label, tokens, len(tokens), need, place, w))
     templates = spark.createDataFrame(rows, "name int, label string, words array<string>, m int, need int, place int, token string")
-    blocks = docs.select("text", "uid").mapInArrow(_blocks(rank, prefixes, least), "uid long, line int, tokens array<string>")
-    spread = blocks.select("uid", "line", "tokens", F.posexplode("tokens").alias("at", "token"))
+    blocks = docs.select("text", "uid").mapInArrow(_blocks(rank, prefixes, least), "uid long, line int, tokens array<string>, whole array<string>")
+    spread = blocks.select("uid", "line", "tokens", "whole", F.posexplode("tokens").alias("at", "token"))
     # the templates' prefixes: a fixed number of rows
     pairs = spread.join(F.broadcast(templates), "token").where((F.size("tokens") >= F.col("need")) & (F.least(F.size("tokens") - F.col("at"), F.col("m") - F.col("place")) >= F.col("need")))
-    common = F.size(F.array_intersect("tokens", "words"))
-    pairs = pairs.withColumn("common", common).where(F.col("common") >= F.col("need"))
-    return pairs.groupBy("uid", "line", "label").agg(F.max(F.col("common") / F.col("m")).alias("score"))
+    pairs = pairs.where(F.size(F.array_intersect("tokens", "words")) >= F.col("need"))
+    held = pairs.select("uid", "line", "whole", "name").mapInArrow(_verified(threshold), "uid long, line int, label string, score double")
+    return held.where("score > 0").groupBy("uid", "line", "label").agg(F.max("score").alias("score"))
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
