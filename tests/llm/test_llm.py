@@ -363,6 +363,22 @@ def test_licenses_apart(spark):
     assert got == {0: {"gpl", "gpl-3.0"}, 1: {"cc-by", "cc-by-nc-4.0"}, 2: set(), 3: set(), 4: {"lgpl"}, 5: {"apache"}, 6: {"cc-by"}}
 
 
+def test_licenses_wrapped(spark):
+    """Every template wrapped after each third word, at every offset to the blocks' bounds."""
+    from tidemark.llm.licenses import TEMPLATES
+
+    data, expect = [], []
+    for template, label in TEMPLATES.items():
+        w = template.split()
+        wrapped = "\n * ".join(" ".join(w[k : k + 3]) for k in range(0, len(w), 3))
+        for before in range(0, 60, 7):
+            data.append(f"{'filler ' * before}\n{wrapped}\nend")
+            expect.append(label)
+    got = license_labels(spark, data)
+    assert all(label in got[k] for k, label in enumerate(expect))
+    assert all(got[k] <= {label, "gpl", "mit", "apache", "cc-by"} for k, label in enumerate(expect))
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -16,7 +16,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Lines of public licenses and notices; a block holds one if it has enough of its words.
+#: Sentences of public licenses and notices; a block holds one if it has enough of its words.
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0",
@@ -31,6 +31,13 @@ TEMPLATES = {
     "subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved no part of this publication may be reproduced": "all-rights-reserved",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2.0",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation": "bsd",
+    "you should have received a copy of the gnu general public license along with this program": "gpl",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
 }
 #: Word runs that tell a template from notices of other licenses; a match must hold them word by word.
 MARKS = {
@@ -47,6 +54,13 @@ MARKS = {
     "subject to the terms of the mozilla public license v 2 0": ("mozilla public license", "2 0"),
     "this is free and unencumbered software released into the public domain": ("unencumbered software", "public domain"),
     "all rights reserved no part of this publication may be reproduced": ("all rights reserved", "publication"),
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0": ("apache org licenses license 2 0",),
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": ("this permission notice", "substantial portions"),
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": ("redistributions of source code", "list of conditions"),
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation": ("redistributions in binary form", "list of conditions"),
+    "you should have received a copy of the gnu general public license along with this program": ("gnu general public license",),
+    "you should have received a copy of the gnu lesser general public license along with this library": ("gnu lesser general public license",),
+    "this source code form is subject to the terms of the mozilla public license v 2 0": ("mozilla public license", "2 0"),
 }
 #: Share of a template's distinct words that a block must hold.
 THRESHOLD = 0.8
@@ -118,25 +132,32 @@ def _base(batches):
 
 
 def _blocks(rank: dict[str, int], prefix: set[str], least: int):
-    """Lines that hold a word of some template's prefix: their distinct template words in global order, the rarest first; and all words in place, others empty."""
+    """Blocks that hold a word of some template's prefix: their distinct template words in global order, the rarest first; and all words in place, others empty.
+
+    A block is a window of consecutive words, across line ends. Windows are twice as long as the longest match and start one such length
+    apart, so each match lies whole in one.
+    """
     ranks = {k.encode(): v for k, v in rank.items()}
     wanted = {k.encode() for k in prefix}
+    step = max(map(span_of, TEMPLATES))
 
     def run(batches):
         for batch in batches:
-            uids, lines, tokens, whole = [], [], [], []
+            uids, blocks, tokens, whole = [], [], [], []
             for text, uid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or wanted.isdisjoint(words_of(text)):
+                words = words_of(text or "")
+                if wanted.isdisjoint(words):
                     continue
-                for k, line in enumerate(text.split("\n")):
-                    words = words_of(line)
-                    found = {w for w in words if w in ranks}
-                    if len(found) >= least and not wanted.isdisjoint(found):
+                near = {k // step for k, w in enumerate(words) if w in wanted}
+                for k in sorted(near | {k - 1 for k in near if k}):
+                    part = words[k * step : (k + 2) * step]
+                    found = {w for w in part if w in ranks}
+                    if len(found) >= least:
                         uids.append(uid)
-                        lines.append(k)
+                        blocks.append(k)
                         tokens.append([w.decode() for w in sorted(found, key=ranks.__getitem__)])
-                        whole.append([w.decode() if w in ranks else "" for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(lines, pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(whole, pa.list_(pa.string()))], names=["uid", "line", "tokens", "whole"])
+                        whole.append([w.decode() if w in ranks else "" for w in part])
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(blocks, pa.int32()), pa.array(tokens, pa.list_(pa.string())), pa.array(whole, pa.list_(pa.string()))], names=["uid", "block", "tokens", "whole"])
 
     return run
 
@@ -162,14 +183,14 @@ def _verified(threshold: float):
         for batch in batches:
             found = [best_share(w, names[k], MARKS[names[k]], threshold) for k, w in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([TEMPLATES[names[k]] for k in batch.column(3).to_pylist()], pa.string()), pa.array(found, pa.float64())], names=["uid", "line", "label", "score"],
+                [batch.column(0), batch.column(1), pa.array([TEMPLATES[names[k]] for k in batch.column(3).to_pylist()], pa.string()), pa.array(found, pa.float64())], names=["uid", "block", "label", "score"],
             )
 
     return run
 
 
 def template_blocks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(uid, line, label, score): every line that holds a template, once per label.
+    """(uid, block, label, score): every block that holds a template, once per label.
 
     It does if a run of at most ``span_of`` the template's words holds at least ``threshold`` of its distinct words, and all of its marks word by word.
 
@@ -191,17 +212,17 @@ def template_blocks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             prefixes.add(w)
             rows.append((name, label, tokens, len(tokens), need, place, w))
     templates = spark.createDataFrame(rows, "name int, label string, words array<string>, m int, need int, place int, token string")
-    blocks = docs.select("text", "uid").mapInArrow(_blocks(rank, prefixes, least), "uid long, line int, tokens array<string>, whole array<string>")
-    spread = blocks.select("uid", "line", "tokens", "whole", F.posexplode("tokens").alias("at", "token"))
+    blocks = docs.select("text", "uid").mapInArrow(_blocks(rank, prefixes, least), "uid long, block int, tokens array<string>, whole array<string>")
+    spread = blocks.select("uid", "block", "tokens", "whole", F.posexplode("tokens").alias("at", "token"))
     # the templates' prefixes: a fixed number of rows
     pairs = spread.join(F.broadcast(templates), "token").where((F.size("tokens") >= F.col("need")) & (F.least(F.size("tokens") - F.col("at"), F.col("m") - F.col("place")) >= F.col("need")))
     pairs = pairs.where(F.size(F.array_intersect("tokens", "words")) >= F.col("need"))
-    held = pairs.select("uid", "line", "whole", "name").mapInArrow(_verified(threshold), "uid long, line int, label string, score double")
-    return held.where("score > 0").groupBy("uid", "line", "label").agg(F.max("score").alias("score"))
+    held = pairs.select("uid", "block", "whole", "name").mapInArrow(_verified(threshold), "uid long, block int, label string, score double")
+    return held.where("score > 0").groupBy("uid", "block", "label").agg(F.max("score").alias("score"))
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Licenses of each text: phrases word by word, and templates by containment of their words in the text's lines.
+    """Licenses of each text: phrases word by word, and templates by containment of their words in runs of the text's words, across line ends.
 
     Returns (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row; takes
     doc_id and text, ignores other columns. first_word and last_word are the least and greatest start of a phrase, else null; labels
