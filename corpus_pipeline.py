@@ -31,11 +31,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one of the smallest doc_id."""
-    groups = jaccard_components(docs)
-    others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """Keep one row of each group of near-duplicates, the one of the smallest doc_id, nulls last; of its ties that of the least hash, then the least row.
+
+    Rows are told apart by doc_id and text, not by doc_id alone. Texts without words are in no group and stay.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    groups = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("component"), F.count(F.lit(1)).alias("n"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    members = cut(groups.join(ids, "_key"), "members")
+    first = F.min_by(F.struct("_key", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
+    chosen = cut(members.groupBy("component").agg(first.alias("x")).select("x.*"), "chosen")
+    # chosen rows that occur once stay as they are; of those that repeat, the least is taken
+    single = chosen.where("n = 1").select("_key")
+    kept = keyed.join(members.select("_key").join(single, "_key", "left_anti"), "_key", "left_anti")
+    repeats = keyed.join(chosen.where("n > 1").select("_key"), "_key", "left_semi")
+    least = repeats.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return kept.select(*docs.columns).union(least.select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -588,3 +588,17 @@ def test_pipeline(spark, sf, docs):
     got = rows(P.STAGES[-1][1](spark, d, sf))
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) >= d.count()
     assert P.run(spark, sf).count() == len(got)
+
+
+def test_pipeline_jaccard_rows(spark):
+    """One row of each group: shared, repeated and null doc_ids."""
+    import corpus_pipeline as P
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    data = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, c), (None, d), (None, d), (None, a), (9, ""), (10, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", 1) for k, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.jaccard_join(spark, docs, None)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in rows(got)) == Counter([(3, a), (5, b), (7, c), (None, d), (9, ""), (9, ""), (10, None)])
+    assert {r["source"] for r in rows(got) if r["doc_id"] == 7} == {"s0"}
+    assert rows(P.jaccard_join(spark, docs.limit(0), None)) == []
