@@ -424,6 +424,20 @@ def test_pii_contexts(spark, odd):
     assert len(rows(extract_pii(odd))) == len(ODD) and rows(extract_pii(odd.limit(0))) == []
 
 
+def test_pii_discovery(spark):
+    """Runs of numbers, contexts after a candidate and at a line's start, and no secret without what looks like one."""
+    from tidemark.llm.pii import _contexts, extract_pii
+
+    found = lambda t: {t[a:b] for a, b, *_ in _contexts(t, [])}
+    assert found("call 202 555 0199 now") == {"202 555 0199"} and found("call (202) 555-0199 now") == {"(202) 555-0199"}
+    data = [(k, f"filler words then contact phone: +1 202 555 01{k:02d} is my mobile") for k in range(20)]
+    data += [(100 + k, f"date: 2024-01-{k:02d} then") for k in range(10, 20)]
+    data += [(200, "reach contact phone: 202 555 0199 please"), (201, "0202-555-0199 is my mobile"), (202, "contact phone: (202) 555-0199")]
+    got = {r["doc_id"]: r["spans"] for r in rows(extract_pii(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert got[200] == "phone:21:33" and got[201] == "phone:0:13" and got[202] == "phone:15:29"
+    assert all(got[100 + k] == "" for k in range(10, 20))
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     w = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}

@@ -24,6 +24,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CONTACT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;]+")
+_NUMBER = re.compile(r"[0-9+][0-9.-]*")
+_GAPS = (" ", "(", ")", " (", ") ")
 _DIGITS = re.compile(r"[^0-9]")
 
 
@@ -69,11 +71,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _shape(token: str) -> str:
-    """The token's make-up: classes of characters, runs as one."""
+    """The token's make-up: classes of characters, runs as one but for digits, so that a date is not of a phone number's shape."""
     out = []
     for c in token:
         k = "9" if c.isdigit() else "a" if c.isalpha() else c
-        if not out or out[-1] != k:
+        if k == "9" or not out or out[-1] != k:
             out.append(k)
     return "".join(out)[:24]
 
@@ -84,10 +86,34 @@ def _looks_identifying(token: str) -> bool:
     return len(token) >= 6 and (digits >= 4 or "@" in token[1:-1])
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, str | None]]:
-    """(start, end, lexical pattern, shape, kind) of seeds and of other tokens that look identifying.
+def _secret_form(token: str) -> str | None:
+    """Kinds of characters and length of a token that looks like a key: long, without blanks, letters and digits by turns; else None."""
+    if len(token) < 16 or "@" in token or " " in token:
+        return None
+    kinds = ["9" if c.isdigit() else "a" if c.isalpha() else c for c in token]
+    turns = sum({x, y} == {"a", "9"} for x, y in zip(kinds, kinds[1:]))
+    return f"{''.join(sorted(set(kinds)))}:{len(token)}" if turns >= 3 else None
 
-    A lexical pattern is the words before on the same line, digits left out.
+
+def _number_runs(line: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The tokens, with adjacent ones of digits as one, and the brackets inside."""
+    out: list[tuple[int, int]] = []
+    numbers = False
+    for a, b in tokens:
+        number = bool(_NUMBER.fullmatch(line, a, b))
+        if number and numbers and line[out[-1][1] : a] in _GAPS:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+        numbers = number
+    return [(a - (line[a - 1 : a] == "(" and ")" in line[a:b] and "(" not in line[a : line.index(")", a)]), b) for a, b in out]
+
+
+def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, str | None, str | None]]:
+    """(start, end, lexical pattern, shape, kind, form of a secret) of seeds and of other tokens or runs of numbers that look identifying.
+
+    A lexical pattern is the words before or the words after on the same line, digits left out; those after are marked with > and end
+    with the nearest, as those before do.
     """
     found = []
     for at in _seeded_lines(text, spans):
@@ -95,19 +121,21 @@ def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, i
         line = text[lo:hi]
         taken = [(a - lo, b - lo, k) for k, a, b in own]
         places = [(a, b, k) for a, b, k in taken]
-        for m in _TOKEN.finditer(line):
-            token = m[0].rstrip(".!?:")
-            end = m.start() + len(token)
-            if _looks_identifying(token) and not any(m.start() < b and a < end for a, b, _ in taken):
-                places.append((m.start(), end, None))
+        tokens = [(m.start(), m.start() + len(m[0].rstrip(".!?:"))) for m in _TOKEN.finditer(line)]
+        tokens = [(x, y) for x, y in tokens if x < y and not any(x < b and a < y for a, b, _ in taken)]
+        places += [(x, y, None) for x, y in _number_runs(line, tokens) if _looks_identifying(line[x:y])]
         for a, b, kind in places:
-            before = line[max(0, a - 60) : a].lower().split()[-CONTEXT:]
-            before = [w for w in ("".join(c for c in w if c.isalpha() or c in "=:") for w in before) if w]
-            if before:
-                found.append((lo + a, lo + b, " ".join(before), _shape(line[a:b]), kind))
+            shape, form = _shape(line[a:b]), None if kind else _secret_form(line[a:b])
+            sides = _letters(line[max(0, a - 60) : a])[-CONTEXT:], [f"{w}>" for w in _letters(line[b : b + 60])[:CONTEXT][::-1]]
+            found += [(lo + a, lo + b, " ".join(side), shape, kind, form) for side in sides if side]
     return found
 
 
+def _letters(part: str) -> list[str]:
+    """Words of letters and signs of assignment."""
+    return [w for w in ("".join(c for c in w if c.isalpha() or c in "=:") for w in part.lower().split()) if w]
+
+
 def _seeded_lines(text: str, spans):
     """Lines with a digit or an @: bounds and the seeds inside."""
     lo = k = 0
@@ -135,7 +163,7 @@ def _scan(batches):
             text = text or ""
             spans = base_spans(text)
             kinds = [k for k, _, _ in spans]
-            marked = [{"lo": a, "hi": b, "pattern": p, "shape": s, "kind": k} for a, b, p, s, k in _contexts(text, spans)]
+            marked = [{"lo": a, "hi": b, "pattern": p, "shape": s, "kind": k, "form": f} for a, b, p, s, k, f in _contexts(text, spans)]
             base = joined(spans)
             for col, v in zip(out, (uid, doc, *[kinds.count(k) for k in KINDS], base, marked)):
                 col.append(v)
@@ -145,20 +173,24 @@ def _scan(batches):
         )
 
 
-_MARKS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("pattern", pa.string()), ("shape", pa.string()), ("kind", pa.string())]))
-_SCANNED = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, marks array<struct<lo: long, hi: long, pattern: string, shape: string, kind: string>>"
+_MARKS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("pattern", pa.string()), ("shape", pa.string()), ("kind", pa.string()), ("form", pa.string())]))
+_SCANNED = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, marks array<struct<lo: long, hi: long, pattern: string, shape: string, kind: string, form: string>>"
 
 
 def confident_patterns(marks: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """(pattern, shape, kind, confidence): contexts whose candidates are identifying with enough confidence.
 
-    ``marks``: uid, pattern, shape, kind (of seeds; null: unknown). The graph joins each lexical pattern with the
+    ``marks``: uid, pattern, shape, kind (of seeds; null: unknown), form (of what looks like a secret, else null). The graph joins each lexical pattern with the
     instances it stands before, an instance being a shape of one kind or none. A pattern's confidence in a kind is the mean belief of its
     instances; an unknown instance's belief in a kind is one minus the product of the doubts of its patterns, damped.
     Seeds keep belief 1 in their kind. Patterns of fewer than ``support`` documents are never confident.
-    A context that only ever stands before identifying tokens of one shape, without a seed, is taken as the kind secret.
+    Secrets have no seeds; what looks like a key (``_secret_form``) is their scored instance: a context that ends in a sign of assignment and
+    whose instances are, by the share ``confident`` at least, of one such form in enough documents is taken as the kind secret.
     """
-    edges = cut(marks.groupBy("pattern", "shape", "kind").agg(F.approx_count_distinct("uid", 0.02).alias("docs"), F.count(F.lit(1)).alias("n")), "edges")
+    edges = cut(marks.groupBy("pattern", "shape", "kind").agg(F.count(F.lit(1)).alias("n")), "edges")
+    # each document counts once for a pattern, whatever the shapes
+    support_of = marks.select("pattern", "uid").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
+    support_of = cut(support_of, "support")
     names = edges.select("pattern").distinct()
     seeds = edges.where("kind is not null").groupBy("shape", "kind").agg(F.sum("n").alias("n"))
     unknown = edges.where("kind is null").groupBy("shape").agg(F.sum("n").alias("u"))
@@ -166,19 +198,20 @@ def confident_patterns(marks: DataFrame, rounds: int = ROUNDS, confident: float
     belief = cut(seeds.join(unknown, "shape").select("shape", "kind", (F.col("n") / (F.col("n") + F.col("u"))).alias("belief")), "belief")
     scored = None
     for _ in range(rounds):
-        total = edges.groupBy("pattern").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs"))
+        total = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
         known = edges.where("kind is not null").select("pattern", "kind", F.col("n").cast("double").alias("b"))
         guessed = edges.where("kind is null").select("pattern", "shape", "n").join(belief, "shape").select("pattern", "kind", (F.col("n") * F.col("belief")).alias("b"))
         scored = known.union(guessed).groupBy("pattern", "kind").agg(F.sum("b").alias("b")).join(total, "pattern")
-        scored = cut(scored.select("pattern", "kind", "docs", (F.col("b") / (F.col("all") + 1)).alias("confidence")), "patterns")
+        scored = cut(scored.select("pattern", "kind", (F.col("b") / (F.col("all") + 1)).alias("confidence")), "patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least(F.lit(0.95), F.col("confidence") * 0.9)) * F.least(F.lit(1.0), F.col("n") / 3)))
         through = edges.where("kind is null").join(scored.select("pattern", F.col("kind").alias("as"), "confidence").where("confidence >= 0.3"), "pattern")
         belief = cut(through.groupBy("shape", F.col("as").alias("kind")).agg((1 - doubt).alias("belief")), "belief")
-    strong = scored.where(F.col("docs") >= support).where(F.col("confidence") >= confident).select("pattern", "kind", "confidence")
-    # contexts with a sign of assignment that stand only before one unknown shape class, in enough documents
-    assigned = edges.where(F.col("pattern").rlike("[=:]$")).groupBy("pattern").agg(
-        F.sum(F.when(F.col("kind").isNull(), F.col("n")).otherwise(0)).alias("u"), F.sum("n").alias("all"), F.sum("docs").alias("docs"),
-    ).where(F.col("docs") >= support).where("u >= 0.8 * all").select("pattern", F.lit("secret").alias("kind"), (F.col("u") / F.col("all")).alias("confidence"))
+    strong = scored.where(F.col("confidence") >= confident).join(support_of, "pattern", "left_semi").select("pattern", "kind", "confidence")
+    # contexts with a sign of assignment that stand before secrets of one form, each document once
+    of_form = marks.where(F.col("pattern").rlike("[=:]$")).groupBy("pattern", "form").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("docs"))
+    top = F.max(F.when(F.col("form").isNotNull(), F.struct("n", "docs"))).alias("top")
+    assigned = of_form.groupBy("pattern").agg(F.sum("n").alias("all"), top).select("pattern", F.lit("secret").alias("kind"), (F.col("top.n") / F.col("all")).alias("confidence"), F.col("top.docs").alias("docs"))
+    assigned = assigned.where(F.col("docs") >= support).where(F.col("confidence") >= confident).select("pattern", "kind", "confidence")
     both = strong.union(assigned).join(names, "pattern", "left_semi")
     return both.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("as"), F.max("confidence").alias("confidence"))
 
@@ -203,12 +236,12 @@ def extract_pii(docs: DataFrame) -> DataFrame:
     marks = scanned.select("uid", F.explode("marks").alias("m")).select("uid", "m.*")
     # two-word contexts and their last words alone
     tail = marks.where(F.col("pattern").contains(" ")).withColumn("pattern", last_word("pattern"))
-    patterns = cut(confident_patterns(marks.union(tail).select("uid", "pattern", "shape", "kind")), "confident")
-    open_marks = marks.where("kind is null").select("uid", "lo", "hi", "pattern", last_word("pattern").alias("tail"))
+    patterns = cut(confident_patterns(marks.union(tail).select("uid", "pattern", "shape", "kind", "form")), "confident")
+    open_marks = marks.where("kind is null").select("uid", "lo", "hi", "form", "pattern", last_word("pattern").alias("tail"))
     p = patterns.select("pattern", F.col("as").alias("kind"))
-    hits = open_marks.join(p, "pattern").select("uid", "lo", "hi", "kind").union(
-        open_marks.where("tail <> pattern").join(p.withColumnRenamed("pattern", "tail"), "tail").select("uid", "lo", "hi", "kind")
-    )
+    hits = open_marks.join(p, "pattern").select("uid", "lo", "hi", "form", "kind").union(
+        open_marks.where("tail <> pattern").join(p.withColumnRenamed("pattern", "tail"), "tail").select("uid", "lo", "hi", "form", "kind")
+    ).where("kind <> 'secret' or form is not null")
     added = hits.groupBy("uid", "lo", "hi").agg(F.min("kind").alias("kind")).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("added"))
     base = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(
         F.element_at(F.split(s, ":"), 2).cast("long").alias("lo"), F.element_at(F.split(s, ":"), 3).cast("long").alias("hi"), F.element_at(F.split(s, ":"), 1).alias("kind"),
