@@ -135,7 +135,64 @@ def test_messages(spark):
     got = [r.net_position for r in fix.net_positions(m, "k", "seq").orderBy("seq").collect()]
     assert got == [5, 3, 10, 11, 0, 3]
     f = spark.createDataFrame([("35=8\x0132=1\x01x=9\x01junk\x0132=2=3\x01",)], "m string").select(fix.fields_of(F.col("m"))).first()[0]
-    assert f == {35: "8", 32: "2=3"} or f == {"35": "8", "32": "2=3"}
+    assert f == {"35": "8", "32": "1"}  # what stands before an equals sign is one tag, "junk", a separator and 32 here
+
+
+def test_message_numbers(spark):
+    """A number may begin with its point; a report with a field that is no number is ignored; tags are number prefixes."""
+    rows = ["35=8\x0154=2\x0132=5\x01", "35=AP\x01702=x\x01703=5\x01", "35=8\x0154=1\x0132=.5\x01", "35=AP\x01703=2\x01", "035=8\x0154=1\x0132=1e999\x01", "35=8\x0154z=1\x0132=+4.5e0q\x01", "junk\x0135=8\x0154=1\x0132=9\x01", "", None]
+    m = spark.createDataFrame([(1, k, x) for k, x in enumerate(rows)], "k int, seq int, message string")
+    got = [(r.seq, r.net_position) for r in fix.net_positions(m, "k", "seq").orderBy("seq").collect()]
+    # "junk", a separator and a tag are one field whose tag is no number
+    assert got == [(0, -5.0), (2, -4.5), (3, -2.0), (5, 2.5)]
+    both = m.select(fix.fields_of(F.col("message")).alias("f"), *[fix.tag(F.col("message"), n).alias(str(n)) for n in (35, 54, 32, 702)]).collect()
+    for r in both:
+        assert all((r.f or {}).get(t) == r[t] for t in ("35", "54", "32", "702"))
+    plan = fix.net_positions(m.select("k", "seq", fix.envelope(F.col("message")).alias("message")), "k", "seq")
+    assert len(plan._jdf.queryExecution().executedPlan().toString()) < 10_000
+
+
+def test_captured_files(spark, tmp_path):
+    from tidemark.sources.captured import CapturedBodies, CapturedMessages
+
+    content = lambda x: f'data: {{"choices":[{{"delta":{{"content":"{x}"}}}}]}}'
+    for d in ("sse", "bodies", "messages"):
+        (tmp_path / d).mkdir()
+    lines = ["1f", content("a"), "", "data: {}", content("b"), "data: [DONE]", content("late")]
+    (tmp_path / "sse" / "one").write_text("\r\n".join(lines))
+    (tmp_path / "sse" / "two").write_text(content("c"))
+    (tmp_path / "sse" / "none").write_text("")
+    assert sorted(tuple(r) for r in sse.read_responses(spark, str(tmp_path / "sse")).collect()) == [("one", 1, "a"), ("one", 4, "b"), ("two", 0, "c")]
+    rows = spark.createDataFrame([("one", k, x) for k, x in enumerate(lines)], "f string, n int, line string")
+    assert sorted(tuple(r) for r in sse.decode_sse(rows, "f", "n").collect()) == [("one", 1, "a"), ("one", 4, "b")]
+    q = sse.read_responses(spark, str(tmp_path / "sse"), stream=True).writeStream.format("memory").queryName("responses").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("responses").count() == 3
+    (tmp_path / "bodies" / "one").write_text('HTTP/1.1 200\r\n\r\n{"net_position":1,"position_limit":2,"pnl":3,"pnl_limit":-4}')
+    (tmp_path / "bodies" / "bad").write_text("junk")
+    r = CapturedBodies(str(tmp_path / "bodies")).positions(spark).collect()
+    assert [(x.feed, x.net_position, x.pnl_limit) for x in r] == [("one", 1.0, -4.0)]
+    message = "8=FIX.4.2\x0135=8\x0154={}\x0132={}\x0110=000\x01"
+    (tmp_path / "messages" / "one").write_text(message.format(1, 5) + message.format(2, ".5") + "8=FIX.4.2\x0135=8")
+    r = CapturedMessages(str(tmp_path / "messages")).positions(spark).orderBy("seq").collect()
+    assert [(x.feed, x.seq, x.net_position, x.position_limit) for x in r] == [("one", 0, 5.0, 1.0), ("one", 1, 4.5, 1.0)]
+
+
+def test_manual_reset():
+    p = replace(RiskParams(), rate_limit=1)
+    s = steps.new_risk(p)
+    step = lambda t: steps.risk_step(s, p, t, 0.4, 0, 0, 0.9, 0, 1, 0, -10)[0]
+    assert [step(T0_US + 1), step(T0_US + 2)] == [steps.PASS, steps.RATE]
+    steps.reset_risk(s, T0_US + 3)
+    assert s == [T0_US + 3, 0, T0_US + 3, 0.0] and step(T0_US + 4) == steps.PASS
+
+
+def test_load_lexicon(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("up 1 0.5 0.2 0.3\nbroken a b c d\nup 0.5 0.5 0.5 0.5\n")
+    lex = X.load_lexicon(spark, str(tmp_path / "l.txt"))
+    assert [tuple(r) for r in lex.collect()] == [("up", 0.5, 0.5, 0.5, 0.5)]
+    plan = lambda bound: X.lookup(spark.createDataFrame([("up",)], "token string"), lex, bounded=bound)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(None) and "broadcast" not in plan(False)
 
 
 def test_position_bodies(spark):

@@ -16,10 +16,9 @@ def normalise(token: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     """The bytes of a string as numbers."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    digit = lambda c: F.instr(F.lit("0123456789ABCDEF"), c) - 1
+    return F.transform(pairs, lambda x: (digit(F.substring(x, 1, 1)) * 16 + digit(F.substring(x, 2, 1))).cast("long"))
 
 
 def fnv1a64_hex(text: Column) -> Column:

@@ -68,3 +68,44 @@ def backoff(df: DataFrame, composite: str, keys: list[str], order: str, p: Press
     within = W.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     high = F.sum((F.col(composite) >= p.raise_at).cast("int")).over(within)
     return x.withColumn("multiplier", F.least(F.lit(p.most), F.pow(F.lit(p.factor), F.least(high, F.lit(10))))).drop("_seg")
+
+
+def since_reset(df: DataFrame, keys: list[str], order: str, reset: str) -> DataFrame:
+    """The rows of each key after its last control row, where the column ``reset`` is true; all rows of a key without one."""
+    after = W.partitionBy(*keys).orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing)
+    return df.withColumn("_later", F.max(F.col(reset).cast("int")).over(after)).where("_later = 0").drop("_later")
+
+
+def pressure_monitor(rows: DataFrame, key: str, order: str, tick_us: int, t0_us: int, p: PressureParams = PressureParams()) -> DataFrame:
+    """State of each key's pressure at the end of every tick in which it has rows.
+
+    ``rows``: key, order, t_us, outcome, sentiment. Duplicates count for nothing. Ingestion is the tick's tokens against the rate
+    allowed; semantic the running variance of sentiment over all tokens so far; queue the signals suppressed so far. Every token
+    updates the semantic part and every tick's end the two others, one after the other; each update steps the back-off. Ticks
+    without rows have no tokens: the two updates of each are one row of that weight, so gaps of any length cost one row.
+    """
+    upto = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = rows.where("outcome <> 'duplicate'").withColumn("tick", F.floor((F.col("t_us") - t0_us) / tick_us).cast("long"))
+    x = x.select(key, order, "tick", F.coalesce(F.var_samp("sentiment").over(upto), F.lit(0.0)).alias("variance"), (F.col("outcome") == "cooldown").cast("long").alias("suppressed"))
+    by_tick = W.partitionBy(key).orderBy("tick")
+    t = x.groupBy(key, "tick").agg(F.count(F.lit(1)).alias("tokens"), F.sum("suppressed").alias("suppressed"), F.max_by("variance", order).alias("variance"))
+    t = t.withColumn("suppressed", F.sum("suppressed").over(by_tick.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    parts = pressure(F.col("tokens").cast("double"), F.col("variance"), F.col("suppressed").cast("double"), p)
+    t = t.select("*", *parts)
+    before = lambda c: F.coalesce(F.lag(c).over(by_tick), F.lit(0.0))
+    idle = F.coalesce(F.col("tick") - F.lag("tick").over(by_tick) - 1, F.lit(0))
+    t = t.select("*", before("semantic").alias("_semantic"), before("queue").alias("_queue"), idle.alias("_idle"), F.when(idle == 0, before("ingestion")).otherwise(F.lit(0.0)).alias("_ingestion"))
+    ends = t.select(key, "tick", F.lit(None).cast(rows.schema[order].dataType).alias(order), F.explode(F.array(
+        F.struct(F.lit(0).alias("step"), F.greatest("_semantic", "_queue").alias("composite"), (2 * F.col("_idle")).alias("weight")),
+        F.struct(F.lit(2).alias("step"), F.greatest("ingestion", "semantic", "_queue").alias("composite"), F.lit(1).cast("long").alias("weight")),
+        F.struct(F.lit(3).alias("step"), F.col("composite").alias("composite"), F.lit(1).cast("long").alias("weight")),
+    )).alias("u")).select(key, "tick", order, "u.*").where("weight > 0")
+    tokens = x.join(t.select(key, "tick", "_ingestion", "_queue"), [key, "tick"]).select(
+        key, "tick", order, F.lit(1).alias("step"), F.greatest(clamp01(F.col("variance") / p.variance_saturation), "_ingestion", "_queue").alias("composite"), F.lit(1).cast("long").alias("weight"),
+    )
+    along = W.partitionBy(key).orderBy("tick", "step", order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    u = ends.unionByName(tokens).withColumn("_seg", F.sum((F.col("composite") < p.reset_below).cast("int")).over(along))
+    inside = W.partitionBy(key, "_seg").orderBy("tick", "step", order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    high = F.sum(F.when(F.col("composite") >= p.raise_at, F.col("weight")).otherwise(F.lit(0))).over(inside)
+    u = u.withColumn("multiplier", F.least(F.lit(p.most), F.pow(F.lit(p.factor), F.least(high, F.lit(10))))).where("step = 3")
+    return t.select(key, "tick", "tokens", "suppressed", "ingestion", "semantic", "queue", "composite").join(u.select(key, "tick", "multiplier"), [key, "tick"])

@@ -90,11 +90,14 @@ def with_mappings(lexicon: DataFrame, rows: list[tuple]) -> DataFrame:
     return lexicon.join(new, "token", "left_anti").unionByName(new)
 
 
-def lookup(tokens: DataFrame, lexicon: DataFrame, token: str = "token", bounded: bool = True) -> DataFrame:
+def lookup(tokens: DataFrame, lexicon: DataFrame, token: str = "token", bounded: bool | None = None) -> DataFrame:
     """Each row of ``tokens`` with its weight and ``hit``; a miss has the default weight.
 
-    ``bounded``: the lexicon is known to have at most BROADCAST_ROWS rows and is broadcast; else Spark picks the join.
+    A lexicon of at most BROADCAST_ROWS rows is broadcast; beyond, Spark picks the join. ``bounded`` tells which where it is
+    known, as for a fixed list; else the rows are counted up to the bound.
     """
+    if bounded is None:
+        bounded = not lexicon.isStreaming and lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     lex = lexicon.select(F.col("token").alias("_key"), *[F.col(c).alias(f"_{c}") for c in WEIGHT])
     x = tokens.join(F.broadcast(lex) if bounded else lex, normalise(F.col(token)) == F.col("_key"), "left")
     return x.select(*[F.col(f"`{c}`") for c in tokens.columns], *[F.coalesce(f"_{c}", F.lit(d)).alias(c) for c, d in zip(WEIGHT, MISS)], F.col("_key").isNotNull().alias("hit"))
@@ -108,10 +111,13 @@ def contribution(bias_sensitivity: float = 1.0, volatility_sensitivity: float =
     ]
 
 
-def sequence_weight(weights: DataFrame, key: str, digits: int = 6) -> DataFrame:
-    """Mean weight of each key's tokens: sentiment, volatility and bias weighted by confidence, and the mean confidence."""
-    total = F.sum("confidence")
-    mean = lambda c: F.when(total > 0, F.sum(F.col(c) * F.col("confidence")) / F.nullif(total, F.lit(0.0))).otherwise(F.lit(0.0))
+def sequence_weight(weights: DataFrame, key: str, digits: int = 6, count: str | None = None) -> DataFrame:
+    """Mean weight of each key's tokens, rows that stand for ``count`` tokens each: sentiment, volatility and bias weighted by confidence, and the mean confidence."""
+    n = F.col(count) if count else F.lit(1)
+    # sums of decimals do not depend on the order in which partitions come
+    exact = lambda x: F.sum(x.cast("decimal(24,12)")).cast("double")
+    total = exact(F.col("confidence") * n)
+    mean = lambda c: F.when(total > 0, exact(F.col(c) * F.col("confidence") * n) / F.nullif(total, F.lit(0.0))).otherwise(F.lit(0.0))
     parts = [F.round(mean(c), digits).alias(c) for c in ("sentiment", "volatility", "bias")]
-    confidence = F.round(F.when(total > 0, total / F.count(F.lit(1))).otherwise(F.lit(0.0)), digits)
-    return weights.groupBy(key).agg(*parts, confidence.alias("confidence"), F.count(F.lit(1)).alias("n"))
+    confidence = F.round(F.when(total > 0, total / F.sum(n)).otherwise(F.lit(0.0)), digits)
+    return weights.groupBy(key).agg(*parts, confidence.alias("confidence"), F.sum(n).alias("n"))

@@ -23,13 +23,17 @@ def signals(df: DataFrame, keys: list[str], order: list[str], p: SignalParams) -
     return fold(df, keys, order, ["t_us", "bias_in", "volatility_in", "confidence"], lambda: steps.new_signal(p), step, _SIGNAL)
 
 
-def gated_signals(df: DataFrame, keys: list[str], order: list[str], p: SignalParams, r: RiskParams) -> DataFrame:
+def gated_signals(df: DataFrame, keys: list[str], order: list[str], p: SignalParams, r: RiskParams, reset: str | None = None) -> DataFrame:
     """``signals`` fused with the gate cascade in one pass: outcome, oms_events and cum_bias of each row.
 
-    ``df`` also has the position as of each row. A row that does not emit has the outcome cooldown.
+    ``df`` also has the position as of each row. A row that does not emit has the outcome cooldown. Rows where the column
+    ``reset`` is true are control rows: they start the gates' windows anew, leave the accumulators alone and have the outcome reset.
     """
 
-    def step(state, t, bias, volatility, confidence, net, limit, pnl, pnl_limit):
+    def step(state, t, bias, volatility, confidence, net, limit, pnl, pnl_limit, control=False):
+        if control:
+            steps.reset_risk(state[1], t)
+            return False, None, None, None, None, None, state[0][3], steps.RESET, [], state[1][3]
         emits, b, v = steps.signal_step(state[0], p, t, bias, volatility)
         toggle, weight, spread = steps.attributes(b, confidence)
         outcome, events = steps.COOLDOWN, []
@@ -37,7 +41,7 @@ def gated_signals(df: DataFrame, keys: list[str], order: list[str], p: SignalPar
             outcome, events = steps.risk_step(state[1], r, t, b, v, spread, confidence, net, limit, pnl, pnl_limit)
         return emits, b, v, toggle, weight, spread, state[0][3], outcome, events, state[1][3]
 
-    inputs = ["t_us", "bias_in", "volatility_in", "confidence", *FIELDS]
+    inputs = ["t_us", "bias_in", "volatility_in", "confidence", *FIELDS, *([reset] if reset else [])]
     return fold(df, keys, order, inputs, lambda: [steps.new_signal(p), steps.new_risk(r)], step, f"{_SIGNAL}, outcome string, oms_events array<string>, cum_bias double")
 
 
@@ -63,29 +67,50 @@ def position_gate(bias: Column, r: RiskParams) -> list[Column]:
     return [(~breached & ~loss).alias("position_ok"), events.alias("position_events")]
 
 
-def rate_gate(df: DataFrame, keys: list[str], order: list[str], r: RiskParams) -> DataFrame:
-    """``df`` (t_us) with rate_ok: whether the window that the first check after its end opens still has room."""
+def rate_gate(df: DataFrame, keys: list[str], order: list[str], r: RiskParams, reset: str | None = None) -> DataFrame:
+    """``df`` (t_us) with rate_ok: whether the window that the first check after its end opens still has room.
 
-    def step(state, t):
+    Rows where the column ``reset`` is true are control rows: they start all windows anew and have no rate_ok.
+    """
+
+    def step(state, t, control=False):
+        if control:
+            steps.reset_risk(state, t)
+            return (None,)
         ok = steps.rate_open(state, r, t)
         state[1] += ok
         return (ok,)
 
-    return fold(df, keys, order, ["t_us"], lambda: steps.new_risk(r), step, "rate_ok boolean")
+    return fold(df, keys, order, ["t_us", *([reset] if reset else [])], lambda: steps.new_risk(r), step, "rate_ok boolean")
 
 
-def drawdown_gate(df: DataFrame, keys: list[str], order: list[str], bias: str, r: RiskParams) -> DataFrame:
-    """``df`` (t_us) with drawdown_ok and cum_bias; only rows that pass add to the cumulative bias."""
+def drawdown_gate(df: DataFrame, keys: list[str], order: list[str], bias: str, r: RiskParams, reset: str | None = None) -> DataFrame:
+    """``df`` (t_us) with drawdown_ok and cum_bias; only rows that pass add to the cumulative bias.
 
-    def step(state, t, b):
+    Rows where the column ``reset`` is true are control rows: they start all windows anew and have no drawdown_ok.
+    """
+
+    def step(state, t, b, control=False):
+        if control:
+            steps.reset_risk(state, t)
+            return None, state[3]
         ok = steps.drawdown_open(state, r, t, b)
         if ok:
             state[3] += b
         return ok, state[3]
 
-    return fold(df, keys, order, ["t_us", bias], lambda: steps.new_risk(r), step, "drawdown_ok boolean, cum_bias double")
+    return fold(df, keys, order, ["t_us", bias, *([reset] if reset else [])], lambda: steps.new_risk(r), step, "drawdown_ok boolean, cum_bias double")
+
 
+def gate_labels(outcomes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The blocked rows of ``outcomes`` with ``label``, the console's: the last position event since the last block, its own
+    included, ``risk`` where there was none; 16 characters at most."""
+    from pyspark.sql import Window as W
 
-def gate_label(outcome: Column, blocked: Column) -> Column:
-    """The console label of a blocked signal: its reason, 16 characters at most."""
-    return F.when(blocked, F.substring(F.coalesce(outcome, F.lit("risk")), 1, 16))
+    w = W.partitionBy(*keys).orderBy(*order)
+    blocked = F.col("outcome").isin(*steps.REASONS)
+    event = F.try_element_at("oms_events", F.lit(-1))
+    x = outcomes.withColumn("_block", F.coalesce(F.sum(blocked.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    since = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumn("label", F.substring(F.coalesce(F.last(event, ignorenulls=True).over(since), F.lit("risk")), 1, 16))
+    return x.where(blocked).drop("_block")

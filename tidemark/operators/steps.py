@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..params import RiskParams, SignalParams
 
-PASS, COOLDOWN, DUPLICATE = "pass", "cooldown", "duplicate"
+PASS, COOLDOWN, DUPLICATE, RESET = "pass", "cooldown", "duplicate", "reset"
 MAGNITUDE, CONFIDENCE, RATE = "magnitude_exceeded", "confidence_below_minimum", "rate_limit_exceeded"
 DRAWDOWN, POSITION = "drawdown_limit_exceeded", "position_limit"
 REASONS = (MAGNITUDE, CONFIDENCE, RATE, DRAWDOWN, POSITION)
@@ -51,6 +51,11 @@ def new_risk(p: RiskParams) -> list:
     return [p.t0_us, 0, p.t0_us, 0.0]
 
 
+def reset_risk(state: list, t_us: int) -> None:
+    """Both windows start anew at ``t_us``."""
+    state[:] = [t_us, 0, t_us, 0.0]
+
+
 def rate_open(state: list, p: RiskParams, t_us: int) -> bool:
     if (t_us - state[0]) // 1_000_000 >= p.rate_window_s:
         state[0], state[1] = t_us, 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,7 +21,7 @@ from ..sources.positions import FIELDS, mock_positions, parse_position, position
 from ..sources.tokens import replay
 from . import sql as Q
 from . import streams as V
-from .pipeline import outcome_counts, run_pipeline
+from .pipeline import event_summary, outcome_counts, run_pipeline
 from .pipeline import session_summary as summary_of
 
 QUERIES: dict[str, Callable] = {}
@@ -28,7 +29,7 @@ ORACLES: dict[str, str] = {}
 #: The demonstration's token list.
 DEMO = ["crash", "panic", "inevitable", "guarantee", "bullish", "collapse", "volatile", "surge", "confident", "uncertain", "rally", "plunge", "breakout", "support", "resistance", "momentum"]
 #: The demonstration's positions.
-DEMO_POSITIONS = [(0.10, 1.0, 0.0, -10.0), (0.25, 1.0, -0.5, -10.0), (-0.10, 1.0, 0.3, -10.0)]
+DEMO_POSITIONS = [(0.1, 1.0, 0.5, -10.0), (0.25, 1.0, 0.3, -10.0), (-0.1, 1.0, -0.2, -10.0)]
 DEMO_SQL = ", ".join(f"'{t}'" for t in DEMO)
 
 
@@ -69,17 +70,20 @@ def src_tokenize_conversations(spark, sf):
 
 
 def _sse_lines(spark, sf):
-    """Conversation tokens as response lines: a size line before each, a blank line after, the end after the 200th."""
+    """Conversation tokens as response lines: a size line before each and a blank one after, an empty token beside each
+    fiftieth; the end comes after the last token, and after it lines that don't count."""
     t = V.conversation_tokens(spark, sf)
-    payload = F.when(F.col("seq") % 50 == 49, F.lit('{"choices":[{"delta":{"content":""}}]}')).otherwise(
-        F.concat(F.lit('{"choices":[{"delta":{"content":'), F.to_json(F.array("token")).substr(F.lit(2), F.length(F.to_json(F.array("token"))) - 2), F.lit("}}]}"))
-    )
-    line = F.concat(F.lit("data: "), F.when(F.col("seq") == 200, F.lit("[DONE]")).otherwise(payload))
-    lines = F.array(F.lower(F.hex(F.length(line))), line, F.lit(""))
-    return t.select("conv_id", "seq", F.posexplode(lines).alias("k", "line")).select("conv_id", (F.col("seq") * 3 + F.col("k")).alias("n"), "line")
+    json = F.to_json(F.array("token"))
+    content = F.concat(F.lit('data: {"choices":[{"delta":{"content":'), json.substr(F.lit(2), F.length(json) - 2), F.lit("}}]}"))
+    empty = F.lit('data: {"choices":[{"delta":{"content":""}}]}')
+    lines = F.array(F.lower(F.hex(F.length(content))), content, F.lit(""), F.when(F.col("seq") % 50 == 49, empty).otherwise(F.lit("")))
+    body = t.select("conv_id", "seq", F.posexplode(lines).alias("k", "line")).select("conv_id", (F.col("seq") * 4 + F.col("k")).alias("n"), "line")
+    after = F.array(F.lit("data: [DONE]"), F.lit('data: {"choices":[{"delta":{"content":"late"}}]}'), F.lit(""))
+    ends = t.groupBy("conv_id").agg(F.max("seq").alias("seq")).select("conv_id", F.col("seq"), F.posexplode(after).alias("k", "line"))
+    return body.union(ends.select("conv_id", ((F.col("seq") + 1) * 4 + F.col("k")).alias("n"), "line"))
 
 
-@query(f"WITH {CONVERSATION} SELECT conv_id, seq * 3 + 1 AS n, token FROM ct WHERE seq < 200 AND seq % 50 <> 49")
+@query(f"WITH {CONVERSATION} SELECT conv_id, seq * 4 + 1 AS n, token FROM ct")
 def sse_decode(spark, sf):
     return sse.decode_sse(_sse_lines(spark, sf), "conv_id", "n")
 
@@ -203,30 +207,27 @@ def weight_contribution(spark, sf):
 def _sequence_sql(where: str = "true") -> str:
     return f"""WITH t AS (SELECT doc_id, i - 1 AS seq, lower(w[i]) AS token FROM (SELECT doc_id, {Q.WORDS.format('text')} AS w FROM documents), unnest(range(1, len(w) + 1)) u(i)),
     lex AS (SELECT * FROM (VALUES {Q.LEXICON}) AS x{Q.NAMES}),
-    w AS (SELECT t.doc_id, {Q.MISSES} FROM t LEFT JOIN lex l ON t.token = l.token WHERE {where})
-    SELECT doc_id, round(sum(sentiment * confidence) / sum(confidence), 6) AS sentiment, round(sum(volatility * confidence) / sum(confidence), 6) AS volatility,
-      round(sum(bias * confidence) / sum(confidence), 6) AS bias, round(sum(confidence) / count(*), 6) AS confidence, count(*) AS n FROM w GROUP BY doc_id"""
+    w AS (SELECT t.doc_id, {Q.MISSES} FROM t LEFT JOIN lex l ON t.token = l.token WHERE {where}),
+    s AS (SELECT doc_id, count(*) AS n, {", ".join(f"sum(CAST({c} AS DECIMAL(24,12)))::DOUBLE AS {a}" for a, c in (("st", "sentiment * confidence"), ("vt", "volatility * confidence"), ("bt", "bias * confidence"), ("ct", "confidence")))} FROM w GROUP BY doc_id)
+    SELECT doc_id, round(st / ct, 6) AS sentiment, round(vt / ct, 6) AS volatility, round(bt / ct, 6) AS bias, round(ct / n, 6) AS confidence, n FROM s"""
 
 
 @query(_sequence_sql())
 def sequence_weight(spark, sf):
-    return X.sequence_weight(X.lookup(V.document_tokens(spark, sf), X.default_lexicon(spark)), "doc_id")
+    return X.sequence_weight(X.lookup(V.document_tokens(spark, sf), X.default_lexicon(spark), bounded=True), "doc_id")
 
 
 @query(_sequence_sql("t.seq >= 10 AND t.seq < 50"))
 def sequence_weight_range(spark, sf):
     t = V.document_tokens(spark, sf).where("seq >= 10 and seq < 50")
-    return X.sequence_weight(X.lookup(t, X.default_lexicon(spark)), "doc_id")
+    return X.sequence_weight(X.lookup(t, X.default_lexicon(spark), bounded=True), "doc_id")
 
 
 @query(_sequence_sql())
 def sequence_weight_vectorized(spark, sf):
     """Distinct tokens of a document are counted before the lookup; the same answer."""
     t = V.document_tokens(spark, sf).groupBy("doc_id", T.normalise(F.col("token")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    w = X.lookup(t, X.default_lexicon(spark))
-    c = F.sum(F.col("confidence") * F.col("n"))
-    mean = lambda k: F.round(F.sum(F.col(k) * F.col("confidence") * F.col("n")) / c, 6).alias(k)
-    return w.groupBy("doc_id").agg(mean("sentiment"), mean("volatility"), mean("bias"), F.round(c / F.sum("n"), 6).alias("confidence"), F.sum("n").alias("n"))
+    return X.sequence_weight(X.lookup(t, X.default_lexicon(spark), bounded=True), "doc_id", count="n")
 
 
 # deduplication
@@ -350,6 +351,27 @@ def drawdown_gate(spark, sf):
     return S.drawdown_gate(V.weighted_events(spark, sf), ["user_id"], ["event_id"], "bias", EVENTS_RISK).select("event_id", "drawdown_ok", "cum_bias")
 
 
+RESET_SQL = f"""WITH RECURSIVE {Q.EV}, {Q.EW}, g AS (SELECT *, token = 'signup' AS control, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM ew),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, {T0_US}::BIGINT AS ws, 0::BIGINT AS n, 0.0::DOUBLE AS cum, NULL::BIGINT AS event_id, NULL::BOOLEAN AS rate_ok, NULL::BOOLEAN AS drawdown_ok FROM g
+      UNION ALL SELECT user_id, k, ws, CASE WHEN control THEN 0 WHEN n < {EVENTS_RISK.rate_limit} THEN n + 1 ELSE n END,
+        CASE WHEN control THEN 0.0::DOUBLE WHEN abs(cum + bias) <= {EVENTS_RISK.max_drawdown}::DOUBLE THEN cum + bias ELSE cum END, event_id,
+        CASE WHEN NOT control THEN n < {EVENTS_RISK.rate_limit} END, CASE WHEN NOT control THEN abs(cum + bias) <= {EVENTS_RISK.max_drawdown}::DOUBLE END
+      FROM (SELECT g.user_id, g.k, g.event_id, g.bias, g.control,
+          CASE WHEN g.control OR (g.t_us - r.ws) // 1000000 >= 864000 THEN g.t_us ELSE r.ws END AS ws,
+          CASE WHEN (g.t_us - r.ws) // 1000000 >= 864000 THEN 0 ELSE r.n END AS n,
+          CASE WHEN (g.t_us - r.ws) // 1000000 >= 864000 THEN 0.0::DOUBLE ELSE r.cum END AS cum FROM r JOIN g ON g.user_id = r.user_id AND g.k = r.k + 1))
+    SELECT event_id, rate_ok, drawdown_ok, cum AS cum_bias FROM r WHERE k > 0"""
+
+
+@query(RESET_SQL)
+def gate_reset(spark, sf):
+    """Sign-ups are control rows that start both windows, ten days here, anew."""
+    p = replace(EVENTS_RISK, rate_window_s=864_000, drawdown_window_s=864_000)
+    x = V.weighted_events(spark, sf).withColumn("control", F.col("token") == "signup")
+    x = S.rate_gate(x, ["user_id"], ["event_id"], p, "control")
+    return S.drawdown_gate(x, ["user_id"], ["event_id"], "bias", p, "control").select("event_id", "rate_ok", "drawdown_ok", "cum_bias")
+
+
 @query(f"WITH RECURSIVE {Q.EV}, {Q.EW}, {Q.POS}, {Q.placed('ew')}, {Q.signal_cte('placed', True)}, {Q.risk_cte('sig')} SELECT event_id, outcome, cum_bias, oms_events FROM gated")
 def risk_gated_signals(spark, sf):
     x = S.gated_signals(V.positioned_events(spark, sf), ["user_id"], ["event_id"], EVENTS_BACKTEST, EVENTS_RISK)
@@ -384,23 +406,34 @@ def gate_counts(spark, sf):
     return outcome_counts(_pipeline(spark, sf))
 
 
-@query(f"WITH RECURSIVE {Q.pipeline_cte(True)} SELECT event_id, substr(outcome, 1, 16) AS label FROM outcomes WHERE outcome NOT IN ('pass', 'cooldown', 'duplicate')")
+@query(f"""WITH RECURSIVE {Q.pipeline_cte(True)},
+    b AS (SELECT *, outcome NOT IN ('pass', 'cooldown', 'duplicate') AS blocked, nullif(split_part(oms_events, ',', -1), '') AS event FROM outcomes),
+    g AS (SELECT *, coalesce(sum(blocked::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM b),
+    e AS (SELECT user_id, g, arg_max(event, event_id) FILTER (event IS NOT NULL) AS event FROM g GROUP BY user_id, g)
+    SELECT event_id, substr(coalesce(e.event, 'risk'), 1, 16) AS label FROM g JOIN e USING (user_id, g) WHERE blocked""")
 def gate_labels(spark, sf):
-    blocked = F.col("outcome").isin(*steps.REASONS)
-    return _pipeline(spark, sf, EVENTS_BACKTEST).where(blocked).select("event_id", S.gate_label(F.col("outcome"), F.lit(True)).alias("label"))
+    return S.gate_labels(_pipeline(spark, sf, EVENTS_BACKTEST), ["user_id"], ["event_id"]).select("event_id", "label")
+
 
+LAT = "lat AS (SELECT event_id, user_id, epoch_us(ts) AS t_us, floor(value * 100)::BIGINT AS latency_us FROM events)"
+STATS = LatencyParams(sample_window=1_000, target_us=5_000)
+PERCENTILES = f"{LAT}, s AS (SELECT list_sort(list(latency_us)) AS x FROM (SELECT latency_us FROM lat ORDER BY event_id DESC LIMIT 1000)), q AS (SELECT x[least(floor(len(x) * 0.95::DOUBLE)::INT + 1, len(x))] AS p95_us, x[least(floor(len(x) * 0.99::DOUBLE)::INT + 1, len(x))] AS p99_us FROM s)"
 
-@query(f"""WITH RECURSIVE {Q.pipeline_cte(False)} SELECT count(*) AS tokens, count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (outcome = 'cooldown') AS suppressed,
-    count(*) FILTER (outcome NOT IN ('duplicate', 'cooldown')) AS generated, count(*) FILTER (outcome = 'pass') AS passed, count(*) FILTER (outcome NOT IN ('duplicate', 'cooldown', 'pass')) AS blocked FROM outcomes""")
+
+@query(f"""WITH RECURSIVE {Q.pipeline_cte(False)}, {PERCENTILES}, t AS (SELECT count(*) AS tokens, count(*) FILTER (outcome = 'duplicate') AS duplicates, count(*) FILTER (outcome = 'cooldown') AS suppressed,
+    count(*) FILTER (outcome NOT IN ('duplicate', 'cooldown')) AS generated, count(*) FILTER (outcome = 'pass') AS passed, count(*) FILTER (outcome NOT IN ('duplicate', 'cooldown', 'pass')) AS blocked FROM outcomes)
+    SELECT t.*, (SELECT (sum(latency_us) // count(*))::BIGINT FROM lat) AS avg_us, (SELECT max(latency_us) FROM lat) AS max_us, p99_us FROM t, q""")
 def session_summary(spark, sf):
-    return summary_of(_pipeline(spark, sf))
+    return summary_of(_pipeline(spark, sf), V.latencies(spark, sf), "latency_us", "event_id", STATS)
 
 
-@query(f"""WITH RECURSIVE {Q.pipeline_cte(False)}
-    SELECT 'TOKEN_RECEIVED' AS event_type, event_id AS sequence_id, token, NULL::DOUBLE AS bias, NULL::DOUBLE AS volatility, NULL::BIGINT AS latency_us FROM outcomes WHERE outcome <> 'duplicate'
+EVENT_LOG = """SELECT 'TOKEN_RECEIVED' AS event_type, event_id AS sequence_id, token, NULL::DOUBLE AS bias, NULL::DOUBLE AS volatility, NULL::BIGINT AS latency_us FROM outcomes WHERE outcome <> 'duplicate'
     UNION ALL SELECT 'SIGNAL_GENERATED', event_id, NULL, signal_bias, signal_volatility, NULL FROM outcomes WHERE outcome = 'pass'
     UNION ALL SELECT 'LATENCY_MEASUREMENT', event_id, NULL, NULL, NULL, floor(value * 100)::BIGINT FROM e0
-    UNION ALL SELECT 'SYSTEM_STATS', max(event_id), NULL, NULL, NULL, max(floor(value * 100)::BIGINT) FROM e0""")
+    UNION ALL SELECT 'SYSTEM_STATS', max(event_id), NULL, NULL, NULL, max(floor(value * 100)::BIGINT) FROM e0"""
+
+
+@query(f"WITH RECURSIVE {Q.pipeline_cte(False)} {EVENT_LOG}")
 def event_log(spark, sf):
     """One typed log: tokens, passed signals, latencies, statistics."""
     x, lat = _pipeline(spark, sf), V.latencies(spark, sf)
@@ -415,20 +448,18 @@ def event_log(spark, sf):
     return out.select("event_type", "sequence_id", "token", "bias", "volatility", "latency_us")
 
 
-# latency, pressure, back-off
+@query(f"WITH RECURSIVE {Q.pipeline_cte(False)}, entries AS ({EVENT_LOG}) SELECT coalesce(event_type, 'ALL') AS event_type, count(*) AS entries FROM entries GROUP BY ROLLUP (event_type)")
+def event_log_summary(spark, sf):
+    return event_summary(event_log(spark, sf))
 
-LAT = "lat AS (SELECT event_id, user_id, epoch_us(ts) AS t_us, floor(value * 100)::BIGINT AS latency_us FROM events)"
-STATS = LatencyParams(sample_window=1_000, target_us=5_000)
 
+# latency, pressure, back-off
 
 @query(f"WITH {LAT} SELECT count(*) AS measurements, (sum(latency_us) // count(*))::BIGINT AS avg_us, min(latency_us) AS min_us, max(latency_us) AS max_us FROM lat")
 def latency_stats(spark, sf):
     return L.latency_stats(V.latencies(spark, sf), "latency_us")
 
 
-PERCENTILES = f"{LAT}, s AS (SELECT list_sort(list(latency_us)) AS x FROM (SELECT latency_us FROM lat ORDER BY event_id DESC LIMIT 1000)), q AS (SELECT x[least(floor(len(x) * 0.95::DOUBLE)::INT + 1, len(x))] AS p95_us, x[least(floor(len(x) * 0.99::DOUBLE)::INT + 1, len(x))] AS p99_us FROM s)"
-
-
 @query(f"WITH {PERCENTILES} SELECT * FROM q")
 def latency_percentiles(spark, sf):
     return L.latency_percentiles(V.latencies(spark, sf), "latency_us", "event_id", STATS)
@@ -451,6 +482,14 @@ def replay_latency(spark, sf):
     return V.latencies(spark, sf).groupBy("user_id").agg(F.max_by("latency_us", "event_id").alias("avg_us"), F.max("latency_us").alias("max_us"))
 
 
+@query(f"""WITH {LAT}, r AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'signup' GROUP BY user_id)
+    SELECT lat.user_id, count(*) AS measurements, (sum(latency_us) // count(*))::BIGINT AS avg_us, min(latency_us) AS min_us, max(latency_us) AS max_us FROM lat LEFT JOIN r ON lat.user_id = r.user_id WHERE r.last IS NULL OR event_id > r.last GROUP BY lat.user_id""")
+def latency_reset(spark, sf):
+    """Statistics since each user's last sign-up, the control row."""
+    e = V.events(spark, sf).select("event_id", "user_id", F.floor(F.col("value") * 100).cast("long").alias("latency_us"), (F.col("token") == "signup").alias("control"))
+    return L.latency_stats(L.since_reset(e, ["user_id"], "event_id", "control"), "latency_us", ["user_id"])
+
+
 @query(f"WITH {Q.EV}, {Q.EW} SELECT event_id, round(coalesce(var_samp(sentiment) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0), 9) AS variance FROM ew")
 def sentiment_variance(spark, sf):
     return V.weighted_events(spark, sf).select("event_id", F.round(L.running_variance(F.col("sentiment"), ["user_id"], "event_id"), 9).alias("variance"))
@@ -486,15 +525,26 @@ def backoff_level(spark, sf):
     return L.backoff(x, "composite", ["user_id"], "event_id").select("event_id", "multiplier")
 
 
-@query(f"""WITH {Q.EV}, {Q.EW}, t AS (SELECT t_us // 86400000000 AS day, count(*) AS n, coalesce(var_samp(sentiment), 0) AS variance, count(*) FILTER (NOT hit) AS misses FROM ew GROUP BY 1),
-    p AS (SELECT day, greatest(0.0, least(1.0, n / 400)) AS ingestion, greatest(0.0, least(1.0, variance / 0.25::DOUBLE)) AS semantic, greatest(0.0, least(1.0, misses / 1024)) AS queue FROM t)
-    SELECT day, round(ingestion, 6) AS ingestion, round(semantic, 6) AS semantic, round(queue, 6) AS queue, round(greatest(ingestion, semantic, queue), 6) AS composite FROM p""")
+MONITOR = PressureParams(max_tps=4.0, queue_capacity=24)
+
+
+@query(f"""WITH RECURSIVE {Q.pipeline_cte(False)}, x AS (SELECT o.user_id, o.event_id, (e.t_us - {T0_US}) // 86400000000 AS tick, o.outcome = 'cooldown' AS held,
+      coalesce(var_samp(e.sentiment) OVER (PARTITION BY o.user_id ORDER BY o.event_id ROWS UNBOUNDED PRECEDING), 0) AS variance FROM outcomes o JOIN ew e USING (event_id) WHERE o.outcome <> 'duplicate'),
+    k AS (SELECT user_id, tick, count(*) AS tokens, sum(held::INT) AS held, arg_max(variance, event_id) AS variance FROM x GROUP BY user_id, tick),
+    p AS (SELECT *, sum(held) OVER (PARTITION BY user_id ORDER BY tick ROWS UNBOUNDED PRECEDING)::BIGINT AS suppressed FROM k),
+    q AS (SELECT *, least(1.0, tokens / 4.0::DOUBLE) AS i, least(1.0, variance / 0.25::DOUBLE) AS s, least(1.0, suppressed / 24.0::DOUBLE) AS d FROM p),
+    z AS (SELECT *, coalesce(tick - lag(tick) OVER w - 1, 0) AS idle, coalesce(lag(i) OVER w, 0) AS i0, coalesce(lag(s) OVER w, 0) AS s0, coalesce(lag(d) OVER w, 0) AS d0 FROM q WINDOW w AS (PARTITION BY user_id ORDER BY tick)),
+    u AS (SELECT user_id, tick, 0 AS step, 0 AS event_id, greatest(s0, d0) AS c, 2 * idle AS n FROM z WHERE idle > 0
+      UNION ALL SELECT x.user_id, x.tick, 1, x.event_id, greatest(least(1.0, x.variance / 0.25::DOUBLE), CASE WHEN z.idle = 0 THEN z.i0 ELSE 0 END, z.d0), 1 FROM x JOIN z USING (user_id, tick)
+      UNION ALL SELECT user_id, tick, 2, 0, greatest(i, s, d0), 1 FROM z UNION ALL SELECT user_id, tick, 3, 0, greatest(i, s, d), 1 FROM z),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tick, step, event_id) AS j FROM u),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS j, 0::BIGINT AS tick, 0 AS step, 1.0::DOUBLE AS m FROM o
+      UNION ALL SELECT o.user_id, o.j, o.tick, o.step, CASE WHEN o.c >= 0.8::DOUBLE THEN least(r.m * pow(1.5::DOUBLE, least(o.n, 10)), 5.0::DOUBLE) WHEN o.c < 0.5::DOUBLE THEN 1.0::DOUBLE ELSE r.m END FROM r JOIN o ON o.user_id = r.user_id AND o.j = r.j + 1)
+    SELECT z.user_id, z.tick, z.tokens, z.suppressed, round(i, 6) AS ingestion, round(s, 6) AS semantic, round(d, 6) AS queue, round(greatest(i, s, d), 6) AS composite, round(m, 6) AS multiplier FROM z JOIN r ON r.user_id = z.user_id AND r.tick = z.tick AND r.step = 3""")
 def pressure_timeline(spark, sf):
-    """Pressure by day, the table's scale of a tick."""
-    w = V.weighted_events(spark, sf).withColumn("day", F.floor(F.col("t_us") / 86_400_000_000).cast("long"))
-    t = w.groupBy("day").agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.var_samp("sentiment"), F.lit(0.0)).alias("variance"), F.count_if(~F.col("hit")).cast("double").alias("misses"))
-    p = t.select("day", *L.pressure(F.col("n"), F.col("variance"), F.col("misses"), PressureParams(max_tps=400.0)))
-    return p.select("day", *[F.round(c, 6).alias(c) for c in ("ingestion", "semantic", "queue", "composite")])
+    """The monitor of each user's stream; a tick is a day, the table's scale."""
+    x = L.pressure_monitor(_pipeline(spark, sf), "user_id", "event_id", 86_400_000_000, T0_US, MONITOR)
+    return x.select("user_id", "tick", "tokens", "suppressed", *[F.round(c, 6).alias(c) for c in ("ingestion", "semantic", "queue", "composite", "multiplier")])
 
 
 QUERIES["position_asof"] = QUERIES.pop("position_asof_join")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import steps
 from ..operators.dedup import dedup
+from ..operators.latency import latency_percentiles, latency_stats
 from ..operators.lexicon import contribution, lookup
 from ..operators.signals import gated_signals
-from ..params import DedupParams, RiskParams, SignalParams
+from ..params import DedupParams, LatencyParams, RiskParams, SignalParams
 from ..sources.positions import position_asof
 
 
@@ -23,8 +24,8 @@ def run_pipeline(tokens: DataFrame, lexicon: DataFrame, positions: DataFrame, ke
     placed = position_asof(seen, positions, key, order)
     novel = lookup(placed.where("is_novel"), lexicon).select("*", *contribution(signal.bias_sensitivity, signal.volatility_sensitivity))
     gated = gated_signals(novel, [key], [order], signal, risk)
-    kept = [key, order, "token", "outcome", "signal_bias", "signal_volatility", "confidence", "strategy_toggle", "strategy_weight", "spread_modifier", "oms_events", "cum_bias"]
-    rest = seen.where("not is_novel").select(key, order, "token", F.lit(steps.DUPLICATE).alias("outcome"))
+    kept = [key, order, "token", "t_us", "sentiment", "outcome", "signal_bias", "signal_volatility", "confidence", "strategy_toggle", "strategy_weight", "spread_modifier", "oms_events", "cum_bias"]
+    rest = seen.where("not is_novel").select(key, order, "token", "t_us", F.lit(steps.DUPLICATE).alias("outcome"))
     return gated.select(*kept).unionByName(rest, allowMissingColumns=True)
 
 
@@ -32,12 +33,20 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def session_summary(outcomes: DataFrame) -> DataFrame:
-    """One row of totals."""
+def event_summary(log: DataFrame) -> DataFrame:
+    """Entries of a log by type, and of all types under ALL."""
+    return log.rollup("event_type").agg(F.count(F.lit(1)).alias("entries")).select(F.coalesce("event_type", F.lit("ALL")).alias("event_type"), "entries")
+
+
+def session_summary(outcomes: DataFrame, latencies: DataFrame, latency: str, order: str, p: LatencyParams) -> DataFrame:
+    """One row of totals, with the mean, p99 and greatest latency."""
     count = lambda c: F.count_if(c)
     o = F.col("outcome")
     blocked = o.isin(*steps.REASONS)
-    return outcomes.agg(
+    totals = outcomes.agg(
         F.count(F.lit(1)).alias("tokens"), count(o == steps.DUPLICATE).alias("duplicates"), count(o == steps.COOLDOWN).alias("suppressed"),
         count((o == steps.PASS) | blocked).alias("generated"), count(o == steps.PASS).alias("passed"), count(blocked).alias("blocked"),
     )
+    # one row each
+    stats = latency_stats(latencies, latency).select("avg_us", "max_us")
+    return totals.join(stats).join(latency_percentiles(latencies, latency, order, p).select("p99_us"))

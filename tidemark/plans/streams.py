@@ -28,7 +28,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup(events(spark, sf_dir), event_lexicon(spark)).select("*", *contribution())
+    return lookup(events(spark, sf_dir), event_lexicon(spark), bounded=True).select("*", *contribution())
 
 
 def event_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

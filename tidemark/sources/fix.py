@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fix_checksum, utc_stamp
@@ -15,21 +15,32 @@ def frame(buffer: Column) -> Column:
     return F.regexp_extract_all(buffer, F.lit("(?s)(.*?\\x0110=[^\\x01]*\\x01)"), F.lit(1))
 
 
+#: One field: up to the next =, and its value up to the separator.
+_FIELD = r"(?s)[^=]*=[^\x01]*\x01?"
+
+
 def fields_of(message: Column) -> Column:
-    """Tag to value; the last of equal tags wins, tags that aren't numbers and pieces without = are left out."""
-    parts = F.filter(F.split(message, SOH), lambda p: p.contains("="))
-    pairs = F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("v")))
-    numbered = F.filter(pairs, lambda p: p["k"].rlike("^[0-9]+$"))
-    # of equal keys only the last stays
-    kept = F.filter(F.transform(numbered, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(
-        F.slice(numbered, p["i"] + 2, F.size(numbered)), lambda q: q["k"] == p["k"]
+    """Tag to value; the last of equal tags wins, a tag is the whole number that stands first, fields without one are left out.
+
+    One pass over the message: its fields, then one fold over them.
+    """
+    parts = F.transform(F.regexp_extract_all(message, F.lit(_FIELD), F.lit(0)), lambda p: F.struct(
+        F.regexp_extract(p, r"^\s*([+-]?[0-9]+)", 1).try_cast("int").cast("string").alias("k"), F.regexp_extract(p, r"(?s)^[^=]*=([^\x01]*)", 1).alias("v")
     ))
-    return F.map_from_arrays(F.transform(kept, lambda p: p["k"]), F.transform(kept, lambda p: p["v"]))
+    none = F.create_map().cast("map<string,string>")
+    return F.aggregate(parts, none, lambda seen, p: F.when(p["k"].isNull(), seen).otherwise(F.map_concat(F.map_filter(seen, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"]))))
+
+
+def tag(message: Column, number: int) -> Column:
+    """The value of one tag as ``fields_of`` gives it, by one pattern; null where the message has none."""
+    pattern = rf"^(?:[^=]*+=[^\x01]*+\x01)*\s*\+?0*{number}(?![0-9])[^=]*+(=[^\x01]*)"
+    return F.substring(F.nullif(F.regexp_extract(message, pattern, 1), F.lit("")), 2, 1 << 30)
 
 
 def number(value: Column) -> Column:
-    """The number that a string begins with; null without one."""
-    return F.nullif(F.regexp_extract(value, r"^\s*([+-]?[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    """The finite decimal number that a string begins with; null without one."""
+    x = F.nullif(F.regexp_extract(value, r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def envelope(body: Column) -> Column:
@@ -38,6 +49,13 @@ def envelope(body: Column) -> Column:
     return F.concat(head, F.lit("10="), fix_checksum(head), F.lit(SOH))
 
 
+def read_messages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(feed, seq, message) of captured feeds, a file each; also as a stream over files that appear. Trailing fragments are left out."""
+    from .captured import files
+
+    return files(spark, path, stream).select("feed", F.posexplode(frame(F.col("body"))).alias("seq", "message"))
+
+
 def logon(sender: Column, target: Column, ts: Column, seq: Column, heartbeat: int = 30) -> Column:
     return envelope(F.concat(F.lit("35=A"), *_header(sender, target, ts, seq), F.lit(f"98=0{SOH}108={heartbeat}{SOH}")))
 
@@ -60,14 +78,19 @@ def net_positions(messages: DataFrame, key: str, order: str, message: str = "mes
     """
     from pyspark.sql import Window as W
 
-    f = fields_of(F.col(message))
-    x = messages.select(key, order, f.alias("f"))
-    kind = F.col("f")["35"]
-    fill = number(F.col("f")["32"]) * F.when(F.col("f")["54"] == "1", 1).otherwise(-1)
-    long, short = number(F.col("f")["702"]), number(F.col("f")["703"])
-    report = F.when(long.isNotNull() | short.isNotNull(), F.coalesce(long, F.lit(0.0)) - F.coalesce(short, F.lit(0.0)))
-    x = x.select(key, order, F.when(kind == "AP", report).when((kind == "8") & F.col("f")["54"].isNotNull(), fill).alias("delta"), (kind == "AP").cast("int").alias("report")).where("delta is not null")
+    # each tag by one pattern: no expression of the message is written twice
+    tags = {n: f"_t{n}" for n in (35, 54, 32, 702, 703)}
+    x = messages.select(F.col(key), F.col(order), *[tag(F.col(message), n).alias(c) for n, c in tags.items()])
+    fill = number(F.col("_t32")) * F.when(F.col("_t54") == "1", 1).otherwise(-1)
+    # a report with a field that is no number is ignored; one field alone will do
+    part = lambda c: F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(number(F.col(c)))
+    report = F.when(F.coalesce("_t702", "_t703").isNotNull(), part("_t702") - part("_t703"))
+    kind = F.col("_t35")
+    delta = F.when(kind == "AP", report).when((kind == "8") & F.col("_t54").isNotNull(), fill)
+    x = x.select(key, order, delta.alias("delta"), (kind == "AP").cast("int").alias("report"))
+    # messages that move nothing leave after the windows: a filter before them would be pushed down and write the message's expressions anew
+    x = x.withColumn("report", F.when(F.col("delta").isNotNull(), F.col("report")))
     upto = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = x.withColumn("segment", F.sum("report").over(upto))
+    x = x.withColumn("segment", F.coalesce(F.sum("report").over(upto), F.lit(0)))
     within = W.partitionBy(key, "segment").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return x.select(key, order, F.sum("delta").over(within).alias("net_position"))
+    return x.withColumn("net_position", F.sum("delta").over(within)).where("delta is not null").select(key, order, "net_position")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .captured import files
+
 
 def decode_sse(lines: DataFrame, key: str, order: str, line: str = "line") -> DataFrame:
     """(key, order, token) of captured response lines.
@@ -14,7 +16,7 @@ def decode_sse(lines: DataFrame, key: str, order: str, line: str = "line") -> Da
     JSON, empty content is dropped.
     """
     text = F.col(line)
-    data = lines.where(text.startswith("data: ") & ~text.rlike("^[0-9A-Fa-f;]+$"))
+    data = lines.where(text.startswith("data: "))
     payload = F.trim(F.substring(text, F.lit(7), F.length(text)))
     done = F.max((payload == "[DONE]").cast("int")).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
     token = F.get_json_object("payload", "$.choices[0].delta.content")
@@ -24,6 +26,17 @@ def decode_sse(lines: DataFrame, key: str, order: str, line: str = "line") -> Da
     )
 
 
-def read_sse_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """A stream over folders of captured response lines; decode each micro-batch with ``decode_sse``."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path).withColumnRenamed("value", "line")
+def response_tokens(body: Column) -> Column:
+    """Array of (n, token) of one whole response: the same rows as ``decode_sse``, without a window, so streams can use it."""
+    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x, i: F.struct(i.alias("n"), x.alias("line"))), lambda x: x["line"].startswith("data: "))
+    parts = F.transform(lines, lambda x: F.struct(x["n"].alias("n"), F.trim(F.substring(x["line"], 7, 1 << 30)).alias("payload")))
+    end = F.array_position(F.transform(parts, lambda x: x["payload"]), "[DONE]")
+    before = F.slice(parts, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(parts)).cast("int"))
+    tokens = F.transform(before, lambda x: F.struct(x["n"].alias("n"), F.get_json_object(x["payload"], "$.choices[0].delta.content").alias("token")))
+    return F.filter(tokens, lambda x: x["token"] != "")
+
+
+def read_responses(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(feed, n, token) of captured responses, a file each; as a stream, files that appear go straight into the dataflow."""
+    x = files(spark, path, stream).select("feed", F.explode(response_tokens(F.col("body"))).alias("t"))
+    return x.select("feed", "t.n", "t.token")
