@@ -201,6 +201,31 @@ def test_toxicity_voters_from_all_labels(spark):
     assert by[1000] > by[1001]
 
 
+@pytest.mark.parametrize("anchored", [0.0, 0.3])
+def test_label_model(anchored):
+    """Planted accuracies are found with few labels and without any, and a voter that repeats another counts half."""
+    from tidemark.llm.toxicity import VOTERS, LabelModel
+
+    rng = np.random.default_rng(3)
+    n = 40_000
+    y = rng.random(n) < 0.15
+    rates = [(0.02, 0.7), (0.05, 0.5), (0.01, 0.6), (0.02, 0.8), (0.03, 0.6)]
+    votes = np.stack([rng.random(n) < np.where(y, b, a) for a, b in rates])
+    votes = np.concatenate([votes, votes[4:5]])  # the sixth repeats the fifth
+    bits = (votes * (1 << np.arange(6))[:, None]).sum(0)
+    patterns, at = np.unique(bits, return_inverse=True)
+    known = np.zeros((len(patterns), 2))
+    labelled = rng.random(n) < anchored
+    np.add.at(known, (at[labelled], y[labelled].astype(int)), 1)
+    m = LabelModel(patterns, np.bincount(at), known)
+    assert abs(m.base - 0.15) < 0.03
+    for k, (a, b) in enumerate(rates):
+        assert abs(m.fires[0, k] - a) < 0.03 and abs(m.fires[1, k] - b) < 0.06, VOTERS[k]
+    assert m.correlations[4, 5] > 0.9 and abs(m.weights[4] - 0.5) < 0.1 and m.weights[0] > 0.8
+    p = m.posterior(patterns)[at]
+    assert ((p > 0.5) == y).mean() > 0.95
+
+
 def brute_lines(texts, least=50):
     """Lines in a window of the fewest lines with enough words that occurs earlier, extended against that first place."""
     lines = {i: [x.strip() for x in t.split("\n")] for i, t in texts.items()}

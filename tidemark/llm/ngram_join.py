@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import corpus_size, cut, power_of_two
+from .common import corpus_size, cut, lean, power_of_two
 from .components import connected_components
 from .hashing import mix, pieces, shingle_sets
 
@@ -87,7 +87,7 @@ def _census(bits: int, width: int):
         for _, sets in _sets(batches, width):
             held += sets
             size += sum(map(len, sets))
-            if size > 1_000_000:
+            if size > 500_000:
                 yield flush()
                 held, size = [], 0
         if size:
@@ -112,7 +112,7 @@ def _frequent(docs: DataFrame, bits: int, width: int) -> tuple[np.ndarray, np.nd
     and what is rarer than that bound is ordered by hash.
     """
     counted = cut(
-        docs.select("text").mapInArrow(_census(bits, width), "bucket int, packed binary").groupBy("bucket").applyInArrow(_counted, "key long, df long"), "frequent",
+        docs.select("text").mapInArrow(lean(_census(bits, width)), "bucket int, packed binary").groupBy("bucket").applyInArrow(_counted, "key long, df long"), "frequent",
     )
     steps = counted.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
     by_step = {int(r[0]): int(r[1]) for r in steps}
@@ -340,7 +340,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     _, size = corpus_size(docs)
     bits = power_of_two(size / 6 / 1_000_000, 64, 1 << 16).bit_length() - 1
     keys, dfs = map(spark.sparkContext.broadcast, _frequent(docs, bits, width))
-    rows = cut(docs.mapInArrow(_prefixes(bits, width, percent, keys, dfs), "doc_id long, n long, set_id long, prefix_id long, prefix binary"), "prefixes")
+    rows = cut(docs.mapInArrow(lean(_prefixes(bits, width, percent, keys, dfs)), "doc_id long, n long, set_id long, prefix_id long, prefix binary"), "prefixes")
     some = rows.where("n > 0")
     groups = cut(some.groupBy("n", "prefix_id").agg(F.min("set_id").alias("lead"), F.first("prefix").alias("prefix")), "groups")
     classes = some.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix_id").alias("prefix_id"))
@@ -348,12 +348,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     g = groups.select("lead", "n", "prefix")
     rare = (
-        g.mapInArrow(_postings(keys), "bucket int, low binary, ids binary, ns binary, ats binary")
+        g.mapInArrow(lean(_postings(keys)), "bucket int, low binary, ids binary, ns binary, ats binary")
         .groupBy("bucket").applyInArrow(_lists(percent), "kind int, a long, b long, c long")
         .groupBy("kind", "a", "b").agg(F.when(F.col("kind") == 1, F.min("c")).otherwise(F.sum("c")).alias("c"))
     )
     rare = cut(rare, "rare")
-    often = cut(g.mapInArrow(_frequent_postings(keys), "list long, id long, n long, at long"), "often")
+    often = cut(g.mapInArrow(lean(_frequent_postings(keys)), "list long, id long, n long, at long"), "often")
     pivots = F.array(*[F.min_by(F.struct("id", "n"), F.struct(F.xxhash64("id", F.lit(k)), "id")) for k in range(PIVOTS)])
     first = often.groupBy("list").agg(F.array_distinct(pivots).alias("p"))
     first = cut(first.select("list", F.explode("p").alias("p")).select("list", F.col("p.id").alias("p"), F.col("p.n").alias("pn")), "first")
@@ -387,12 +387,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         needed = needed.distinct() if have is None else needed.distinct().join(have, "set_id", "left_anti")
         needed = cut(needed, "needed")
         wanted = spark.sparkContext.broadcast(_filter(needed, needed.count()))
-        found = docs.select("text").mapInArrow(_wanted_sets(width, wanted), "set_id long, shingles binary")
+        found = docs.select("text").mapInArrow(lean(_wanted_sets(width, wanted)), "set_id long, shingles binary")
         return cut(found.groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets")
 
     def verify(p: DataFrame, sets: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("set_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        return p.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
+        return p.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verified(percent)), "a long, b long")
 
     one = lambda df: df.select(F.explode(F.array("a", "b")).alias("set_id"))
     sets = sets_of(one(pairs.union(within)))

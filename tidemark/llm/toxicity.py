@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
+from .filters import mark_partners
 
 #: Labelled rows that the classifier is fitted to at most; voters, class sizes and anchors take all of them.
 SAMPLE = 24_000
@@ -20,7 +24,19 @@ STEM_LENGTHS = (4, 5, 6)
 _KEPT_WORDS = 150_000
 _KEPT_STEMS = 200_000
 _NO_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-VOTERS = ("seed word", "word", *[f"stem {n}" for n in STEM_LENGTHS], "two words", "share", "spelled out")
+#: Lexicons that the induced words and stems are dealt to; each is a voter of its own.
+WORD_LISTS, STEM_LISTS = 3, 2
+_LISTS = [("word", 0, k) for k in range(WORD_LISTS)] + [(f"stem {n}", n, k) for n in STEM_LENGTHS for k in range(STEM_LISTS)]
+VOTERS = ("seed word", *[f"{kind}, list {k + 1}" for kind, _, k in _LISTS], "two words", "share", "spelled out", "shouted", "marks")
+_BIT = {f"{n}/{k}": 1 << (1 + i) for i, (_, n, k) in enumerate(_LISTS)}
+_TWO, _SHARE, _SPELLED, _SHOUTED, _MARKS = (1 << (1 + len(_LISTS) + k) for k in range(5))
+_LEXICON_BITS = (1 << (1 + len(_LISTS))) - 1
+_CAPITALS = re.compile(r"\b[A-Z]{4,}\b[^A-Za-z]+[A-Z]{3,}\b")
+
+
+def voter_of(stem: str) -> int:
+    """The bit of the lexicon that an induced word (0...) or stem (its length first) is in."""
+    return _BIT[f"{stem[0]}/{zlib.crc32(stem.encode()) % (STEM_LISTS if stem[0] != '0' else WORD_LISTS)}"]
 
 
 def distinct_words(text: str) -> set[bytes]:
@@ -85,7 +101,7 @@ class Voters:
                 for s in stems(w):
                     if (k := self.numbers.get(s)) is not None:
                         numbers.append(k)
-                        bits |= 2 if s[0] == "0" else 4 << STEM_LENGTHS.index(int(s[0]))
+                        bits |= voter_of(s)
                 if w.decode("utf8", "replace") in SEEDS:
                     bits |= 1
                 hit = self.kept[w] = (tuple(numbers), bits)
@@ -93,13 +109,19 @@ class Voters:
                 votes |= hit[1]
                 found.update(hit[0])
                 marked += 1
-        top = 2 + len(STEM_LENGTHS)
-        votes |= (marked >= 2) << top
-        votes |= (marked >= 0.005 * len(words) and marked > 0) << (top + 1)
-        if not votes and any(len(w) == 1 for w in words):  # letters set apart
-            joined = (text or "").lower()
-            for sign in " .-*_":
-                votes |= any(sign.join(s) in joined for s in SEEDS) << (top + 2)
+        if marked >= 2:
+            votes |= _TWO
+        if marked and marked >= 0.005 * len(words):
+            votes |= _SHARE
+        text = text or ""
+        if not votes & _LEXICON_BITS and any(len(w) == 1 for w in words):  # letters set apart
+            joined = text.lower()
+            if any(sign.join(s) in joined for sign in " .-*_" for s in SEEDS):
+                votes |= _SPELLED
+        if _CAPITALS.search(text):
+            votes |= _SHOUTED
+        if "!!" in text or "?!" in text:
+            votes |= _MARKS
         return votes, sorted(found)
 
 
@@ -124,6 +146,10 @@ def _chosen(toxic_rows: int, clean_rows: int, tried: int):
     return run
 
 
+#: Correlations below this count as none.
+NOISE = 0.1
+
+
 class LabelModel:
     """Accuracies and correlations of voters by expectation maximisation over counts of vote patterns.
 
@@ -149,6 +175,7 @@ class LabelModel:
                 cov = (x * w[:, None]).T @ x / max(w.sum(), 1)
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
                 shared += 0.5 * np.clip(cov / sd[:, None] / sd[None], 0, 1)
+            shared[shared < NOISE] = 0
             np.fill_diagonal(shared, 0)
             self.correlations = shared
             self.weights = 1 / (1 + shared.sum(1))
@@ -197,19 +224,17 @@ def _patterns(voters):
     return run
 
 
-def _scores(model, names: list[str]):
-    voters, weights = model.value
-
-    def run(batches):
+def _scorer(model):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        voters, weights = model.value
         n = len(weights) - len(VOTERS) - 1
-        for batch in batches:
-            text = batch.column(batch.schema.names.index("_text"))
+        for batch in texts:
             out = []
-            for t in text.to_pylist():
+            for t in batch.to_pylist():
                 votes, found = voters.read(t)
                 z = weights[-1] + weights[found].sum() + sum(weights[n + k] for k in range(len(VOTERS)) if votes >> k & 1)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in names], pa.array(out, pa.float64())], names=[*names, "score"])
+            yield pa.array(out, pa.float64())
 
     return run
 
@@ -222,11 +247,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int")).dropna().where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, sample / max(1, known.count()))
+    known = cut(known, "known")
+    n_known = known.count()
+    share = min(1.0, sample / max(1, n_known))
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    # labels grow with the documents: Spark picks the join
-    learn = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
-    counts = learn.mapInArrow(_stem_counts, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # labels grow with the documents, so they are never broadcast whole: a filter of bounded size leaves out the texts that have
+    # none, and the others meet their labels in a shuffle, at every size the same
+    some = mark_partners(docs.select("doc_id", "text").withColumn("_name", F.xxhash64("doc_id")), "_name", known.select(F.xxhash64("doc_id").alias("name")), n_known)
+    learn = some.where("_maybe").select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id").select("text", "toxic")
+    counts = learn.mapInArrow(lean(_stem_counts), "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = cut(counts.where("toxic + clean >= 3 or stem = ''"), "stems")
     sizes = counts.where("stem = ''").first() or ("", 0, 0)
     tried = counts.where("toxic + clean >= 3 and stem <> ''").count()
@@ -237,9 +266,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     shared = spark.sparkContext.broadcast(voters)
     # at most about ``sample`` rows of two numbers
     fitted = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
-    rows = [(list(r[2]), int(r[0]), int(r[1])) for r in fitted.mapInArrow(_votes(shared), "votes int, toxic int, stems array<int>").collect()]
-    votes = docs.select("text", "doc_id").mapInArrow(_patterns(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes int")
-    patterns = votes.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows of a pattern
+    rows = [(list(r[2]), int(r[0]), int(r[1])) for r in fitted.mapInArrow(lean(_votes(shared)), "votes int, toxic int, stems array<int>").collect()]
+    votes = docs.select("text", "doc_id").mapInArrow(lean(_patterns(shared)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes int")
+    patterns = votes.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows of a pattern, of 2^15 patterns at most
     found = sorted({int(r[0]) for r in patterns} | {0})
     at = {p: k for k, p in enumerate(found)}
     n, anchors = np.zeros(len(found)), np.zeros((len(found), 2))
@@ -262,7 +291,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     lexicon decides; an empty table gives no rows; a column named score is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train_toxicity(docs, labels, sample))
-    names = [c for c in docs.columns if c != "score"]
-    x = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
-    return x.mapInArrow(_scores(shared, names), f"{schema}, score double")
+    score = F.arrow_udf(_scorer(shared), "double")
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"], score(F.col("text")).alias("score"))
