@@ -11,11 +11,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch to a Python worker, where the session doesn't say: rows are texts of any length, so a number of rows bounds nothing.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers of the session, once."""
+    """Send this package to the Python workers of the session, once, and bound the batches that they get."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     if app in _shipped:
         return spark
     root = Path(__file__).parent
