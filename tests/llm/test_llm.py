@@ -227,29 +227,24 @@ def test_label_model(anchored):
 
 
 def brute_lines(texts, least=50):
-    """Lines in a window of the fewest lines with enough words that occurs earlier, extended against that first place."""
+    """Every line in a run of ``least`` words that stands in any earlier place."""
     lines = {i: [x.strip() for x in t.split("\n")] for i, t in texts.items()}
-    first, gone = {}, defaultdict(set)
-    for i in sorted(lines):
-        for k in range(len(lines[i])):
-            n = 0
-            for e in range(k, len(lines[i])):
-                n += len(lines[i][e].split())
-                if not lines[i][k] or n >= least:
-                    break
-            if n < least or not lines[i][k]:
-                continue
-            name = tuple(lines[i][k : e + 1])
-            if name not in first:
-                first[name] = (i, k)
-                continue
-            j, p = first[name]
-            a, b = k, e + 1
-            while a > 0 and p - (k - a) > 0 and lines[i][a - 1] == lines[j][p - (k - a) - 1]:
-                a -= 1
-            while b < len(lines[i]) and p + b - k < len(lines[j]) and lines[i][b] == lines[j][p + b - k]:
-                b += 1
-            gone[i].update(range(a, b))
+    at, gone = defaultdict(list), defaultdict(set)
+    order = sorted(lines)
+    for i in order:
+        for k, x in enumerate(lines[i]):
+            if x:  # a run has a line with words; matches that begin with others are found from there
+                for j, p in at[x]:
+                    if k and p and lines[i][k - 1] and lines[i][k - 1] == lines[j][p - 1]:
+                        continue  # part of a match looked at already
+                    a, b = k, k
+                    while a > 0 and p - (k - a) > 0 and lines[i][a - 1] == lines[j][p - (k - a) - 1]:
+                        a -= 1
+                    while b < len(lines[i]) and p + b - k < len(lines[j]) and lines[i][b] == lines[j][p + b - k]:
+                        b += 1
+                    if sum(len(y.split()) for y in lines[i][a:b]) >= least:
+                        gone[i].update(range(a, b))
+                at[x].append((i, k))
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) if gone[i] else t for i, t in texts.items()}
 
 
@@ -260,6 +255,23 @@ def test_line_dedup(spark, sf, texts):
     assert got == expect
 
 
+def test_line_dedup_any_earlier_place(spark):
+    """A run goes whichever earlier text holds it, not only the first that holds its beginning."""
+    from tidemark.llm.line_dedup import dedup_lines
+
+    a, b, c = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40)), "five words at the end"
+    texts = {1: f"{a}\n{b}\nx", 2: f"{a}\n{b}\n{c}", 3: f"\n{a}\n{b}\n{c}", 4: f"{c}\n\n{b}\n{c}\n{a}"}
+    rng = np.random.default_rng(7)
+    some = [" ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(0, 30))) for _ in range(12)]
+    for i in range(5, 60):
+        texts[i] = "\n".join(some[x] for x in rng.integers(0, 12, rng.integers(1, 9)))
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in texts.items()], "doc_id long, text string, _cuts int, _uid int, _maybe int")
+    got = rows(dedup_lines(df))
+    assert {r["doc_id"]: r["text"] for r in got} == brute_lines(texts)
+    assert all((r["_cuts"], r["_uid"], r["_maybe"]) == (1, 2, 3) for r in got)
+    assert {r["doc_id"]: r["text"] for r in got}[3] == ""
+
+
 def test_line_dedup_cases(spark, odd):
     from tidemark.llm.line_dedup import dedup_lines
 

@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .filters import mark_partners
+from .common import cut, lean
+from .filters import bit_filter, mark_partners, passes
 from .hashing import mix
 
 #: Runs of at least so many words are found and removed.
@@ -30,38 +30,69 @@ def _lines(batches):
 
 
 def run_windows(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, minimum) of each window: the fewest lines from a line with words on that hold ``least`` words.
+    """(start, stop, minimum) of each window: the fewest lines from a line on, and up to a line, that hold ``least`` words.
 
-    The name is a hash of the window's lines; the minimum is the place of its least line hash, the window's fingerprint.
+    The minimum is the place of its least line hash among the lines with words, the first of equal ones. Windows of both kinds
+    cover every line of a run of ``least`` words: a line up to which the run has that many ends one, any other stands in the run's first.
     """
     n = len(hashes)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    starts = np.flatnonzero(words > 0)
-    stops = np.searchsorted(total, total[starts] + least)  # first bound with enough words
-    starts, stops = starts[stops <= n], stops[stops <= n]
-    if not len(starts):
+    if total[-1] < least:
         none = np.zeros(0, np.int64)
         return none, none, none
-    mixed = mix(hashes)
-    names = np.zeros(len(starts), np.uint64)
-    least_at = np.zeros(len(starts), np.int64)
-    for k, (lo, hi) in enumerate(zip(starts, stops)):
-        value = np.uint64(hi - lo)
-        for x in mixed[lo:hi]:
-            value = value * _MULT + x
-        names[k] = value
-        least_at[k] = lo + int(mixed[lo:hi].argmin())
-    return mix(names).view(np.int64), starts, least_at
-
-
-def _windows(least: int):
+    places = np.arange(n)
+    stops = np.searchsorted(total, total[:-1] + least)  # the first bound with enough words from each line on
+    starts = np.searchsorted(total, total[1:] - least, side="right") - 1  # the last line from which enough words lead up to each bound
+    ahead, behind = stops <= n, starts >= 0
+    both = np.stack([np.concatenate([places[ahead], starts[behind]]), np.concatenate([stops[ahead], places[behind] + 1])])
+    lo, hi = np.unique(both, axis=1)
+    value = mix(hashes)
+    value[words == 0] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return lo, hi, np.fromiter((i + int(value[i:j].argmin()) for i, j in zip(lo, hi)), np.int64, len(lo))
+
+
+def _names(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the windows' lines and their numbers."""
+    up = np.full(len(hashes) + 1, _MULT)
+    up[0] = 1
+    up = np.multiply.accumulate(up)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    down = np.full(len(hashes) + 1, np.uint64(pow(int(_MULT), -1, 1 << 64)))
+    down[0] = 1
+    down = np.multiply.accumulate(down)
+    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def _fingerprints(least: int):
+    """The fingerprints of a batch, the line hashes at the minima of its windows, with the number of their places."""
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                found = [np.zeros(0, np.uint64)]
+                for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    h = np.frombuffer(h, np.uint64)
+                    found.append(h[np.unique(run_windows(h, np.frombuffer(w, np.int32), least)[2])])
+                prints, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n.astype(np.int64))], names=["fingerprint", "n"])
+
+    return run
+
+
+def _windows(least: int, repeated):
+    """The windows whose fingerprint occurs in more than one place."""
+
     def run(batches):
+        bits = repeated.value
         with np.errstate(over="ignore"):
             for batch in batches:
                 out = [[np.zeros(0, np.int64)] for _ in range(5)]
                 for uid, doc, h, w in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    name, start, low = run_windows(np.frombuffer(h, np.uint64), np.frombuffer(w, np.int32), least)
-                    for col, v in zip(out, (name, np.full(len(name), doc, np.int64), np.full(len(name), uid, np.int64), start, low)):
+                    h = np.frombuffer(h, np.uint64)
+                    lo, hi, low = run_windows(h, np.frombuffer(w, np.int32), least)
+                    some = passes(bits, h[low].view(np.int64))
+                    lo, hi, low = lo[some], hi[some], low[some]
+                    for col, v in zip(out, (_names(h, lo, hi), np.full(len(lo), doc, np.int64), np.full(len(lo), uid, np.int64), lo, low)):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["name", "doc_id", "uid", "start", "low"])
 
@@ -101,9 +132,13 @@ def _extended(batches):
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """(uid, lo, hi): bounds of line runs that occur earlier. ``docs`` has uid, doc_id and text without nulls."""
-    lines = docs.select("uid", "doc_id", "text").mapInArrow(_lines, "uid long, doc_id long, hashes binary, words binary")
+    lines = docs.select("uid", "doc_id", "text").mapInArrow(lean(_lines), "uid long, doc_id long, hashes binary, words binary")
     lines = cut(lines.dropDuplicates(["uid"]), "lines")
-    windows = lines.mapInArrow(_windows(run_words), "name long, doc_id long, uid long, start long, low long")
+    # a run that occurs twice has its windows' minima in both places: windows with a fingerprint of one place have no partner
+    prints = lines.select("hashes", "words").mapInArrow(_fingerprints(run_words), "fingerprint long, n long")
+    prints = cut(prints.groupBy("fingerprint").agg(F.sum("n").alias("n")).where("n > 1").select("fingerprint"), "fingerprints")
+    repeated = docs.sparkSession.sparkContext.broadcast(bit_filter(prints, prints.count()))
+    windows = lines.mapInArrow(_windows(run_words, repeated), "name long, doc_id long, uid long, start long, low long")
     windows = cut(windows, "windows")
     first = windows.groupBy("name").agg(F.min(F.struct("doc_id", "uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = cut(first.select("name", F.col("first.uid").alias("source"), F.col("first.start").alias("there")), "first")
@@ -120,27 +155,28 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Remove the lines of every run of at least ``run_words`` words that occurs earlier, in the order of (doc_id, place).
 
     Returns the columns of ``docs`` with the text that stays, and n_lines, n_removed (lines before, lines removed). Lines
-    are compared without outer white space. A run is found wherever it stands: every window of lines that just
-    reaches ``run_words`` words is named by its content and stands for its least line hash; windows that occur earlier are joined to
-    their first occurrence and extended over equal lines both ways, line by line. The first occurrence stays; in overlapping
-    repeats within a text the first lines stay. A null text stays null and has no lines; an empty text has one empty line. Rows
-    that are equal in doc_id and text are one document and get one result. Null doc_ids come first. Extra columns are kept.
+    are compared without outer white space. Every window of lines that just reaches ``run_words`` words, from a line on or up to one, is
+    represented by its least line hash, its fingerprint. Windows with a fingerprint of several places are named by their content and
+    joined to the first occurrence of that content, and the match is extended over equal lines both ways. So a line goes if any
+    run around it occurs in any earlier place. The first occurrence stays; in overlapping repeats within a text the first lines
+    stay. A null text stays null and has no lines; an empty text has one empty line. Rows that are equal in doc_id and text are one document
+    and get one result. Null doc_ids come first. Extra columns are kept, whatever their names, but for n_lines and n_removed; an empty table gives no rows.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     uid = F.xxhash64(F.col("doc_id"), F.col("text"))
     known = docs.where(F.col("text").isNotNull()).select(uid.alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    runs = repeated_runs(known, run_words).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("_cuts"))
-    runs = cut(runs, "runs").withColumnRenamed("uid", "_uid")
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("_cuts", lambda c: (i >= c["lo"]) & (i < c["hi"])))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    runs = repeated_runs(known, run_words).groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    runs = cut(runs, "runs")
+    boxed = docs.select(uid.alias("uid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))  # columns of any name keep to themselves
     # only texts that can have something to lose are shuffled
-    marked = mark_partners(docs.withColumn("_uid", uid), "_uid", runs.select("_uid"), runs.count())
-    some = marked.where("_maybe").join(runs, "_uid", "left")
-    rest = marked.where("not _maybe").withColumn("_cuts", F.lit(None).cast(runs.schema["_cuts"].dataType))
-    x = some.unionByName(rest).withColumn("_kept", text)
-    count = lambda c: F.coalesce(F.size(F.split(F.col(c), "\n", -1)), F.lit(0))
-    gone = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(count("text"))
-    own = [F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names if c not in ("n_lines", "n_removed")]
-    return x.select(*own, n_lines.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
+    marked = mark_partners(boxed, "uid", runs.select(F.col("uid").alias("with_cuts")), runs.count())
+    some = marked.where("_maybe").join(runs, "uid", "left")
+    rest = marked.where("not _maybe").withColumn("cuts", F.lit(None).cast(runs.schema["cuts"].dataType))
+    whole = F.col("row.text")
+    lines = F.split(whole, "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.exists("cuts", lambda c: (i >= c["lo"]) & (i < c["hi"])))
+    text = F.when(F.col("cuts").isNull(), whole).otherwise(F.array_join(kept, "\n"))
+    gone = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
+    n_lines = F.when(whole.isNull(), F.lit(0)).otherwise(F.size(lines))
+    own = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return some.unionByName(rest).select(*own, n_lines.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import corpus_size, cut, lean, power_of_two
 from .components import connected_components
+from .filters import bit_filter, passes
 from .hashing import mix, pieces, shingle_sets
 
 WIDTH, PERCENT = 5, 75
@@ -23,8 +24,6 @@ SHORT = 12
 PIVOTS = 4
 #: Sets of a long list that are compared with each other before those still apart are.
 CHUNK = 64
-#: Bits of the filter for sets that are compared; 4 MB at most.
-FILTER_BITS = 1 << 25
 
 
 def _sizes_fit(n: str, m: str, percent: int) -> str:
@@ -258,49 +257,15 @@ def _frequent_postings(keys):
     return run
 
 
-def _filter_bits(bits: int):
-    """Bits of the ids, in parts of 8 KB."""
-
-    def run(batches):
-        mine = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
-            np.bitwise_or.at(mine, (x >> np.uint64(3)).astype(np.int64), (1 << (x & np.uint64(7))).astype(np.uint8))
-        parts = mine.reshape(-1, min(8192, len(mine)))
-        full = np.flatnonzero(parts.any(axis=1))
-        if len(full):
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([parts[i].tobytes() for i in full], pa.binary())], names=["part", "bits"])
-
-    return run
-
-
-def _either(t: pa.Table) -> pa.Table:
-    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
-    return pa.table({"part": t["part"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-
-def _filter(ids: DataFrame, count: int) -> np.ndarray:
-    """A bit filter of the ids: at most FILTER_BITS, so what reaches the driver is bounded; ids that it lets by in error cost time only."""
-    bits = power_of_two(16 * count, 1 << 16, FILTER_BITS)
-    parts = ids.mapInArrow(_filter_bits(bits), "part int, bits binary").groupBy("part").applyInArrow(_either, "part int, bits binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for part, data in parts:
-        size = len(data)
-        out[part * size : (part + 1) * size] = np.frombuffer(data, np.uint8)
-    return out
-
-
 def _wanted_sets(width: int, wanted):
     bits = wanted.value
-    top = np.uint64(len(bits) * 8 - 1)
 
     def run(batches):
         for _, sets in _sets(batches, width):
             rows = []
             for s in sets:
                 name = _signature(s)
-                x = np.uint64(name & 0xFFFFFFFFFFFFFFFF) & top
-                if len(s) and bits[int(x >> np.uint64(3))] >> int(x & np.uint64(7)) & 1:
+                if len(s) and passes(bits, np.array([name], np.int64))[0]:
                     rows.append((name, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["set_id", "shingles"])
 
@@ -386,7 +351,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         """(set_id, shingles) of the classes, from their texts."""
         needed = needed.distinct() if have is None else needed.distinct().join(have, "set_id", "left_anti")
         needed = cut(needed, "needed")
-        wanted = spark.sparkContext.broadcast(_filter(needed, needed.count()))
+        wanted = spark.sparkContext.broadcast(bit_filter(needed, needed.count()))
         found = docs.select("text").mapInArrow(lean(_wanted_sets(width, wanted)), "set_id long, shingles binary")
         return cut(found.groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets")
 
