@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, lean, ranked
 
 CAPACITY = 2048
 #: Chunks of text whose ids a Python worker keeps; later ones are encoded each time.
@@ -50,6 +51,14 @@ class _Parts(dict):
         return ids
 
 
+def _added_tokens(path: str) -> dict[str, int] | None:
+    """Ids of the file's added tokens, which stand for themselves wherever a text has them; None if any takes more than its own characters."""
+    added = json.loads(open(path, encoding="utf8").read()).get("added_tokens", [])
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+        return None
+    return {t["content"]: t["id"] for t in added}
+
+
 def _byte_level_ranks(path: str) -> dict[bytes, int] | None:
     """Ranks of a byte-level BPE whose merges stand in the order of their ids; None for any other model."""
     spec = json.loads(open(path, encoding="utf8").read())
@@ -71,14 +80,20 @@ class _Encoder:
 
     A single space between two other characters always starts a new piece of the tokenizer's
     pattern, so a text is cut there and the ids of each part, with its space, are kept for later texts.
-    Byte-level BPE files run on their merge ranks, all others by the tokenizers library.
+    Byte-level BPE files run on their merge ranks, all others by the tokenizers library. Text that spells an added token, such as
+    the end of a text, is that token, as in a plain call of the library.
     """
 
     _kept: dict[str, _Encoder] = {}
 
     def __init__(self, path: str):
-        ranks = _byte_level_ranks(path)
+        ranks, added = _byte_level_ranks(path), _added_tokens(path)
+        if added is None:
+            ranks = None
+        self.added, self.any_added = {t: array("I", [i]).tobytes() for t, i in (added or {}).items()}, None
         if ranks:
+            if added:
+                self.any_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
             import tiktoken
 
             model = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -87,7 +102,6 @@ class _Encoder:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
             self.plain = lambda text: array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
         self.cuttable = bool(ranks)
         self.first, self.parts = _Parts(self.plain, ""), _Parts(self.plain, " ")
@@ -103,6 +117,14 @@ class _Encoder:
             return b""
         if not self.cuttable:
             return self.plain(text)
+        if self.any_added and self.any_added.search(text):
+            return b"".join(self.added[x] if k % 2 else self.between(x) for k, x in enumerate(self.any_added.split(text)))
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        if not text:
+            return b""
         first, *parts = text.split(" ")
         try:
             return self.first[first] + b"".join(map(self.parts.__getitem__, parts))
@@ -140,7 +162,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     A null or empty text has the id 0 alone. The first piece takes what is over, the others are full.
     """
     path = tokenizer or default_tokenizer()
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pieces(path, capacity), _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(_pieces(path, capacity)), _PIECES)
 
 
 class SegmentTree:
