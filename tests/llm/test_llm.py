@@ -344,6 +344,57 @@ def test_fingerprints_shared_interior():
     assert phrase_level(np.zeros(0, np.uint64), np.array([0, 0]))[1].tolist() == [0, 0]
 
 
+def test_phrases_by_definition():
+    """Boundaries and names of phrases, symbol by symbol."""
+    from itertools import groupby
+
+    from tidemark.llm.hashing import mix
+    from tidemark.llm.parsing import phrase_level
+
+    def coin(before, own):
+        d = before ^ own
+        k = (d & -d).bit_length() - 1
+        return 2 * k + (own >> k & 1)
+
+    def phrases(x):
+        runs = [(v, len(list(g))) for v, g in groupby(x)]
+        with np.errstate(over="ignore"):
+            y = [v if n == 1 else int(mix(np.array([v], np.uint64) + np.uint64(n) * np.uint64(0xA0761D6478BD642F))[0]) for v, n in runs]
+        label = [coin(~y[0] & (2**64 - 1), y[0]), *(coin(a, b) for a, b in zip(y, y[1:]))]
+        for _ in range(2):
+            label = [coin(label[0] ^ 1, label[0]), *(coin(a, b) for a, b in zip(label, label[1:]))]
+        starts = [k for k in range(len(y)) if k == 0 or (k < len(y) - 1 and label[k] > label[k - 1] and label[k] > label[k + 1])]
+        return [tuple(y[a:b]) for a, b in zip(starts, [*starts[1:], len(y)])]
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 97 + k, n).astype(np.uint64) for k, n in ((2, 400), (26, 700), (4, 1), (3, 2), (1, 50), (1000, 300))]
+    x, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for _ in range(3):
+        expect = [phrases([int(v) for v in x[a:b]]) for a, b in zip(bounds, bounds[1:])]
+        x, bounds = phrase_level(x, bounds)
+        assert list(np.diff(bounds)) == [len(p) for p in expect]
+        name_of = {}
+        for p, v in zip([q for e in expect for q in e], x):
+            assert name_of.setdefault(p, v) == v
+        assert len(set(name_of.values())) == len(name_of)
+
+
+def test_fingerprints_large_ids(spark, monkeypatch):
+    """Ids that doubles can't tell apart, in many parts; rows without doc_id last."""
+    from tidemark.llm import parsing
+
+    monkeypatch.setattr(parsing, "PART_BYTES", 200)
+    texts = {(1 << 60) + 97 * k: f"text {k} " * (1 + k % 7) for k in range(150)} | {-(1 << 63): "least", (1 << 63) - 1: "most"}
+    data = [*texts.items(), *[(None, f"none {k} " * 3) for k in range(40)]]
+    got = rows(parsing.parse_documents(spark.createDataFrame(data, "doc_id long, text string")))
+    assert len(got) == len(data)
+    ids = sorted(texts, reverse=True)
+    by = {r["doc_id"]: r["edited_sha256"] for r in got}
+    for i, j in zip(ids, ids[1:]):
+        k = len(texts[i]) // 2
+        assert by[i] == hashlib.sha256((texts[i][: len(texts[i]) - k] + texts[j][:k]).encode()).hexdigest()
+
+
 def test_fingerprints_odd(spark, odd):
     from tidemark.llm.parsing import parse_documents
 
@@ -552,7 +603,6 @@ def check_packing(got, texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     of = defaultdict(list)
     for r in got:
         of[r["doc_id"]].append(r)
@@ -600,6 +650,24 @@ def test_packing_odd(spark, odd):
     assert rows(pack_documents(odd.limit(0))) == []
 
 
+def test_packing_added_tokens(spark):
+    """Text that spells an added token is that token, as in a plain call of the library."""
+    from tidemark.llm.packing import token_pieces
+
+    texts = {1: "a<|endoftext|>b", 2: "<|endoftext|>", 3: "x <|endoftext|> y<|endoftext|><|endoftext|> z", 4: "<|endoftext"}
+    got = rows(token_pieces(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {r["doc_id"]: r["length"] for r in got}[1] == 4
+    check_ids = {i: np.asarray([*tokenizer().encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in texts.items()}
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == {i: zlib.crc32(b) for i, b in check_ids.items()}
+
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_encoder_cuts_anywhere():
     import random
 
@@ -610,7 +678,6 @@ def test_encoder_cuts_anywhere():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     r = random.Random(1)
     parts = ["a", "B ", " ", "\n", "\t", "'s", "don't ", " é", "<|endoftext|>", "日本", "  ", "\xa0", "12 ", " ", "!?", "\x1c", "\x85", "🙂"]
     for _ in range(500):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import corpus_size
+from .common import corpus_size, lean
 from .hashing import mix
 
 #: Phrase names of these levels are the signature; a phrase of level n has about 3^n code points.
@@ -18,6 +18,8 @@ LEVELS = (2, 3, 4)
 KEPT = 64
 #: Bytes of text of one part of the order, parsed by one task.
 PART_BYTES = 8 << 20
+#: Parts at most, what bounds the cuts on the driver; tasks stream their parts, so parts may grow beyond.
+MOST_PARTS = 1 << 15
 _PARSED_AT_ONCE = 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _DEBRUIJN = np.uint64(0x03F79D71B4CB0A89)
@@ -184,38 +186,43 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     one doc_id follow in the order of their texts' hashes; null doc_ids come last; the first row follows the last one, a
     single row follows itself. Equal texts have equal fingerprints. An empty table gives no rows.
 
-    The order is cut in parts of about PART_BYTES at quantiles of doc_id; each part also gets the first row of
-    the next, so no task sees more than its part and one row.
+    The order is cut in parts of about PART_BYTES at quantiles of doc_id, rows without doc_id by their texts' hashes; each part also
+    gets the first row of the next, so no task sees more than its part and one row, and none holds more than a run of rows.
     """
     from pyspark.ml.feature import Bucketizer
 
     rows, size = corpus_size(docs)
-    parts = max(1, -(-size // PART_BYTES))
-    least = -float(1 << 63)
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), F.lit(least * 2))).withColumn("_tie", F.xxhash64("text"))
-    cuts = []
+    if not rows:
+        return docs.select(F.col("doc_id").cast("long")).mapInArrow(lambda b: iter(()), _SCHEMA)
+    parts = min(MOST_PARTS, max(1, -(-size // PART_BYTES)))
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # doubles order ids as longs do, but for ids that share one, and those share a part too
+    d = d.withColumn("at", F.col("doc_id").cast("double"))
+    cuts, without = [], 0
     if parts > 1:
-        found = d.agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []
-        cuts = sorted({float(x) for x in found})
+        found = d.agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 10 * parts), F.count_if(F.col("doc_id").isNull())).first()
+        cuts, without = sorted({float(x) for x in found[0] or []}), int(found[1])
+    n = len(cuts)
+    tail = max(1, round(parts * without / rows))  # parts of the rows without doc_id
+    share = (F.col("tie").cast("double") / float(1 << 63) + 1) / 2
+    last = n + 1 + F.least(F.floor(share * tail), F.lit(tail - 1))
     if cuts:
-        split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket", handleInvalid="keep")
-        d = split.transform(d).withColumn("part", -F.col("_bucket").cast("int"))  # parts in descending order of doc_id
+        split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
+        d = split.transform(d)
+        d = d.withColumn("part", F.when(F.col("doc_id").isNull(), last).otherwise(n - F.col("bucket")).cast("int"))  # descending doc_id
     else:
-        d = d.withColumn("part", F.lit(0))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("_tie")]
-    first = d.groupBy("part").agg(F.min(F.struct((-F.col("_at")).alias("a"), "_tie")).alias("f")).select("part", "f.a", "f._tie").orderBy("part").collect()  # a row for each part
-    if not first:
-        return d.select("doc_id").mapInArrow(lambda b: iter(()), _SCHEMA)
-    ahead = [(first[k - 1]["part"], x["part"], x["a"], x["_tie"]) for k, x in enumerate(first)]
-    if len(first) == 1:
-        ahead = [(first[0]["part"], first[0]["part"], first[0]["a"], first[0]["_tie"])]
-    plan = docs.sparkSession.createDataFrame([tuple(x) for x in ahead], "to int, part int, a double, _tie long")
-    shown = d.alias("d").join(F.broadcast(plan).alias("p"), (F.col("d.part") == F.col("p.part")) & (-F.col("d._at") == F.col("p.a")) & (F.col("d._tie") == F.col("p._tie")))
-    shown = shown.select(F.col("d.doc_id"), F.col("d.text"), F.col("p.to").alias("part"), F.col("d._tie")).dropDuplicates(["part"])
-    both = d.select("doc_id", "text", "part", "_tie", F.lit(0).alias("after")).union(shown.select("doc_id", "text", "part", "_tie", F.lit(1)))
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "after", *order)
-    return dealt.select("doc_id", "text", "part").mapInArrow(_in_order, _SCHEMA)
+        d = d.withColumn("part", F.when(F.col("doc_id").isNull(), last).otherwise(F.lit(0)).cast("int"))
+    # descending order of all longs: the complement of each
+    down = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("id"), F.col("tie").alias("tie"))
+    first = d.groupBy("part").agg(F.min(down).alias("f")).select("part", "f.*").orderBy("part").collect()  # a row for each part
+    ahead = [(first[k - 1]["part"], x["part"], None if x["none"] else ~x["id"], x["tie"]) for k, x in enumerate(first)]
+    plan = docs.sparkSession.createDataFrame(ahead, "to int, part int, doc_id long, tie long")
+    same = (F.col("d.part") == F.col("p.part")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.tie") == F.col("p.tie"))
+    # at most MOST_PARTS rows and as many for rows without doc_id; rows that are equal in all of this have equal texts
+    shown = d.alias("d").join(F.broadcast(plan).alias("p"), same).select(F.col("d.doc_id"), F.col("d.text"), F.col("p.to").alias("part"), F.col("d.tie")).dropDuplicates(["part"])
+    both = d.select("doc_id", "text", "part", "tie", F.lit(0).alias("after")).union(shown.select("doc_id", "text", "part", "tie", F.lit(1)))
+    dealt = both.repartitionById(n + 1 + tail, F.col("part")).sortWithinPartitions("part", "after", F.col("doc_id").desc_nulls_last(), "tie")
+    return dealt.select("doc_id", "text", "part").mapInArrow(lean(_in_order), _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
