@@ -569,7 +569,48 @@ def test_mixing_odd(spark, odd):
     assert len(got) == len(ODD) and all(r["taken"] == 0 for r in got if r["doc_id"] in (2, 3, 7))
     took = rows(take_mix(odd))
     assert sum(len(words(r["text"])) for r in took) == sum(r["taken"] for r in got)
-    assert rows(mix_sources(odd.limit(0))) == []
+    assert rows(mix_sources(odd.limit(0))) == [] == rows(take_mix(odd.limit(0)))
+
+
+def test_mixing_rows(spark):
+    """Columns of any name stay; rows that share an id, or have none, share their copies."""
+    from tidemark.llm.mixing import mix_sources, take_mix
+
+    data = [(i if i % 3 else None, "w " * (i % 17), "abc"[i % 3], i, "x") for i in range(300)] + [(1, "w w", "b", 7, "y")] * 5
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, _copies int, row string")
+    took = rows(take_mix(df))
+    mix = rows(mix_sources(df))
+    assert sum(len(words(r["text"])) for r in took) == sum(r["taken"] for r in mix)
+    for s in "abc":
+        assert sum(len(words(r["text"])) for r in took if r["source"] == s) == sum(r["taken"] for r in mix if r["source"] == s)
+    assert max(Counter((r["doc_id"], r["_copies"], r["row"]) for r in took if r["row"] == "x").values()) <= 2
+    assert {(r["_copies"], r["row"]) for r in took} <= {(d[3], d[4]) for d in data}
+
+
+def brute_systematic(data, seed_offset):
+    """Copies of (doc_id, source, size) in the order of size class, chunk and size, one chunk here: a walk along the line of expectations."""
+    out = {}
+    for source, (rate, offset) in seed_offset.items():
+        mine = sorted((x for x in data if x[1] == source), key=lambda x: (math.floor(math.log2(x[2] + 1) * 4), x[2], x[0]))
+        for k, x in enumerate(mine):
+            out[x[0]] = math.floor((k + 1) * rate + offset) - math.floor(k * rate + offset)
+    return out
+
+
+def test_mixing_by_definition(spark):
+    """Which documents are taken, and how often, against a walk in plain Python."""
+    from tidemark.llm.mixing import mix_sources
+
+    rng = np.random.default_rng(11)
+    data = [(i, "abcd"[int(rng.integers(0, 4))], int(rng.integers(0, 60))) for i in range(400)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in data], "doc_id long, source string, text string")
+    got = rows(mix_sources(df))
+    offsets = {r["s"]: r["o"] for r in rows(df.select("source").distinct().selectExpr("source as s", "pmod(xxhash64(source, 7), 1048576) / double(1048576) as o"))}
+    rates = {r["source"]: r["target"] / r["source_size"] for r in got}
+    expect = brute_systematic(data, {s: (rates[s], offsets[s]) for s in rates})
+    assert {r["doc_id"]: r["copies"] for r in got} == expect
+    total = sum(n for *_, n in data)
+    assert abs(sum(r["target"] for r in {r["source"]: r for r in got}.values()) - 1.5 * total) < 1e-6 * total
 
 
 def brute_best_fit(sizes, capacity):
@@ -720,3 +761,25 @@ def test_pipeline_jaccard_rows(spark):
     assert Counter((r["doc_id"], r["text"]) for r in rows(got)) == Counter([(3, a), (5, b), (7, c), (None, d), (9, ""), (9, ""), (10, None)])
     assert {r["source"] for r in rows(got) if r["doc_id"] == 7} == {"s0"}
     assert rows(P.jaccard_join(spark, docs.limit(0), None)) == []
+
+
+def test_pipeline_odd(spark, sf):
+    """Nulls, repeats, empty and long texts, extra columns with clashing names, and an empty table, through all stages."""
+    import corpus_pipeline as P
+
+    more = {c: k for k, c in enumerate(("score", "n_lines", "n_removed", "row", "key", "copies", "uid", "cuts", "toxic", "n"))}
+    data = [(i, t, lang, source, len(t or ""), *more.values()) for i, t, lang, source in ODD]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in more))
+    d = docs
+    for _, stage in P.STAGES[:-1]:
+        d = stage(spark, d, sf)
+        assert d.columns == docs.columns
+        found = rows(d)
+        assert all(r[c] == k for r in found for c, k in more.items())
+        d = spark.createDataFrame(found or [], docs.schema)
+    got = rows(P.STAGES[-1][1](spark, d, sf))
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in found} and 6 in {r["doc_id"] for r in found}
+    e = docs.limit(0)
+    for _, stage in P.STAGES:
+        e = stage(spark, e, sf)
+        assert rows(e) == []

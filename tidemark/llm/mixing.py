@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut
+from .common import WORD, cut, ranked
 
 #: Cycle of weights over the sources in code-point order, null last.
 WEIGHTS = (3, 1, 2)
@@ -16,6 +16,11 @@ SHARE, MOST = 1.5, 2.0
 CHUNK = 2000
 
 
+def _size():
+    """Words of the text."""
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, rows, target) from (source, source_size, rows), one row a source.
 
@@ -56,9 +61,8 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float =
     Sources may be of any size: places are counted in chunks of about CHUNK rows, dealt by
     (source, size class, hash), and carried over by the chunks' counts.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     d = cut(
-        docs.select("doc_id", "source", size.alias("size"))
+        docs.select("doc_id", "source", _size().alias("size"))
         .withColumn("band", F.floor(F.log2(F.col("size") + 1) * 4).cast("int")), "sizes",
     )
     spread = d.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"))
@@ -70,8 +74,12 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float =
     chunks = cut(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "chunks")
     sources = chunks.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("rows"))
     targets = source_targets(sources, weights, share, most)
-    ahead = W.partitionBy("source").orderBy("band", "chunk").rowsBetween(W.unboundedPreceding, -1)
-    chunks = chunks.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    # what stands before a chunk: the source's smaller size classes, few rows, and the chunks before it in its own
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bands = chunks.groupBy("source", "band").agg(F.sum("n").alias("n")).withColumn("lower", ahead(W.partitionBy("source").orderBy("band")))
+    chunks = chunks.withColumn("own", ahead(W.partitionBy("source", "band").orderBy("chunk"))).alias("x")
+    chunks = chunks.join(bands.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.band") == F.col("y.band")))
+    chunks = chunks.select("x.source", "x.band", "x.chunk", (F.col("own") + F.col("lower")).alias("ahead"))
     c = chunks.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select(
         F.col("c.source").alias("c_source"), F.col("c.band").alias("c_band"), F.col("c.chunk").alias("c_chunk"), "c.ahead", "t.source_size", "t.target",
     )
@@ -85,15 +93,24 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float =
 
 
 def take_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (rows of equal doc_id and size share their copies evenly)."""
-    took = mix_sources(docs, seed).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    own = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    d = docs.alias("a").join(took.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))).select(
-        *[F.col(f"a.`{c}`") for c in docs.columns], "_copies", "_rows"
-    )
-    each = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(
-        F.floor(F.col("_copies") * own / F.col("_rows")) - F.floor(F.col("_copies") * (own - 1) / F.col("_rows"))
-    )
-    return d.withColumn("_each", each.cast("int")).where("_each > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))
-    ).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it; rows of equal doc_id, source and size share their copies evenly.
+
+    Columns of any name are kept as they are. Rows without doc_id, or of one, may be a third of all: only those that repeat are
+    numbered, in chunks of bounded size. An empty table gives no rows.
+    """
+    names, keys = docs.columns, ["doc_id", "source", "size"]
+    took = mix_sources(docs, seed).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    took = cut(took, "copies")
+    boxed = docs.select("doc_id", "source", _size().alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("tie"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    d = boxed.alias("a").join(took.where("copies > 0").alias("b"), same).select("a.*", "copies", "n")
+    out = d.where("n = 1").select("row", F.col("copies").alias("each"))
+    repeated = took.where("copies > 0 and n > 1").agg(F.sum("n")).first()[0]
+    if repeated:
+        own = ranked(d.where("n > 1"), keys, ["tie"], int(repeated))
+        each = F.floor(F.col("copies") * (F.col("rank") + 1) / F.col("n")) - F.floor(F.col("copies") * F.col("rank") / F.col("n"))
+        out = out.union(own.select("row", each.alias("each")))
+    out = out.where("each > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("each").cast("int"))))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])
