@@ -9,7 +9,7 @@ from .common import cut
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return cut(edges.groupBy("u").agg(F.min("v").alias("m")), "stars")
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
