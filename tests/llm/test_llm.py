@@ -86,6 +86,19 @@ def brute_jaccard(texts):
     return sets, components(texts, links)
 
 
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_sql(spark, sf, name):
+    """Rows against DuckDB where SQL expresses the query."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    expect = con.execute(Q.ORACLES[name])
+    names = [d[0] for d in expect.description]
+    assert Counter(tuple(r[c] for c in names) for r in rows(Q.QUERIES[name](spark, sf))) == Counter(expect.fetchall())
+
+
 def test_scores(spark, sf, texts):
     got = {r["doc_id"]: r for r in rows(Q.op1_brown_scores(spark, sf))}
     counts, total = Counter(), 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .sql import ORACLES  # noqa: F401
 
 
 def _fold(n: int):
@@ -75,11 +76,25 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 returns but for the copies, which its offsets decide."""
+    from .mixing import mix_sources
+
+    x = mix_sources(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 returns of its fixed phrases."""
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_brown_scores, op2_jaccard_join, op3_toxicity, op4_line_dedup, op5_vector_pairs,
-        op6_fingerprints, op7_licenses, op8_pii, op9_mix_sources, op10_pack,
+        op6_fingerprints, op7_licenses, op8_pii, op9_mix_sources, op10_pack, mix_targets, license_phrases,
     )
 }
-ORACLES: dict[str, str] = {}
