@@ -178,5 +178,6 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     text = F.when(F.col("cuts").isNull(), whole).otherwise(F.array_join(kept, "\n"))
     gone = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept))
     n_lines = F.when(whole.isNull(), F.lit(0)).otherwise(F.size(lines))
-    own = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
-    return some.unionByName(rest).select(*own, n_lines.cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
+    x = some.unionByName(rest).select("row", text.alias("kept"), n_lines.cast("long").alias("before"), gone.cast("long").alias("gone"))
+    own = [F.col("kept").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return x.select(*own, F.col("before").alias("n_lines"), F.col("gone").alias("n_removed"))
