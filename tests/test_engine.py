@@ -266,6 +266,62 @@ def test_stream_equals_batch(spark, sf, tmp_path, parts):
     assert got == expect
 
 
+def test_stream_restarts_late_rows_and_timers(spark, tmp_path):
+    """Each run starts from the checkpoint and meets new rows; late rows change nothing; expired keys go without rows of their stream."""
+    from tidemark.sources.positions import FIELDS
+    from tidemark.streaming.processor import pipeline_stream, prepare
+
+    columns = "key string, seq long, token string, t_us long, " + ", ".join(f"{f} double" for f in FIELDS)
+    p, none = SignalParams(backtest=True), [None] * 4
+    second = 1_000_000
+    batches = [
+        [("a", 1, "crash", T0_US, *none), ("b", 1, "rally", T0_US, *none)],
+        [("a", 2, "crash", T0_US + 1, *none), ("a", 1, "surge", T0_US + 2, *none), ("a", 3, "surge", T0_US + 3, *none)],
+        [("b", 2, "rally", T0_US + 900 * second, *none)],
+        [("b", 3, "rally", T0_US + 1800 * second, *none)],
+    ]
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for rows in batches:
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(folder)
+        x = prepare(spark.readStream.schema(columns).parquet(folder), X.default_lexicon(spark), p)
+        x = pipeline_stream(x, "key", "seq", p, LIVE_RISK, DedupParams(5_000), expire_after="10 seconds")
+        q = x.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(300)
+    got = sorted((r.key, r.seq, r.token, r.outcome) for r in spark.read.parquet(out).collect())
+    assert [(k, n, t, o == steps.DUPLICATE, o == "late") for k, n, t, o in got] == [
+        ("a", 1, "crash", False, False), ("a", 1, "surge", False, True), ("a", 2, "crash", True, False), ("a", 3, "surge", False, False),
+        ("b", 1, "rally", False, False), ("b", 2, "rally", False, False), ("b", 3, "rally", False, False),
+    ]
+    state = spark.read.format("statestore").load(check)
+    kept = {r["key"]["key"]: json.loads(r["value"]["groupState"]["keys"]) for r in state.collect()}
+    assert kept["a"] == {} and set(kept["b"]) == {"rally"}
+
+
+def test_console_and_progress(spark, capsys):
+    from tidemark.streaming.sinks import ConsoleSink, ProgressListener
+
+    ConsoleSink(1).write(spark.createDataFrame([(7,), (8,)], "answer int"))
+    shown = capsys.readouterr().out
+    assert "answer" in shown and "7" in shown and "only showing top 1 row" in shown
+    told, ended = [], []
+    listener = ProgressListener(told.append, ended.append)
+    spark.streams.addListener(listener)
+    try:
+        q = spark.readStream.format("rate").option("rowsPerSecond", 10).load().writeStream.format("noop").trigger(processingTime="1 second").start()
+        for _ in range(60):
+            if any("batch" in x for x in told):
+                break
+            q.awaitTermination(1)
+        q.stop()
+        for _ in range(30):
+            if ended:
+                break
+            q.awaitTermination(1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[0].startswith("started") and any("rows/s" in x for x in told) and ended == [None]
+
+
 def test_sinks(spark, tmp_path):
     from tidemark.streaming.sinks import CsvSink, MemorySink, NdjsonSink, fan_out
 

@@ -39,21 +39,38 @@ class StreamState:
         return [float(x) for x in self.signal], [float(x) for x in self.risk], [float(x) for x in self.position], json.dumps(self.keys), int(self.last_seq)
 
 
-def pipeline_stream(prepared: DataFrame, key: str, order: str, signal: SignalParams, risk: RiskParams, ttl: DedupParams) -> DataFrame:
+def pipeline_stream(prepared: DataFrame, key: str, order: str, signal: SignalParams, risk: RiskParams, ttl: DedupParams, expire_after: str | None = None) -> DataFrame:
     """Outcome of every row, as ``run_pipeline`` gives it on the whole.
 
     Rows of a micro-batch are taken in the order of ``order`` per key. A row whose order is not above the last one seen
     came too late: its outcome is ``late`` and it changes nothing. A row with a position sets it before it is judged; one
-    without a token only sets it. Expired dedup keys leave the state with every micro-batch.
+    without a token only sets it. Expired dedup keys leave a stream's state with each of its micro-batches. With ``expire_after``, a delay
+    such as "10 minutes", they also leave without new rows of their stream: timers of event time fire as the watermark, that far behind the
+    latest row of all streams, passes their expiry. Rows behind the watermark are then dropped, as everywhere in Spark.
     """
+    if expire_after:
+        prepared = prepared.withColumn("_event_time", F.timestamp_micros("t_us")).withWatermark("_event_time", expire_after)
     kind = prepared.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, {order} long, token string, outcome string, signal_bias double, signal_volatility double, cum_bias double, oms_events array<string>"
     ttl_us = ttl.ttl_ms * 1000
 
+    names = [key, order, "token", "outcome", "signal_bias", "signal_volatility", "cum_bias", "oms_events"]
+
+    def keep(s, state):
+        state.update(s.dump())
+        if expire_after and s.keys:
+            state.setTimeoutTimestamp(max(-(-min(s.keys.values()) // 1000), state.getCurrentWatermarkMs() + 1))
+
     def run(key_values, frames, state):
         s = StreamState(signal, risk)
         if state.exists:
             s.load(state.get)
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs() * 1000
+            s.keys = {k: e for k, e in s.keys.items() if e > now}
+            keep(s, state)
+            yield pd.DataFrame([], columns=names)
+            return
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
         out = []
         for x in rows.itertuples(index=False):
@@ -81,10 +98,10 @@ def pipeline_stream(prepared: DataFrame, key: str, order: str, signal: SignalPar
         if len(rows):
             now = int(rows["t_us"].max())
             s.keys = {k: e for k, e in s.keys.items() if e > now}
-        state.update(s.dump())
-        yield pd.DataFrame(out, columns=[key, order, "token", "outcome", "signal_bias", "signal_volatility", "cum_bias", "oms_events"])
+        keep(s, state)
+        yield pd.DataFrame(out, columns=names)
 
-    return prepared.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", "NoTimeout")
+    return prepared.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", "EventTimeTimeout" if expire_after else "NoTimeout")
 
 
 def with_no_positions(tokens: DataFrame) -> DataFrame:
