@@ -126,6 +126,69 @@ def test_exchange_finds_alternation():
     assert len({own[0], own[1], own[2]}) == 1 and len({own[3], own[4], own[5]}) == 1 and own[0] != own[3]
 
 
+def plain_likelihood(bigrams, cls):
+    """sum f(N(c, d)) - sum f(N(c)) - sum f(N(d)) from the bigrams themselves."""
+    both, first, second = Counter(), Counter(), Counter()
+    for (a, b), n in bigrams.items():
+        both[cls[a], cls[b]] += n
+        first[cls[a]] += n
+        second[cls[b]] += n
+    f = lambda counts: sum(n * math.log(n) for n in counts.values())
+    return f(both) - f(first) - f(second)
+
+
+def test_exchange_of_core(spark):
+    """Each round's table and every gain by definition; at the end no word has a move that gains."""
+    from tidemark.llm.brown import END, REST, best_move, exchange_core
+
+    draw = np.random.default_rng(5)
+    core, classes = 30, 6
+    kinds = draw.integers(0, 4, core)
+    chain = []
+    for _ in range(4000):
+        pool = np.flatnonzero(kinds == (kinds[chain[-1]] + 1) % 4) if chain and chain[-1] < core and draw.random() < 0.9 else np.arange(core + 2)
+        chain.append(int(draw.choice(pool)) if len(pool) else core)
+    bigrams = Counter(zip(chain, chain[1:]))
+    m = core + 2
+    pairs = spark.createDataFrame([(a * m + b, n) for (a, b), n in bigrams.items()], "pair long, n long")
+    order = np.argsort(-np.bincount(chain, minlength=m)[:core], kind="stable")
+    own, found = exchange_core(pairs, order, classes, seeds=8, rounds=60, least_gain=0.0)
+    assert own[core] == REST and own[core + 1] == END and END not in own[:core]
+    expect = np.zeros((classes, classes))
+    for (a, b), n in bigrams.items():
+        expect[own[a], own[b]] += n
+    assert (found == expect).all()
+    here = plain_likelihood(bigrams, own)
+    for w in range(core):
+        right, left = np.zeros(classes), np.zeros(classes)
+        for (a, b), n in bigrams.items():
+            if a == w != b:
+                right[own[b]] += n
+            if b == w != a:
+                left[own[a]] += n
+        best, gain = best_move(found.copy(), own[w], right, left, bigrams[w, w])
+        moved = {c: plain_likelihood(bigrams, [*own[:w], c, *own[w + 1 :]]) - here for c in range(2, classes)}
+        assert math.isclose(gain, max(moved.values()), abs_tol=1e-6) and math.isclose(moved[best], gain, abs_tol=1e-6)
+        assert gain < 1e-6
+
+
+def test_scores_of_rarer_words(spark):
+    """About half of the words are under the core's share and are placed by their contexts; the score of a text does not depend on the others' order."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.brown import class_scores
+
+    draw = np.random.default_rng(8)
+    texts = [" ".join(f"{'ab'[k % 2]}{draw.integers(0, 40)}" for k in range(30)) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(class_scores(frame, F.col("doc_id") % 5 == 0, share=0.012, classes=6))}
+    again = {r["doc_id"]: r["score"] for r in rows(class_scores(frame.orderBy(F.desc("doc_id")), F.col("doc_id") % 5 == 0, share=0.012, classes=6))}
+    assert all(math.isclose(r["score"], again[i]) for i, r in got.items())
+    out = [r for r in got.values() if r["held_out"]]
+    # half of the words can follow at each place: a bit a token less than the base
+    assert sum(r["score"] - r["base_score"] for r in out) > 0.2 * sum(r["n_tokens"] for r in out)
+
+
 def test_scores_odd(spark, odd):
     from pyspark.sql import functions as F
 

@@ -10,11 +10,19 @@ from pyspark.sql import functions as F
 from .common import corpus_size, cut, power_of_two
 from .hashing import pieces, word_hashes
 
-#: Words that are exchanged one by one against each other; all others are exchanged once against the classes so found.
-CORE = 510
+#: Words of at least this share of all training tokens, the core, are the contexts that classes are found from: at most 1 / SHARE
+#: words, whatever the corpus; of fewer training tokens than that, all words.
+SHARE = 1e-5
+#: Words of the core that are exchanged first, on a matrix of bounded size, to begin with.
+SEEDS = 510
 CLASSES = 64
+ROUNDS = 16
+#: A round that gains less log likelihood a token ends the exchange.
+LEAST_GAIN = 1e-5
 #: Bytes of text that share one table of their words.
 BLOCK_BYTES = 16 << 20
+#: Words whose distinct ones, or pairs, a worker counts before it ships them.
+HELD = 4_000_000
 #: Classes of the text's end and, while the core is clustered, of all other words.
 END, REST = 0, 1
 _END_KEY = -1
@@ -39,7 +47,7 @@ def _word_counts(batches):
         held.append(h)
         size += len(h)
         ends += len(part)
-        if size > 8_000_000:
+        if size > 2 * HELD:
             yield flush()
             held, size, ends = [], 0, 0
     if ends:
@@ -62,29 +70,91 @@ def _before(units: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
 
 
 def _core_pairs(core):
+    """Counts of pairs of units that follow each other, as unit * units + unit."""
     core = core.value
 
     def run(batches):
         m = len(core) + 2
-        counts = np.zeros(m * m, np.int64)
+        held, size = [], 0
+
+        def flush():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
         for _, h, bounds in _doc_words(batches):
             units, b = _units(h, bounds, core)
-            counts += np.bincount(_before(units, b, m - 1) * m + units, minlength=m * m)
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pair", "n"])
+            held.append(_before(units, b, m - 1) * m + units)
+            size += len(units)
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _folded(own, size: int):
+    """Pair counts of units as pair counts of their classes."""
+    own = own.value
+
+    def run(batches):
+        table = np.zeros(size * size)
+        for batch in batches:
+            a, b = np.divmod(batch.column(0).to_numpy(), len(own))
+            table += np.bincount(own[a] * size + own[b], batch.column(1).to_numpy(), size * size)
+        found = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(table[found].astype(np.int64))], names=["pair", "n"])
 
     return run
 
 
+def _table_of(pairs: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
+    """How often each class follows each; ``size`` squared rows at most come to the driver."""
+    run = _folded(pairs.sparkSession.sparkContext.broadcast(own), size)
+    table = np.zeros(size * size)
+    for p, n in pairs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[p] = n
+    return table.reshape(size, size)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def likelihood(table: np.ndarray) -> float:
+    """The part of a class bigram model's log likelihood that depends on the classes: sum f(N(c, d)) - sum f(N(c)) - sum f(N(d)), f(x) = x log x."""
+    return float(_f(table).sum() - _f(table.sum(1)).sum() - _f(table.sum(0)).sum())
+
+
+def _shift(table: np.ndarray, c: int, right: np.ndarray, left: np.ndarray, loops: float, sign: int) -> None:
+    """Put a word into class c of the table (sign 1) or take it out (-1)."""
+    table[c] += sign * right
+    table[:, c] += sign * left
+    table[c, c] += sign * loops
+
+
+def best_move(table: np.ndarray, c: int, right: np.ndarray, left: np.ndarray, loops: float) -> tuple[int, float]:
+    """The class, END and REST apart, to which a word of class ``c`` moves best, and what likelihood that gains over staying.
+
+    ``right``, ``left``: counts of the classes after and before the word, itself aside; ``loops``: how often it follows itself.
+    """
+    _shift(table, c, right, left, loops, -1)
+    rows, cols = table.sum(1) + left, table.sum(0) + right  # what leads to the word and follows it counts in any class
+    gain = (_f(table + right[None]) - _f(table)).sum(1) + (_f(table + left[:, None]) - _f(table)).sum(0)
+    d = np.diag(table)
+    gain += _f(d + right + left + loops) - _f(d + right) - _f(d + left) + _f(d)
+    n_right, n_left = right.sum() + loops, left.sum() + loops
+    gain -= _f(rows + n_right) - _f(rows) + _f(cols + n_left) - _f(cols)
+    _shift(table, c, right, left, loops, 1)
+    best = 2 + int(np.argmax(gain[2:]))
+    return best, float(gain[best] - gain[c])
+
+
 def exchange(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     """Classes of units by the exchange method: each unit in turn moves to the class that gains most likelihood.
 
-    ``counts[a, b]``: how often b follows a. The last two units, all other words and the end, keep classes of their own. The
-    likelihood of a class bigram model is sum f(N(c, d)) - sum f(N(c)) - sum f(N(d)), f(x) = x log x.
+    ``counts[a, b]``: how often b follows a. The last two units, all other words and the end, keep classes of their own.
     """
     m = len(counts)
     order = np.argsort(-counts.sum(0)[: m - 2], kind="stable")
@@ -93,37 +163,113 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     own[m - 2], own[m - 1] = REST, END
     table = np.zeros((classes, classes))
     np.add.at(table, (own[:, None].repeat(m, 1), own[None].repeat(m, 0)), counts)
-    free = np.arange(2, classes)
     for _ in range(rounds if classes > 3 else 0):
         moved = 0
         for w in order:
-            right = np.bincount(own, counts[w], classes)  # classes after w
+            right = np.bincount(own, counts[w], classes)
             left = np.bincount(own, counts[:, w], classes)
-            self_count, c = counts[w, w], own[w]
-            right[c] -= self_count
-            left[c] -= self_count
-            table[c] -= right
-            table[:, c] -= left
-            table[c, c] -= self_count
-            rows, cols = table.sum(1) + left, table.sum(0) + right  # what leads to w and follows it counts in any class
-            gain = (_f(table + right[None]) - _f(table)).sum(1) + (_f(table + left[:, None]) - _f(table)).sum(0)
-            d = np.diag(table)
-            gain += _f(d + right + left + self_count) - _f(d + right) - _f(d + left) + _f(d)
-            n_right, n_left = right.sum() + self_count, left.sum() + self_count
-            gain -= _f(rows + n_right) - _f(rows) + _f(cols + n_left) - _f(cols)
-            best = free[np.argmax(gain[free])]
-            if gain[best] <= gain[c] + 1e-9:
-                best = c
-            moved += best != c
-            own[w] = best
-            table[best] += right
-            table[:, best] += left
-            table[best, best] += self_count
+            loops, c = counts[w, w], own[w]
+            right[c] -= loops
+            left[c] -= loops
+            best, gain = best_move(table, c, right, left, loops)
+            if best != c and gain > 1e-9:
+                _shift(table, c, right, left, loops, -1)
+                _shift(table, best, right, left, loops, 1)
+                own[w] = best
+                moved += 1
         if not moved:
             break
     return own
 
 
+_CONTEXTS = "bucket int, word binary, other binary, after binary, n binary"
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    """All contexts of a bucket's words as one row of arrays, by word."""
+    word = t["word"].to_numpy()
+    order = np.argsort(word, kind="stable")
+    columns = {c: t[c].to_numpy(zero_copy_only=False)[order] for c in ("word", "other", "after", "n")}
+    return pa.table({
+        "bucket": pa.array([t["bucket"][0].as_py()], pa.int32()),
+        **{c: pa.array([columns[c].astype(k).tobytes()], pa.binary()) for c, k in (("word", np.uint32), ("other", np.uint32), ("after", bool), ("n", np.int64))},
+    })
+
+
+def _proposals(own, table):
+    """The best move of each word of a bucket, all others staying where they are."""
+    own, table = own.value, table.value
+
+    def run(batches):
+        size, table_here = len(table), table.copy()
+        for batch in batches:
+            for word, other, after, n in zip(*(batch.column(c).to_pylist() for c in ("word", "other", "after", "n"))):
+                word, other, after, n = (np.frombuffer(x, k) for x, k in ((word, np.uint32), (other, np.uint32), (after, bool), (n, np.int64)))
+                words, starts = np.unique(word, return_index=True)
+                cls, out = own[other], []
+                for w, lo, hi in zip(words.tolist(), starts, [*starts[1:], len(word)]):
+                    loop, right_side = other[lo:hi] == w, after[lo:hi]
+                    right = np.bincount(cls[lo:hi], n[lo:hi] * (right_side & ~loop), size)
+                    left = np.bincount(cls[lo:hi], n[lo:hi] * (~right_side & ~loop), size)
+                    out.append(best_move(table_here, own[w], right, left, float(n[lo:hi][loop & right_side].sum())))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.astype(np.int64)), pa.array([c for c, _ in out], pa.int32()), pa.array([g for _, g in out], pa.float64())], names=["word", "cls", "gain"],
+                )
+
+    return run
+
+
+def _contexts(pairs: DataFrame, n_core: int) -> DataFrame:
+    """The units before and after each word of the core, packed by buckets of words: a bucket's pairs are distinct, so their number is bounded."""
+    m = n_core + 2
+    buckets = max(1, min(n_core, 1 << 12))
+    first, second = F.expr(f"pair div {m}"), F.col("pair") % m
+    sides = pairs.select(first.alias("word"), second.alias("other"), F.lit(True).alias("after"), "n")
+    sides = sides.unionAll(pairs.select(second, first, F.lit(False), "n")).where(F.col("word") < n_core)
+    sides = sides.withColumn("bucket", (F.col("word") % buckets).cast("int"))
+    tasks = min(buckets, 4 * pairs.sparkSession.sparkContext.defaultParallelism)
+    return cut(sides.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_packed, _CONTEXTS), "contexts")
+
+
+def exchange_core(pairs: DataFrame, order: np.ndarray, classes: int, seeds: int = SEEDS, rounds: int = ROUNDS, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the core's units, and the table of class pairs, by exchange rounds of Spark.
+
+    ``pairs``: (pair, n) of units; ``order``: the core's units, most frequent first. The ``seeds`` first are exchanged one by one
+    to begin with, the others begin in REST. In a round every word finds its best move, all others staying; all moves that gain are
+    made together. Where that loses likelihood, the half with the higher gains is, down to the one best move, whose gain is exact.
+    Rounds end when none moves, when they gain less than ``least_gain`` a token, or after ``rounds``.
+    """
+    spark = pairs.sparkSession
+    n_core = len(order)
+    seeds = min(seeds, n_core)
+    to_seed = np.full(n_core + 2, seeds)
+    to_seed[order[:seeds]] = np.arange(seeds)
+    to_seed[n_core + 1] = seeds + 1
+    seeded = exchange(_table_of(pairs, to_seed, seeds + 2), classes)
+    own = np.full(n_core + 2, REST)
+    own[order[:seeds]] = seeded[:seeds]
+    own[n_core + 1] = END
+    table = _table_of(pairs, own, classes)
+    tokens, reached = table.sum(), likelihood(table)
+    contexts = _contexts(pairs, n_core) if n_core and classes > 3 else None
+    for _ in range(rounds if contexts is not None else 0):
+        run = _proposals(spark.sparkContext.broadcast(own), spark.sparkContext.broadcast(table))
+        moves = contexts.mapInArrow(run, "word long, cls int, gain double").where("gain > 1e-9").collect()  # 1 / SHARE rows at most
+        moves.sort(key=lambda r: (-r[2], r[0]))
+        before = reached
+        while moves:
+            trial = own.copy()
+            trial[[r[0] for r in moves]] = [r[1] for r in moves]
+            found = _table_of(pairs, trial, classes)
+            if likelihood(found) > reached:
+                own, table, reached = trial, found, likelihood(found)
+                break
+            moves = moves[: len(moves) // 2]
+        if reached - before <= least_gain * tokens:
+            break
+    return own, table
+
+
 def _rest_events(core, own, bits: int):
     """Classes before and after each word outside the core, packed by buckets of words."""
     core, own = core.value, own.value
@@ -139,7 +285,7 @@ def _rest_events(core, own, bits: int):
             if not len(rest):
                 continue
             words = h[units[units != m - 1] == m - 2].view(np.uint64)
-            bucket = (words >> np.uint64(64 - bits)).astype(np.uint16)
+            bucket = (words >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bucket = bucket[order]
             low = ((words >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
@@ -179,13 +325,24 @@ def _exchanged(affinity):
 
 
 def _block_words(batches):
+    """The distinct words of each block among the texts that a worker holds."""
+    held, size = {}, 0
+
+    def flush():
+        for b, hs in held.items():
+            words = np.unique(np.concatenate(hs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b, np.int64)), pa.array(words)], names=["block", "word"])
+
     for batch in batches:
         block = batch.column(1).to_numpy()
         for b in np.unique(block):
-            mine = batch.filter(pa.array(block == b))
-            held = [h for _, h, _ in _doc_words([mine])]
-            words = np.unique(np.concatenate(held))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b, np.int64)), pa.array(words)], names=["block", "word"])
+            for _, h, _ in _doc_words([batch.filter(pa.array(block == b))]):
+                held.setdefault(int(b), []).append(h)
+                size += len(h)
+        if size > HELD:
+            yield from flush()
+            held, size = {}, 0
+    yield from flush()
 
 
 def _read_block(constants):
@@ -254,16 +411,17 @@ def _scored(log_moves, names):
     return run
 
 
-def class_scores(docs: DataFrame, held_out, core_words: int = CORE, classes: int = CLASSES, strength: float = 50.0) -> DataFrame:
+def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int = CLASSES, strength: float = 50.0) -> DataFrame:
     """Score each text by a class bigram model of the texts that are not held out.
 
     ``held_out``: boolean column of ``docs``. Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for
     each row; takes doc_id and text, ignores other columns. A null or empty text is an end alone. Without training
     texts every token is unknown. Equal texts get equal scores; ties between words of one count are broken by hash.
 
-    All words of the training texts get a class. The ``core_words`` most frequent are exchanged against each other on their
-    bigram counts, of bounded size, until no move gains likelihood. All others are exchanged once: Spark gathers
-    the classes around each of their places, and each goes to the class that explains them best. Then
+    All words of the training texts get a class. Those of at least ``share`` of all tokens, so 1 / share at most, are exchanged
+    against each other on the counts of their pairs until no move gains (``exchange_core``). All others, whose classes no word's
+    context depends on, are exchanged once: Spark gathers the classes around each of their places, and each goes to
+    the class that explains them best. Then
     log10 p(word | word before) = log10 p(class | class before) + log10 p(word | class), with transitions
     smoothed by ``strength`` counts of the classes' shares and emissions by adding one. An unknown word has the probability 1 / (N + V + 1) in every place.
     """
@@ -275,30 +433,22 @@ def class_scores(docs: DataFrame, held_out, core_words: int = CORE, classes: int
     n_tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     ends = counts.where(F.col("word") == _END_KEY).first()
     ends = int(ends[1]) if ends else 0
-    core = sorted(r[0] for r in counts.where(F.col("word") != _END_KEY).orderBy(F.desc("n"), "word").limit(core_words).collect())
-    core = np.array(core, np.int64)
-    m = len(core) + 2
+    top = counts.where((F.col("word") != _END_KEY) & (F.col("n") >= share * n_tokens)).orderBy("word").collect()  # 1 / share rows at most
+    core = np.array([r[0] for r in top], np.int64)
     shared = spark.sparkContext.broadcast(core)
-    pairs = train.mapInArrow(_core_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # (core + 2)^2 rows at most
-    matrix = np.zeros(m * m)
-    for p, n in pairs:
-        matrix[p] = n
-    matrix = matrix.reshape(m, m)
-    own = exchange(matrix, classes)
-
-    table = np.zeros((classes, classes))
-    np.add.at(table, (own[:, None].repeat(m, 1), own[None].repeat(m, 0)), matrix)
+    pairs = cut(train.mapInArrow(_core_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    own, table = exchange_core(pairs, np.argsort([-r[1] for r in top], kind="stable").astype(np.int64), classes)
     expected = (table.sum(1)[:, None] + 1) * (table.sum(0)[None] + 1) / (table.sum() + 1)
     affinity = np.log((table + 1) / (expected + 1))
     forward, backward = affinity.copy(), affinity.T.copy()
     forward[:, END] = backward[:, END] = -1e9  # the end keeps a class of its own
     own_b, affinity_b = spark.sparkContext.broadcast(own), spark.sparkContext.broadcast((forward, backward))
-    bits = power_of_two(size / 6 / 1_000_000, 64, 1 << 16).bit_length() - 1
+    bits = power_of_two(size / 6 / 1_000_000, 64, 1 << 24).bit_length() - 1
     rest = cut(
         train.mapInArrow(_rest_events(shared, own_b, bits), "bucket int, low binary, before binary, after binary")
         .groupBy("bucket").applyInArrow(_exchanged(affinity_b), "key long, cls int"), "rest",
     )
-    core_rows = spark.createDataFrame([(int(w), int(c)) for w, c in zip(core, own)] or [(0, 0)], "core_word long, core_cls int")
+    core_rows = spark.createDataFrame([(int(w), int(c)) for w, c in zip(core, own)] or [(0, 0)], "core_word long, core_cls int")  # 1 / share rows at most
     key = F.expr(f"shiftrightunsigned(word, {32 - bits})")
     vocabulary = counts.where(F.col("word") != _END_KEY).join(F.broadcast(core_rows), F.col("word") == F.col("core_word"), "left").withColumn("key", F.when(F.col("core_cls").isNull(), key))
     vocabulary = cut(vocabulary.join(rest, "key", "left").select("word", "n", F.coalesce("core_cls", "cls", F.lit(REST)).cast("int").alias("cls")), "vocabulary")
@@ -312,7 +462,7 @@ def class_scores(docs: DataFrame, held_out, core_words: int = CORE, classes: int
     constants = spark.sparkContext.broadcast({"classes": classes, "mass": np.maximum(mass, 1), "total": total, "ends": ends, "known": known})
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)))
-    words = dealt.select("text", "block").mapInArrow(_block_words, "block long, word long").distinct().join(vocabulary, "word")
+    words = dealt.select("text", "block").mapInArrow(_block_words, "block long, word long").repartition("word").distinct().join(vocabulary, "word")
     read = cut(
         dealt.groupBy("block").cogroup(words.select("block", "word", "n", "cls").groupBy("block")).applyInArrow(
             _read_block(constants), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, moves binary, counts binary",
