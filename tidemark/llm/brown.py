@@ -18,7 +18,7 @@ SEEDS = 510
 CLASSES = 64
 ROUNDS = 16
 #: A round that gains less log likelihood a token ends the exchange.
-LEAST_GAIN = 1e-5
+LEAST_GAIN = 1e-3
 #: Bytes of text that share one table of their words.
 BLOCK_BYTES = 16 << 20
 #: Words whose distinct ones, or pairs, a worker counts before it ships them.
@@ -236,7 +236,8 @@ def exchange_core(pairs: DataFrame, order: np.ndarray, classes: int, seeds: int
 
     ``pairs``: (pair, n) of units; ``order``: the core's units, most frequent first. The ``seeds`` first are exchanged one by one
     to begin with, the others begin in REST. In a round every word finds its best move, all others staying; all moves that gain are
-    made together. Where that loses likelihood, the half with the higher gains is, down to the one best move, whose gain is exact.
+    made together. Where that loses likelihood, the half with the higher gains is, down to the one best move, whose gain is exact;
+    the next round tries twice the part that gained.
     Rounds end when none moves, when they gain less than ``least_gain`` a token, or after ``rounds``.
     """
     spark = pairs.sparkSession
@@ -252,11 +253,13 @@ def exchange_core(pairs: DataFrame, order: np.ndarray, classes: int, seeds: int
     table = _table_of(pairs, own, classes)
     tokens, reached = table.sum(), likelihood(table)
     contexts = _contexts(pairs, n_core) if n_core and classes > 3 else None
+    part = 1.0
     for _ in range(rounds if contexts is not None else 0):
         run = _proposals(spark.sparkContext.broadcast(own), spark.sparkContext.broadcast(table))
         moves = contexts.mapInArrow(run, "word long, cls int, gain double").where("gain > 1e-9").collect()  # 1 / SHARE rows at most
         moves.sort(key=lambda r: (-r[2], r[0]))
         before = reached
+        moves = moves[: max(1, int(len(moves) * part))]
         while moves:
             trial = own.copy()
             trial[[r[0] for r in moves]] = [r[1] for r in moves]
@@ -264,7 +267,8 @@ def exchange_core(pairs: DataFrame, order: np.ndarray, classes: int, seeds: int
             if likelihood(found) > reached:
                 own, table, reached = trial, found, likelihood(found)
                 break
-            moves = moves[: len(moves) // 2]
+            moves, part = moves[: len(moves) // 2], part / 2
+        part = min(1.0, 2 * part)
         if reached - before <= least_gain * tokens:
             break
     return own, table
