@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import corpus_size, cut, power_of_two
+from .common import corpus_size, cut, lean, power_of_two
 from .hashing import pieces, word_hashes
 
 #: Words of at least this share of all training tokens, the core, are the contexts that classes are found from: at most 1 / SHARE
@@ -19,6 +19,8 @@ CLASSES = 64
 ROUNDS = 16
 #: A round that gains less log likelihood a token ends the exchange.
 LEAST_GAIN = 1e-3
+#: Parts of a round's moves, each half of the one before, that one pass over the pair counts tries.
+TRIALS = 3
 #: Bytes of text that share one table of their words.
 BLOCK_BYTES = 16 << 20
 #: Words whose distinct ones, or pairs, a worker counts before it ships them.
@@ -94,28 +96,35 @@ def _core_pairs(core):
     return run
 
 
-def _folded(own, size: int):
-    """Pair counts of units as pair counts of their classes."""
-    own = own.value
+def _folded(owns, size: int):
+    """Pair counts of units as pair counts of their classes, for each of some ways to class the units."""
+    owns = owns.value
 
     def run(batches):
-        table = np.zeros(size * size)
+        tables = np.zeros((len(owns), size * size))
         for batch in batches:
-            a, b = np.divmod(batch.column(0).to_numpy(), len(own))
-            table += np.bincount(own[a] * size + own[b], batch.column(1).to_numpy(), size * size)
-        found = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(table[found].astype(np.int64))], names=["pair", "n"])
+            a, b = np.divmod(batch.column(0).to_numpy(), len(owns[0]))
+            n = batch.column(1).to_numpy()
+            for own, table in zip(owns, tables):
+                table += np.bincount(own[a] * size + own[b], n, size * size)
+        tables = tables.ravel()
+        found = np.flatnonzero(tables)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(tables[found].astype(np.int64))], names=["pair", "n"])
 
     return run
 
 
+def _tables_of(pairs: DataFrame, owns: list[np.ndarray], size: int) -> np.ndarray:
+    """How often each class follows each, by each of ``owns``, in one pass; as many times ``size`` squared rows at most come to the driver."""
+    run = _folded(pairs.sparkSession.sparkContext.broadcast(owns), size)
+    tables = np.zeros(len(owns) * size * size)
+    for p, n in pairs.mapInArrow(lean(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        tables[p] = n
+    return tables.reshape(len(owns), size, size)
+
+
 def _table_of(pairs: DataFrame, own: np.ndarray, size: int) -> np.ndarray:
-    """How often each class follows each; ``size`` squared rows at most come to the driver."""
-    run = _folded(pairs.sparkSession.sparkContext.broadcast(own), size)
-    table = np.zeros(size * size)
-    for p, n in pairs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        table[p] = n
-    return table.reshape(size, size)
+    return _tables_of(pairs, [own], size)[0]
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -141,7 +150,8 @@ def best_move(table: np.ndarray, c: int, right: np.ndarray, left: np.ndarray, lo
     """
     _shift(table, c, right, left, loops, -1)
     rows, cols = table.sum(1) + left, table.sum(0) + right  # what leads to the word and follows it counts in any class
-    gain = (_f(table + right[None]) - _f(table)).sum(1) + (_f(table + left[:, None]) - _f(table)).sum(0)
+    r, v = np.flatnonzero(right), np.flatnonzero(left)  # other classes' counts stay
+    gain = (_f(table[:, r] + right[None, r]) - _f(table[:, r])).sum(1) + (_f(table[v] + left[v, None]) - _f(table[v])).sum(0)
     d = np.diag(table)
     gain += _f(d + right + left + loops) - _f(d + right) - _f(d + left) + _f(d)
     n_right, n_left = right.sum() + loops, left.sum() + loops
@@ -236,8 +246,8 @@ def exchange_core(pairs: DataFrame, order: np.ndarray, classes: int, seeds: int
 
     ``pairs``: (pair, n) of units; ``order``: the core's units, most frequent first. The ``seeds`` first are exchanged one by one
     to begin with, the others begin in REST. In a round every word finds its best move, all others staying; all moves that gain are
-    made together. Where that loses likelihood, the half with the higher gains is, down to the one best move, whose gain is exact;
-    the next round tries twice the part that gained.
+    tried together, as are the half and the quarter with the higher gains, and the one that gains most likelihood is made. Where all of them
+    lose it, the next halves are tried, down to the one best move, whose gain is exact; the next round begins with twice the part that gained.
     Rounds end when none moves, when they gain less than ``least_gain`` a token, or after ``rounds``.
     """
     spark = pairs.sparkSession
@@ -256,19 +266,23 @@ def exchange_core(pairs: DataFrame, order: np.ndarray, classes: int, seeds: int
     part = 1.0
     for _ in range(rounds if contexts is not None else 0):
         run = _proposals(spark.sparkContext.broadcast(own), spark.sparkContext.broadcast(table))
-        moves = contexts.mapInArrow(run, "word long, cls int, gain double").where("gain > 1e-9").collect()  # 1 / SHARE rows at most
+        moves = contexts.mapInArrow(lean(run), "word long, cls int, gain double").where("gain > 1e-9").collect()  # 1 / SHARE rows at most
         moves.sort(key=lambda r: (-r[2], r[0]))
-        before = reached
-        moves = moves[: max(1, int(len(moves) * part))]
-        while moves:
-            trial = own.copy()
-            trial[[r[0] for r in moves]] = [r[1] for r in moves]
-            found = _table_of(pairs, trial, classes)
-            if likelihood(found) > reached:
-                own, table, reached = trial, found, likelihood(found)
-                break
-            moves, part = moves[: len(moves) // 2], part / 2
-        part = min(1.0, 2 * part)
+        before, count = reached, max(1, int(len(moves) * part))
+        while count and reached == before:
+            trials = []
+            for k in range(TRIALS):
+                if count >> k:
+                    trials.append(own.copy())
+                    trials[-1][[r[0] for r in moves[: count >> k]]] = [r[1] for r in moves[: count >> k]]
+            found = _tables_of(pairs, trials, classes) if moves else []
+            best = max(range(len(found)), key=lambda k: likelihood(found[k]), default=None)
+            if best is not None and likelihood(found[best]) > reached:
+                own, table, reached = trials[best], found[best], likelihood(found[best])
+                count >>= best
+            else:
+                count = count >> TRIALS if moves else 0
+        part = min(1.0, 2 * max(1, count) / max(1, len(moves)))
         if reached - before <= least_gain * tokens:
             break
     return own, table
@@ -433,14 +447,14 @@ def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int =
     rows, size = corpus_size(docs)
     docs = docs.select("text", F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     train = docs.where(~F.col("held_out")).select("text")
-    counts = cut(train.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = cut(train.mapInArrow(lean(_word_counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n_tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
     ends = counts.where(F.col("word") == _END_KEY).first()
     ends = int(ends[1]) if ends else 0
     top = counts.where((F.col("word") != _END_KEY) & (F.col("n") >= share * n_tokens)).orderBy("word").collect()  # 1 / share rows at most
     core = np.array([r[0] for r in top], np.int64)
     shared = spark.sparkContext.broadcast(core)
-    pairs = cut(train.mapInArrow(_core_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    pairs = cut(train.mapInArrow(lean(_core_pairs(shared)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     own, table = exchange_core(pairs, np.argsort([-r[1] for r in top], kind="stable").astype(np.int64), classes)
     expected = (table.sum(1)[:, None] + 1) * (table.sum(0)[None] + 1) / (table.sum() + 1)
     affinity = np.log((table + 1) / (expected + 1))
@@ -449,7 +463,7 @@ def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int =
     own_b, affinity_b = spark.sparkContext.broadcast(own), spark.sparkContext.broadcast((forward, backward))
     bits = power_of_two(size / 6 / 1_000_000, 64, 1 << 24).bit_length() - 1
     rest = cut(
-        train.mapInArrow(_rest_events(shared, own_b, bits), "bucket int, low binary, before binary, after binary")
+        train.mapInArrow(lean(_rest_events(shared, own_b, bits)), "bucket int, low binary, before binary, after binary")
         .groupBy("bucket").applyInArrow(_exchanged(affinity_b), "key long, cls int"), "rest",
     )
     core_rows = spark.createDataFrame([(int(w), int(c)) for w, c in zip(core, own)] or [(0, 0)], "core_word long, core_cls int")  # 1 / share rows at most
@@ -466,14 +480,14 @@ def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int =
     constants = spark.sparkContext.broadcast({"classes": classes, "mass": np.maximum(mass, 1), "total": total, "ends": ends, "known": known})
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)))
-    words = dealt.select("text", "block").mapInArrow(_block_words, "block long, word long").repartition("word").distinct().join(vocabulary, "word")
+    words = dealt.select("text", "block").mapInArrow(lean(_block_words), "block long, word long").repartition("word").distinct().join(vocabulary, "word")
     read = cut(
         dealt.groupBy("block").cogroup(words.select("block", "word", "n", "cls").groupBy("block")).applyInArrow(
             _read_block(constants), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, moves binary, counts binary",
         ), "read",
     )
     k = classes + 1
-    found = read.where("not held_out").select("moves", "counts").mapInArrow(_transitions(k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    found = read.where("not held_out").select("moves", "counts").mapInArrow(lean(_transitions(k)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     moves = np.zeros(k * k)
     for p, n in found:
         moves[p] = n
@@ -483,5 +497,5 @@ def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int =
     log_moves = np.log10(np.maximum(smooth, 1e-300))
     log_moves[:, classes] = 0.0  # unknown words have their whole probability in the emission
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
-    out = read.mapInArrow(_scored(spark.sparkContext.broadcast(log_moves.ravel()), names), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = read.mapInArrow(lean(_scored(spark.sparkContext.broadcast(log_moves.ravel()), names)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
