@@ -389,6 +389,8 @@ def test_vectors(spark, sf):
     expect = brute_vectors(data)
     wrong = {i: (got[i], expect[i]) for i in expect if got[i] != expect[i]}
     assert not wrong
+    as_doubles = near_vectors(df.withColumn("embedding", df["embedding"].cast("array<double>")))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows(as_doubles)} == got
     assert rows(near_vectors(df.limit(0))) == []
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, power_of_two
+from .common import cut, lean, power_of_two
 from .components import connected_components
 
 COSINE = 0.98
@@ -59,17 +61,17 @@ class ProductIndex:
             error += ((r - book[codes[:, m]]) ** 2).sum(1)
         return codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each vector's own cell, and (row, cell) for every cell in which a vector within ``radius`` can be.
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for each vector's own cell and for other cells in which a vector within ``radius`` can be, of two cells one way.
 
-        A vector of another cell lies beyond the plane between the two centroids, so that plane is within the radius.
+        A vector of another cell lies beyond the plane between the two centroids, so that plane is within the radius. That holds
+        from both sides, so either may probe the other's cell: which does goes by the cells' numbers, to even the work.
         """
         d = self.distances(x)
-        own = d.argmin(1)
-        gap = self.gaps[own]
-        far = (d - d[np.arange(len(x)), own][:, None]) / (2 * gap)
-        rows, cells = np.nonzero((far <= radius + _SLACK) | (np.arange(d.shape[1]) == own[:, None]))
-        return own, rows, cells
+        far = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gaps[own])
+        cells = np.arange(d.shape[1])
+        ours = (cells > own[:, None]) == ((cells + own[:, None]) % 2 == 0)
+        return np.nonzero(((far <= radius + _SLACK) & ours) | (cells == own[:, None]))
 
     def table_distances(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances from each query to each code of the cell."""
@@ -82,49 +84,79 @@ class ProductIndex:
         return np.sqrt(np.maximum(out, 0))
 
 
-def _matrix(column, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Vectors as doubles, padded with zeros."""
     x = np.zeros((len(column), dim))
-    for i, v in enumerate(column):
-        x[i, : len(v)] = v
+    x[np.arange(dim) < pc.list_value_length(column).to_numpy(zero_copy_only=False)[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return x
 
 
-def _postings(index, dim: int, radius: float, members: bool):
+def _unpacked(column, kind, dim: int) -> np.ndarray:
+    """Vectors of one length from their bytes."""
+    found = np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+    x = np.zeros((len(column), dim))
+    x[:, : found.shape[1]] = found
+    return x
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _members(index, dim: int, kind):
+    """Each vector's cell, residual code and the code's error; its components as bytes."""
     index = index.value
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(2).to_pylist(), dim)
-            if not len(x):
+            if not len(batch):
                 continue
-            unit = x / np.sqrt((x * x).sum(1))[:, None]
-            own, rows, cells = index.probes(unit, radius)
-            if members:
-                codes, error = index.encode(unit, own)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    names=["id", "part", "vector", "many", "cell", "code", "error"],
-                )
-            else:
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.astype(np.int32))], names=["id", "part", "vector", "many", "cell"])
+            x = _matrix(batch.column(2), dim)
+            unit = _units(x)
+            own = index.distances(unit).argmin(1)
+            codes, error = index.encode(unit, own)
+            packed = [v[:n].tobytes() for v, n in zip(x.astype(kind), pc.list_value_length(batch.column(2)).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
+                names=["id", "part", "vector", "many", "cell", "code", "error"],
+            )
+
+    return run
+
+
+def _queries(index, dim: int, kind, radius: float):
+    """A row for each cell that a member probes; home: its own cell."""
+    index = index.value
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                own, packed = some.column(4).to_numpy(), some.column(2).to_pylist()
+                x = np.zeros((len(some), dim))
+                for i, v in enumerate(packed):
+                    v = np.frombuffer(v, kind)
+                    x[i, : len(v)] = v
+                rows, cells = index.probes(_units(x), own, radius)
+                taken = some.select(["id", "part", "vector", "many"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.astype(np.int32)), pa.array(cells == own[rows])], names=["id", "part", "vector", "many", "cell", "home"])
 
     return run
 
 
-def _compare(index, dim: int, cosine: float, radius: float):
+def _compare(index, dim: int, kind, cosine: float, radius: float):
     def run(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
         if not len(queries) or not len(members):
             return empty
-        q, m = _matrix(queries["vector"], dim), _matrix(members["vector"], dim)
+        q, m = _unpacked(queries["vector"], kind, dim), _unpacked(members["vector"], kind, dim)
         q_norm, m_norm = np.sqrt((q * q).sum(1)), np.sqrt((m * m).sum(1))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in members["code"]])
         far = index.value.table_distances(q / q_norm[:, None], int(key[1]), codes) - members["error"].to_numpy()
         qi, mi = queries["id"].to_numpy(), members["id"].to_numpy()
-        # a code is within its error of its vector: what is farther can't be a link; each pair once, from its smaller id
-        rows, cols = np.nonzero((far <= radius + _SLACK) & (qi[:, None] < mi))
+        home = queries["home"].to_numpy(bool)[:, None]
+        # a code is within its error of its vector: what is farther can't be a link; each pair once, inside a cell from its smaller id
+        rows, cols = np.nonzero((far <= radius + _SLACK) & ((qi[:, None] < mi) | (~home & (qi[:, None] > mi))))
         good = np.zeros((len(q), len(m)), bool)
         for at in range(0, len(rows), 200_000):
             r, c = rows[at : at + 200_000], cols[at : at + 200_000]
@@ -155,12 +187,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     vectors of one length are compared. Equal vectors are one class, compared once and counted as many times
     as they occur. An empty table gives no rows.
 
-    The index is fitted on ``sample`` rows at most, taken by hash of the vector; every row is indexed. A query probes every cell
-    that can hold a vector within the threshold's distance, and drops a member only if its code is farther than that by more
+    The index is fitted on ``sample`` rows at most, taken by hash of the vector; every row is indexed. Of two cells of which each
+    can hold vectors within the threshold's distance of the other's, one's vectors probe the other; a query drops a member only if its code is farther than that by more
     than the code's error, so no link is lost but by rounding. Cells of a label are split in blocks of about BLOCK by BLOCK rows.
     """
     spark = vectors.sparkSession
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    of = vectors.schema["embedding"].dataType
+    kind = np.float32 if isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType) else np.float64
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
@@ -175,14 +209,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = -(-dim // SUBSPACE) * SUBSPACE
     drawn = [r[0] for r in classes.orderBy(F.hash("vector"), "id").limit(sample).select("vector").collect()]
-    x = _matrix(drawn, dim)
-    fitted = ProductIndex(x / np.sqrt((x * x).sum(1))[:, None], power_of_two(count**0.5 / 4, 8, 1024))
+    fitted = ProductIndex(_units(_matrix(pa.array(drawn, pa.list_(pa.float64())), dim)), power_of_two(count**0.5 / 4, 8, 1024))
     index = spark.sparkContext.broadcast(fitted)
 
     base = classes.select("id", "part", "vector", "many")
-    fields = "id long, part string, vector array<double>, many long, cell int"
-    members = cut(base.mapInArrow(_postings(index, dim, radius, True), fields + ", code binary, error double"), "members")
-    queries = cut(base.mapInArrow(_postings(index, dim, radius, False), fields), "queries")
+    fields = "id long, part string, vector binary, many long, cell int"
+    members = cut(base.mapInArrow(lean(_members(index, dim, kind)), fields + ", code binary, error double"), "members")
+    queries = cut(members.mapInArrow(lean(_queries(index, dim, kind, radius)), fields + ", home boolean"), "queries")
     blocks = members.groupBy("part", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m_blocks"))
     blocks = cut(blocks.join(queries.groupBy("part", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("q_blocks")), ["part", "cell"]), "blocks")
 
@@ -194,7 +227,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     keys = ["part", "cell", "q_block", "m_block"]
     found = cut(
         dealt(queries, "q", "m").groupBy(*keys).cogroup(dealt(members, "m", "q").groupBy(*keys))
-        .applyInPandas(_compare(index, dim, cosine, radius), "id long, links long, other long"), "found",
+        .applyInPandas(_compare(index, dim, kind, cosine, radius), "id long, links long, other long"), "found",
     )
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     reached = connected_components(found.where("id <> other"), "id", "other")
