@@ -76,6 +76,27 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .routed_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import lower_ascii, verify_rows
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return verify_rows(table(spark, sf_dir, "documents"), lower_ascii(F.col("text")), tampered)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine_negatives
+
+    v = table(spark, sf_dir, "embeddings")
+    v = v.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return mine_negatives(v, F.col("vec_id") % 50 == 0)
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op9 returns but for the copies, which its offsets decide."""
     from .mixing import mix_sources
@@ -95,6 +116,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_brown_scores, op2_jaccard_join, op3_toxicity, op4_line_dedup, op5_vector_pairs,
-        op6_fingerprints, op7_licenses, op8_pii, op9_mix_sources, op10_pack, mix_targets, license_phrases,
+        op6_fingerprints, op7_licenses, op8_pii, op9_mix_sources, op10_pack, op11_routed_search, op12_merkle_manifest, op13_hard_negatives, mix_targets, license_phrases,
     )
 }

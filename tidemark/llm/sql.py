@@ -50,4 +50,45 @@ LICENSES = rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coa
     g AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM p GROUP BY doc_id)
     SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)"""
 
-ORACLES = {"op2_jaccard_join": JACCARD, "op5_vector_pairs": VECTORS, "mix_targets": TARGETS, "license_phrases": LICENSES}
+NEGATIVES = f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform({_COMPONENTS.format("embedding")}, lambda x: floor(256 * x)) AS v
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT x.vec_id AS a, y.vec_id AS b, x.label = y.label AS same, list_inner_product(x.v, y.v)::BIGINT AS score FROM v x JOIN v y ON x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id),
+    p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+    SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b))::INT AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3"""
+
+#: CRC-32 of the decimal digits of doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)), lambda c, d:
+    list_reduce(list_prepend(xor(c, d), range(8)), lambda e, k: CASE WHEN e & 1 = 1 THEN xor(e >> 1, 3988292384) ELSE e >> 1 END)))"""
+_SPELT = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_SPELT.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (key, level, i, h, n) over ``leaves`` (key, i, h), and each key's root; n: nodes of the key on the level."""
+    return f"""{name}(key, level, i, h, n) AS (SELECT key, 0, i, h, count(*) OVER (PARTITION BY key) FROM {leaves}
+      UNION ALL SELECT key, any_value(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM {name} WHERE n > 1 GROUP BY key, i // 8)"""
+
+
+MERKLE = f"""WITH RECURSIVE r AS (SELECT doc_id, coalesce('=' || lang, '') AS key, {_LEAF.format(text="text")} AS h,
+      CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(text=_LOWER.format("text"))} END AS changed FROM documents),
+    l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, h) - 1 AS i FROM r),
+    {_tree("t", "l")},
+    sub AS (SELECT key AS lang_key, h AS subroot, '' AS key, row_number() OVER (ORDER BY key) - 1 AS i, h FROM t WHERE n = 1),
+    {_tree("u", "sub")},
+    -- every row's nodes, level by level through both trees, and their siblings
+    walk AS (SELECT l.key, l.i AS row, t.level, t.i // 8 AS run, t.i AS at, t.key AS tree_key, 0 AS top FROM l JOIN t ON t.key = l.key AND t.n > 1 AND t.i = l.i >> (3 * t.level)
+      UNION ALL SELECT l.key, l.i, u.level, u.i // 8, u.i, u.key, 1 FROM l JOIN sub ON sub.lang_key = l.key JOIN u ON u.n > 1 AND u.i = sub.i >> (3 * u.level)),
+    nodes AS (SELECT *, 0 AS top FROM t UNION ALL SELECT *, 1 FROM u),
+    step AS (SELECT w.key, w.row, row_number() OVER (PARTITION BY w.key, w.row ORDER BY w.top, w.level) AS k, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < w.at), '') AS lo, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > w.at), '') AS hi
+      FROM walk w JOIN nodes x ON x.top = w.top AND x.key = w.tree_key AND x.level = w.level AND x.i // 8 = w.run GROUP BY w.key, w.row, w.top, w.level, w.at),
+    f(key, row, k, h) AS (SELECT key, i, 0, coalesce(changed, h) FROM l UNION ALL SELECT f.key, f.row, f.k + 1, sha256(s.lo || f.h || s.hi) FROM f JOIN step s ON s.key = f.key AND s.row = f.row AND s.k = f.k + 1),
+    folded AS (SELECT key, row, arg_max(h, k) AS h FROM f GROUP BY key, row),
+    proof AS (SELECT key, row, string_agg(lo || hi, '' ORDER BY k) AS p FROM step GROUP BY key, row)
+    SELECT l.doc_id, l.h AS leaf, sub.subroot, root.h AS root, sha256(coalesce(p, '')) AS proof_sha256, folded.h AS folded_root, folded.h = root.h AS verified
+    FROM l JOIN sub ON sub.lang_key = l.key JOIN folded ON folded.key = l.key AND folded.row = l.i LEFT JOIN proof ON proof.key = l.key AND proof.row = l.i, (SELECT h FROM u WHERE n = 1) root"""
+
+ORACLES = {
+    "op2_jaccard_join": JACCARD, "op5_vector_pairs": VECTORS, "op12_merkle_manifest": MERKLE, "op13_hard_negatives": NEGATIVES,
+    "mix_targets": TARGETS, "license_phrases": LICENSES,
+}
