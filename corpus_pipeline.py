@@ -46,7 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near-duplicates, the one of the smallest doc_id, nulls last; of its ties that of the least hash, then the least row.
+    """Keep one row of each group of near-duplicates, the one of the smallest doc_id, nulls last; of its ties that of the least hash, then the row whose JSON is least.
 
     Rows are told apart by doc_id and text, not by doc_id alone. Texts without words are in no group and stay.
     """
@@ -63,7 +63,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     single = chosen.where("n = 1").select("key")
     kept = keyed.join(members.select("key").join(single, "key", "left_anti"), "key", "left_anti").select("row")
     repeats = keyed.join(chosen.where("n > 1").select("key"), "key", "left_semi")
-    least = repeats.groupBy("key").agg(F.min("row").alias("row")).select("row")
+    # as JSON, since rows with maps have no order
+    least = repeats.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return kept.union(least).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
