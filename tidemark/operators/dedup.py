@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .backends import DedupBackend, InProcess
 from .fold import fold
 from .steps import dedup_step
 
@@ -28,6 +31,27 @@ def dedup(df: DataFrame, keys: list[str], order: list[str], t_us: Column, ttl_us
     return out.drop("_t", "_ttl", "_evict")
 
 
+def dedup_with(df: DataFrame, keys: list[str], order: list[str], name: str, t_us: str, ttl_us: str, backend: Callable[[], DedupBackend] = InProcess, evict: str | None = None) -> DataFrame:
+    """``df`` with is_novel and expires_us, a backend for each stream of ``keys`` and its keys in the column ``name``.
+
+    Expired entries are purged as often as the backend has doubled since, so it holds about what is live. ``evict``: a column
+    that is true in rows that delete the key.
+    """
+
+    def step(state, key, t, ttl, gone=False):
+        store, most = state
+        if gone:
+            store.evict(key)
+            return False, None
+        novel = store.check_and_register(key, t, ttl)
+        if store.size() > most:
+            store.purge_expired(t)
+            state[1] = max(1024, 2 * store.size())
+        return novel, store.expires(key)
+
+    return fold(df, keys, order, [name, t_us, ttl_us, *([evict] if evict else [])], lambda: [backend(), 1024], step, "is_novel boolean, expires_us long")
+
+
 def whole_seconds(ttl_ms: Column) -> Column:
     """A time to live as an external store keeps it: whole seconds, at least one; in microseconds."""
     return F.greatest(F.lit(1), F.floor(ttl_ms / 1000)).cast("long") * 1_000_000

@@ -41,6 +41,26 @@ def latency_jitter(df: DataFrame, latency: str, order: str, p: LatencyParams, di
     return x.agg(F.round(F.sqrt(F.avg(F.pow(F.col(latency) - F.col("avg_us"), 2.0))) / 1000, digits).alias("jitter_ms"))
 
 
+def running_latency(df: DataFrame, latency: str, keys: list[str], order: list[str], p: LatencyParams = LatencyParams(), reset: str | None = None) -> DataFrame:
+    """``df`` with the statistics after every sample: measurements, avg_us, min_us, max_us all-time; p95_us, p99_us and jitter_ms of the last samples.
+
+    The last samples of a key are kept sorted, so each sample costs two searches whatever the window. Rows where the column ``reset``
+    is true start the statistics anew and are left out.
+    """
+    from .fold import fold
+    from .steps import LatencyWindow
+
+    def step(state, x, control=False):
+        if control:
+            state.reset()
+            return (None,) * 7
+        state.add(x)
+        return state.stats()
+
+    out = fold(df, keys, order, [latency, *([reset] if reset else [])], lambda: LatencyWindow(p.sample_window, p.profiling), step, "measurements long, avg_us long, min_us long, max_us long, p95_us long, p99_us long, jitter_ms double")
+    return out.where("measurements is not null")
+
+
 def running_variance(value: Column, keys: list[str], order: str) -> Column:
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return F.coalesce(F.var_samp(value).over(w), F.lit(0.0))

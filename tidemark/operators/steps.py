@@ -5,7 +5,10 @@ Batch folds and streaming processors run the same functions.
 
 from __future__ import annotations
 
-from ..params import RiskParams, SignalParams
+import math
+from bisect import bisect_left, insort
+
+from ..params import PressureParams, RiskParams, SignalParams
 
 PASS, COOLDOWN, DUPLICATE, RESET = "pass", "cooldown", "duplicate", "reset"
 MAGNITUDE, CONFIDENCE, RATE = "magnitude_exceeded", "confidence_below_minimum", "rate_limit_exceeded"
@@ -94,3 +97,125 @@ def risk_step(state: list, p: RiskParams, t_us: int, bias: float, volatility: fl
     state[3] += bias
     state[1] += 1
     return PASS, events
+
+
+def backoff_step(high: int, composite: float, p: PressureParams, times: int = 1) -> int:
+    """How often the back-off has been raised since it was last one: a high composite raises it, a low one resets it, others leave it."""
+    if composite < p.reset_below:
+        return 0
+    return high + times if composite >= p.raise_at else high
+
+
+def backoff_level(high: int, p: PressureParams) -> float:
+    return min(p.most, p.factor ** min(high, 10))
+
+
+class LatencyWindow:
+    """Statistics after every sample: all-time count, mean, least and greatest; percentiles and jitter of the last ``n`` samples.
+
+    The window is held twice: as a ring in order of arrival, and sorted, so a sample costs two binary searches. Sums are whole
+    numbers, so the jitter about a mean that moves needs no pass over the window.
+    """
+
+    def __init__(self, n: int, profiling: bool = True):
+        self.n, self.profiling = n, profiling
+        self.reset()
+
+    def reset(self) -> None:
+        self.count, self.total, self.least, self.greatest = 0, 0, 0, 0
+        self.load_window([])
+
+    def load_window(self, ring: list[int]) -> None:
+        """``ring``: the sample at place ``count % n``, and so on; shorter while it isn't full."""
+        self.ring, self.sorted = list(ring), sorted(ring)
+        self.sum, self.squares = sum(ring), sum(x * x for x in ring)
+
+    def add(self, x: int) -> int | None:
+        """The place in the ring that has changed."""
+        at = self.count % self.n
+        self.least = x if not self.count else min(self.least, x)
+        self.greatest = x if not self.count else max(self.greatest, x)
+        self.count += 1
+        self.total += x
+        if not self.profiling:
+            return None
+        if at < len(self.ring):
+            old = self.ring[at]
+            del self.sorted[bisect_left(self.sorted, old)]
+            self.sum, self.squares = self.sum - old, self.squares - old * old
+            self.ring[at] = x
+        else:
+            self.ring.append(x)
+        insort(self.sorted, x)
+        self.sum, self.squares = self.sum + x, self.squares + x * x
+        return at
+
+    def mean(self) -> int:
+        return self.total // self.count if self.count else 0
+
+    def stats(self) -> tuple[int, int, int, int, int, int, float]:
+        """measurements, avg_us, min_us, max_us, p95_us, p99_us, jitter_ms."""
+        k, m = len(self.sorted), self.mean()
+        at = lambda q: self.sorted[min(int(k * q), k - 1)] if k else 0
+        apart = self.squares - 2 * m * self.sum + k * m * m
+        return self.count, m, self.least, self.greatest, at(0.95), at(0.99), math.sqrt(apart / k) / 1000 if k else 0.0
+
+
+class Monitor:
+    """Pressure and back-off of one key, tick by tick.
+
+    Every token updates the semantic part, a tick's end the ingestion and the queue part, one after the other, and each update
+    steps the back-off. A tick without tokens is two updates without ingestion.
+    """
+
+    def __init__(self, p: PressureParams):
+        self.p = p
+        self.tick, self.tokens, self.suppressed, self.high = None, 0, 0, 0
+        self.n, self.mean, self.squares = 0, 0.0, 0.0
+        self.ingestion = self.semantic = self.queue = 0.0
+
+    def dump(self) -> tuple:
+        return self.tick, self.tokens, self.suppressed, self.high, self.n, self.mean, self.squares, self.ingestion, self.semantic, self.queue
+
+    def load(self, values) -> None:
+        self.tick, self.tokens, self.suppressed, self.high, self.n, self.mean, self.squares, self.ingestion, self.semantic, self.queue = values
+
+    def _update(self, times: int = 1) -> float:
+        composite = max(self.ingestion, self.semantic, self.queue)
+        self.high = backoff_step(self.high, composite, self.p, times)
+        return composite
+
+    def token(self, tick: int, sentiment: float, suppressed: bool) -> list[tuple]:
+        """The rows of ticks that end before this token's."""
+        out = self.close(tick)
+        self.tick = tick
+        self.tokens += 1
+        self.suppressed += suppressed
+        self.n += 1
+        apart = sentiment - self.mean
+        self.mean += apart / self.n
+        self.squares += apart * (apart - apart / self.n)
+        variance = self.squares / (self.n - 1) if self.n > 1 else 0.0
+        self.semantic = min(1.0, max(0.0, variance / self.p.variance_saturation))
+        self._update()
+        return out
+
+    def close(self, tick: int, empty: bool = False) -> list[tuple]:
+        """End all ticks before ``tick``; a row for each with tokens, and with ``empty`` for each without: tick, tokens, suppressed,
+        ingestion, semantic, queue, composite, multiplier."""
+        out = []
+        while self.tick is not None and self.tick < tick:
+            if self.tokens or empty:
+                self.ingestion = min(1.0, max(0.0, self.tokens / self.p.max_tps)) if self.p.max_tps > 0 else 0.0
+                self._update()
+                depth = self.p.queue_capacity
+                self.queue = min(1.0, max(0.0, self.suppressed / depth)) if depth > 0 else 0.0
+                composite = self._update()
+                out.append((self.tick, self.tokens, self.suppressed, self.ingestion, self.semantic, self.queue, composite, backoff_level(self.high, self.p)))
+                self.tick, self.tokens = self.tick + 1, 0
+            else:
+                # a gap of any length in one step
+                self.ingestion = 0.0
+                self._update(2 * (tick - self.tick))
+                self.tick = tick
+        return out

@@ -15,6 +15,18 @@ def files(spark: SparkSession, path: str, stream: bool = False, max_files: int =
     return raw.select(F.col("_metadata.file_name").alias("feed"), F.col("_metadata.file_modification_time").alias("ts"), F.col("value").alias("body"))
 
 
+def pieces(spark: SparkSession, path: str, stream: bool = False, max_files: int = 100) -> DataFrame:
+    """(feed, part, body, t_us) of files ``<feed>/<part>`` under ``path``: bytes of a feed cut anywhere. A part's name begins with its number,
+    from 0; its time is the file's."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files) if stream else spark.read
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    raw = reader.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(path)
+    names = F.split(F.col("path"), "/")
+    part = F.regexp_extract(F.element_at(names, -1), "^([0-9]+)", 1).try_cast("long")
+    x = raw.select(F.url_decode(F.element_at(names, -2)).alias("feed"), part.alias("part"), F.col("content").alias("body"), F.unix_micros("modificationTime").alias("t_us"))
+    return x.where("part is not null")
+
+
 class PositionFeed(ABC):
     """What gives positions over time: (key, order, position fields), for the as-of join or the stream."""
 
@@ -36,13 +48,21 @@ class CapturedBodies(PositionFeed):
 
 
 class CapturedMessages(PositionFeed):
-    """Running positions of captured message feeds, with the limits given here and no profit or loss."""
+    """Running positions of captured message feeds, with the limits given here and no profit or loss.
 
-    def __init__(self, path: str, position_limit: float = 1.0, pnl_limit: float = -10.0):
-        self.path, self.position_limit, self.pnl_limit = path, position_limit, pnl_limit
+    Whole feeds, a file each; or with ``stream`` feeds that grow, files ``<feed>/<part>`` that may cut a message anywhere.
+    """
+
+    def __init__(self, path: str, position_limit: float = 1.0, pnl_limit: float = -10.0, stream: bool = False):
+        self.path, self.position_limit, self.pnl_limit, self.stream = path, position_limit, pnl_limit, stream
 
     def positions(self, spark: SparkSession) -> DataFrame:
         from .fix import net_positions, read_messages
 
+        limit, loss = F.lit(self.position_limit), F.lit(self.pnl_limit)
+        if self.stream:
+            from ..streaming.feeds import live_positions
+
+            return live_positions(spark, self.path, limit, loss)
         x = net_positions(read_messages(spark, self.path), "feed", "seq")
-        return x.select("feed", "seq", "net_position", F.lit(self.position_limit).alias("position_limit"), F.lit(0.0).alias("pnl"), F.lit(self.pnl_limit).alias("pnl_limit"))
+        return x.select("feed", "seq", "net_position", limit.alias("position_limit"), F.lit(0.0).alias("pnl"), loss.alias("pnl_limit"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,36 @@ def net_positions(messages: DataFrame, key: str, order: str, message: str = "mes
     x = x.withColumn("segment", F.coalesce(F.sum("report").over(upto), F.lit(0)))
     within = W.partitionBy(key, "segment").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return x.withColumn("net_position", F.sum("delta").over(within)).where("delta is not null").select(key, order, "net_position")
+
+
+_TAG, _NUMBER = re.compile(r"[ \t\n\x0b\f\r]*([+-]?[0-9]+)"), re.compile(r"[ \t\n\x0b\f\r]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)")
+_SUM = b"\x0110="
+
+
+def cut_frames(buffer: bytes) -> tuple[list[bytes], bytes]:
+    """The whole messages of a buffer, as ``frame`` finds them, and the fragment behind them."""
+    out, at = [], 0
+    while (total := buffer.find(_SUM, at)) >= 0 and (end := buffer.find(b"\x01", total + len(_SUM))) >= 0:
+        out.append(buffer[at : end + 1])
+        at = end + 1
+    return out, buffer[at:]
+
+
+def position_step(net: float, message: str) -> float | None:
+    """The net position after a message; null if it doesn't move it. One message's part in ``net_positions``."""
+    tags = {}
+    for field in re.findall(r"(?s)([^=]*)=([^\x01]*)\x01?", message):
+        if name := _TAG.match(field[0]):
+            tags[int(name[1])] = field[1]
+
+    def amount(n):
+        found = _NUMBER.match(tags[n]) if n in tags else None
+        x = float(found[1]) if found else None
+        return x if x is not None and abs(x) < float("inf") else None
+
+    if tags.get(35) == "AP" and (702 in tags or 703 in tags):
+        parts = [amount(n) if n in tags else 0.0 for n in (702, 703)]
+        return None if None in parts else parts[0] - parts[1]
+    if tags.get(35) == "8" and 54 in tags and (quantity := amount(32)) is not None:
+        return net + (quantity if tags[54] == "1" else -quantity)
+    return None

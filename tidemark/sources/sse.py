@@ -19,13 +19,39 @@ def decode_sse(lines: DataFrame, key: str, order: str, line: str = "line") -> Da
     data = lines.where(text.startswith("data: "))
     payload = F.trim(F.substring(text, F.lit(7), F.length(text)))
     done = F.max((payload == "[DONE]").cast("int")).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    token = F.get_json_object("payload", "$.choices[0].delta.content")
     return (
         data.select(key, order, payload.alias("payload"), done.alias("done")).where("done = 0")
-        .select(key, order, token.alias("token")).where("token <> ''")
+        .select(key, order, content(F.col("payload")).alias("token")).where("token <> ''")
     )
 
 
+def content(payload: Column) -> Column:
+    """The text that a line of an event stream adds."""
+    return F.get_json_object(payload, "$.choices[0].delta.content")
+
+
+class LineDecoder:
+    """Payloads of a response whose bytes come in pieces: the same lines as ``decode_sse`` reads, with their numbers from 0."""
+
+    def __init__(self, rest: bytes = b"", lines: int = 0, ended: bool = False):
+        self.rest, self.lines, self.ended = rest, lines, ended
+
+    def feed(self, body: bytes) -> list[tuple[int, str]]:
+        if self.ended:
+            return []
+        *whole, self.rest = (self.rest + body).split(b"\n")
+        out = []
+        for line in whole:
+            n, self.lines = self.lines, self.lines + 1
+            if line.startswith(b"data: "):
+                payload = line.removesuffix(b"\r")[6:].decode("utf8", "replace").strip(" ")
+                if payload == "[DONE]":
+                    self.ended, self.rest = True, b""
+                    break
+                out.append((n, payload))
+        return out
+
+
 def response_tokens(body: Column) -> Column:
     """Array of (n, token) of one whole response: the same rows as ``decode_sse``, without a window, so streams can use it."""
     lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x, i: F.struct(i.alias("n"), x.alias("line"))), lambda x: x["line"].startswith("data: "))
