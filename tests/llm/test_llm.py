@@ -517,16 +517,59 @@ def license_labels(spark, data):
 
 def test_licenses_apart(spark):
     """Notices of one license don't get another's label, nor does long prose with a template's words."""
-    from tidemark.llm.licenses import MARKS, TEMPLATES
-
-    assert all(f" {m} " in f" {t} " for t in TEMPLATES for m in MARKS[t])
     prose = " ".join(f"{w} {'filler ' * 30}" for w in "permission is hereby granted free of charge to any person obtaining a copy this software and associated documentation files".split())
     got = license_labels(spark, [
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "released under the license", prose,
         "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under the Apache License, Version 1.0",
         "Licensed under CC BY-NC-SA 4.0.",
     ])
-    assert got == {0: {"gpl", "gpl-3.0"}, 1: {"cc-by", "cc-by-nc-4.0"}, 2: set(), 3: set(), 4: {"lgpl"}, 5: {"apache"}, 6: {"cc-by"}}
+    assert got == {0: {"gpl", "gpl-3.0"}, 1: {"cc-by", "cc-by-nc-4.0"}, 2: set(), 3: set(), 4: {"lgpl"}, 5: {"apache"}, 6: {"cc-by", "cc-by-nc-sa-4.0"}}
+
+
+def test_licenses_changed(spark):
+    """Notices that lack a word or have another one, and each license's own notice among its relatives'."""
+    got = license_labels(spark, [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its documentation files",
+        "Redistribution and use in source or binary forms, with or without modification, are permitted",
+        "Licensed under the Apache Licence, Version 2.0",
+        "Licensed under the Eclipse Public License, Version 2.0", "Licensed under the Example License, Version 2.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Lesser General Public License. " + "then " * 5 + "Licensed under the GNU General Public License.",
+        "Licensed under the GNU Affero General Public License.",
+    ])
+    assert got == {0: {"mit"}, 1: {"bsd"}, 2: {"apache-2.0"}, 3: {"epl-2.0"}, 4: set(), 5: {"lgpl"}, 6: {"gpl"}, 7: {"lgpl", "gpl"}, 8: {"agpl"}}
+
+
+def test_licenses_against_all_runs(spark, docs, texts):
+    """Every run of every text with enough of a template's weight overlaps a place that the join found, and no place has less."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.licenses import TEMPLATES, THRESHOLD, span_of, template_places, weight_of, words_of
+
+    data = list(texts.items())
+    rng = np.random.default_rng(5)
+    for k, t in enumerate(list(TEMPLATES) * 3):  # notices with words lost and added, in long texts
+        w = [x for x in t.split() if rng.random() > 0.12 for x in ([x, "extra"] if rng.random() < 0.1 else [x])]
+        data.append((10_000 + k, " ".join(["filler"] * int(rng.integers(0, 90)) + w + ["the"] * int(rng.integers(0, 9)) + w[::-1])))
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("uid", F.xxhash64("doc_id", "text"))
+    found = defaultdict(list)
+    for r in template_places(df).collect():
+        found[r["doc_id"], r["name"]].append((r["first"], r["end"], r["share"]))
+    met = 0
+    for i, t in data:
+        words = [w.decode() for w in words_of(t)]
+        for name, template in enumerate(TEMPLATES):
+            wanted, span = set(template.split()), span_of(template)
+            full = weight_of(sorted(wanted))
+            share = lambda run: weight_of(sorted(wanted.intersection(run))) / full
+            places = found.get((i, name), [])
+            for lo in [k for k, w in enumerate(words) if w in wanted]:
+                if len(wanted.intersection(words[lo : lo + span])) > 1 and share(words[lo : lo + span]) >= THRESHOLD - 1e-9:
+                    assert any(a < lo + span and lo < b for a, b, _ in places), (i, template, lo)
+                    met += 1
+            assert all(b - a <= span and abs(share(words[a:b]) - s) < 1e-9 and s >= THRESHOLD - 1e-9 for a, b, s in places)
+    assert met > 100
 
 
 def test_licenses_wrapped(spark):
