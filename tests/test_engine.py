@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import latency as L
 from tidemark.operators import lexicon as X
+from tidemark.operators import signals as S
 from tidemark.operators import steps
 from tidemark.operators.dedup import dedup
 from tidemark.params import LIVE_RISK, T0_US, Config, ConfigWatcher, DedupParams, LatencyParams, RiskParams, SignalParams, load_config, save_config
@@ -337,3 +338,50 @@ def test_sinks(spark, tmp_path):
     assert len(memory.rows) == 4
     memory.clear()
     assert not memory.rows
+
+
+def test_columns_of_any_name_stay(spark):
+    """Helper columns take names that the user's columns don't have."""
+
+    from tidemark.operators.latency import backoff, last_samples, since_reset
+    from tidemark.sources.positions import FIELDS, position_asof
+
+    mine = ["_fold_key", "_t", "_ttl", "_evict", "_p", "_side", "_seg", "_r", "_later", "_block"]
+    x = spark.createDataFrame([("a", k, 0.9, *[f"{n}{k}" for n in mine]) for k in range(4)], ", ".join(["key string", "seq long", "c double", *[f"{n} string" for n in mine]]))
+    p = x.select("key", "seq", *[F.col("c").alias(f) for f in FIELDS]).limit(1)
+    outcomes = x.withColumn("outcome", F.lit(steps.RATE)).withColumn("oms_events", F.array().cast("array<string>"))
+    for out in (
+        dedup(x, ["key"], ["seq"], F.col("seq"), F.lit(2).cast("long"), F.lit(False)), position_asof(x, p, "key", "seq"), backoff(x, "c", ["key"], ["seq"]),
+        last_samples(x, "seq", ["key"], 9), since_reset(x.withColumn("reset", F.lit(False)), ["key"], "seq", "reset"), S.gate_labels(outcomes, ["key"], ["seq"]),
+    ):
+        assert sorted(tuple(r[n] for n in mine) for r in out.collect()) == [tuple(f"{n}{k}" for n in mine) for k in range(4)]
+
+
+def test_lexicon_with_a_token_twice_is_refused(spark):
+    lex = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 1.0), ("a", 2.0, 1.0, 1.0, 1.0)], X.SCHEMA)
+    tokens = spark.createDataFrame([("a",)], "token string")
+    with pytest.raises(ValueError, match="one row for each token"):
+        X.lookup(tokens, lex)
+    assert X.lookup(tokens, lex.limit(1)).count() == 1
+
+
+def test_sums_of_weights(spark):
+    """Whole billionths: the order of rows doesn't matter, and what doesn't fit fails."""
+    rows = [(1, 0.1, 0.7, 0.3, -0.2)] * 30_000 + [(1, -0.33, 0.111, 0.9, 0.5)] * 7
+    df = spark.createDataFrame(rows, "k int, sentiment double, confidence double, volatility double, bias double")
+    got = {tuple(r) for n in (1, 7) for r in X.sequence_weight(df.repartition(n), "k", 9).collect()}
+    c = 0.7 * 30_000 + 0.111 * 7
+    assert len(got) == 1 and abs(next(iter(got))[1] - (0.07 * 30_000 - 0.33 * 0.111 * 7) / c) < 1e-9
+    with pytest.raises(Exception, match="OVERFLOW"):
+        X.sequence_weight(spark.createDataFrame([(1, 1.0, 9e9, 0.0, 0.0)] * 2, df.schema), "k").collect()
+
+
+def test_table_replays(spark):
+    from tidemark.sources.positions import FIELDS, replay_positions
+    from tidemark.sources.tokens import replay_table
+
+    t = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "k string, seq long, token string")
+    got = sorted((r.k, r.seq, r.token) for r in replay_table(t, "k", "seq", 2).collect())
+    assert got == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 3, "y"), ("b", 0, "z"), ("b", 1, "z")]
+    p = t.select("k", "seq", *[F.lit(1.5).alias(f) for f in FIELDS])
+    assert [(r.k, r.seq, r.t_us) for r in replay_positions(p, "k", "seq", 100, 7).orderBy("k", "seq").collect()] == [("a", 0, 100), ("a", 1, 107), ("b", 0, 100)]

@@ -10,7 +10,7 @@ _SPACE = r" \t\n\x0B\f\r"
 
 def normalise(token: Column) -> Column:
     """Without outer C white space, A-Z lower-cased; other letters stay."""
-    bare = F.regexp_replace(token, rf"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    bare = F.btrim(token, F.lit(" \t\n\x0b\f\r"))
     return F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

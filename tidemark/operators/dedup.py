@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .backends import DedupBackend, InProcess
-from .fold import fold
+from .fold import fold, unused
 from .steps import dedup_step
 
 
@@ -18,7 +18,8 @@ def dedup(df: DataFrame, keys: list[str], order: list[str], t_us: Column, ttl_us
     The first row of a key is novel, and later ones once the key has expired; repeats do not renew it. Rows where ``evict``
     holds delete the key; they are not novel and have no expiry. For a key of its own per context, put the context in ``keys``.
     """
-    x = df.withColumn("_t", t_us).withColumn("_ttl", ttl_us).withColumn("_evict", evict if evict is not None else F.lit(False))
+    names = [unused(df, n) for n in ("_t", "_ttl", "_evict")]
+    x = df.select("*", *[c.alias(n) for n, c in zip(names, (t_us, ttl_us, evict if evict is not None else F.lit(False)))])
 
     def step(state, t, ttl, gone):
         if gone:
@@ -27,8 +28,7 @@ def dedup(df: DataFrame, keys: list[str], order: list[str], t_us: Column, ttl_us
         novel, state[0] = dedup_step(state[0], t, ttl)
         return novel, state[0]
 
-    out = fold(x, keys, order, ["_t", "_ttl", "_evict"], lambda: [None], step, "is_novel boolean, expires_us long")
-    return out.drop("_t", "_ttl", "_evict")
+    return fold(x, keys, order, names, lambda: [None], step, "is_novel boolean, expires_us long").drop(*names)
 
 
 def dedup_with(df: DataFrame, keys: list[str], order: list[str], name: str, t_us: str, ttl_us: str, backend: Callable[[], DedupBackend] = InProcess, evict: str | None = None) -> DataFrame:

@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], new_state: Callable[[], list], step: Callable, outputs: str) -> DataFrame:
     """``df`` with the columns of ``outputs`` that ``step(state, *inputs)`` returns for each row in the order of its key.
 
@@ -19,7 +27,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ne
     added = [x.split()[0] for x in outputs.split(", ")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in added), outputs])
     kept = [n for n in names if n not in added]
-    key_name = "_fold_key"
+    key_name = unused(df, "_fold_key")
     keyed = df.withColumn(key_name, F.struct(*keys) if len(keys) > 1 else F.col(keys[0]))
     arrow = [_ARROW[x.split(" ", 1)[1]] for x in outputs.split(", ")]
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clamp01, saturation
 from ..params import LatencyParams, PressureParams
+from .fold import fold, unused
+from .steps import LatencyWindow
 
 
 def latency_stats(df: DataFrame, latency: str, keys: list[str] = []) -> DataFrame:
@@ -22,7 +24,8 @@ def last_samples(df: DataFrame, order: str, keys: list[str], n: int) -> DataFram
     """The last ``n`` rows of each key; without keys a top-n that every task takes part in."""
     if not keys:
         return df.orderBy(F.desc(order)).limit(n)
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("_r") <= n).drop("_r")
+    r = unused(df, "_r")
+    return df.withColumn(r, F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col(r) <= n).drop(r)
 
 
 def latency_percentiles(df: DataFrame, latency: str, order: str, p: LatencyParams, keys: list[str] = []) -> DataFrame:
@@ -47,9 +50,6 @@ def running_latency(df: DataFrame, latency: str, keys: list[str], order: list[st
     The last samples of a key are kept sorted, so each sample costs two searches whatever the window. Rows where the column ``reset``
     is true start the statistics anew and are left out.
     """
-    from .fold import fold
-    from .steps import LatencyWindow
-
     def step(state, x, control=False):
         if control:
             state.reset()
@@ -84,16 +84,18 @@ def pressure(rate: Column, variance: Column, depth: Column, p: PressureParams) -
 def backoff(df: DataFrame, composite: str, keys: list[str], order: str, p: PressureParams = PressureParams()) -> DataFrame:
     """``df`` with multiplier: raised by each high composite, capped, one again at a low one, held between."""
     upto = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = df.withColumn("_seg", F.sum((F.col(composite) < p.reset_below).cast("int")).over(upto))
-    within = W.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    seg = unused(df, "_seg")
+    x = df.withColumn(seg, F.sum((F.col(composite) < p.reset_below).cast("int")).over(upto))
+    within = W.partitionBy(*keys, seg).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     high = F.sum((F.col(composite) >= p.raise_at).cast("int")).over(within)
-    return x.withColumn("multiplier", F.least(F.lit(p.most), F.pow(F.lit(p.factor), F.least(high, F.lit(10))))).drop("_seg")
+    return x.withColumn("multiplier", F.least(F.lit(p.most), F.pow(F.lit(p.factor), F.least(high, F.lit(10))))).drop(seg)
 
 
 def since_reset(df: DataFrame, keys: list[str], order: str, reset: str) -> DataFrame:
     """The rows of each key after its last control row, where the column ``reset`` is true; all rows of a key without one."""
     after = W.partitionBy(*keys).orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing)
-    return df.withColumn("_later", F.max(F.col(reset).cast("int")).over(after)).where("_later = 0").drop("_later")
+    later = unused(df, "_later")
+    return df.withColumn(later, F.max(F.col(reset).cast("int")).over(after)).where(F.col(later) == 0).drop(later)
 
 
 def pressure_monitor(rows: DataFrame, key: str, order: str, tick_us: int, t0_us: int, p: PressureParams = PressureParams()) -> DataFrame:
@@ -104,28 +106,37 @@ def pressure_monitor(rows: DataFrame, key: str, order: str, tick_us: int, t0_us:
     updates the semantic part and every tick's end the two others, one after the other; each update steps the back-off. Ticks
     without rows have no tokens: the two updates of each are one row of that weight, so gaps of any length cost one row.
     """
-    upto = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    x = rows.where("outcome <> 'duplicate'").withColumn("tick", F.floor((F.col("t_us") - t0_us) / tick_us).cast("long"))
-    x = x.select(key, order, "tick", F.coalesce(F.var_samp("sentiment").over(upto), F.lit(0.0)).alias("variance"), (F.col("outcome") == "cooldown").cast("long").alias("suppressed"))
-    by_tick = W.partitionBy(key).orderBy("tick")
-    t = x.groupBy(key, "tick").agg(F.count(F.lit(1)).alias("tokens"), F.sum("suppressed").alias("suppressed"), F.max_by("variance", order).alias("variance"))
-    t = t.withColumn("suppressed", F.sum("suppressed").over(by_tick.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    parts = pressure(F.col("tokens").cast("double"), F.col("variance"), F.col("suppressed").cast("double"), p)
-    t = t.select("*", *parts)
-    before = lambda c: F.coalesce(F.lag(c).over(by_tick), F.lit(0.0))
-    idle = F.coalesce(F.col("tick") - F.lag("tick").over(by_tick) - 1, F.lit(0))
-    t = t.select("*", before("semantic").alias("_semantic"), before("queue").alias("_queue"), idle.alias("_idle"), F.when(idle == 0, before("ingestion")).otherwise(F.lit(0.0)).alias("_ingestion"))
-    ends = t.select(key, "tick", F.lit(None).cast(rows.schema[order].dataType).alias(order), F.explode(F.array(
-        F.struct(F.lit(0).alias("step"), F.greatest("_semantic", "_queue").alias("composite"), (2 * F.col("_idle")).alias("weight")),
-        F.struct(F.lit(2).alias("step"), F.greatest("ingestion", "semantic", "_queue").alias("composite"), F.lit(1).cast("long").alias("weight")),
-        F.struct(F.lit(3).alias("step"), F.col("composite").alias("composite"), F.lit(1).cast("long").alias("weight")),
-    )).alias("u")).select(key, "tick", order, "u.*").where("weight > 0")
-    tokens = x.join(t.select(key, "tick", "_ingestion", "_queue"), [key, "tick"]).select(
-        key, "tick", order, F.lit(1).alias("step"), F.greatest(clamp01(F.col("variance") / p.variance_saturation), "_ingestion", "_queue").alias("composite"), F.lit(1).cast("long").alias("weight"),
+    along = W.partitionBy("key").orderBy("order")
+    upto, before = along.rowsBetween(W.unboundedPreceding, W.currentRow), along.rowsBetween(W.unboundedPreceding, -1)
+    x = rows.where("outcome <> 'duplicate'").select(
+        F.col(key).alias("key"), F.col(order).alias("order"), F.floor((F.col("t_us") - t0_us) / tick_us).cast("long").alias("tick"), "sentiment", (F.col("outcome") == "cooldown").cast("long").alias("held"),
     )
-    along = W.partitionBy(key).orderBy("tick", "step", order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    u = ends.unionByName(tokens).withColumn("_seg", F.sum((F.col("composite") < p.reset_below).cast("int")).over(along))
-    inside = W.partitionBy(key, "_seg").orderBy("tick", "step", order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.select(
+        "key", "order", "tick", F.coalesce(F.var_samp("sentiment").over(upto), F.lit(0.0)).alias("variance"), F.sum("held").over(upto).alias("suppressed"),
+        F.row_number().over(along).cast("long").alias("n"), (~F.lead("tick").over(along).eqNullSafe(F.col("tick"))).alias("ends"),
+    )
+    # what the last tick left behind, and what this one has so far
+    x = x.withColumn("was", F.last(F.when(F.col("ends"), F.struct("tick", "n", "variance", "suppressed")), ignorenulls=True).over(before))
+    x = x.withColumn("prior", F.last(F.when(F.col("ends"), F.coalesce("was.n", F.lit(0))), ignorenulls=True).over(before))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    x = x.withColumn("tokens", F.col("n") - none(F.col("was.n"))).withColumn("idle", none(F.col("tick") - F.col("was.tick") - 1))
+    parts = pressure(F.col("tokens").cast("double"), F.col("variance"), F.col("suppressed").cast("double"), p)
+    old = pressure(none(F.col("was.n") - F.col("prior")).cast("double"), none(F.col("was.variance")).cast("double"), none(F.col("was.suppressed")).cast("double"), p)
+    x = x.select("*", *parts, *[c.alias(f"was_{name}") for c, name in zip(old, ("ingestion", "semantic", "queue", "composite"))])
+    ingestion = F.when(F.col("idle") == 0, F.col("was_ingestion")).otherwise(F.lit(0.0))
+    one = F.lit(1).cast("long")
+    update = lambda step, composite, weight, when: F.when(when, F.struct(F.lit(step).alias("step"), composite.alias("composite"), weight.alias("weight")))
+    updates = F.array_compact(F.array(
+        update(0, F.greatest("was_semantic", "was_queue"), 2 * F.col("idle"), (F.col("tokens") == 1) & (F.col("idle") > 0)),
+        update(1, F.greatest("semantic", ingestion, "was_queue"), one, F.lit(True)),
+        update(2, F.greatest("ingestion", "semantic", "was_queue"), one, F.col("ends")),
+        update(3, F.col("composite"), one, F.col("ends")),
+    ))
+    kept = ["tick", "tokens", "suppressed", "ingestion", "semantic", "queue", "composite"]
+    u = x.select("key", "order", *[F.col(c).alias(f"at_{c}") for c in kept], F.explode(updates).alias("u")).select("*", "u.*")
+    steps = W.partitionBy("key").orderBy("order", "step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    u = u.withColumn("seg", F.sum((F.col("composite") < p.reset_below).cast("int")).over(steps))
+    inside = W.partitionBy("key", "seg").orderBy("order", "step").rowsBetween(W.unboundedPreceding, W.currentRow)
     high = F.sum(F.when(F.col("composite") >= p.raise_at, F.col("weight")).otherwise(F.lit(0))).over(inside)
     u = u.withColumn("multiplier", F.least(F.lit(p.most), F.pow(F.lit(p.factor), F.least(high, F.lit(10))))).where("step = 3")
-    return t.select(key, "tick", "tokens", "suppressed", "ingestion", "semantic", "queue", "composite").join(u.select(key, "tick", "multiplier"), [key, "tick"])
+    return u.select(F.col("key").alias(key), *[F.col(f"at_{c}").alias(c) for c in kept], "multiplier")

@@ -58,6 +58,8 @@ of 0.0 0.1 0.0 0.0
 to 0.0 0.1 0.0 0.0
 """
 SCHEMA = "token string, " + ", ".join(f"{c} double" for c in WEIGHT)
+#: Weights are summed in so many parts of one.
+UNITS = 1e9
 #: Rows up to which a lexicon is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -94,10 +96,13 @@ def lookup(tokens: DataFrame, lexicon: DataFrame, token: str = "token", bounded:
     """Each row of ``tokens`` with its weight and ``hit``; a miss has the default weight.
 
     A lexicon of at most BROADCAST_ROWS rows is broadcast; beyond, Spark picks the join. ``bounded`` tells which where it is
-    known, as for a fixed list; else the rows are counted up to the bound.
+    known, as for a fixed list; else the rows are counted up to the bound, and a token that stands twice is refused, since
+    its rows would be doubled.
     """
     if bounded is None:
         bounded = not lexicon.isStreaming and lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        if not lexicon.isStreaming and not lexicon.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            raise ValueError("a lexicon has one row for each token")
     lex = lexicon.select(F.col("token").alias("_key"), *[F.col(c).alias(f"_{c}") for c in WEIGHT])
     x = tokens.join(F.broadcast(lex) if bounded else lex, normalise(F.col(token)) == F.col("_key"), "left")
     return x.select(*[F.col(f"`{c}`") for c in tokens.columns], *[F.coalesce(f"_{c}", F.lit(d)).alias(c) for c, d in zip(WEIGHT, MISS)], F.col("_key").isNotNull().alias("hit"))
@@ -114,8 +119,8 @@ def contribution(bias_sensitivity: float = 1.0, volatility_sensitivity: float =
 def sequence_weight(weights: DataFrame, key: str, digits: int = 6, count: str | None = None) -> DataFrame:
     """Mean weight of each key's tokens, rows that stand for ``count`` tokens each: sentiment, volatility and bias weighted by confidence, and the mean confidence."""
     n = F.col(count) if count else F.lit(1)
-    # sums of decimals do not depend on the order in which partitions come
-    exact = lambda x: F.sum(x.cast("decimal(24,12)")).cast("double")
+    # sums of whole billionths do not depend on the order in which partitions come; one beyond 2^63 fails, it doesn't wrap around
+    exact = lambda x: F.sum(F.round(x * UNITS).cast("long")).cast("double") / UNITS
     total = exact(F.col("confidence") * n)
     mean = lambda c: F.when(total > 0, exact(F.col(c) * F.col("confidence") * n) / F.nullif(total, F.lit(0.0))).otherwise(F.lit(0.0))
     parts = [F.round(mean(c), digits).alias(c) for c in ("sentiment", "volatility", "bias")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..params import RiskParams, SignalParams
 from ..sources.positions import FIELDS
 from . import steps
-from .fold import fold
+from .fold import fold, unused
 
 _SIGNAL = "emitted boolean, signal_bias double, signal_volatility double, strategy_toggle int, strategy_weight double, spread_modifier double, strength double"
 
@@ -23,14 +23,18 @@ def signals(df: DataFrame, keys: list[str], order: list[str], p: SignalParams) -
     return fold(df, keys, order, ["t_us", "bias_in", "volatility_in", "confidence"], lambda: steps.new_signal(p), step, _SIGNAL)
 
 
-def gated_signals(df: DataFrame, keys: list[str], order: list[str], p: SignalParams, r: RiskParams, reset: str | None = None) -> DataFrame:
+def gated_signals(df: DataFrame, keys: list[str], order: list[str], p: SignalParams, r: RiskParams, reset: str | None = None, novel: str | None = None) -> DataFrame:
     """``signals`` fused with the gate cascade in one pass: outcome, oms_events and cum_bias of each row.
 
     ``df`` also has the position as of each row. A row that does not emit has the outcome cooldown. Rows where the column
     ``reset`` is true are control rows: they start the gates' windows anew, leave the accumulators alone and have the outcome reset.
+    Rows where the column ``novel`` is false change nothing and have the outcome duplicate.
     """
 
-    def step(state, t, bias, volatility, confidence, net, limit, pnl, pnl_limit, control=False):
+    def step(state, t, bias, volatility, confidence, net, limit, pnl, pnl_limit, *more):
+        control, new = (more[0] if reset else False), (more[-1] if novel else True)
+        if not new:
+            return None, None, None, None, None, None, None, steps.DUPLICATE, None, None
         if control:
             steps.reset_risk(state[1], t)
             return False, None, None, None, None, None, state[0][3], steps.RESET, [], state[1][3]
@@ -41,7 +45,7 @@ def gated_signals(df: DataFrame, keys: list[str], order: list[str], p: SignalPar
             outcome, events = steps.risk_step(state[1], r, t, b, v, spread, confidence, net, limit, pnl, pnl_limit)
         return emits, b, v, toggle, weight, spread, state[0][3], outcome, events, state[1][3]
 
-    inputs = ["t_us", "bias_in", "volatility_in", "confidence", *FIELDS, *([reset] if reset else [])]
+    inputs = ["t_us", "bias_in", "volatility_in", "confidence", *FIELDS, *([reset] if reset else []), *([novel] if novel else [])]
     return fold(df, keys, order, inputs, lambda: [steps.new_signal(p), steps.new_risk(r)], step, f"{_SIGNAL}, outcome string, oms_events array<string>, cum_bias double")
 
 
@@ -110,7 +114,8 @@ def gate_labels(outcomes: DataFrame, keys: list[str], order: list[str]) -> DataF
     w = W.partitionBy(*keys).orderBy(*order)
     blocked = F.col("outcome").isin(*steps.REASONS)
     event = F.try_element_at("oms_events", F.lit(-1))
-    x = outcomes.withColumn("_block", F.coalesce(F.sum(blocked.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    since = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    block = unused(outcomes, "_block")
+    x = outcomes.withColumn(block, F.coalesce(F.sum(blocked.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    since = W.partitionBy(*keys, block).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     x = x.withColumn("label", F.substring(F.coalesce(F.last(event, ignorenulls=True).over(since), F.lit("risk")), 1, 16))
-    return x.where(blocked).drop("_block")
+    return x.where(blocked).drop(block)

@@ -17,8 +17,8 @@ from ..operators import steps
 from ..operators.dedup import dedup, live_entries, whole_seconds
 from ..params import EVENTS_BACKTEST, EVENTS_DEDUP, EVENTS_RISK, EVENTS_SIGNAL, T0_US, LatencyParams, PressureParams
 from ..sources import fix, sse
-from ..sources.positions import FIELDS, mock_positions, parse_position, position_asof
-from ..sources.tokens import replay
+from ..sources.positions import FIELDS, parse_position, position_asof, replay_positions
+from ..sources.tokens import replay_table
 from . import sql as Q
 from . import streams as V
 from .pipeline import event_summary, outcome_counts, run_pipeline
@@ -30,7 +30,6 @@ ORACLES: dict[str, str] = {}
 DEMO = ["crash", "panic", "inevitable", "guarantee", "bullish", "collapse", "volatile", "surge", "confident", "uncertain", "rally", "plunge", "breakout", "support", "resistance", "momentum"]
 #: The demonstration's positions.
 DEMO_POSITIONS = [(0.1, 1.0, 0.5, -10.0), (0.25, 1.0, 0.3, -10.0), (-0.1, 1.0, -0.2, -10.0)]
-DEMO_SQL = ", ".join(f"'{t}'" for t in DEMO)
 
 
 def query(sql: str | None = None):
@@ -49,11 +48,6 @@ def csv(c: str):
 
 # sources
 
-@query(f"SELECT i AS seq, ([{DEMO_SQL}])[(i % 16 + 1)::INT] AS token FROM range(10000) r(i)")
-def src_replay_cycle(spark, sf):
-    return replay(spark, DEMO, 10_000)
-
-
 @query(f"SELECT doc_id, (i - 1)::BIGINT AS seq, w[i] AS token FROM (SELECT doc_id, {Q.WORDS.format('text')} AS w FROM documents), unnest(range(1, len(w) + 1)) u(i)")
 def src_tokenize_documents(spark, sf):
     return V.document_tokens(spark, sf)
@@ -69,6 +63,12 @@ def src_tokenize_conversations(spark, sf):
     return V.conversation_tokens(spark, sf)
 
 
+@query(f"WITH {CONVERSATION}, n AS (SELECT conv_id, count(*) AS n FROM ct GROUP BY conv_id) SELECT conv_id, r * n + seq AS seq, token FROM ct JOIN n USING (conv_id), range(3) q(r)")
+def src_replay_cycle(spark, sf):
+    """Each conversation's tokens, replayed three times."""
+    return replay_table(V.conversation_tokens(spark, sf), "conv_id", "seq", 3)
+
+
 def _sse_lines(spark, sf):
     """Conversation tokens as response lines: a size line before each and a blank one after, an empty token beside each
     fiftieth; the end comes after the last token, and after it lines that don't count."""
@@ -104,9 +104,10 @@ def json_number_extract(spark, sf):
     return V.table(spark, sf, "events").select("event_id", T.json_number(F.col("props"), "k").alias("k"))
 
 
-@query(f"SELECT i AS seq, ({T0_US} + i * 10000)::BIGINT AS t_us, p[1]::DOUBLE AS net_position, p[2]::DOUBLE AS position_limit, p[3]::DOUBLE AS pnl, p[4]::DOUBLE AS pnl_limit FROM (SELECT unnest([0, 1, 2]) AS i, unnest({[list(map(float, p)) for p in DEMO_POSITIONS]}) AS p)")
+@query(f"WITH {Q.EV}, {Q.POS} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, {T0_US} + (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 10000 AS t_us, net_position, position_limit, pnl, pnl_limit FROM pos")
 def src_positions(spark, sf):
-    return mock_positions(spark, DEMO_POSITIONS, T0_US, 10_000).select("seq", F.unix_micros("ts").alias("t_us"), *FIELDS)
+    """Each user's positions as a feed, one in ten milliseconds."""
+    return replay_positions(V.event_positions(spark, sf), "user_id", "event_id", T0_US, 10_000)
 
 
 MESSAGE = """m0 AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE o_orderstatus
@@ -162,17 +163,27 @@ def fix_position(spark, sf):
 
 # lexicon
 
-@query(f"SELECT * FROM (VALUES {Q.LEXICON}) AS t{Q.NAMES}")
+@query(f"""WITH {CONVERSATION}, l AS (SELECT * FROM (VALUES {Q.LEXICON}) AS t{Q.NAMES})
+    SELECT l.*, (SELECT count(*) FROM ct WHERE translate(ct.token, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = l.token) AS used FROM l""")
 def lex_default(spark, sf):
-    return X.default_lexicon(spark)
+    """The built-in lexicon, and how often conversations use each of its tokens."""
+    used = X.lookup(V.conversation_tokens(spark, sf), X.default_lexicon(spark), bounded=True).where("hit")
+    used = used.groupBy(T.normalise(F.col("token")).alias("token")).agg(F.count(F.lit(1)).alias("used"))
+    return X.default_lexicon(spark).join(used, "token", "left").select("token", *X.WEIGHT, F.coalesce("used", F.lit(0)).cast("long").alias("used"))
 
 
-@query(f"""SELECT token, sentiment, confidence, volatility, bias FROM (VALUES {Q.WEIGHTS}) AS t{Q.NAMES} WHERE token <> 'click'
-    UNION ALL SELECT 'click', 0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE""")
+@query("""WITH x AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'bad' ELSE 'u' || user_id || event_type END AS token, floor(value)::DOUBLE AS v, event_type FROM events)
+    SELECT token, arg_max(-v, event_id) AS sentiment, arg_max(v / 100, event_id) AS confidence, arg_max(v * 1000, event_id) AS volatility, arg_max(0.5::DOUBLE, event_id) AS bias FROM x WHERE event_type NOT IN ('error', 'signup') GROUP BY token""")
 def lex_load(spark, sf):
-    """Text lines with a malformed one, a short one, one with more columns, and a token given twice."""
-    lines = [" ".join(map(str, w)) for w in V.EVENT_WEIGHTS] + ["broken x 1 2 3", "short 1 2", "", "click\t0.1 0.2  0.3 0.4 extra"]
-    return X.parse_lexicon(spark.createDataFrame(list(enumerate(lines)), "n int, value string"))
+    """Lines of a lexicon made of events: errors have a word for a number, sign-ups a column too few, clicks more columns; of a token's lines the last wins."""
+    v = F.floor("value").cast("long")
+    e = V.events(spark, sf)
+    numbers = [F.concat(F.lit("-"), v.cast("string")), (v / 100).cast("string"), F.concat(v.cast("string"), F.lit("e3")), F.lit(".5")]
+    line = F.when(F.col("token") == "error", F.concat_ws(" ", F.lit("bad"), *numbers[:3], F.lit("x")))
+    line = line.when(F.col("token") == "signup", F.concat_ws("  ", F.lit("short"), *numbers[:3]))
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.col("token"))
+    line = line.when(F.col("token") == "click", F.concat_ws("\t", F.lit(" "), name, *numbers, F.lit("more 1"))).otherwise(F.concat_ws(" ", name, *numbers))
+    return X.parse_lexicon(e.select(F.col("event_id").alias("n"), line.alias("value")))
 
 
 @query("""SELECT event_id, lower(trim(props, ' {}') || event_type) AS norm FROM events""")
@@ -380,8 +391,8 @@ def risk_gated_signals(spark, sf):
 
 # the whole dataflow
 
-def _pipeline(spark, sf, signal=EVENTS_SIGNAL) -> DataFrame:
-    return run_pipeline(V.events(spark, sf), V.event_lexicon(spark), V.event_positions(spark, sf), "user_id", "event_id", signal, EVENTS_RISK, EVENTS_DEDUP)
+def _pipeline(spark, sf, signal=EVENTS_SIGNAL, keep=()) -> DataFrame:
+    return run_pipeline(V.events(spark, sf), V.event_lexicon(spark), V.event_positions(spark, sf), "user_id", "event_id", signal, EVENTS_RISK, EVENTS_DEDUP, keep)
 
 
 OUTCOME_COLUMNS = "event_id, user_id, token, outcome, signal_bias, signal_volatility, confidence, strategy_toggle, strategy_weight, spread_modifier"
@@ -435,17 +446,19 @@ EVENT_LOG = """SELECT 'TOKEN_RECEIVED' AS event_type, event_id AS sequence_id, t
 
 @query(f"WITH RECURSIVE {Q.pipeline_cte(False)} {EVENT_LOG}")
 def event_log(spark, sf):
-    """One typed log: tokens, passed signals, latencies, statistics."""
-    x, lat = _pipeline(spark, sf), V.latencies(spark, sf)
-    kind = lambda k: F.lit(k).alias("event_type")
-    tokens = x.where(F.col("outcome") != steps.DUPLICATE).select(kind("TOKEN_RECEIVED"), F.col("event_id").alias("sequence_id"), "token")
-    passed = x.where(F.col("outcome") == steps.PASS).select(kind("SIGNAL_GENERATED"), F.col("event_id").alias("sequence_id"), F.col("signal_bias").alias("bias"), F.col("signal_volatility").alias("volatility"))
-    measured = lat.select(kind("LATENCY_MEASUREMENT"), F.col("event_id").alias("sequence_id"), "latency_us")
-    stats = lat.agg(F.max("event_id").alias("sequence_id"), F.max("latency_us").alias("latency_us")).withColumn("event_type", F.lit("SYSTEM_STATS"))
-    out = tokens
-    for part in (passed, measured, stats):
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out.select("event_type", "sequence_id", "token", "bias", "volatility", "latency_us")
+    """One typed log: tokens, passed signals, latencies, statistics. Each row of the dataflow is made once and gives all its entries."""
+    x = _pipeline(spark, sf, keep=("value",)).withColumn("latency", F.floor(F.col("value") * 100).cast("long"))
+    none = {"token": F.lit(None).cast("string"), "bias": F.lit(None).cast("double"), "volatility": F.lit(None).cast("double"), "latency_us": F.lit(None).cast("long")}
+    entry = lambda when, kind, **own: F.when(when, F.struct(F.lit(kind).alias("event_type"), *[own.get(c, v).alias(c) for c, v in none.items()]))
+    o = F.col("outcome")
+    entries = F.array_compact(F.array(
+        entry(o != steps.DUPLICATE, "TOKEN_RECEIVED", token=F.col("token")),
+        entry(o == steps.PASS, "SIGNAL_GENERATED", bias=F.col("signal_bias"), volatility=F.col("signal_volatility")),
+        entry(F.lit(True), "LATENCY_MEASUREMENT", latency_us=F.col("latency")),
+    ))
+    log = x.select(F.col("event_id").alias("sequence_id"), F.explode(entries).alias("e")).select("e.event_type", "sequence_id", *[f"e.{c}" for c in none])
+    stats = V.latencies(spark, sf).agg(F.max("event_id").alias("sequence_id"), F.max("latency_us").alias("latency_us"))
+    return log.unionByName(stats.withColumn("event_type", F.lit("SYSTEM_STATS")), allowMissingColumns=True)
 
 
 @query(f"WITH RECURSIVE {Q.pipeline_cte(False)}, entries AS ({EVENT_LOG}) SELECT coalesce(event_type, 'ALL') AS event_type, count(*) AS entries FROM entries GROUP BY ROLLUP (event_type)")
@@ -549,3 +562,7 @@ def pressure_timeline(spark, sf):
 
 QUERIES["position_asof"] = QUERIES.pop("position_asof_join")
 ORACLES["position_asof"] = ORACLES.pop("position_asof_join")
+
+from .replays import register  # noqa: E402  # its queries are the same as these, as streams
+
+register(QUERIES, ORACLES)

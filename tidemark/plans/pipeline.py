@@ -14,19 +14,20 @@ from ..params import DedupParams, LatencyParams, RiskParams, SignalParams
 from ..sources.positions import position_asof
 
 
-def run_pipeline(tokens: DataFrame, lexicon: DataFrame, positions: DataFrame, key: str, order: str, signal: SignalParams, risk: RiskParams, ttl: DedupParams) -> DataFrame:
-    """Every row of ``tokens`` (key, order, token, t_us) with its outcome.
+def run_pipeline(tokens: DataFrame, lexicon: DataFrame, positions: DataFrame, key: str, order: str, signal: SignalParams, risk: RiskParams, ttl: DedupParams, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``tokens`` (key, order, token, t_us and the columns of ``keep``) with its outcome.
 
     Outcomes are duplicate, cooldown, pass or the reason of the gate that blocked it. A position counts from its own row on. Rows are dealt by
-    (key, token) to find repeats, then by key for positions and folds; only small columns move.
+    (key, token) to find repeats, then by key for positions and folds; repeats go along, so each row is made once.
     """
     seen = dedup(tokens, [key, "token"], [order], F.col("t_us"), F.lit(ttl.ttl_ms * 1000).cast("long"))
     placed = position_asof(seen, positions, key, order)
-    novel = lookup(placed.where("is_novel"), lexicon).select("*", *contribution(signal.bias_sensitivity, signal.volatility_sensitivity))
-    gated = gated_signals(novel, [key], [order], signal, risk)
-    kept = [key, order, "token", "t_us", "sentiment", "outcome", "signal_bias", "signal_volatility", "confidence", "strategy_toggle", "strategy_weight", "spread_modifier", "oms_events", "cum_bias"]
-    rest = seen.where("not is_novel").select(key, order, "token", "t_us", F.lit(steps.DUPLICATE).alias("outcome"))
-    return gated.select(*kept).unionByName(rest, allowMissingColumns=True)
+    weighted = lookup(placed, lexicon).select("*", *contribution(signal.bias_sensitivity, signal.volatility_sensitivity))
+    gated = gated_signals(weighted, [key], [order], signal, risk, novel="is_novel")
+    of_novel = lambda c: F.when(F.col("is_novel"), F.col(c)).alias(c)
+    return gated.select(
+        key, order, "token", "t_us", *keep, of_novel("sentiment"), "outcome", "signal_bias", "signal_volatility", of_novel("confidence"), "strategy_toggle", "strategy_weight", "spread_modifier", "oms_events", "cum_bias",
+    )
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

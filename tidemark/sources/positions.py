@@ -17,6 +17,15 @@ def mock_positions(spark: SparkSession, states: list[tuple[float, float, float,
     return df.select("seq", F.timestamp_micros(F.lit(t0_us) + F.col("seq") * interval_us).alias("ts"), *FIELDS)
 
 
+def replay_positions(states: DataFrame, key: str, order: str, t0_us: int, interval_us: int) -> DataFrame:
+    """(key, seq, t_us, fields): each key's states in order, one per interval."""
+    from pyspark.sql import Window as W
+
+    seq = (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1).cast("long")
+    x = states.select(key, seq.alias("seq"), *FIELDS)
+    return x.select(key, "seq", (F.lit(t0_us) + F.col("seq") * interval_us).alias("t_us"), *FIELDS)
+
+
 def parse_position(body: Column) -> Column:
     """A struct of the four numbers and ``ok``: all are there. HTTP headers before a blank line are skipped."""
     text = F.when(F.instr(body, "\r\n\r\n") > 0, F.substring(body, F.instr(body, "\r\n\r\n") + 4, F.length(body))).otherwise(body)
@@ -34,9 +43,13 @@ def position_asof(rows: DataFrame, positions: DataFrame, key: str, order: str) -
     """
     from pyspark.sql import Window as W
 
-    mark = F.struct(*[F.col(f) for f in FIELDS])
-    left = rows.withColumn("_side", F.lit(1)).withColumn("_p", F.lit(None).cast("struct<" + ", ".join(f"{f}: double" for f in FIELDS) + ">"))
-    right = positions.select(key, order, F.lit(0).alias("_side"), mark.alias("_p"))
-    w = W.partitionBy(key).orderBy(order, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_p", F.last("_p", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select(*rows.columns, *[F.coalesce(F.col(f"_p.{f}"), F.lit(d)).alias(f) for f, d in zip(FIELDS, DEFAULT)])
+    from ..operators.fold import unused
+
+    side, p = unused(rows, "_side"), unused(rows, "_p")
+    mark = F.struct(*[F.col(f).cast("double").alias(f) for f in FIELDS])
+    left = rows.select("*", F.lit(1).alias(side), F.lit(None).cast("struct<" + ", ".join(f"{f}: double" for f in FIELDS) + ">").alias(p))
+    right = positions.select(key, order, F.lit(0).alias(side), mark.alias(p))
+    w = W.partitionBy(key).orderBy(order, side).rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn(p, F.last(p, ignorenulls=True).over(w)).where(F.col(side) == 1)
+    own = [c for c in rows.columns if c not in FIELDS]
+    return both.select(*own, *[F.coalesce(F.col(p).getField(f), F.lit(d)).alias(f) for f, d in zip(FIELDS, DEFAULT)])

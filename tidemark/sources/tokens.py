@@ -40,6 +40,13 @@ def replay(spark: SparkSession, tokens: list[str], n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("seq"), F.element_at(listed, (F.col("id") % len(tokens) + 1).cast("int")).alias("token"))
 
 
+def replay_table(tokens: DataFrame, key: str, order: str, times: int, token: str = "token") -> DataFrame:
+    """(key, seq, token): each key's tokens, numbered from 0 by ``order``, over and over, ``times`` in all."""
+    sizes = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    x = tokens.join(sizes, key).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return x.select(key, (F.col("_round") * F.col("_n") + F.col(order)).alias("seq"), F.col(token).alias("token"))
+
+
 def replay_stream(spark: SparkSession, tokens: list[str], rows_per_second: int) -> DataFrame:
     """The same as an unbounded stream with the time of each row."""
     listed = F.array(*[F.lit(t) for t in tokens])
