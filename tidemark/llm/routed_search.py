@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lean, power_of_two
+from .common import cut, lean, power_of_two, release
 from .dense import block_rows, deal, few_copies, finite, from_bytes, inner_products, matrix, one_per_id, to_bytes
 
 #: Rows that the partitions and the classifier are learned from at most, and numbers in them; all rows are indexed.
@@ -31,8 +31,8 @@ def _directions(x: np.ndarray) -> np.ndarray:
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """Indices of the rows with the largest inner products with each row, but itself."""
     out = []
-    for at in range(0, len(x), 512):
-        s = x[at : at + 512] @ x.T
+    for at in range(0, len(x), 128):
+        s = x[at : at + 128] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         out.append(np.argpartition(-s, degree - 1, axis=1)[:, :degree])
     return np.concatenate(out)
@@ -257,6 +257,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, recall: float = RE
         x = matrix(v.select("id", "vector").limit(1).toArrow().column(1).combine_chunks(), dim)
     parts = min(power_of_two(count**0.5 / 8, 1, 256), max(1, 1 << (len(x) // 32).bit_length() >> 1))
     router = spark.sparkContext.broadcast(learn_partitions(x, parts))
+    release()  # what the driver held to learn them
     members = cut(v.mapInArrow(lean(_indexed(router, dim, kind)), "id long, vector binary, asked boolean, part int"), "indexed")
     asked = members.where("asked")
     n_asked = asked.count()
