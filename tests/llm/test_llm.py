@@ -647,6 +647,82 @@ def test_pii_discovery(spark):
     assert all(got[100 + k] == "" for k in range(10, 20))
 
 
+def test_pii_words_around():
+    """Two words on each side, however long they or the gaps are; parts of a word that a candidate cuts."""
+    from tidemark.llm.pii import _shape, _Words
+
+    w = _Words("one two " + "x" * 500 + " 12 -- key=AB12 tail: " + "9 " * 400 + "end")
+    at = w.line.index("AB12")
+    assert w.before(at) == ["x" * 500, "key="] and w.after(at + 4) == ["tail:", "end"] and w.after(at) == ["ab", "tail:"]
+    assert w.before(0) == [] and w.after(len(w.line)) == [] and _Words("").after(0) == []
+    long = "".join(f"{k % 10}-" for k in range(40))
+    assert _shape(long) != _shape(long + "a") and _shape("12ab-3") == "99a-9"
+
+
+def test_pii_recall_of_planted(spark):
+    """Each kind in contexts that seeds make known, in forms that no fixed pattern has; dates and counts beside them stay."""
+    from tidemark.llm.pii import extract_pii
+
+    data, expect = [], {}
+    for k in range(30):
+        data += [
+            (k, f"some text then mobile number: +44 20 7946 {k:04d} today"), (100 + k, f"please reach mailbox: user{k}@example.org soon"),
+            (200 + k, f"server address: 10.0.{k}.7 is up"), (300 + k, f'config api_key = "a{k:02d}b34c{k:02d}d56e7{k % 10}f9" set'),
+            (400 + k, f"released on 2024-03-{k % 28 + 1:02d} with {1000 + k} items"),
+        ]
+    for n, (t, kind, value) in enumerate([
+        ("again mobile number: 020 7946 0999 thanks", "phone", "020 7946 0999"), ("then mobile number: (020) 7946-0123 ok", "phone", "(020) 7946-0123"),
+        ("here mailbox: someone@intranet now", "email", "someone@intranet"), ('the api_key = "z99y88x77w66v55u44t3" there', "secret", "z99y88x77w66v55u44t3"),
+    ]):
+        data.append((1000 + n, t))
+        expect[1000 + n] = f"{kind}:{t.index(value)}:{t.index(value) + len(value)}"
+    got = {r["doc_id"]: r["spans"] for r in rows(extract_pii(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert {k: got[k] for k in expect} == expect
+    assert all(got[300 + k].startswith("secret:") for k in range(30)) and all(got[400 + k] == "" for k in range(30))
+
+
+def test_pii_graph_by_definition(spark):
+    """Confidences of a small graph against the same rounds in plain numbers, to their end."""
+    from tidemark.llm.pii import STILL, confident_patterns
+
+    draw = np.random.default_rng(17)
+    marks = []
+    for uid in range(400):
+        kind = draw.choice(["phone", "email", None], p=[0.3, 0.2, 0.5])
+        shape = {"phone": "+9", "email": "a@a"}.get(kind) or str(draw.choice(["9-9", "9.9", "a9a", "+9"]))
+        pattern = str(draw.choice(["call", "mail", "at", "nr"], p=[0.7, 0.1, 0.1, 0.1] if kind == "phone" else [0.1, 0.7, 0.1, 0.1] if kind == "email" else [0.25] * 4))
+        marks.append((uid, pattern, shape, kind, None))
+    edges = Counter((p, s, k) for _, p, s, k, _ in marks)
+    total = Counter(p for _, p, *_ in marks)
+    seeds, unknown = Counter(), Counter()
+    for (p, s, k), n in edges.items():
+        if k:
+            seeds[s, k] += n
+        else:
+            unknown[s] += n
+    belief = {(s, k): n / (n + unknown[s]) for (s, k), n in seeds.items() if unknown[s]}
+    while True:
+        b = Counter()
+        for (p, s, k), n in edges.items():
+            for kind in ("phone", "email"):
+                b[p, kind] += n * (k == kind) if k else n * belief.get((s, kind), 0.0)
+        confidence = {x: v / (total[x[0]] + 1) for x, v in b.items() if v}
+        doubt = defaultdict(float)
+        for (p, s, k), n in edges.items():
+            for kind in ("phone", "email"):
+                if not k and confidence.get((p, kind), 0) >= 0.3:
+                    doubt[s, kind] += math.log1p(-min(0.95, confidence[p, kind] * 0.9)) * min(1.0, n / 3)
+        new = {x: 1 - math.exp(v) for x, v in doubt.items()}
+        moved = max(abs(new.get(x, 0) - belief.get(x, 0)) for x in {*new, *belief})
+        belief = new
+        if moved <= STILL:
+            break
+    got = {r["pattern"]: (r["as"], r["confidence"]) for r in rows(confident_patterns(spark.createDataFrame(marks, "uid long, pattern string, shape string, kind string, form string"), confident=0.5))}
+    best = {p: max((c, k) for (q, k), c in confidence.items() if q == p) for p in total}
+    assert {p for p, (c, _) in best.items() if c >= 0.5} == set(got) != set()
+    assert all(best[p][1] == k and math.isclose(best[p][0], c, rel_tol=1e-9) for p, (k, c) in got.items())
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     w = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}

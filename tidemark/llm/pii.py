@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; confidence that a pattern must reach; distinct documents it must be seen in.
-ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 3
+#: Confidence that a pattern must reach; distinct documents it must be seen in; rounds of scoring end when no belief moves by more than STILL.
+CONFIDENT, SUPPORT, STILL = 0.8, 3, 0.01
+#: A round from which on beliefs move by ever smaller shares of what is found, so that rounds do end.
+DAMPED = 8
 #: Words of context on each side of a candidate.
 CONTEXT = 2
 
@@ -77,7 +82,8 @@ def _shape(token: str) -> str:
         k = "9" if c.isdigit() else "a" if c.isalpha() else c
         if k == "9" or not out or out[-1] != k:
             out.append(k)
-    return "".join(out)[:24]
+    shape = "".join(out)
+    return shape if len(shape) <= 24 else f"{shape[:24]}~{xxhash.xxh3_64_hexdigest(shape)}"
 
 
 def _looks_identifying(token: str) -> bool:
@@ -124,16 +130,43 @@ def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, i
         tokens = [(m.start(), m.start() + len(m[0].rstrip(".!?:"))) for m in _TOKEN.finditer(line)]
         tokens = [(x, y) for x, y in tokens if x < y and not any(x < b and a < y for a, b, _ in taken)]
         places += [(x, y, None) for x, y in _number_runs(line, tokens) if _looks_identifying(line[x:y])]
+        around = _Words(line) if places else None
         for a, b, kind in places:
             shape, form = _shape(line[a:b]), None if kind else _secret_form(line[a:b])
-            sides = _letters(line[max(0, a - 60) : a])[-CONTEXT:], [f"{w}>" for w in _letters(line[b : b + 60])[:CONTEXT][::-1]]
+            sides = around.before(a), [f"{w}>" for w in around.after(b)[::-1]]
             found += [(lo + a, lo + b, " ".join(side), shape, kind, form) for side in sides if side]
     return found
 
 
-def _letters(part: str) -> list[str]:
-    """Words of letters and signs of assignment."""
-    return [w for w in ("".join(c for c in w if c.isalpha() or c in "=:") for w in part.lower().split()) if w]
+_WORD = re.compile(r"\S+")
+
+
+class _Words:
+    """A line's words without anything but letters and signs of assignment; those that have none are left out."""
+
+    def __init__(self, line: str):
+        self.line = line
+        self.spans = [m.span() for m in _WORD.finditer(line)]
+        self.starts, self.ends = [a for a, _ in self.spans], [b for _, b in self.spans]
+
+    def _near(self, spans) -> list[str]:
+        out: list[str] = []
+        for a, b in spans:
+            if word := "".join(c for c in self.line[a:b].lower() if c.isalpha() or c in "=:"):
+                out.append(word)
+                if len(out) == CONTEXT:
+                    break
+        return out
+
+    def before(self, at: int) -> list[str]:
+        """The last words that begin before ``at``, the nearest last; of one that goes on beyond it the part before."""
+        k = bisect_left(self.starts, at)
+        return self._near((a, min(b, at)) for a, b in (self.spans[i] for i in range(k - 1, -1, -1)))[::-1]
+
+    def after(self, at: int) -> list[str]:
+        """The first words that end after ``at``; of one that begins before it the part after."""
+        k = bisect_left(self.ends, at + 1)
+        return self._near((max(a, at), b) for a, b in (self.spans[i] for i in range(k, len(self.spans))))
 
 
 def _seeded_lines(text: str, spans):
@@ -177,42 +210,49 @@ _MARKS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("pattern",
 _SCANNED = "uid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, marks array<struct<lo: long, hi: long, pattern: string, shape: string, kind: string, form: string>>"
 
 
-def confident_patterns(marks: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
-    """(pattern, shape, kind, confidence): contexts whose candidates are identifying with enough confidence.
+def confident_patterns(marks: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT, still: float = STILL) -> DataFrame:
+    """(pattern, kind, confidence): contexts whose candidates are identifying with enough confidence.
 
-    ``marks``: uid, pattern, shape, kind (of seeds; null: unknown), form (of what looks like a secret, else null). The graph joins each lexical pattern with the
-    instances it stands before, an instance being a shape of one kind or none. A pattern's confidence in a kind is the mean belief of its
+    ``marks``: uid, pattern, shape, kind (of seeds; null: unknown), form (of what looks like a key, else null). The graph joins each lexical pattern with the
+    instances it stands next to, an instance being a shape, or a form for what looks like a key, of one kind or none. A pattern's confidence in a kind is the mean belief of its
     instances; an unknown instance's belief in a kind is one minus the product of the doubts of its patterns, damped.
-    Seeds keep belief 1 in their kind. Patterns of fewer than ``support`` documents are never confident.
-    Secrets have no seeds; what looks like a key (``_secret_form``) is their scored instance: a context that ends in a sign of assignment and
-    whose instances are, by the share ``confident`` at least, of one such form in enough documents is taken as the kind secret.
+    Seeds keep belief 1 in their kind. Rounds go on until no belief moves by more than ``still``. Patterns of fewer than ``support`` documents are never confident.
+
+    Secrets have no pattern of their own as seeds. Their seeds are keys (``_secret_form``) in contexts that end in a sign of assignment and whose
+    candidates are, by the share ``confident`` at least, of that one form in enough documents; such a context is confident itself, others become so on the graph.
     """
-    edges = cut(marks.groupBy("pattern", "shape", "kind").agg(F.count(F.lit(1)).alias("n")), "edges")
+    of_form = marks.where(F.col("pattern").rlike("[=:]$")).groupBy("pattern", "form").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("docs"))
+    top = F.max(F.when(F.col("form").isNotNull(), F.struct("n", "docs", "form"))).alias("top")
+    assigned = of_form.groupBy("pattern").agg(F.sum("n").alias("all"), top).select("pattern", F.col("top.form").alias("form"), (F.col("top.n") / F.col("all")).alias("confidence"), F.col("top.docs").alias("docs"))
+    assigned = cut(assigned.where(F.col("docs") >= support).where(F.col("confidence") >= confident).select("pattern", "form", "confidence"), "assigned")
+
+    edges = marks.groupBy("pattern", F.coalesce("form", "shape").alias("shape"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    keys = assigned.select("pattern", F.col("form").alias("shape"), F.lit("secret").alias("as"))
+    edges = cut(edges.join(keys, ["pattern", "shape"], "left").select("pattern", "shape", F.coalesce("kind", "as").alias("kind"), "n"), "edges")
     # each document counts once for a pattern, whatever the shapes
     support_of = marks.select("pattern", "uid").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
     support_of = cut(support_of, "support")
-    names = edges.select("pattern").distinct()
+    total = cut(edges.groupBy("pattern").agg(F.sum("n").alias("all")), "total")
     seeds = edges.where("kind is not null").groupBy("shape", "kind").agg(F.sum("n").alias("n"))
     unknown = edges.where("kind is null").groupBy("shape").agg(F.sum("n").alias("u"))
     # an unknown shape begins with the share of its places that are seeds
     belief = cut(seeds.join(unknown, "shape").select("shape", "kind", (F.col("n") / (F.col("n") + F.col("u"))).alias("belief")), "belief")
-    scored = None
-    for _ in range(rounds):
-        total = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
+    for k in itertools.count():
         known = edges.where("kind is not null").select("pattern", "kind", F.col("n").cast("double").alias("b"))
         guessed = edges.where("kind is null").select("pattern", "shape", "n").join(belief, "shape").select("pattern", "kind", (F.col("n") * F.col("belief")).alias("b"))
         scored = known.union(guessed).groupBy("pattern", "kind").agg(F.sum("b").alias("b")).join(total, "pattern")
         scored = cut(scored.select("pattern", "kind", (F.col("b") / (F.col("all") + 1)).alias("confidence")), "patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least(F.lit(0.95), F.col("confidence") * 0.9)) * F.least(F.lit(1.0), F.col("n") / 3)))
         through = edges.where("kind is null").join(scored.select("pattern", F.col("kind").alias("as"), "confidence").where("confidence >= 0.3"), "pattern")
-        belief = cut(through.groupBy("shape", F.col("as").alias("kind")).agg((1 - doubt).alias("belief")), "belief")
+        found = through.groupBy("shape", F.col("as").alias("kind")).agg((1 - doubt).alias("found"))
+        step = F.coalesce("found", F.lit(0.0)) - F.coalesce("belief", F.lit(0.0))
+        moved = belief.join(found, ["shape", "kind"], "full").select("shape", "kind", (F.coalesce("belief", F.lit(0.0)) + step / max(1, k - DAMPED)).alias("belief"), F.abs(step / max(1, k - DAMPED)).alias("moved"))
+        moved = cut(moved, "belief")
+        belief = moved.drop("moved")
+        if (moved.agg(F.max("moved")).first()[0] or 0.0) <= still:
+            break
     strong = scored.where(F.col("confidence") >= confident).join(support_of, "pattern", "left_semi").select("pattern", "kind", "confidence")
-    # contexts with a sign of assignment that stand before secrets of one form, each document once
-    of_form = marks.where(F.col("pattern").rlike("[=:]$")).groupBy("pattern", "form").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("docs"))
-    top = F.max(F.when(F.col("form").isNotNull(), F.struct("n", "docs"))).alias("top")
-    assigned = of_form.groupBy("pattern").agg(F.sum("n").alias("all"), top).select("pattern", F.lit("secret").alias("kind"), (F.col("top.n") / F.col("all")).alias("confidence"), F.col("top.docs").alias("docs"))
-    assigned = assigned.where(F.col("docs") >= support).where(F.col("confidence") >= confident).select("pattern", "kind", "confidence")
-    both = strong.union(assigned).join(names, "pattern", "left_semi")
+    both = strong.union(assigned.select("pattern", F.lit("secret"), "confidence"))
     return both.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("as"), F.max("confidence").alias("confidence"))
 
 
@@ -226,7 +266,7 @@ def extract_pii(docs: DataFrame) -> DataFrame:
     Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row; takes doc_id and text and
     ignores other columns. Counts and base_sha256 are those of the seeds; spans are the seeds' and those that confident contexts
     add, as kind:start:end by start, in code points, end exclusive. An added span never overlaps a seed. A null text is
-    empty and has no spans. Equal rows get equal results; an empty table gives no rows.
+    empty and has no spans. Equal rows get equal results; an empty table gives no rows. Rows are told apart by a 64-bit hash of doc_id and text.
 
     The seeds' contexts are gathered over all texts, scored with all other candidates on a graph of patterns and instances, and
     candidates in contexts of enough confidence and support are added.
