@@ -112,10 +112,21 @@ def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 returns but for the class model's score."""
+    x = op1_brown_scores(spark, sf_dir)
+    return x.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 counts of its fixed patterns."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_brown_scores, op2_jaccard_join, op3_toxicity, op4_line_dedup, op5_vector_pairs,
-        op6_fingerprints, op7_licenses, op8_pii, op9_mix_sources, op10_pack, op11_routed_search, op12_merkle_manifest, op13_hard_negatives, mix_targets, license_phrases,
+        op6_fingerprints, op7_licenses, op8_pii, op9_mix_sources, op10_pack, op11_routed_search, op12_merkle_manifest, op13_hard_negatives, mix_targets, license_phrases, unigram_scores, pii_counts,
     )
 }

@@ -88,7 +88,23 @@ MERKLE = f"""WITH RECURSIVE r AS (SELECT doc_id, coalesce('=' || lang, '') AS ke
     SELECT l.doc_id, l.h AS leaf, sub.subroot, root.h AS root, sha256(coalesce(p, '')) AS proof_sha256, folded.h AS folded_root, folded.h = root.h AS verified
     FROM l JOIN sub ON sub.lang_key = l.key JOIN folded ON folded.key = l.key AND folded.row = l.i LEFT JOIN proof ON proof.key = l.key AND proof.row = l.i, (SELECT h FROM u WHERE n = 1) root"""
 
+UNIGRAMS = f"""WITH w AS (SELECT doc_id, row_number() OVER () AS k, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS.format(_LOWER.format("coalesce(text, '')"))}, NULL) AS w FROM documents),
+    t AS (SELECT k, held_out, unnest(w) AS word FROM w),
+    c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+    s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c),
+    x AS (SELECT t.k, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1) / (s.n + 1.0::DOUBLE * (s.v + 1)))) AS base FROM t CROSS JOIN s LEFT JOIN c ON c.word IS NOT DISTINCT FROM t.word GROUP BY t.k)
+    SELECT doc_id, held_out, n_tokens, n_known, s.n AS train_tokens, round(base, 6) AS base_score FROM w JOIN x USING (k), s"""
+
+_FOUND = "len(list_filter(regexp_extract_all(coalesce(text, ''), '{}'), lambda m: {}))::BIGINT"
+_ONLY = "regexp_replace(m, '[^0-9]', '', 'g')"
+#: Doubled digits at every second place from the last but one.
+_LUHN = f"list_sum(list_transform(range(1, len({_ONLY}) + 1), lambda i: (({_ONLY})[-i]::INT * (2 - i % 2)) - CASE WHEN ({_ONLY})[-i]::INT * (2 - i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"
+PII = f"""SELECT doc_id, {_FOUND.format(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")} AS n_email,
+    {_FOUND.format(r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "len(list_filter(string_split(m, '.'), lambda p: coalesce(try_cast(p AS BIGINT), 256) > 255)) = 0")} AS n_ip,
+    {_FOUND.format(r"[0-9](?:[ -]?[0-9])+", f"len({_ONLY}) BETWEEN 12 AND 19 AND {_LUHN}")} AS n_card,
+    {_FOUND.format(r"[+][0-9][ ().0-9-]+[0-9]", f"len({_ONLY}) BETWEEN 9 AND 15")} AS n_phone FROM documents"""
+
 ORACLES = {
     "op2_jaccard_join": JACCARD, "op5_vector_pairs": VECTORS, "op12_merkle_manifest": MERKLE, "op13_hard_negatives": NEGATIVES,
-    "mix_targets": TARGETS, "license_phrases": LICENSES,
+    "mix_targets": TARGETS, "license_phrases": LICENSES, "unigram_scores": UNIGRAMS, "pii_counts": PII,
 }
