@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.backends import InProcess, WholeSeconds
+from ..operators.dedup import dedup_with, whole_seconds
 from ..operators.lexicon import contribution, lookup
 from ..params import EVENTS_DEDUP, EVENTS_RISK, EVENTS_SIGNAL, T0_US, LatencyParams
 from ..sources.positions import FIELDS
@@ -72,6 +75,44 @@ def stream_dedup(spark, sf):
     return x.where("user_id is not null").select("event_id", "is_novel", "expires_us")
 
 
+def _dedup(spark, sf, keys: list[str], ttl_us, evict=None) -> DataFrame:
+    e = V.events(spark, sf).select("event_id", "user_id", "token", "t_us", "value")
+    delay = _span(e)
+    x = replay_through(spark, e, lambda s: operators.dedup_stream(s, keys, "event_id", F.col("t_us"), ttl_us, delay, evict), "t_us")
+    return x.where("event_id is not null").select("event_id", "is_novel", "expires_us")
+
+
+def stream_evict(spark, sf):
+    """Errors are control rows that delete their user's key."""
+    return _dedup(spark, sf, ["user_id"], F.lit(172_800_000_000).cast("long"), F.coalesce(F.col("token") == "error", F.lit(False))).drop("expires_us")
+
+
+def stream_context(spark, sf):
+    """Without a context: one key per token for all users, and another time to live."""
+    return _dedup(spark, sf, ["token"], F.lit(3_600_000_000).cast("long")).drop("expires_us")
+
+
+def stream_ttl_seconds(spark, sf):
+    """A time to live per row, kept in whole seconds."""
+    return _dedup(spark, sf, ["user_id"], whole_seconds(F.floor(F.coalesce("value", F.lit(0.0)) * 1000).cast("long")))
+
+
+def dedup_backend(spark, sf):
+    """The same in batch, by a backend that keeps whole seconds behind the common interface."""
+    e = V.events(spark, sf).select("event_id", "user_id", "t_us", F.lit("key").alias("name"), (F.floor(F.col("value") * 1000).cast("long") * 1000).alias("ttl_us"))
+    return dedup_with(e, ["user_id"], ["event_id"], "name", "t_us", "ttl_us", lambda: WholeSeconds(InProcess())).select("event_id", "is_novel", "expires_us")
+
+
+def stream_reset(spark, sf):
+    """Both gates with sign-ups as control rows that start their windows, ten days here, anew."""
+    p = replace(EVENTS_RISK, rate_window_s=864_000, drawdown_window_s=864_000)
+    e = V.weighted_events(spark, sf).select("event_id", "user_id", "t_us", "bias", (F.col("token") == "signup").alias("control"))
+    delay = _span(e)
+    rate = replay_through(spark, e, lambda s: operators.rate_gate_stream(s, "user_id", "event_id", p, "control", delay), "t_us").where("event_id is not null")
+    down = replay_through(spark, e, lambda s: operators.drawdown_gate_stream(s, "user_id", "event_id", "bias", p, "control", delay), "t_us").where("event_id is not null")
+    return rate.select("event_id", "rate_ok").join(down.select("event_id", "drawdown_ok", "cum_bias"), "event_id")
+
+
 def stream_asof(spark, sf):
     """Tokens and positions as two streams, joined in one operator."""
     e = V.events(spark, sf).select("event_id", "user_id", "token", "t_us", "value")
@@ -180,7 +221,10 @@ def register(queries: dict, oracles: dict) -> None:
     """Each stream's SQL is that of its batch form."""
     from .catalog import CONVERSATION
 
-    like = {stream_dedup: "dedup_ttl", stream_backoff: "backoff_level", stream_pressure: "pressure_timeline", stream_positions: "fix_position"}
+    like = {
+        stream_dedup: "dedup_ttl", stream_evict: "dedup_evict", stream_context: "dedup_context", stream_ttl_seconds: "dedup_ttl_seconds", dedup_backend: "dedup_ttl_seconds", stream_reset: "gate_reset",
+        stream_backoff: "backoff_level", stream_pressure: "pressure_timeline", stream_positions: "fix_position",
+    }
     own = {
         stream_asof: f"WITH {Q.EV}, {Q.POS}, {Q.placed('e0')} SELECT event_id, {', '.join(FIELDS)} FROM placed",
         stream_pipeline: f"WITH RECURSIVE {Q.pipeline_cte(False)} SELECT event_id, user_id, token, outcome, signal_bias, signal_volatility FROM outcomes",
