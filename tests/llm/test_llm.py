@@ -172,6 +172,28 @@ def test_exchange_of_core(spark):
         assert gain < 1e-6
 
 
+def test_exchange_as_it_runs(spark, sf):
+    """With the settings of the query: what the early end leaves is under two thousandths of the likelihood that rounds to the end reach."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import brown
+
+    docs = table(spark, sf, "documents")
+    reached = []
+    for least_gain, rounds in ((brown.LEAST_GAIN, brown.ROUNDS), (0.0, 60)):
+        train = docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2).select("text")
+        counts = train.mapInArrow(brown._word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word") != -1)
+        top = counts.orderBy(F.desc("n"), "word").limit(800).collect()
+        core = np.array(sorted(r[0] for r in top), np.int64)
+        n_of = {r[0]: r[1] for r in top}
+        pairs = train.mapInArrow(brown._core_pairs(spark.sparkContext.broadcast(core)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).persist()
+        order = np.argsort([-n_of[w] for w in core.tolist()], kind="stable").astype(np.int64)
+        own, found = brown.exchange_core(pairs, order, 64, seeds=200, rounds=rounds, least_gain=least_gain)
+        assert set(own[: len(core)]) <= {brown.REST, *range(2, 64)} and brown.END not in own[: len(core)]
+        reached.append(brown.likelihood(found) / found.sum())
+    assert reached[0] <= reached[1] + 1e-9 and reached[1] - reached[0] < 0.002 * abs(reached[1])
+
+
 def test_scores_of_rarer_words(spark):
     """About half of the words are under the core's share and are placed by their contexts; the score of a text does not depend on the others' order."""
     from pyspark.sql import functions as F

@@ -437,9 +437,10 @@ def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int =
     texts every token is unknown. Equal texts get equal scores; ties between words of one count are broken by hash.
 
     All words of the training texts get a class. Those of at least ``share`` of all tokens, so 1 / share at most, are exchanged
-    against each other on the counts of their pairs until no move gains (``exchange_core``). All others, whose classes no word's
+    against each other on the counts of their pairs (``exchange_core``), in rounds that end when one gains less than LEAST_GAIN of log
+    likelihood a token, or after ROUNDS: not always when no move gains. All others, whose classes no word's
     context depends on, are exchanged once: Spark gathers the classes around each of their places, and each goes to
-    the class that explains them best. Then
+    the class that explains them best. README says what the early end costs. Words are told apart by 64-bit hashes. Then
     log10 p(word | word before) = log10 p(class | class before) + log10 p(word | class), with transitions
     smoothed by ``strength`` counts of the classes' shares and emissions by adding one. An unknown word has the probability 1 / (N + V + 1) in every place.
     """
