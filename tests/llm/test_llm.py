@@ -670,13 +670,16 @@ def test_pii_discovery(spark):
 
 
 def test_pii_words_around():
-    """Two words on each side, however long they or the gaps are; parts of a word that a candidate cuts."""
+    """Two words on each side, however long the gaps are; parts of a word that a candidate cuts; of long words what is next to it."""
     from tidemark.llm.pii import _shape, _Words
 
     w = _Words("one two " + "x" * 500 + " 12 -- key=AB12 tail: " + "9 " * 400 + "end")
     at = w.line.index("AB12")
-    assert w.before(at) == ["x" * 500, "key="] and w.after(at + 4) == ["tail:", "end"] and w.after(at) == ["ab", "tail:"]
+    assert w.before(at) == ["x" * 60, "key="] and w.after(at + 4) == ["tail:", "end"] and w.after(at) == ["ab", "tail:"]
     assert w.before(0) == [] and w.after(len(w.line)) == [] and _Words("").after(0) == []
+    line = ",".join(f"n{k}" for k in range(20_000))  # one word: what is kept of it doesn't grow with it
+    w = _Words(line)
+    assert all(len(x) <= 60 for at in range(0, len(line), 997) for x in (*w.before(at), *w.after(at)))
     long = "".join(f"{k % 10}-" for k in range(40))
     assert _shape(long) != _shape(long + "a") and _shape("12ab-3") == "99a-9"
 

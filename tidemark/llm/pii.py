@@ -18,8 +18,8 @@ KINDS = ("email", "ip", "card", "phone")
 CONFIDENT, SUPPORT, STILL = 0.8, 3, 0.01
 #: A round from which on beliefs move by ever smaller shares of what is found, so that rounds do end.
 DAMPED = 8
-#: Words of context on each side of a candidate.
-CONTEXT = 2
+#: Words of context on each side of a candidate, and characters of each.
+CONTEXT, NEAREST = 2, 60
 
 #: The seed patterns. Look-behinds only skip starts that give no other match.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -139,20 +139,24 @@ def _contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, i
 
 
 _WORD = re.compile(r"\S+")
+_SIGNS = frozenset("=:")
 
 
 class _Words:
-    """A line's words without anything but letters and signs of assignment; those that have none are left out."""
+    """A line's words without anything but letters and signs of assignment; those that have none are left out.
+
+    Of a word of more than NEAREST characters the ones next to the candidate count: a line may be one word with candidates all over it.
+    """
 
     def __init__(self, line: str):
         self.line = line
-        self.spans = [m.span() for m in _WORD.finditer(line)]
+        self.spans = [m.span() for m in _WORD.finditer(line) if any(c.isalpha() or c in _SIGNS for c in m[0])]
         self.starts, self.ends = [a for a, _ in self.spans], [b for _, b in self.spans]
 
     def _near(self, spans) -> list[str]:
         out: list[str] = []
         for a, b in spans:
-            if word := "".join(c for c in self.line[a:b].lower() if c.isalpha() or c in "=:"):
+            if word := "".join(c for c in self.line[a:b].lower() if c.isalpha() or c in _SIGNS):
                 out.append(word)
                 if len(out) == CONTEXT:
                     break
@@ -161,12 +165,12 @@ class _Words:
     def before(self, at: int) -> list[str]:
         """The last words that begin before ``at``, the nearest last; of one that goes on beyond it the part before."""
         k = bisect_left(self.starts, at)
-        return self._near((a, min(b, at)) for a, b in (self.spans[i] for i in range(k - 1, -1, -1)))[::-1]
+        return self._near((max(a, min(b, at) - NEAREST), min(b, at)) for a, b in (self.spans[i] for i in range(k - 1, -1, -1)))[::-1]
 
     def after(self, at: int) -> list[str]:
         """The first words that end after ``at``; of one that begins before it the part after."""
         k = bisect_left(self.ends, at + 1)
-        return self._near((max(a, at), b) for a, b in (self.spans[i] for i in range(k, len(self.spans))))
+        return self._near((max(a, at), min(b, max(a, at) + NEAREST)) for a, b in (self.spans[i] for i in range(k, len(self.spans))))
 
 
 def _seeded_lines(text: str, spans):
@@ -232,25 +236,31 @@ def confident_patterns(marks: DataFrame, confident: float = CONFIDENT, support:
     # each document counts once for a pattern, whatever the shapes
     support_of = marks.select("pattern", "uid").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support)
     support_of = cut(support_of, "support")
-    total = cut(edges.groupBy("pattern").agg(F.sum("n").alias("all")), "total")
+    total = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
+    known = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.sum("n").cast("double").alias("b")).join(total, "pattern")
+    known = cut(known.select("pattern", "kind", "b", "all"), "known")
+    unknown = cut(edges.where("kind is null").join(total, "pattern").select("pattern", "shape", "n", "all"), "unknown")
     seeds = edges.where("kind is not null").groupBy("shape", "kind").agg(F.sum("n").alias("n"))
-    unknown = edges.where("kind is null").groupBy("shape").agg(F.sum("n").alias("u"))
+    left = unknown.groupBy("shape").agg(F.sum("n").alias("u"))
     # an unknown shape begins with the share of its places that are seeds
-    belief = cut(seeds.join(unknown, "shape").select("shape", "kind", (F.col("n") / (F.col("n") + F.col("u"))).alias("belief")), "belief")
+    belief = cut(seeds.join(left, "shape").select("shape", "kind", (F.col("n") / (F.col("n") + F.col("u"))).alias("belief")), "belief")
+
+    def patterns(belief: DataFrame) -> DataFrame:
+        guessed = unknown.join(belief, "shape").select("pattern", "kind", (F.col("n") * F.col("belief")).alias("b"), "all")
+        return known.union(guessed).groupBy("pattern", "kind").agg((F.sum("b") / (F.max("all") + 1)).alias("confidence"))
+
     for k in itertools.count():
-        known = edges.where("kind is not null").select("pattern", "kind", F.col("n").cast("double").alias("b"))
-        guessed = edges.where("kind is null").select("pattern", "shape", "n").join(belief, "shape").select("pattern", "kind", (F.col("n") * F.col("belief")).alias("b"))
-        scored = known.union(guessed).groupBy("pattern", "kind").agg(F.sum("b").alias("b")).join(total, "pattern")
-        scored = cut(scored.select("pattern", "kind", (F.col("b") / (F.col("all") + 1)).alias("confidence")), "patterns")
-        doubt = F.exp(F.sum(F.log1p(-F.least(F.lit(0.95), F.col("confidence") * 0.9)) * F.least(F.lit(1.0), F.col("n") / 3)))
-        through = edges.where("kind is null").join(scored.select("pattern", F.col("kind").alias("as"), "confidence").where("confidence >= 0.3"), "pattern")
-        found = through.groupBy("shape", F.col("as").alias("kind")).agg((1 - doubt).alias("found"))
-        step = F.coalesce("found", F.lit(0.0)) - F.coalesce("belief", F.lit(0.0))
-        moved = belief.join(found, ["shape", "kind"], "full").select("shape", "kind", (F.coalesce("belief", F.lit(0.0)) + step / max(1, k - DAMPED)).alias("belief"), F.abs(step / max(1, k - DAMPED)).alias("moved"))
-        moved = cut(moved, "belief")
+        before, scored = belief, patterns(belief)
+        through = unknown.join(scored.where("confidence >= 0.3"), "pattern")
+        doubts = F.log1p(-F.least(F.lit(0.95), F.col("confidence") * 0.9)) * F.least(F.lit(1.0), F.col("n") / 3)
+        both = through.select("shape", "kind", doubts.alias("doubt"), F.lit(0.0).alias("belief")).union(before.select("shape", "kind", F.lit(0.0), "belief"))
+        both = both.groupBy("shape", "kind").agg(F.max("belief").alias("was"), (1 - F.exp(F.sum("doubt"))).alias("found"))
+        step = (F.col("found") - F.col("was")) / max(1, k - DAMPED)
+        moved = cut(both.select("shape", "kind", (F.col("was") + step).alias("belief"), F.abs(step).alias("moved")), "belief")
         belief = moved.drop("moved")
         if (moved.agg(F.max("moved")).first()[0] or 0.0) <= still:
             break
+    scored = cut(patterns(before), "patterns")
     strong = scored.where(F.col("confidence") >= confident).join(support_of, "pattern", "left_semi").select("pattern", "kind", "confidence")
     both = strong.union(assigned.select("pattern", F.lit("secret"), "confidence"))
     return both.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("as"), F.max("confidence").alias("confidence"))
