@@ -399,3 +399,15 @@ def test_dataflow_control_rows(spark, tmp_path):
     assert {o for o, _ in expect.values()} >= {"pass", "reset", "rate_limit_exceeded"}
     live = P.live_keys(spark, fed.path["check"]).collect()
     assert [(r.key["key"], r.token) for r in live] == [("zz", "|crash")]
+
+
+def test_rows_without_order_time_or_key(spark, tmp_path):
+    """Rows without an order or a time have no place; null is a key like others; columns of any name stay."""
+    schema = "key string, seq long, t_us long, token string, x double, _t string, rows string, last string"
+    rows = [(None, 0, T0_US, "a", 0.9, "1", "2", "3"), ("k", None, T0_US, "a", 0.9, "1", "2", "3"), ("k", 1, None, "a", 0.9, "1", "2", "3"), ("k", 2, T0_US + 5, None, None, None, None, None), ("k", 3, T0_US + 6, "a", 0.9, "1", "2", "3")]
+    end = [("zz", 9, T0_US + FAR, "a", 0.0, "", "", "")]
+    fed = Fed(spark, tmp_path, schema)
+    got = fed.run([rows, end], lambda s: operators.backoff_stream(s, "x", "key", "seq", t_us="t_us", delay="1 second"))
+    assert sorted(((r.key, r.seq, r.multiplier, r._t, r["rows"], r["last"]) for r in got.where("key is null or key <> 'zz'").collect()), key=repr) == [
+        ("k", 2, 1.0, None, None, None), ("k", 3, 1.5, "1", "2", "3"), (None, 0, 1.5, "1", "2", "3"),
+    ]

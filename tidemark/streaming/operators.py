@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import steps
+from ..operators.fold import unused
 from ..params import LatencyParams, PressureParams, RiskParams
 from ..sources.positions import DEFAULT, FIELDS
 from .ordered import Machine, run_ordered
@@ -18,8 +19,8 @@ class _Dedup(Machine):
 
     state = "expires_us long"
 
-    def __init__(self, names: list[str], output: str):
-        self.names, self.output = names, output
+    def __init__(self, names: list[str], output: str, own: list[str]):
+        self.names, self.output, self.own = names, output, own
 
     def start(self):
         self.expires = None
@@ -31,11 +32,11 @@ class _Dedup(Machine):
         return (self.expires,)
 
     def step(self, row):
-        novel = False
-        if row["_evict"]:
+        novel, (t, ttl, evict) = False, (row[c] for c in self.own)
+        if evict:
             self.expires = None
         else:
-            novel, self.expires = steps.dedup_step(self.expires, row["_t"], row["_ttl"])
+            novel, self.expires = steps.dedup_step(self.expires, t, ttl)
         yield *(row[c] for c in self.names), novel, self.expires
 
     def wake(self, now_ms):
@@ -57,16 +58,17 @@ def dedup_stream(df: DataFrame, keys: list[str], order: str, t_us: Column, ttl_u
     Rows are dealt by all of ``keys``, so a stream of any size is spread over its tokens; a key is one state row, which goes by
     a timer when it expires. Rows where ``evict`` holds delete the key; they are not novel and have no expiry.
     """
-    x = df.select("*", t_us.alias("_t"), ttl_us.alias("_ttl"), (evict if evict is not None else F.lit(False)).alias("_evict"))
+    own = [unused(df, n) for n in ("_t", "_ttl", "_evict")]
+    x = df.select("*", *[c.alias(n) for n, c in zip(own, (t_us, ttl_us, evict if evict is not None else F.lit(False)))])
     output = ", ".join([_named(df, c) for c in df.columns]) + ", is_novel boolean, expires_us long"
-    return run_ordered(x, _Dedup(df.columns, output), keys, [order], "_t", delay, True)
+    return run_ordered(x, _Dedup(df.columns, output, own), keys, [order], own[0], delay, True)
 
 
 class _AsOf(Machine):
     state = ", ".join(f"{f} double" for f in FIELDS)
 
-    def __init__(self, names: list[str], output: str):
-        self.names, self.output = names, output
+    def __init__(self, names: list[str], output: str, side: str, given: list[str]):
+        self.names, self.output, self.side, self.given = names, output, side, given
 
     def start(self):
         self.position = DEFAULT
@@ -78,8 +80,8 @@ class _AsOf(Machine):
         return tuple(self.position)
 
     def step(self, row):
-        if row["_side"] == 0:
-            self.position = tuple(row[f"_{f}"] for f in FIELDS)
+        if row[self.side] == 0:
+            self.position = tuple(row[c] for c in self.given)
         else:
             yield *(row[c] for c in self.names), *(d if p is None else p for p, d in zip(self.position, DEFAULT))
 
@@ -90,11 +92,13 @@ def position_asof_stream(rows: DataFrame, positions: DataFrame, key: str, order:
     Both have ``key``, ``order`` and ``t_us``; orders ascend with time. Both wait, per key, until the watermark has passed them; so
     a position that arrives after its rows, or a row before earlier ones, is still in its place.
     """
-    left = rows.select("*", F.lit(1).alias("_side"), *[F.lit(None).cast("double").alias(f"_{f}") for f in FIELDS])
-    right = positions.select(key, order, t_us, F.lit(0).alias("_side"), *[F.col(f).cast("double").alias(f"_{f}") for f in FIELDS])
-    output = ", ".join([*[_named(rows, c) for c in rows.columns], *[f"{f} double" for f in FIELDS]])
+    side, given = unused(rows, "_side"), [unused(rows, f"_{f}") for f in FIELDS]
+    left = rows.select("*", F.lit(1).alias(side), *[F.lit(None).cast("double").alias(c) for c in given])
+    right = positions.select(key, order, t_us, F.lit(0).alias(side), *[F.col(f).cast("double").alias(c) for f, c in zip(FIELDS, given)])
+    names = [c for c in rows.columns if c not in FIELDS]
+    output = ", ".join([*[_named(rows, c) for c in names], *[f"{f} double" for f in FIELDS]])
     both = left.unionByName(right, allowMissingColumns=True)
-    return run_ordered(both, _AsOf(rows.columns, output), [key], [order, "_side"], t_us, delay, True)
+    return run_ordered(both, _AsOf(names, output, side, given), [key], [order, side], t_us, delay, True)
 
 
 class _Backoff(Machine):

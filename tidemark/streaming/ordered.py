@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..operators.fold import unused
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,8 +65,8 @@ class Ordered(StatefulProcessor):
     ``order``, however they arrived; else the rows of a micro-batch come in ``order``, those not above the last one seen as late.
     """
 
-    def __init__(self, machine: Machine, schema: T.StructType, order: list[str], output: list[str], hold: bool, timed: bool):
-        self.machine, self.schema, self.order, self.output, self.hold, self.timed = machine, schema, order, output, hold, timed
+    def __init__(self, machine: Machine, schema: T.StructType, order: list[str], output: list[str], hold: bool, time: str | None):
+        self.machine, self.schema, self.order, self.output, self.hold, self.time, self.timed = machine, schema, order, output, hold, time, time is not None
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -104,10 +106,12 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentWatermarkInMs() if self.timed else -1
+        needed = [*self.order, *([self.time] if self.hold else [])]
+        rows = (r for r in rows if all(r[c] is not None for c in needed))
         if self.hold:
             waiting: dict[int, list] = {}
             for row in rows:
-                waiting.setdefault(-(-row["_t_us"] // 1000), []).append(tuple(row))
+                waiting.setdefault(-(-row[self.time] // 1000), []).append(tuple(row))
             for ms, more in waiting.items():
                 before = [tuple(r) for r in self.held.getValue((ms,))[0]] if self.held.containsKey((ms,)) else []
                 self.held.updateValue((ms,), (before + more,))
@@ -146,14 +150,16 @@ def run_ordered(df: DataFrame, machine: Machine, keys: list[str], order: list[st
     """The rows that ``machine`` returns for the rows of ``df``, a machine for each key.
 
     ``delay``: how far the watermark is behind the latest ``t_us`` of all keys; rows behind it are dropped, as everywhere in Spark. With
-    ``hold`` they wait for it. Without a delay there are no timers.
+    ``hold`` they wait for it. Without a delay there are no timers. Rows without an order have no place among the others and are left out,
+    as are rows that would wait without a time; a null key is a key.
     """
     if hold and not delay:
         raise ValueError("rows that wait need a delay after which they have come")
     with_state_store(df.sparkSession)
     if delay:
-        df = df.withColumn("_t_us", F.col(t_us)).withColumn("_event_time", F.timestamp_micros("_t_us")).withWatermark("_event_time", delay)
+        stamp = unused(df, "_event_time")
+        df = df.withColumn(stamp, F.timestamp_micros(t_us)).withWatermark(stamp, delay)
     kept = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])  # without the watermark's mark
     output = T.StructType.fromDDL(machine.output)
-    processor = Ordered(machine, kept, order, output.names, hold, bool(delay))
+    processor = Ordered(machine, kept, order, output.names, hold, t_us if delay else None)
     return df.groupBy(*keys).transformWithState(processor, output, "append", "eventTime" if delay else "none")
