@@ -44,7 +44,10 @@ def dedup_key(token: Column, context: Column) -> Column:
 
 def fix_checksum(message: Column) -> Column:
     """Sum of the bytes modulo 256, as three digits."""
-    return F.lpad((F.aggregate(utf8_bytes(message), F.lit(0).cast("long"), lambda a, b: a + b) % 256).cast("string"), 3, "0")
+    zero = F.lit(0).cast("long")
+    plain = F.aggregate(F.split(message, ""), zero, lambda a, c: a + F.ascii(c))  # of ASCII alone characters are bytes
+    total = F.when(F.length(message) == F.octet_length(message), plain).otherwise(F.aggregate(utf8_bytes(message), zero, lambda a, b: a + b))
+    return F.lpad((total % 256).cast("string"), 3, "0")
 
 
 def clamp01(x: Column) -> Column:
