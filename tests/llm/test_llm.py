@@ -1005,3 +1005,17 @@ def test_pipeline_odd(spark, sf):
     for _, stage in P.STAGES:
         e = stage(spark, e, sf)
         assert rows(e) == []
+
+
+def test_jaccard_stage_with_columns_of_any_type(spark, sf):
+    """Maps, arrays and structs beside the text; of rows that repeat in doc_id and text, the one whose JSON is least stays."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    text = "one two three four five six seven eight nine ten"
+    data = [(1, text, {"a": 2}, [2]), (1, text, {"a": 1}, [2]), (1, text, {"a": 1}, [2]), (2, text, {}, None), (3, "apart from all the others here", None, [1]), (4, None, {"b": 1}, []), (None, text + " more", {"a": 9}, [9])]
+    df = spark.createDataFrame(data, "doc_id long, text string, more map<string,int>, list array<int>")
+    df = df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), F.struct("more").alias("nested"))
+    got = corpus_pipeline.jaccard_join(spark, df, sf)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["more"], r["list"]) for r in got.collect()), key=repr) == sorted([(1, {"a": 1}, [2]), (3, None, [1]), (4, {"b": 1}, [])], key=repr)
