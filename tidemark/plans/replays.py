@@ -62,9 +62,9 @@ def replay_through(spark: SparkSession, table: DataFrame, make: Callable[[DataFr
 
 
 def _span(df: DataFrame, t_us: str = "t_us") -> str:
-    """A delay that no row of the table is behind."""
+    """A delay that no row of the table is behind; watermarks are whole milliseconds, so it is a second longer than the table."""
     low, high = df.agg(F.min(t_us), F.max(t_us)).first()
-    return f"{(high or 0) - (low or 0) + 1} microseconds"
+    return f"{(high or 0) - (low or 0) + 1_000_000} microseconds"
 
 
 def stream_dedup(spark, sf):
