@@ -286,6 +286,40 @@ def _verified(percent: int):
     return run
 
 
+def _elements(batches):
+    """A row for each element of the sets, which are the last column."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        at = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        rest = batch.select(range(batch.num_columns - 1)).take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=[*rest.schema.names, "element"])
+
+
+def pairs_of_families(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of sets of a family that are in different components and may reach the threshold; no link is lost.
+
+    ``members``: rows (family, side, leads, set_id, n, m, component). Pairs are of two sides, or within a family of one side; n is the size of
+    the set, m that of the sets it is paired with. Sets that lead are compared before: with each other on two sides, with all others on one. Of sets with n and m elements that link, in any one order, one of the first n less the overlap needed plus
+    one is shared. The order is by the number of the family's sets that hold an element, those of one component before all others: what a family
+    has in common, as its prefix, comes last, so what is compared are sets that share what is rare in it, not all pairs.
+    """
+    ends = members.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.min("side") != F.max("side")).alias("two"))
+    mixed = ends.where("lo <> hi").select("family", "two")
+    some = members.join(mixed, "family").join(sets, "set_id").select("family", "two", "side", "leads", "set_id", "n", "m", "component", "shingles")
+    elements = cut(some.mapInArrow(lean(_elements), "family long, two boolean, side int, leads boolean, set_id long, n long, m long, component long, element long"), "elements")
+    held = elements.groupBy("family", "element").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    held = held.where("lo <> hi").select("family", "element", "df")
+    own = elements.join(held, ["family", "element"]).groupBy("family", "two", "side", "leads", "set_id", "n", "m", "component")
+    own = own.agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
+    # the elements that one component holds stand before those listed
+    first = F.expr(f"slice(e, 1, cast(greatest(n - {_overlap_needed('n', 'm', percent)} + 1 - (n - size(e)), 0) as int))")
+    posted = cut(own.select("family", "two", "side", "leads", "set_id", "component", F.explode(first["element"]).alias("element")), "posted")
+    x, y = (posted.select("family", "element", "two", *[F.col(c).alias(f"{c}{i}") for c in ("side", "leads", "set_id", "component")]) for i in (1, 2))
+    new = "if(two, side1 <> side2 and not (leads1 and leads2), not (leads1 or leads2))"
+    found = x.join(y, ["family", "element", "two"]).where(f"component1 <> component2 and set_id1 < set_id2 and {new}")
+    return found.select(F.col("set_id1").alias("a"), F.col("set_id2").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Link documents whose shingle sets have at least ``percent`` in common, and find what links reach.
 
@@ -297,8 +331,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     Sets of one size whose prefixes are equal form a group, and only groups are posted. Short posting lists give all pairs with
     the number of keys shared; long ones first give pairs with a few pivots and between neighbours by size. Group pairs that
     can still reach the threshold are verified. What these links join needs no more pairs: then all
-    other pairs of long lists, of group pairs and in groups that are in different components are expanded and verified, so no link between
-    components is lost.
+    other pairs of long lists that are in different components are expanded and verified, and of group pairs and groups those that a prefix join of their own
+    lets through, so no link between components is lost.
     """
     spark = docs.sparkSession
     docs = docs.select("text", F.col("doc_id").cast("long"))
@@ -396,12 +430,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if more.limit(1).count():
         links = links.union(cut(verify(more, sets), "links"))
     c = classed(links)
-    left, right = sides(c)
+    # families: groups of several sets, and group pairs with such a group
     crowded = cut(classes.where("set_id <> lead").select("lead").distinct(), "crowded")
     some_pairs = pairs.join(crowded.withColumnRenamed("lead", "a"), "a", "left_semi").union(pairs.join(crowded.withColumnRenamed("lead", "b"), "b", "left_semi").select("a", "b")).distinct()
-    of_pairs = some_pairs.join(left, F.col("a") == F.col("lead1")).join(right, F.col("b") == F.col("lead2")).where(f"{apart} and (set_id1 <> a or set_id2 <> b)")
-    of_groups = left.join(crowded.withColumnRenamed("lead", "lead1"), "lead1").join(right, F.col("lead1") == F.col("lead2")).where(f"{apart} and set_id1 < set_id2")
-    more = cut(of_pairs.select(*ends).union(of_groups.select(*ends)).union(in_lists(c)).distinct(), "more")
+    two = some_pairs.select(F.xxhash64("a", "b").alias("family"), F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(x).alias("lead"), F.col(y).alias("other")) for i, x, y in ((0, "a", "b"), (1, "b", "a"))])).alias("x")).select("family", "x.*")
+    leads = (F.col("set_id") == F.col("lead")).alias("leads")
+    other = groups.select(F.col("lead").alias("other"), F.col("n").alias("m"))
+    of_pairs = two.join(other, "other").join(c, "lead").select("family", "side", leads, "set_id", "n", "m", "component")
+    of_groups = c.join(crowded, "lead").select(F.col("lead").alias("family"), F.lit(0).alias("side"), leads, "set_id", "n", F.col("n").alias("m"), "component")
+    more = cut(pairs_of_families(of_pairs.union(of_groups), sets, percent).union(in_lists(c)).distinct(), "more")
     if more.limit(1).count():
         have = sets
         other = sets_of(one(more), have.select("set_id"))
