@@ -255,6 +255,52 @@ def test_jaccard_families(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == expect
 
 
+@pytest.mark.parametrize("sizes", [(40, 40), (36, 44)])
+def test_pairs_of_families(spark, sizes):
+    """In families of one side and of two every link between components comes out, and few pairs of sets that have only the family's prefix in common."""
+    from tidemark.llm.ngram_join import pairs_of_families
+
+    rng = np.random.default_rng(sum(sizes))
+    common = rng.integers(-(1 << 62), 1 << 62, 12)
+    two = sizes[0] != sizes[1]
+    made, members = [], []
+    for k in range(240):
+        side = k % 2 if two else 0
+        n = sizes[side]
+        if k >= 6 and k % 3 == 0:  # a set near another
+            _, near = made[int(rng.integers(0, k))]
+            keep = [*common, *[x for x in near if x not in set(common)][: n - 12 - int(rng.integers(0, 6))]]
+        else:
+            keep = list(common)
+        keep = list(dict.fromkeys(keep))[:n]
+        made.append((side, [*keep, *rng.integers(-(1 << 62), 1 << 62, n - len(keep))]))
+        members.append((7, side, False, k, n, sizes[1 - side] if two else n, k % 40))
+    m = spark.createDataFrame(members, "family long, side int, leads boolean, set_id long, n long, m long, component long")
+    sets = spark.createDataFrame([(k, bytes(np.array(s, np.int64).tobytes())) for k, (_, s) in enumerate(made)], "set_id long, shingles binary")
+    got = {(r["a"], r["b"]) for r in rows(pairs_of_families(m, sets))}
+    apart = [(a, b) for a in range(240) for b in range(a + 1, 240) if a % 40 != b % 40 and (not two or made[a][0] != made[b][0])]
+    links = {(a, b) for a, b in apart if 100 * len(set(made[a][1]) & set(made[b][1])) >= 75 * len(set(made[a][1]) | set(made[b][1]))}
+    assert len(links) > 20 and links <= got <= set(apart) and len(got) < 0.1 * len(apart)
+    led = m.withColumn("leads", m["set_id"] == 0)
+    assert {(r["a"], r["b"]) for r in rows(pairs_of_families(led, sets))} == {(a, b) for a, b in got if a != 0 or two}
+
+
+def test_jaccard_crowded_group(spark):
+    """Documents of a rare passage and two of many common ones: one prefix, many components, and near copies away from the group's lead."""
+    from tidemark.llm.ngram_join import jaccard_components
+
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{k}" for k in range(6000)]
+    rare, *pool = (list(rng.choice(vocabulary, 20)) for _ in range(25))
+    data = [[*rare, *pool[i], *pool[j]] for i in range(24) for j in range(i + 1, 24)]
+    data += [[*data[k][:-1], f"end{k}"] for k in range(0, len(data), 5)]
+    data += [[*pool[i], *pool[(i + k) % 24]] for i in range(24) for k in range(1, 20)]
+    texts = {int(i): " ".join(data[k]) for k, i in enumerate(rng.permutation(len(data)))}
+    _, expect = brute_jaccard(texts)
+    got = rows(jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {r["doc_id"]: r["component_id"] for r in got} == expect
+
+
 def test_jaccard_odd(spark, odd):
     from tidemark.llm.ngram_join import jaccard_components
 
@@ -809,6 +855,25 @@ def test_mixing_rows(spark):
     assert {(r["_copies"], r["row"]) for r in took} <= {(d[3], d[4]) for d in data}
 
 
+def test_mixing_without_ids(spark):
+    """Rows without a doc_id and of one size are told apart by their texts: no window has most of them, and reruns agree."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.mixing import CHUNK, mix_sources
+
+    n = 5 * CHUNK
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word x"), "id").alias("text"), F.lit("a").alias("source"))
+    df = df.union(spark.range(n).select("id", F.lit("two words"), F.lit("b")))
+    got = mix_sources(df)
+    d = df.select("doc_id", F.lit(2).alias("size"), F.xxhash64("text").alias("tie"), "source").where("source = 'a'")
+    largest = d.groupBy(F.pmod(F.xxhash64("doc_id", "size", "tie"), F.lit(5))).count().agg(F.max("count")).first()[0]
+    assert largest < 1.3 * CHUNK
+    first, again = (Counter(map(tuple, rows(mix_sources(df.repartition(k))))) for k in (3, 5))
+    assert first == again
+    for s in "ab":
+        assert abs(sum(r["taken"] for r in rows(got.where(F.col("source") == s))) - rows(got.where(F.col("source") == s).limit(1))[0]["target"]) <= 4
+
+
 def brute_systematic(data, seed_offset):
     """Copies of (doc_id, source, size) in the order of size class, chunk and size, one chunk here: a walk along the line of expectations."""
     out = {}

@@ -52,24 +52,24 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float =
 
     Returns doc_id, source, size (words; null or empty text: 0), source_size, target, copies, taken
     (copies * size), one row for each row of ``docs``; other columns are ignored. The rows of a source stand in
-    the order of (size class, chunk, size, doc_id); each expects target / source_size copies, the
+    the order of (size class, chunk, size, doc_id, hash of the text); each expects target / source_size copies, the
     expectations are prefix-summed, one offset per source made from ``seed`` is added, and a row is taken once for
     each integer that its step crosses. Order by size keeps the words taken close to the target.
     No row is taken more than ceil(``most``) times. A source of no words has target 0 and takes nothing. Repeated rows
     count as rows of their own, equal ones in any order; an empty table gives no rows; a null source is a source.
 
     Sources may be of any size: places are counted in chunks of about CHUNK rows, dealt by
-    (source, size class, hash), and carried over by the chunks' counts.
+    (source, size class, hash), and carried over by the chunks' counts. The hash tells rows without a doc_id, or of one, apart by their texts.
     """
     d = cut(
-        docs.select("doc_id", "source", _size().alias("size"))
+        docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("text").alias("tie"))
         .withColumn("band", F.floor(F.log2(F.col("size") + 1) * 4).cast("int")), "sizes",
     )
     spread = d.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n"))
     # (source, band) is split in as many chunks as its rows need
     d = d.alias("a").join(spread.where(f"n > {CHUNK}").alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.band") == F.col("b.band")), "left")
     parts = F.coalesce(F.ceil(F.col("b.n") / CHUNK), F.lit(1))
-    d = d.select("a.*", F.pmod(F.xxhash64("a.doc_id", "a.size"), parts).alias("chunk"))
+    d = d.select("a.*", F.pmod(F.xxhash64("a.doc_id", "a.size", "a.tie"), parts).alias("chunk"))
     keys = ["source", "band", "chunk"]
     chunks = cut(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "chunks")
     sources = chunks.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("rows"))
@@ -83,7 +83,7 @@ def mix_sources(docs: DataFrame, seed: int = 7, weights=WEIGHTS, share: float =
     c = chunks.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select(
         F.col("c.source").alias("c_source"), F.col("c.band").alias("c_band"), F.col("c.chunk").alias("c_chunk"), "c.ahead", "t.source_size", "t.target",
     )
-    d = d.withColumn("inside", F.row_number().over(W.partitionBy(*keys).orderBy("size", "doc_id")))
+    d = d.withColumn("inside", F.row_number().over(W.partitionBy(*keys).orderBy("size", "doc_id", "tie")))
     x = d.join(c, d.source.eqNullSafe(c.c_source) & (d.band == c.c_band) & (d.chunk == c.c_chunk))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
