@@ -411,3 +411,57 @@ def test_rows_without_order_time_or_key(spark, tmp_path):
     assert sorted(((r.key, r.seq, r.multiplier, r._t, r["rows"], r["last"]) for r in got.where("key is null or key <> 'zz'").collect()), key=repr) == [
         ("k", 2, 1.0, None, None, None), ("k", 3, 1.5, "1", "2", "3"), (None, 0, 1.5, "1", "2", "3"),
     ]
+
+
+class _Handle:
+    """A key's states and timers in memory; counts what is written."""
+
+    def __init__(self):
+        self.maps, self.timers, self.writes = {}, [], 0
+
+    def getMapState(self, name, *_):
+        handle = self
+
+        class Map(_Map):
+            def updateValue(self, key, value):
+                handle.writes += 1
+                super().updateValue(key, value)
+
+        return self.maps.setdefault(name, Map())
+
+    def getValueState(self, *_):
+        return type("Value", (), {"exists": lambda s: False, "get": lambda s: None, "update": lambda s, v: None, "clear": lambda s: None})()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_rows_wait_in_blocks(monkeypatch):
+    """A micro-batch writes an entry for each block and one timer for a key, not one of each for every row; all come in order."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    from tidemark.streaming import ordered
+
+    monkeypatch.setattr(ordered, "BLOCK", 16)
+    monkeypatch.setattr(ordered, "RUN", 64)
+
+    class Echo(ordered.Machine):
+        state = "n long"
+        start, dump, step = (lambda self: None), (lambda self: (0,)), (lambda self, row: [(row.t,)])
+
+    rng, handle = random.Random(2), _Handle()
+    x = ordered.Ordered(Echo(), T.StructType().add("seq", T.LongType()).add("t", T.LongType()), ["seq"], ["t"], True, "t")
+    x.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    times = [1_000 * k + 1 for k in rng.sample(range(5_000), 600)]
+    for part in (times[:300], times[300:]):
+        list(x.handleInputRows(("k",), iter([Row("seq", "t", "stamp")(t, t, None) for t in part]), at(0)))
+    assert handle.writes <= 2 * (300 // 16 + 5) and len(handle.timers) == 2
+    got = []
+    for now in (1_000, 3_333, 9_999):
+        got += [r.t for r in x.handleExpiredTimer(("k",), at(now), None)]
+        assert got == sorted(t for t in times if -(-t // 1000) <= now)
+    assert not list(handle.maps["held"].keys())

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import pickle
+import time
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.fold import unused
 
+#: Rows that wait in one state entry, and rows of a key that are sorted at once before they are cut in such blocks.
+BLOCK, RUN = 512, 65_536
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,22 +66,37 @@ class Machine:
         return []
 
 
+def _place(row: tuple) -> tuple:
+    """Millisecond and order of a row that waits."""
+    return row[0]
+
+
+def _first(rows: list[tuple], ms: int) -> int:
+    """How many of the sorted rows come before this millisecond."""
+    return bisect_left(rows, ms, key=lambda r: r[0][0])
+
+
 class Ordered(StatefulProcessor):
     """Runs a machine. With ``hold`` rows wait until the watermark has passed them and then come in the order of time and
     ``order``, however they arrived; else the rows of a micro-batch come in ``order``, those not above the last one seen as late.
+
+    Rows wait in blocks, sorted: what a micro-batch brings a key is a state entry for each ``BLOCK`` rows and one timer, and what
+    becomes due is read block by block, so a key may have more rows than memory holds.
     """
 
     def __init__(self, machine: Machine, schema: T.StructType, order: list[str], output: list[str], hold: bool, time: str | None):
-        self.machine, self.schema, self.order, self.output, self.hold, self.time, self.timed = machine, schema, order, output, hold, time, time is not None
+        self.machine, self.names, self.order, self.output, self.hold, self.time, self.timed = machine, schema.names, order, output, hold, time, time is not None
 
     def init(self, handle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", ("last long, " if not self.hold else "") + self.machine.state)
         if self.hold:
-            rows = T.StructType([T.StructField("rows", T.ArrayType(self.schema))])
-            self.held = handle.getMapState("held", "ms long", rows)
+            # by the millisecond of the first row; the task's start and a number tell blocks apart, in the order of arrival
+            self.held = handle.getMapState("held", "ms long, task long, n long", "rows binary")
+            self.task, self.n = time.time_ns(), 0
         self.machine.open(handle)
-        self.make, self.fields = Row(*self.output), Row(*self.schema.names)
+        self.make, self.fields = Row(*self.output), Row(*self.names)
+        self.width, self.at = len(self.names), [self.names.index(c) for c in self.order]
         self.done: dict[tuple, int] = {}
 
     def _load(self) -> None:
@@ -100,28 +121,64 @@ class Ordered(StatefulProcessor):
             for ms in due:
                 self.handle.registerTimer(max(ms, now_ms + 1))
 
-    def _sorted(self, rows: list) -> list:
-        at = [self.schema.names.index(c) for c in self.order]
-        return sorted(rows, key=lambda r: [r[i] for i in at])
+    def _wait(self, rows: list[tuple]) -> int:
+        """Keep ``rows``, sorted, in blocks; the first millisecond of them."""
+        for k in range(0, len(rows), BLOCK):
+            block = rows[k : k + BLOCK]
+            self.held.updateValue((block[0][0][0], self.task, self.n), (pickle.dumps(block, 5),))
+            self.n += 1
+        return rows[0][0][0]
+
+    def _due(self, now: int) -> Iterator[tuple]:
+        """The rows that the watermark has passed, in order; a timer for the first of those that still wait."""
+        blocks, rows, least, full = sorted(self.held.keys()), [], None, RUN
+        for block in blocks:
+            if block[0] > now:
+                least = block[0]
+                break
+            if len(rows) >= full:
+                # blocks to come begin here: what is before is complete
+                rows.sort(key=_place)
+                cut = _first(rows, block[0])
+                yield from rows[:cut]
+                rows = rows[cut:]
+                full = max(RUN, 2 * len(rows))
+            rows += pickle.loads(self.held.getValue(block)[0])
+            self.held.removeKey(block)
+        rows.sort(key=_place)
+        cut = _first(rows, now + 1)
+        yield from rows[:cut]
+        if cut < len(rows):
+            first = self._wait(rows[cut:])
+            least = first if least is None else min(first, least)
+        if least is not None:
+            self.handle.registerTimer(least)
 
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentWatermarkInMs() if self.timed else -1
-        needed = [*self.order, *([self.time] if self.hold else [])]
-        rows = (r for r in rows if all(r[c] is not None for c in needed))
+        at, width = self.at, self.width
         if self.hold:
-            waiting: dict[int, list] = {}
+            t, run, firsts = self.names.index(self.time), [], []
             for row in rows:
-                waiting.setdefault(-(-row[self.time] // 1000), []).append(tuple(row))
-            for ms, more in waiting.items():
-                before = [tuple(r) for r in self.held.getValue((ms,))[0]] if self.held.containsKey((ms,)) else []
-                self.held.updateValue((ms,), (before + more,))
-                self.handle.registerTimer(max(ms, now))
+                row = tuple(row)[:width]
+                place = (row[t], *(row[i] for i in at))
+                if None not in place:
+                    run.append(((-(-place[0] // 1000), *place[1:]), row))
+                    if len(run) == RUN:
+                        firsts.append(self._wait(sorted(run, key=_place)))
+                        run = []
+            if run:
+                firsts.append(self._wait(sorted(run, key=_place)))
+            if firsts:
+                self.handle.registerTimer(max(min(firsts), now))
             return
+        rows = [r for r in (tuple(row)[:width] for row in rows) if all(r[i] is not None for i in at)]
         self._load()
-        for row in self._sorted([self.fields(*r) for r in rows]):
-            order = row[self.order[0]]
+        for row in sorted(rows, key=lambda r: [r[i] for i in at]):
+            order = row[at[0]]
             late = self.last is not None and order <= self.last
             self.last = self.last if late else order
+            row = self.fields(*row)
             for out in self.machine.late(row) if late else self.machine.step(row):
                 yield self.make(*out)
         self._save(now)
@@ -133,11 +190,9 @@ class Ordered(StatefulProcessor):
         self.done[tuple(key)] = now
         self._load()
         if self.hold:
-            for ms in sorted(ms for (ms,) in self.held.keys() if ms <= now):
-                for row in self._sorted([self.fields(*r) for r in self.held.getValue((ms,))[0]]):
-                    for out in self.machine.step(row):
-                        yield self.make(*out)
-                self.held.removeKey((ms,))
+            for _, row in self._due(now):
+                for out in self.machine.step(self.fields(*row)):
+                    yield self.make(*out)
         for out in self.machine.wake(now):
             yield self.make(*out)
         self._save(now)
@@ -156,10 +211,10 @@ def run_ordered(df: DataFrame, machine: Machine, keys: list[str], order: list[st
     if hold and not delay:
         raise ValueError("rows that wait need a delay after which they have come")
     with_state_store(df.sparkSession)
+    kept = df.schema
     if delay:
         stamp = unused(df, "_event_time")
         df = df.withColumn(stamp, F.timestamp_micros(t_us)).withWatermark(stamp, delay)
-    kept = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])  # without the watermark's mark
     output = T.StructType.fromDDL(machine.output)
     processor = Ordered(machine, kept, order, output.names, hold, t_us if delay else None)
     return df.groupBy(*keys).transformWithState(processor, output, "append", "eventTime" if delay else "none")
