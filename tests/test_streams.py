@@ -465,3 +465,19 @@ def test_rows_wait_in_blocks(monkeypatch):
         got += [r.t for r in x.handleExpiredTimer(("k",), at(now), None)]
         assert got == sorted(t for t in times if -(-t // 1000) <= now)
     assert not list(handle.maps["held"].keys())
+
+
+def test_early_pieces_share_entries():
+    """Pieces that come in any order are written some hundreds an entry, and read as if they came in order."""
+    body = b"".join(b'data: {"choices":[{"delta":{"content":"%d"}}]}\r\n' % n for n in range(200))
+    pieces = [(part, body[k : k + 7]) for part, k in enumerate(range(0, len(body), 7))]
+    random.Random(4).shuffle(pieces)
+    handle, machine, got, kept = _Handle(), feeds._Response(), [], None
+    machine.open(handle)
+    for batch in (pieces[:500], pieces[500:900], pieces[900:]):
+        machine.start() if kept is None else machine.load(kept)
+        for part, piece in batch:
+            got += machine.step({"feed": "f", "part": part, "body": piece, "t_us": 0})
+        kept = machine.dump()
+    assert [n for _, n, _, _ in got] == list(range(200))
+    assert handle.writes <= 3 * (len(pieces) // feeds.BLOCK + 1) and not list(handle.maps["early"].keys())

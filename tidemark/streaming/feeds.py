@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,34 @@ from ..sources.captured import pieces
 from .ordered import Machine, run_ordered
 
 
+#: Numbers of pieces that share a state entry while they wait.
+BLOCK = 256
+
+
 class _Pieces(Machine):
     """Pieces of a feed in the order of their numbers from 0, whatever order they arrive in; a piece that comes again is ignored."""
 
     def open(self, handle):
-        self.early = handle.getMapState("early", "part long", "body binary, t_us long")
+        self.early = handle.getMapState("early", "block long", "pieces binary")
+
+    def begin(self, next: int, waiting: int):
+        """``waiting``: how many pieces have come before their turn; without any the store is not asked."""
+        self.next, self.waiting, self.blocks, self.changed = next, waiting, {}, set()
+
+    def block(self, part: int) -> dict[int, tuple]:
+        """Waiting pieces by number, those near ``part``: read once, written once a micro-batch."""
+        at = part // BLOCK
+        if at not in self.blocks:
+            self.blocks[at] = pickle.loads(self.early.getValue((at,))[0]) if self.waiting and self.early.containsKey((at,)) else {}
+        return self.blocks[at]
+
+    def keep(self):
+        for at in sorted(self.changed):
+            if self.blocks[at]:
+                self.early.updateValue((at,), (pickle.dumps(self.blocks[at], 5),))
+            else:
+                self.early.removeKey((at,))
+        self.blocks, self.changed = {}, set()
 
     def take(self, row, take):
         """``take(body, t_us)`` of each piece whose turn it is."""
@@ -22,14 +47,18 @@ class _Pieces(Machine):
         if part < self.next:
             return
         if part > self.next:
-            self.early.updateValue((part,), (bytes(row["body"]), row["t_us"]))
+            pieces = self.block(part)
+            self.waiting += part not in pieces
+            pieces[part] = bytes(row["body"]), row["t_us"]
+            self.changed.add(part // BLOCK)
             return
         yield from take(bytes(row["body"]), row["t_us"])
         self.next += 1
-        while self.early.containsKey((self.next,)):
-            body, t = self.early.getValue((self.next,))
-            self.early.removeKey((self.next,))
-            yield from take(bytes(body), t)
+        while self.waiting and self.next in (pieces := self.block(self.next)):
+            body, t = pieces.pop(self.next)
+            self.changed.add(self.next // BLOCK)
+            self.waiting -= 1
+            yield from take(body, t)
             self.next += 1
 
     def late(self, row):
@@ -38,19 +67,22 @@ class _Pieces(Machine):
 
 
 class _Response(_Pieces):
-    state = "next long, rest binary, lines long, ended boolean"
+    state = "next long, waiting long, rest binary, lines long, ended boolean"
     output = "feed string, n long, payload string, t_us long"
 
     def start(self):
-        self.next, self.decoder = 0, sse.LineDecoder()
+        self.begin(0, 0)
+        self.decoder = sse.LineDecoder()
 
     def load(self, values):
-        self.next, rest, lines, ended = values
+        next, waiting, rest, lines, ended = values
+        self.begin(next, waiting)
         self.decoder = sse.LineDecoder(bytes(rest), lines, ended)
 
     def dump(self):
+        self.keep()
         d = self.decoder
-        return self.next, d.rest, d.lines, d.ended
+        return self.next, self.waiting, d.rest, d.lines, d.ended
 
     def step(self, row):
         def taken(body, t):
@@ -72,18 +104,21 @@ def response_stream(chunks: DataFrame) -> DataFrame:
 
 
 class _Messages(_Pieces):
-    state = "next long, rest binary, messages long, net double"
+    state = "next long, waiting long, rest binary, messages long, net double"
     output = "feed string, seq long, message string, net_position double, t_us long"
 
     def start(self):
-        self.next, self.rest, self.messages, self.net = 0, b"", 0, 0.0
+        self.begin(0, 0)
+        self.rest, self.messages, self.net = b"", 0, 0.0
 
     def load(self, values):
-        self.next, rest, self.messages, self.net = values
+        next, waiting, rest, self.messages, self.net = values
+        self.begin(next, waiting)
         self.rest = bytes(rest)
 
     def dump(self):
-        return self.next, self.rest, self.messages, self.net
+        self.keep()
+        return self.next, self.waiting, self.rest, self.messages, self.net
 
     def step(self, row):
         def taken(body, t):
