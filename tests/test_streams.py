@@ -481,3 +481,16 @@ def test_early_pieces_share_entries():
         kept = machine.dump()
     assert [n for _, n, _, _ in got] == list(range(200))
     assert handle.writes <= 3 * (len(pieces) // feeds.BLOCK + 1) and not list(handle.maps["early"].keys())
+
+
+def test_pressure_at_a_tie_of_its_rounding(spark):
+    """The variance of these is a short decimal, 0.248203125, so its pressure of 0.9928125 rounds up, in batch and step by step."""
+    tenths = "60633306030636603633669006033606339330636369606993333906939063090066636039663990903033360306393903036003333699660993069393306633"
+    x = [-0.9 if c == "9" else int(c) / 10 for c in tenths]
+    p, monitor = PressureParams(max_tps=200.0, queue_capacity=10), steps.Monitor(PressureParams(max_tps=200.0, queue_capacity=10))
+    for sentiment in x:
+        monitor.load(monitor.dump())
+        monitor.token(0, sentiment, False)
+    assert monitor.close(1)[0][4] == 0.9928125
+    rows = spark.createDataFrame([("a", n, T0_US + n, "pass", s) for n, s in enumerate(x)], "key string, seq long, t_us long, outcome string, sentiment double")
+    assert [r.s for r in L.pressure_monitor(rows, "key", "seq", 1_000_000, T0_US, p).select(F.round("semantic", 6).alias("s")).collect()] == [0.992813]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp01, saturation
 from ..params import LatencyParams, PressureParams
 from .fold import fold, unused
-from .steps import LatencyWindow
+from .steps import UNITS, LatencyWindow
 
 
 def latency_stats(df: DataFrame, latency: str, keys: list[str] = []) -> DataFrame:
@@ -66,6 +66,14 @@ def running_variance(value: Column, keys: list[str], order: str) -> Column:
     return F.coalesce(F.var_samp(value).over(w), F.lit(0.0))
 
 
+def exact_variance(value: Column, w: W) -> Column:
+    """Sample variance over the window of values in whole billionths: sums without rounding, so it depends on no order of summing,
+    and one that is a short decimal, such as a tie of a later rounding, is that decimal."""
+    n, x = F.count(value).over(w), F.round(value * UNITS).cast("decimal(14,0)")
+    apart = n.cast("decimal(10,0)") * F.sum(x * x).over(w).cast("decimal(28,0)") - F.sum(x).over(w).cast("decimal(19,0)") * F.sum(x).over(w).cast("decimal(19,0)")
+    return F.when(n > 1, F.round(apart.cast("double") / (n * (n - 1)).cast("double") / UNITS**2, 15)).otherwise(F.lit(0.0))
+
+
 def alert_level(p99: Column, target_us: int) -> list[Column]:
     """Traffic light of a p99 and whether it is over the target."""
     light = F.when(p99 < target_us, "green").when(p99 < 5 * target_us, "yellow").otherwise("red")
@@ -112,7 +120,7 @@ def pressure_monitor(rows: DataFrame, key: str, order: str, tick_us: int, t0_us:
         F.col(key).alias("key"), F.col(order).alias("order"), F.floor((F.col("t_us") - t0_us) / tick_us).cast("long").alias("tick"), "sentiment", (F.col("outcome") == "cooldown").cast("long").alias("held"),
     )
     x = x.select(
-        "key", "order", "tick", F.coalesce(F.var_samp("sentiment").over(upto), F.lit(0.0)).alias("variance"), F.sum("held").over(upto).alias("suppressed"),
+        "key", "order", "tick", exact_variance(F.col("sentiment"), upto).alias("variance"), F.sum("held").over(upto).alias("suppressed"),
         F.row_number().over(along).cast("long").alias("n"), (~F.lead("tick").over(along).eqNullSafe(F.col("tick"))).alias("ends"),
     )
     # what the last tick left behind, and what this one has so far

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from decimal import Decimal
 
 from ..params import PressureParams, RiskParams, SignalParams
 
@@ -16,6 +17,9 @@ DRAWDOWN, POSITION = "drawdown_limit_exceeded", "position_limit"
 REASONS = (MAGNITUDE, CONFIDENCE, RATE, DRAWDOWN, POSITION)
 BREACHED, APPROACHING, PNL = "position_limit_breached", "position_limit_approaching", "pnl_limit_breached"
 
+#: Units of exact sums in 1.
+UNITS = 10**9
+
 
 def new_signal(p: SignalParams) -> list:
     """bias, volatility, time of the last signal, mean strength."""
@@ -171,14 +175,15 @@ class Monitor:
     def __init__(self, p: PressureParams):
         self.p = p
         self.tick, self.tokens, self.suppressed, self.high = None, 0, 0, 0
-        self.n, self.mean, self.squares = 0, 0.0, 0.0
+        self.n, self.total, self.squares = 0, 0, 0  # in whole billionths, without rounding
         self.ingestion = self.semantic = self.queue = 0.0
 
     def dump(self) -> tuple:
-        return self.tick, self.tokens, self.suppressed, self.high, self.n, self.mean, self.squares, self.ingestion, self.semantic, self.queue
+        return self.tick, self.tokens, self.suppressed, self.high, self.n, self.total, Decimal(self.squares), self.ingestion, self.semantic, self.queue
 
     def load(self, values) -> None:
-        self.tick, self.tokens, self.suppressed, self.high, self.n, self.mean, self.squares, self.ingestion, self.semantic, self.queue = values
+        self.tick, self.tokens, self.suppressed, self.high, self.n, self.total, self.squares, self.ingestion, self.semantic, self.queue = values
+        self.squares = int(self.squares)
 
     def _update(self, times: int = 1) -> float:
         composite = max(self.ingestion, self.semantic, self.queue)
@@ -192,10 +197,11 @@ class Monitor:
         self.tokens += 1
         self.suppressed += suppressed
         self.n += 1
-        apart = sentiment - self.mean
-        self.mean += apart / self.n
-        self.squares += apart * (apart - apart / self.n)
-        variance = self.squares / (self.n - 1) if self.n > 1 else 0.0
+        units = sentiment * UNITS
+        x = int(math.copysign(math.floor(abs(units) + 0.5), units))
+        self.total += x
+        self.squares += x * x
+        variance = round((self.n * self.squares - self.total**2) / (self.n * (self.n - 1) * UNITS**2), 15) if self.n > 1 else 0.0
         self.semantic = min(1.0, max(0.0, variance / self.p.variance_saturation))
         self._update()
         return out

@@ -130,7 +130,7 @@ def backoff_stream(df: DataFrame, composite: str, key: str, order: str, p: Press
 
 
 class _Pressure(Machine):
-    state = "tick long, tokens long, suppressed long, high long, n long, mean double, squares double, ingestion double, semantic double, queue double"
+    state = "tick long, tokens long, suppressed long, high long, n long, total long, squares decimal(38,0), ingestion double, semantic double, queue double"
 
     def __init__(self, key: str, kind: str, tick_us: int, t0_us: int, p: PressureParams, empty: bool):
         self.key, self.tick_us, self.t0_us, self.p, self.empty = key, tick_us, t0_us, p, empty
