@@ -494,3 +494,24 @@ def test_pressure_at_a_tie_of_its_rounding(spark):
     assert monitor.close(1)[0][4] == 0.9928125
     rows = spark.createDataFrame([("a", n, T0_US + n, "pass", s) for n, s in enumerate(x)], "key string, seq long, t_us long, outcome string, sentiment double")
     assert [r.s for r in L.pressure_monitor(rows, "key", "seq", 1_000_000, T0_US, p).select(F.round("semantic", 6).alias("s")).collect()] == [0.992813]
+
+
+@pytest.mark.parametrize("extra", ["decimal(20,4)", "timestamp"])
+def test_keys_share_entries(spark, tmp_path, extra):
+    """Rows of many keys wait in few entries, and what goes along is the same after it; columns that can't go as text have entries by key."""
+    odd = [math.nan, math.inf, -math.inf, -0.0, 0.1, 5e-324, None]
+    words = ['"', "\\", "\n\t\x01", "é 😀", "", "{}", "null", None]
+    rows = [(f"k{n % 3_000}" if n % 7 else None, n, T0_US + n * 1_000, odd[n % 7], words[n % 8], n % 5 == 0, 2**63 - 1 - n) for n in range(6_000 if extra != "timestamp" else 60)]
+    schema = "key string, seq long, t_us long, x double, `a b` string, evict boolean, big long"
+    table = lambda x: spark.createDataFrame(x, schema).withColumn("more", (F.col("seq") / 8).cast(extra))
+    fed, ttl = Fed(spark, tmp_path, table(rows[:1]).schema), F.lit(4_000_000).cast("long")
+    make = lambda s: operators.dedup_stream(s, ["key"], "seq", F.col("t_us"), ttl, "60 seconds", F.col("evict"))
+    table(rows).write.parquet(fed.path["in"])
+    fed.drain(make)
+    assert fed.state("held").count() <= (1_100 if extra != "timestamp" else 60)
+    table([("zz", 10_000, T0_US + FAR, 0.0, "", False, 0)]).write.mode("append").parquet(fed.path["in"])
+    fed.drain(make)
+    assert fed.state("value").count() == 0
+    plain = lambda df: sorted(repr(tuple(r[c] for c in ("seq", "key", "x", "a b", "big", "more", "is_novel", "expires_us"))) for r in df.collect())
+    got = plain(spark.read.parquet(fed.path["out"]).where("key is null or key <> 'zz'"))
+    assert got == plain(D.dedup(table(rows), ["key"], ["seq"], F.col("t_us"), ttl, F.col("evict"))) and len(got) == len(rows)

@@ -9,18 +9,18 @@ from ..operators import steps
 from ..operators.fold import unused
 from ..params import LatencyParams, PressureParams, RiskParams
 from ..sources.positions import DEFAULT, FIELDS
-from .ordered import Machine, run_ordered
+from .ordered import Carrying, Machine, run_ordered
 
 _named = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
 
 
-class _Dedup(Machine):
+class _Dedup(Carrying):
     """One key's expiry, and nothing once it is over."""
 
-    state = "expires_us long"
+    state, adds = "expires_us long", "is_novel boolean, expires_us long"
 
-    def __init__(self, names: list[str], output: str, own: list[str]):
-        self.names, self.output, self.own = names, output, own
+    def __init__(self, names: list[str], own: list[str]):
+        self.names, self.inputs = names, own
 
     def start(self):
         self.expires = None
@@ -32,12 +32,12 @@ class _Dedup(Machine):
         return (self.expires,)
 
     def step(self, row):
-        novel, (t, ttl, evict) = False, (row[c] for c in self.own)
+        novel, (t, ttl, evict) = False, (row[c] for c in self.inputs)
         if evict:
             self.expires = None
         else:
             novel, self.expires = steps.dedup_step(self.expires, t, ttl)
-        yield *(row[c] for c in self.names), novel, self.expires
+        yield *self.head(row), novel, self.expires
 
     def wake(self, now_ms):
         if self.expires is not None and self.expires <= now_ms * 1000:
@@ -55,20 +55,19 @@ def dedup_stream(df: DataFrame, keys: list[str], order: str, t_us: Column, ttl_u
     """``df`` with is_novel and expires_us, as ``dedup`` gives them: the first row of a key is novel, and later ones once it has expired.
 
     Rows wait until the watermark, ``delay`` behind the latest time of all rows, has passed them, so order of arrival doesn't matter.
-    Rows are dealt by all of ``keys``, so a stream of any size is spread over its tokens; a key is one state row, which goes by
+    Rows are dealt by all of ``keys``, so a stream of any size is spread over its tokens; keys share state rows, which a key leaves by
     a timer when it expires. Rows where ``evict`` holds delete the key; they are not novel and have no expiry.
     """
     own = [unused(df, n) for n in ("_t", "_ttl", "_evict")]
     x = df.select("*", *[c.alias(n) for n, c in zip(own, (t_us, ttl_us, evict if evict is not None else F.lit(False)))])
-    output = ", ".join([_named(df, c) for c in df.columns]) + ", is_novel boolean, expires_us long"
-    return run_ordered(x, _Dedup(df.columns, output, own), keys, [order], own[0], delay, True)
+    return run_ordered(x, _Dedup(df.columns, own), keys, [order], own[0], delay, True)
 
 
-class _AsOf(Machine):
-    state = ", ".join(f"{f} double" for f in FIELDS)
+class _AsOf(Carrying):
+    state = adds = ", ".join(f"{f} double" for f in FIELDS)
 
-    def __init__(self, names: list[str], output: str, side: str, given: list[str]):
-        self.names, self.output, self.side, self.given = names, output, side, given
+    def __init__(self, names: list[str], side: str, given: list[str]):
+        self.names, self.side, self.given, self.inputs = names, side, given, [side, *given]
 
     def start(self):
         self.position = DEFAULT
@@ -83,7 +82,7 @@ class _AsOf(Machine):
         if row[self.side] == 0:
             self.position = tuple(row[c] for c in self.given)
         else:
-            yield *(row[c] for c in self.names), *(d if p is None else p for p, d in zip(self.position, DEFAULT))
+            yield *self.head(row), *(d if p is None else p for p, d in zip(self.position, DEFAULT))
 
 
 def position_asof_stream(rows: DataFrame, positions: DataFrame, key: str, order: str, delay: str, t_us: str = "t_us") -> DataFrame:
@@ -96,16 +95,15 @@ def position_asof_stream(rows: DataFrame, positions: DataFrame, key: str, order:
     left = rows.select("*", F.lit(1).alias(side), *[F.lit(None).cast("double").alias(c) for c in given])
     right = positions.select(key, order, t_us, F.lit(0).alias(side), *[F.col(f).cast("double").alias(c) for f, c in zip(FIELDS, given)])
     names = [c for c in rows.columns if c not in FIELDS]
-    output = ", ".join([*[_named(rows, c) for c in names], *[f"{f} double" for f in FIELDS]])
     both = left.unionByName(right, allowMissingColumns=True)
-    return run_ordered(both, _AsOf(names, output, side, given), [key], [order, side], t_us, delay, True)
+    return run_ordered(both, _AsOf(names, side, given), [key], [order, side], t_us, delay, True)
 
 
-class _Backoff(Machine):
-    state = "high long"
+class _Backoff(Carrying):
+    state, adds = "high long", "multiplier double"
 
-    def __init__(self, names: list[str], output: str, composite: str, p: PressureParams):
-        self.names, self.output, self.composite, self.p = names, output, composite, p
+    def __init__(self, names: list[str], composite: str, p: PressureParams):
+        self.names, self.inputs, self.composite, self.p = names, [composite], composite, p
 
     def start(self):
         self.high = 0
@@ -119,14 +117,13 @@ class _Backoff(Machine):
     def step(self, row):
         if row[self.composite] is not None:
             self.high = steps.backoff_step(self.high, row[self.composite], self.p)
-        yield *(row[c] for c in self.names), steps.backoff_level(self.high, self.p)
+        yield *self.head(row), steps.backoff_level(self.high, self.p)
 
 
 def backoff_stream(df: DataFrame, composite: str, key: str, order: str, p: PressureParams = PressureParams(), t_us: str | None = None, delay: str | None = None) -> DataFrame:
     """``df`` with multiplier, as ``backoff`` gives it. With ``t_us`` and ``delay`` rows wait for the watermark, else they are taken
     micro-batch by micro-batch, and those not above the last order seen are left out."""
-    output = ", ".join(_named(df, c) for c in df.columns) + ", multiplier double"
-    return run_ordered(df, _Backoff(df.columns, output, composite, p), [key], [order], t_us, delay, delay is not None)
+    return run_ordered(df, _Backoff(df.columns, composite, p), [key], [order], t_us, delay, delay is not None)
 
 
 class _Pressure(Machine):
@@ -229,11 +226,12 @@ def running_latency_stream(df: DataFrame, latency: str, key: str, order: str, p:
     return run_ordered(df, _Latency(df.columns, output, latency, reset, p), [key], [order], t_us, delay, delay is not None)
 
 
-class _Gates(Machine):
+class _Gates(Carrying):
     state = "rate_us long, rate_count long, drawdown_us long, cum_bias double"
 
-    def __init__(self, names: list[str], output: str, r: RiskParams, bias: str | None, reset: str | None):
-        self.names, self.output, self.r, self.bias, self.reset = names, output, r, bias, reset
+    def __init__(self, names: list[str], r: RiskParams, bias: str | None, reset: str | None):
+        self.names, self.r, self.bias, self.reset = names, r, bias, reset
+        self.adds, self.inputs = ("drawdown_ok boolean, cum_bias double" if bias else "rate_ok boolean"), ["t_us", *(c for c in (bias, reset) if c)]
 
     def start(self):
         self.risk = steps.new_risk(self.r)
@@ -245,7 +243,7 @@ class _Gates(Machine):
         return (*self.risk[:3], float(self.risk[3]))
 
     def step(self, row):
-        head, t = [row[c] for c in self.names], row["t_us"]
+        head, t = self.head(row), row["t_us"]
         if self.reset and row[self.reset]:
             steps.reset_risk(self.risk, t)
             ok = None
@@ -260,11 +258,9 @@ class _Gates(Machine):
 
 def rate_gate_stream(df: DataFrame, key: str, order: str, r: RiskParams, reset: str | None = None, delay: str | None = None) -> DataFrame:
     """``df`` (t_us) with rate_ok, as ``rate_gate`` gives it, control rows included."""
-    output = ", ".join(_named(df, c) for c in df.columns) + ", rate_ok boolean"
-    return run_ordered(df, _Gates(df.columns, output, r, None, reset), [key], [order], "t_us", delay, delay is not None)
+    return run_ordered(df, _Gates(df.columns, r, None, reset), [key], [order], "t_us", delay, delay is not None)
 
 
 def drawdown_gate_stream(df: DataFrame, key: str, order: str, bias: str, r: RiskParams, reset: str | None = None, delay: str | None = None) -> DataFrame:
     """``df`` (t_us) with drawdown_ok and cum_bias, as ``drawdown_gate`` gives them, control rows included."""
-    output = ", ".join(_named(df, c) for c in df.columns) + ", drawdown_ok boolean, cum_bias double"
-    return run_ordered(df, _Gates(df.columns, output, r, bias, reset), [key], [order], "t_us", delay, delay is not None)
+    return run_ordered(df, _Gates(df.columns, r, bias, reset), [key], [order], "t_us", delay, delay is not None)
