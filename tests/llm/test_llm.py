@@ -1084,3 +1084,15 @@ def test_jaccard_stage_with_columns_of_any_type(spark, sf):
     got = corpus_pipeline.jaccard_join(spark, df, sf)
     assert got.columns == df.columns
     assert sorted(((r["doc_id"], r["more"], r["list"]) for r in got.collect()), key=repr) == sorted([(1, {"a": 1}, [2]), (3, None, [1]), (4, {"b": 1}, [])], key=repr)
+
+
+def test_base_scores_need_no_classes(spark, sf, monkeypatch):
+    """What is asked of the base alone clusters nothing."""
+    from tidemark.llm import brown, queries
+
+    def none(*_, **__):
+        raise AssertionError("clusters words")
+
+    monkeypatch.setattr(brown, "exchange_core", none)
+    got = queries.unigram_scores(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r["base_score"] < 0 for r in got)

@@ -390,6 +390,11 @@ def _read_block(constants):
                 out["n_tokens"] += np.diff(b).tolist()
                 out["n_known"] += sums((n > 0).astype(np.int64)).tolist()
                 out["base_score"] += [float(np.log10((n[lo:hi] + 1) / total).sum()) for lo, hi in zip(b[:-1], b[1:])]
+                if v["mass"] is None:  # the base alone
+                    out["emission"] += [0.0] * len(part)
+                    moves += [b""] * len(part)
+                    counts += [b""] * len(part)
+                    continue
                 emission = np.where(cls == unknown, -np.log10(total), np.log10((n + 1) / mass[cls]) + v["known"])
                 out["emission"] += [float(emission[lo:hi].sum()) for lo, hi in zip(b[:-1], b[1:])]
                 pair = _before(cls, b, END) * (unknown + 1) + cls
@@ -429,6 +434,36 @@ def _scored(log_moves, names):
     return run
 
 
+def _counted(docs: DataFrame, held_out):
+    """The rows, the training texts, bytes of all texts; the training words with their counts, and how many tokens, words and ends they are."""
+    _, size = corpus_size(docs)
+    docs = docs.select("text", F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    train = docs.where(~F.col("held_out")).select("text")
+    counts = cut(train.mapInArrow(lean(_word_counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    n_tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
+    ends = counts.where(F.col("word") == _END_KEY).first()
+    ends = int(ends[1]) if ends else 0
+    return docs, train, size, counts, n_tokens, types, ends
+
+
+def _read(docs: DataFrame, size: int, vocabulary: DataFrame, constants) -> DataFrame:
+    """What ``_read_block`` finds, block by block, each with the words of the vocabulary that it holds."""
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)))
+    words = dealt.select("text", "block").mapInArrow(lean(_block_words), "block long, word long").repartition("word").distinct().join(vocabulary, "word")
+    return dealt.groupBy("block").cogroup(words.select("block", "word", "n", "cls").groupBy("block")).applyInArrow(
+        _read_block(constants), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, moves binary, counts binary",
+    )
+
+
+def base_scores(docs: DataFrame, held_out) -> DataFrame:
+    """The columns of ``class_scores`` but for the class model's: the same counts and the same reading of the texts, no classes."""
+    docs, _, size, counts, n_tokens, types, ends = _counted(docs, held_out)
+    vocabulary = counts.where(F.col("word") != _END_KEY).select("word", "n", F.lit(REST).cast("int").alias("cls"))
+    constants = docs.sparkSession.sparkContext.broadcast({"classes": CLASSES, "mass": None, "total": float(n_tokens + types + 1), "ends": ends})
+    return _read(docs, size, vocabulary, constants).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score")
+
+
 def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int = CLASSES, strength: float = 50.0) -> DataFrame:
     """Score each text by a class bigram model of the texts that are not held out.
 
@@ -445,13 +480,7 @@ def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int =
     smoothed by ``strength`` counts of the classes' shares and emissions by adding one. An unknown word has the probability 1 / (N + V + 1) in every place.
     """
     spark = docs.sparkSession
-    rows, size = corpus_size(docs)
-    docs = docs.select("text", F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = docs.where(~F.col("held_out")).select("text")
-    counts = cut(train.mapInArrow(lean(_word_counts), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    n_tokens, types = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-    ends = counts.where(F.col("word") == _END_KEY).first()
-    ends = int(ends[1]) if ends else 0
+    docs, train, size, counts, n_tokens, types, ends = _counted(docs, held_out)
     top = counts.where((F.col("word") != _END_KEY) & (F.col("n") >= share * n_tokens)).orderBy("word").collect()  # 1 / share rows at most
     core = np.array([r[0] for r in top], np.int64)
     shared = spark.sparkContext.broadcast(core)
@@ -479,14 +508,7 @@ def class_scores(docs: DataFrame, held_out, share: float = SHARE, classes: int =
     total = float(n_tokens + types + 1)
     known = float(np.log10(1 - 1 / total)) if types else 0.0
     constants = spark.sparkContext.broadcast({"classes": classes, "mass": np.maximum(mass, 1), "total": total, "ends": ends, "known": known})
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(blocks)))
-    words = dealt.select("text", "block").mapInArrow(lean(_block_words), "block long, word long").repartition("word").distinct().join(vocabulary, "word")
-    read = cut(
-        dealt.groupBy("block").cogroup(words.select("block", "word", "n", "cls").groupBy("block")).applyInArrow(
-            _read_block(constants), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, moves binary, counts binary",
-        ), "read",
-    )
+    read = cut(_read(docs, size, vocabulary, constants), "read")
     k = classes + 1
     found = read.where("not held_out").select("moves", "counts").mapInArrow(lean(_transitions(k)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     moves = np.zeros(k * k)
