@@ -1,6 +1,7 @@
 """Golden vectors, invariants and small cases of the engine."""
 
 import json
+import re
 from dataclasses import replace
 
 import pytest
@@ -385,3 +386,12 @@ def test_table_replays(spark):
     assert got == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "x"), ("a", 3, "y"), ("b", 0, "z"), ("b", 1, "z")]
     p = t.select("k", "seq", *[F.lit(1.5).alias(f) for f in FIELDS])
     assert [(r.k, r.seq, r.t_us) for r in replay_positions(p, "k", "seq", 100, 7).orderBy("k", "seq").collect()] == [("a", 0, 100), ("a", 1, 107), ("b", 0, 100)]
+
+
+def test_vectorized_weights_move_no_tokens(spark, sf):
+    """A document moves a row for each weight that its tokens have, not one for each of its distinct tokens."""
+    from tidemark.plans import catalog
+
+    plan = catalog.sequence_weight_vectorized(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = [set(re.findall(r"(\w+)#", keys)) for keys in re.findall(r"hashpartitioning\((.*?), \d+\)", plan)]
+    assert moved and all(keys <= {"doc_id", *X.WEIGHT} for keys in moved), moved

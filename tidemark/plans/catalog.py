@@ -236,9 +236,9 @@ def sequence_weight_range(spark, sf):
 
 @query(_sequence_sql())
 def sequence_weight_vectorized(spark, sf):
-    """Distinct tokens of a document are counted before the lookup; the same answer."""
-    t = V.document_tokens(spark, sf).groupBy("doc_id", T.normalise(F.col("token")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    return X.sequence_weight(X.lookup(t, X.default_lexicon(spark), bounded=True), "doc_id", count="n")
+    """Tokens of a document that weigh the same are counted before anything is moved, and weighed by their counts; the same answer."""
+    t = X.lookup(V.document_tokens(spark, sf), X.default_lexicon(spark), bounded=True).groupBy("doc_id", *X.WEIGHT).agg(F.count(F.lit(1)).alias("n"))
+    return X.sequence_weight(t, "doc_id", count="n")
 
 
 # deduplication
