@@ -515,3 +515,14 @@ def test_keys_share_entries(spark, tmp_path, extra):
     plain = lambda df: sorted(repr(tuple(r[c] for c in ("seq", "key", "x", "a b", "big", "more", "is_novel", "expires_us"))) for r in df.collect())
     got = plain(spark.read.parquet(fed.path["out"]).where("key is null or key <> 'zz'"))
     assert got == plain(D.dedup(table(rows), ["key"], ["seq"], F.col("t_us"), ttl, F.col("evict"))) and len(got) == len(rows)
+
+
+def test_replays_deal_each_micro_batch_to_all_cores(spark, sf, tmp_path, monkeypatch):
+    """Three micro-batches before the stop, each of a file for each core, not of one that one task writes and reads."""
+    from tidemark.plans import replays
+
+    monkeypatch.setattr(replays, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    assert replays.stream_ttl_seconds(spark, sf).count() == 1_000
+    logs = [(tmp_path / "shared" / "check" / "sources" / "0" / str(n)).read_text().splitlines()[1:] for n in range(4)]
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and [len(files) for files in logs] == [cores, cores, cores, 1]

@@ -1,4 +1,4 @@
-"""Queries that run tables through the streaming operators: each in several files, with a stop and a restart, and the rows of its batch form."""
+"""Queries that run tables through the streaming operators: each in several micro-batches, with a stop and a restart, and the rows of its batch form."""
 
 from __future__ import annotations
 
@@ -20,8 +20,8 @@ from ..streaming import processor as P
 from . import sql as Q
 from . import streams as V
 
-#: Files that a table is cut into, a micro-batch each.
-FILES = 3
+#: Micro-batches that a table is cut into.
+BATCHES = 3
 #: Microseconds by which the end mark is behind all that a delay of the table's span waits for.
 LATER = 86_400_000_000
 
@@ -36,19 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
-def replay_through(spark: SparkSession, table: DataFrame, make: Callable[[DataFrame], DataFrame], t_us: str | None = None, files: int = FILES) -> DataFrame:
+def replay_through(spark: SparkSession, table: DataFrame, make: Callable[[DataFrame], DataFrame], t_us: str | None = None, batches: int = BATCHES) -> DataFrame:
     """What the stream ``make(source)`` returns for all rows of ``table``.
 
-    The table is written as ``files`` files, dealt by hash of its rows, so rows come in no order; the stream takes them one by one and stops.
+    The table is written as files, dealt by hash of its rows, so rows come in no order; the stream takes them in ``batches`` micro-batches and
+    stops. A micro-batch has a file for each core, as one file would be written and read by one task, whatever its size.
     With ``t_us`` a row of nulls with a time after all others follows in a second run from the checkpoint, so that the watermark
     passes everything; rows of null keys are not in the result.
     """
     base = shared_dir(spark)
     source, out, check = f"{base}/source", f"{base}/out", f"{base}/check"
-    table.repartition(files, F.xxhash64(*table.columns)).write.parquet(source)
+    files = spark.sparkContext.defaultParallelism
+    table.repartition(batches * files, F.xxhash64(*table.columns)).write.parquet(source)
 
     def run() -> None:
-        rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(source)
         q = make(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
 
