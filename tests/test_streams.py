@@ -526,3 +526,19 @@ def test_replays_deal_each_micro_batch_to_all_cores(spark, sf, tmp_path, monkeyp
     logs = [(tmp_path / "shared" / "check" / "sources" / "0" / str(n)).read_text().splitlines()[1:] for n in range(4)]
     cores = spark.sparkContext.defaultParallelism
     assert cores > 1 and [len(files) for files in logs] == [cores, cores, cores, 1]
+
+
+def test_backoff_replay_keeps_its_rows_apart(spark, tmp_path):
+    """Each user counts events from 0: the times are those of the rows themselves, not of all that share a number."""
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    path = str(tmp_path / "events.parquet")
+    sql = f"SELECT k AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (k * 60 + u) SECOND AS ts, u AS user_id, 'click' AS event_type, (k * 37 + u * 11) % 100 * 1.5 AS value FROM range(40) a(k), range(3) b(u)"
+    con = duckdb.connect()
+    con.execute(f"COPY ({sql}) TO '{path}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    expect = con.execute(catalog.ORACLES["backoff_level"]).fetchall()
+    got = catalog.QUERIES["stream_backoff"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(expect) and len(got) == 120 and len({m for _, m in expect}) > 2

@@ -518,10 +518,10 @@ PRESSURE = PressureParams(max_tps=80.0, queue_capacity=90)
 COMPONENTS = "SELECT event_id, user_id, greatest(0.0, least(1.0, value / 80)) AS ingestion, greatest(0.0, least(1.0, value * value / 20000 / 0.25::DOUBLE)) AS semantic, CASE WHEN event_type = 'view' THEN 0.0::DOUBLE ELSE greatest(0.0, least(1.0, (user_id % 97)::DOUBLE / 90)) END AS queue FROM events"
 
 
-def _pressures(spark, sf):
+def _pressures(spark, sf, keep=()):
     e = V.events(spark, sf)
     depth = F.when(F.col("token") == "view", 0).otherwise(F.col("user_id") % 97).cast("double")
-    return e.select("event_id", "user_id", *L.pressure(F.col("value"), F.col("value") * F.col("value") / 20000, depth, PRESSURE))
+    return e.select("event_id", "user_id", *keep, *L.pressure(F.col("value"), F.col("value") * F.col("value") / 20000, depth, PRESSURE))
 
 
 @query(f"WITH c AS ({COMPONENTS}) SELECT event_id, ingestion, semantic, queue, greatest(ingestion, semantic, queue) AS composite FROM c")

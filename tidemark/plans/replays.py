@@ -143,7 +143,7 @@ def stream_pipeline(spark, sf):
 def stream_backoff(spark, sf):
     from .catalog import _pressures
 
-    e = _pressures(spark, sf).select("event_id", "user_id", F.greatest("ingestion", "semantic").alias("composite")).join(V.events(spark, sf).select("event_id", "t_us"), "event_id")
+    e = _pressures(spark, sf, ("t_us",)).select("event_id", "user_id", F.greatest("ingestion", "semantic").alias("composite"), "t_us")
     delay = _span(e)
     x = replay_through(spark, e, lambda s: operators.backoff_stream(s, "composite", "user_id", "event_id", t_us="t_us", delay=delay), "t_us")
     return x.where("user_id is not null").select("event_id", "multiplier")
